@@ -153,11 +153,18 @@ def extract_categories(c) -> Column:
     return F.transform(one_line, collapse_spaces)
 
 
+# --- fixed values: code point ranges that are not allowed in XML text
+XML_BAD_RANGES = [(0x00, 0x08), (0x0B, 0x0C), (0x0E, 0x1F), (0x7F, 0x84), (0x86, 0x9F),
+                  (0xFDD0, 0xFDDF), (0xFFFE, 0xFFFF)]
+# plus the last two code points of every supplementary plane (rule, planes 1..16)
+XML_BAD_RANGES += [(plane * 0x10000 + 0xFFFE, plane * 0x10000 + 0xFFFF) for plane in range(1, 17)]
+# --- end of fixed values
+XML_BAD_CLASS = "[" + "".join(f"\\x{{{lo:X}}}-\\x{{{hi:X}}}" for lo, hi in XML_BAD_RANGES) + "]"
+
+
 def xml_scrub(c, replacement: str = "") -> Column:
-    """Replace characters that XML 1.0 does not allow with ``replacement``."""
-    # fixed values: the XML 1.0 character range
-    illegal = "[^\\x{9}\\x{A}\\x{D}\\x{20}-\\x{D7FF}\\x{E000}-\\x{FFFD}\\x{10000}-\\x{10FFFF}]"
-    return F.regexp_replace(_as_col(c), illegal, replacement)
+    """Replace every character XML does not allow with ``replacement``."""
+    return F.regexp_replace(_as_col(c), XML_BAD_CLASS, replacement)
 
 
 def str_translate(c, src: str, dst: str) -> Column:

@@ -63,3 +63,166 @@ def q_count_links(spark, sf_dir):
 @query("count_sections")
 def q_count_sections(spark, sf_dir):
     return wiki_pages(spark, sf_dir).select("page_id", T.count_sections("text").alias("sect_count"))
+
+
+# ---------------------------------------------------------------- filters / projections
+from pagelake.functions import media as M  # noqa: E402
+from pagelake.functions import validate as V  # noqa: E402
+from pagelake.functions import xml as X  # noqa: E402
+from pagelake.plans import views as VW  # noqa: E402
+
+SAMPLE_SEED = "s42"
+SAMPLE_N = 40
+LOOKUP_PAGE_ID = 777
+TRANSLATE_SRC, TRANSLATE_DST = "0123456789#", "abcdefghij-"
+
+
+@query("flt_not_redirect")
+def q_flt_not_redirect(spark, sf_dir):
+    return P.not_redirect(wiki_pages(spark, sf_dir)).select("page_id", "title")
+
+
+@query("flt_has_text")
+def q_flt_has_text(spark, sf_dir):
+    return P.has_text(wiki_pages(spark, sf_dir)).select("page_id", "title")
+
+
+@query("flt_namespace")
+def q_flt_namespace(spark, sf_dir):
+    return P.drop_code_namespaces(wiki_pages(spark, sf_dir)).select("page_id", "title")
+
+
+@query("prj_page_type")
+def q_prj_page_type(spark, sf_dir):
+    return P.with_page_type(wiki_pages(spark, sf_dir)).select("page_id", "page_type")
+
+
+@query("page_link_stats")
+def q_page_link_stats(spark, sf_dir):
+    stats = P.page_link_stats(wiki_pages(spark, sf_dir))
+    return stats.groupBy("page_type").agg(
+        F.count(F.lit(1)).alias("n_pages"),
+        F.sum("link_count").cast("bigint").alias("link_count"),
+        F.sum("sect_count").cast("bigint").alias("sect_count"))
+
+
+def _raw_category_groups(spark, sf_dir):
+    wp = wiki_pages(spark, sf_dir)
+    return wp.select("page_id", F.posexplode(F.regexp_extract_all("text", F.lit(T.CATEGORY_PATTERN), 1))
+                     .alias("cat_pos", "raw")).withColumn("cat_pos", (F.col("cat_pos") + 1).cast("bigint"))
+
+
+@query("trim_ws")
+def q_trim_ws(spark, sf_dir):
+    return _raw_category_groups(spark, sf_dir).select("page_id", "cat_pos", T.trim_ws("raw").alias("trimmed"))
+
+
+@query("collapse_spaces")
+def q_collapse_spaces(spark, sf_dir):
+    return _raw_category_groups(spark, sf_dir).select("page_id", "cat_pos",
+                                                      T.collapse_spaces("raw").alias("collapsed"))
+
+
+def _records(spark, sf_dir):
+    wp = wiki_pages(spark, sf_dir)
+    return wp.select("page_id", X.render_page("page_id", "title", "redirect_title", "text").alias("record"))
+
+
+def _raw_records(spark, sf_dir):
+    """Records whose text is *not* entity-encoded: stray tags and bare '&' break them."""
+    wp = wiki_pages(spark, sf_dir)
+    rec = F.concat(F.lit("<page><title>"), F.col("title"), F.lit("</title><id>"), F.col("page_id").cast("string"),
+                   F.lit("</id><revision><text>"), F.col("text"), F.lit("</text></revision></page>"))
+    return wp.select("page_id", rec.alias("record"))
+
+
+@query("xml_validate")
+def q_xml_validate(spark, sf_dir):
+    return _raw_records(spark, sf_dir).select("page_id", X.xml_valid("record").alias("is_valid"))
+
+
+@query("page_layout")
+def q_page_layout(spark, sf_dir):
+    return _records(spark, sf_dir).select(X.page_skeleton("record").alias("layout")).distinct()
+
+
+@query("src_pages")
+def q_src_pages(spark, sf_dir):
+    parsed = _records(spark, sf_dir).select(X.parse_page("record").alias("p"))
+    return parsed.select(*X.flat_page("p"))
+
+
+@query("page_to_json")
+def q_page_to_json(spark, sf_dir):
+    parsed = _records(spark, sf_dir).select(X.parse_page("record").alias("p"))
+    flat = parsed.select(*X.flat_page("p"))
+    return flat.select("page_id", F.to_json(F.struct("page_id", "title", "redirect_title", "text"),
+                                            {"ignoreNullFields": "false"}).alias("json"))
+
+
+@query("point_lookup_page")
+def q_point_lookup_page(spark, sf_dir):
+    return wiki_pages(spark, sf_dir).where(F.col("page_id") == LOOKUP_PAGE_ID).select("page_id", "title", "text")
+
+
+@query("random_sample_n")
+def q_random_sample_n(spark, sf_dir):
+    from pagelake.operators.sampling import sample_n
+    return sample_n(wiki_pages(spark, sf_dir), "page_id", SAMPLE_N, SAMPLE_SEED).select("page_id")
+
+
+@query("xml_scrub")
+def q_xml_scrub(spark, sf_dir):
+    docs = VW.table(spark, sf_dir, "documents")
+    return docs.select("doc_id", T.xml_scrub("text", "�").alias("scrubbed"))
+
+
+@query("str_translate")
+def q_str_translate(spark, sf_dir):
+    cf = VW.customer_fields(spark, sf_dir)
+    return cf.select("c_custkey", T.str_translate("c_name", TRANSLATE_SRC, TRANSLATE_DST).alias("translated"))
+
+
+@query("sha256_hex")
+def q_sha256_hex(spark, sf_dir):
+    cf = VW.customer_fields(spark, sf_dir)
+    return cf.select("c_custkey", T.sha256_hex("c_name").alias("name_sha256"))
+
+
+@query("flt_account_name")
+def q_flt_account_name(spark, sf_dir):
+    return VW.customer_fields(spark, sf_dir).where(V.account_name_ok("username")).select("c_custkey", "username")
+
+
+@query("flt_mail")
+def q_flt_mail(spark, sf_dir):
+    return VW.customer_fields(spark, sf_dir).where(V.mail_ok("mail")).select("c_custkey", "mail")
+
+
+@query("flt_phone")
+def q_flt_phone(spark, sf_dir):
+    return VW.customer_fields(spark, sf_dir).where(V.phone_ok("phone")).select("c_custkey", "phone")
+
+
+@query("prj_url_norm")
+def q_prj_url_norm(spark, sf_dir):
+    pages = VW.table(spark, sf_dir, "pages")
+    hrefs = pages.select("page_id", V.url_origin("url").alias("origin"),
+                         F.posexplode(F.regexp_extract_all("html", F.lit(r'href="([^"]*)"'), 1)).alias("href_pos", "href"))
+    page_urls = pages.select("page_id", F.lit(0).alias("href_pos"), V.url_origin("url").alias("origin"),
+                             F.col("url").alias("href"))
+    both = hrefs.withColumn("href_pos", F.col("href_pos") + 1).unionByName(page_urls)
+    return both.select("page_id", F.col("href_pos").cast("bigint").alias("href_pos"), "href",
+                       V.normalize_url("href", "origin").alias("url_norm"))
+
+
+@query("src_media_type")
+def q_src_media_type(spark, sf_dir):
+    return VW.media_blobs(spark, sf_dir).select("doc_id", M.media_type("content").alias("media_type"))
+
+
+@query("media_profile")
+def q_media_profile(spark, sf_dir):
+    blobs = VW.media_blobs(spark, sf_dir)
+    return blobs.groupBy(M.media_type("content").alias("media_type")).agg(
+        F.count(F.lit(1)).alias("n_files"), F.sum(F.octet_length("content")).cast("bigint").alias("total_bytes"))

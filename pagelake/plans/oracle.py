@@ -113,3 +113,134 @@ SELECT page_id, CAST(coalesce(len(regexp_extract_all(text, {_q(LINK_PATTERN)})),
 
 ORACLE["count_sections"] = with_(wiki_cte()) + f"""
 SELECT page_id, CAST(coalesce(len(regexp_extract_all(text, {_q(SECTION_PATTERN)})), 0) AS BIGINT) AS sect_count FROM wiki_pages"""
+
+# ---------------------------------------------------------------- filters / projections
+from pagelake.functions.text import XML_BAD_RANGES  # noqa: E402
+from pagelake.plans.views import CUSTOMER_FIELDS_SQL, MEDIA_HEADERS_HEX  # noqa: E402
+
+_WS = "' ' || chr(13) || chr(10) || chr(9)"
+
+
+def _esc(c: str) -> str:
+    return f"replace(replace(replace(replace({c}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
+
+
+def records_cte() -> str:
+    nl = "chr(10)"
+    return f"""records AS (
+  SELECT page_id,
+    '  <page>' || {nl} || '    <title>' || {_esc('title')} || '</title>' || {nl} || '    <ns>0</ns>' || {nl} ||
+    '    <id>' || CAST(page_id AS VARCHAR) || '</id>' || {nl} ||
+    coalesce('    <redirect title="' || {_esc('redirect_title')} || '" />' || {nl}, '') ||
+    '    <revision>' || {nl} || '      <id>' || CAST(page_id AS VARCHAR) || '</id>' || {nl} ||
+    '      <timestamp>2024-06-01T00:00:00Z</timestamp>' || {nl} ||
+    CASE WHEN text IS NULL THEN '      <text bytes="0" />' || {nl}
+      ELSE '      <text bytes="' || CAST(strlen(text) AS VARCHAR) || '" xml:space="preserve">' || {_esc('text')} || '</text>' || {nl} END ||
+    '    </revision>' || {nl} || '  </page>' || {nl} AS record
+  FROM wiki_pages)"""
+
+
+def customer_cte() -> str:
+    return f"customer_fields AS ({CUSTOMER_FIELDS_SQL})"
+
+
+ORACLE["flt_not_redirect"] = with_(wiki_cte()) + "SELECT page_id, title FROM wiki_pages WHERE redirect_title IS NULL"
+ORACLE["flt_has_text"] = with_(wiki_cte()) + "SELECT page_id, title FROM wiki_pages WHERE text IS NOT NULL"
+ORACLE["flt_namespace"] = with_(wiki_cte()) + """SELECT page_id, title FROM wiki_pages
+WHERE NOT starts_with(title, 'Module:') AND NOT starts_with(title, 'Template:')"""
+
+_PAGE_TYPE_SQL = """CASE WHEN redirect_title IS NOT NULL THEN 'redirect'
+  WHEN starts_with(title, 'Module:') THEN 'module' WHEN starts_with(title, 'Template:') THEN 'template'
+  WHEN starts_with(title, 'Portal:') THEN 'portals' WHEN starts_with(title, 'Category:') THEN 'categories'
+  WHEN starts_with(title, 'Help:') THEN 'help' WHEN starts_with(title, 'Wikipedia:') THEN 'wikipedia'
+  ELSE 'article' END"""
+
+ORACLE["prj_page_type"] = with_(wiki_cte()) + f"SELECT page_id, {_PAGE_TYPE_SQL} AS page_type FROM wiki_pages"
+
+ORACLE["page_link_stats"] = with_(wiki_cte()) + f"""
+SELECT {_PAGE_TYPE_SQL} AS page_type, CAST(count(*) AS BIGINT) AS n_pages,
+  CAST(sum(coalesce(len(regexp_extract_all(text, {_q(LINK_PATTERN)})), 0)) AS BIGINT) AS link_count,
+  CAST(sum(coalesce(len(regexp_extract_all(text, {_q(SECTION_PATTERN)})), 0)) AS BIGINT) AS sect_count
+FROM wiki_pages GROUP BY 1"""
+
+_RAW_GROUPS = f"""raw_groups AS (
+  SELECT page_id, CAST(unnest(generate_series(1, len(g))) AS BIGINT) AS cat_pos, unnest(g) AS raw
+  FROM (SELECT page_id, regexp_extract_all(text, {_q(CATEGORY_PATTERN)}, 1) AS g FROM wiki_pages))"""
+
+ORACLE["trim_ws"] = with_(wiki_cte(), _RAW_GROUPS) + f"SELECT page_id, cat_pos, trim(raw, {_WS}) AS trimmed FROM raw_groups"
+ORACLE["collapse_spaces"] = with_(wiki_cte(), _RAW_GROUPS) + \
+    "SELECT page_id, cat_pos, regexp_replace(raw, '  +', ' ', 'g') AS collapsed FROM raw_groups"
+
+ORACLE["page_layout"] = with_(wiki_cte(), records_cte()) + f"""
+SELECT DISTINCT
+  regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
+    trim(record, {_WS}),
+    '(?s)<!--.*?-->', '', 'g'),
+    '="[^"]*"', '', 'g'),
+    '=''[^'']*''', '', 'g'),
+    '>[ \\t\\r\\n]+<', '> <', 'g'),
+    '>[^<]*[^ \\t\\r\\n<][^<]*<', '><', 'g'),
+    '[ \\t\\r\\n]+(/?>)', '\\1', 'g') AS layout
+FROM records"""
+
+ORACLE["src_pages"] = with_(wiki_cte()) + "SELECT page_id, title, redirect_title, text FROM wiki_pages"
+ORACLE["page_to_json"] = with_(wiki_cte()) + """
+SELECT page_id, CAST(to_json({'page_id': page_id, 'title': title, 'redirect_title': redirect_title, 'text': text}) AS VARCHAR) AS json
+FROM wiki_pages"""
+ORACLE["point_lookup_page"] = with_(wiki_cte()) + "SELECT page_id, title, text FROM wiki_pages WHERE page_id = 777"
+ORACLE["random_sample_n"] = with_(wiki_cte()) + """
+SELECT page_id FROM wiki_pages ORDER BY md5('s42:' || CAST(page_id AS VARCHAR)) LIMIT 40"""
+
+_BAD_RE2 = "[" + "".join(f"\\x{{{lo:X}}}-\\x{{{hi:X}}}" for lo, hi in XML_BAD_RANGES) + "]"
+ORACLE["xml_scrub"] = f"SELECT doc_id, regexp_replace(text, {_q(_BAD_RE2)}, '�', 'g') AS scrubbed FROM documents"
+
+ORACLE["str_translate"] = "SELECT c_custkey, translate(c_name, '0123456789#', 'abcdefghij-') AS translated FROM customer"
+ORACLE["sha256_hex"] = "SELECT c_custkey, sha256(c_name) AS name_sha256 FROM customer"
+ORACLE["flt_account_name"] = with_(customer_cte()) + """
+SELECT c_custkey, username FROM customer_fields
+WHERE length(username) <= 20 AND regexp_matches(username, '^[a-zA-Z0-9_.-]*\\n?$')"""
+ORACLE["flt_mail"] = with_(customer_cte()) + """
+SELECT c_custkey, mail FROM customer_fields
+WHERE length(mail) <= 50 AND regexp_full_match(mail, '\\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Z|a-z]{2,7}\\b')"""
+ORACLE["flt_phone"] = with_(customer_cte()) + """
+SELECT c_custkey, phone FROM customer_fields WHERE length(phone) <= 16 AND regexp_full_match(phone, '\\+[0-9]*')"""
+
+_URL_RE2 = (r"(?i)^(?:http|ftp)s?://(?:(?:[A-Z0-9](?:[A-Z0-9-]{0,61}[A-Z0-9])?\.)+(?:[A-Z]{2,6}\.?|[A-Z0-9-]{2,}\.?)|"
+            r"localhost|\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})(?::\d+)?(?:/?|[/?]\S+)$")
+ORACLE["prj_url_norm"] = f"""
+WITH hrefs AS (
+  SELECT page_id, nullif(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]+)', 1), '') AS origin,
+    CAST(unnest(generate_series(1, len(h))) AS BIGINT) AS href_pos, unnest(h) AS href
+  FROM (SELECT page_id, url, regexp_extract_all(html, 'href="([^"]*)"', 1) AS h FROM pages)
+  UNION ALL
+  SELECT page_id, nullif(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]+)', 1), ''), 0, url FROM pages),
+full_urls AS (
+  SELECT *, CASE WHEN starts_with(href, '//') THEN 'https:' || href
+                 WHEN starts_with(href, '/') THEN origin || href ELSE href END AS full_url FROM hrefs)
+SELECT page_id, href_pos, href, CASE WHEN regexp_matches(full_url, {_q(_URL_RE2)}) THEN full_url END AS url_norm
+FROM full_urls"""
+
+_HDR_CASE = "CASE doc_id % 13 " + " ".join(f"WHEN {i} THEN '{h}'" for i, h in enumerate(MEDIA_HEADERS_HEX)) + " END"
+_MEDIA_CTE = f"""blobs AS (SELECT doc_id, unhex({_HDR_CASE}) || encode(text) AS content FROM documents),
+typed AS (
+  SELECT doc_id, content, hex(content) AS h FROM blobs),
+classified AS (
+  SELECT doc_id, content, CASE
+    WHEN substr(h, 13, 8) IN ('4A464946', '45786966') OR starts_with(h, 'FFD8FF') THEN 'jpeg'
+    WHEN starts_with(h, '89504E470D0A1A0A') THEN 'png'
+    WHEN starts_with(h, '474946383761') OR starts_with(h, '474946383961') THEN 'gif'
+    WHEN starts_with(h, '4D4D') OR starts_with(h, '4949') THEN 'tiff'
+    WHEN starts_with(h, '01DA') THEN 'rgb'
+    WHEN substr(h, 1, 4) IN ('5031', '5034') AND substr(h, 5, 2) IN ('20', '09', '0A', '0D') THEN 'pbm'
+    WHEN substr(h, 1, 4) IN ('5032', '5035') AND substr(h, 5, 2) IN ('20', '09', '0A', '0D') THEN 'pgm'
+    WHEN substr(h, 1, 4) IN ('5033', '5036') AND substr(h, 5, 2) IN ('20', '09', '0A', '0D') THEN 'ppm'
+    WHEN starts_with(h, '59A66A95') THEN 'rast'
+    WHEN starts_with(h, '23646566696E6520') THEN 'xbm'
+    WHEN starts_with(h, '424D') THEN 'bmp'
+    WHEN starts_with(h, '52494646') AND substr(h, 17, 8) = '57454250' THEN 'webp'
+    WHEN starts_with(h, '762F3101') THEN 'exr' END AS media_type
+  FROM typed)"""
+ORACLE["src_media_type"] = with_(_MEDIA_CTE) + "SELECT doc_id, media_type FROM classified"
+ORACLE["media_profile"] = with_(_MEDIA_CTE) + """
+SELECT media_type, CAST(count(*) AS BIGINT) AS n_files, CAST(sum(octet_length(content)) AS BIGINT) AS total_bytes
+FROM classified GROUP BY media_type"""

@@ -43,3 +43,42 @@ def wiki_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``page_id, title, redirect_title, text`` over the whole documents table."""
     table(spark, sf_dir, "documents").createOrReplaceTempView("documents")
     return spark.sql(WIKI_PAGES_SQL)
+
+
+# Account-like strings derived from ``customer``: some pass the validators,
+# some break the character set, the length limit or the mail/phone shape.
+CUSTOMER_FIELDS_SQL = """
+SELECT c_custkey,
+ CASE c_custkey % 4 WHEN 0 THEN c_name WHEN 1 THEN replace(c_name, '#', '_')
+   WHEN 2 THEN lower(replace(c_name, '#', '.'))
+   ELSE concat(replace(c_name, '#', '-'), '-', c_mktsegment) END AS username,
+ CASE c_custkey % 5 WHEN 0 THEN concat(lower(replace(c_name, '#', '.')), '@example.com')
+   WHEN 1 THEN concat(c_name, '@example.com')
+   WHEN 2 THEN concat('u', CAST(c_custkey AS STRING), '@mail.', lower(c_mktsegment))
+   WHEN 3 THEN concat('u', CAST(c_custkey AS STRING), '@gm@a.com')
+   ELSE concat('u.', CAST(c_custkey AS STRING), '@ex-', CAST(c_nationkey AS STRING), '.org') END AS mail,
+ CASE c_custkey % 3 WHEN 0 THEN concat('+', CAST(c_custkey * 7919 AS STRING))
+   WHEN 1 THEN concat('+', lpad(CAST(c_custkey AS STRING), 20, '0'))
+   ELSE concat('0', CAST(c_custkey AS STRING)) END AS phone,
+ c_name, c_mktsegment, c_nationkey, c_acctbal
+FROM customer
+"""
+
+# Blobs with a media header chosen by doc_id % 13 followed by the document text.
+MEDIA_HEADERS_HEX = [
+    "FFD8FFE000104A46494600", "89504E470D0A1A0A", "474946383961", "4D4D002A", "01DA", "50340A", "50350A",
+    "50360A", "59A66A95", "23646566696E6520", "424D", "524946460000000057454250", "762F3101",
+]
+
+
+def customer_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table(spark, sf_dir, "customer").createOrReplaceTempView("customer")
+    return spark.sql(CUSTOMER_FIELDS_SQL)
+
+
+def media_blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``doc_id, content`` binary blobs derived from documents."""
+    from pyspark.sql import functions as F
+    docs = table(spark, sf_dir, "documents")
+    header = F.element_at(F.array(*[F.lit(h) for h in MEDIA_HEADERS_HEX]), (F.col("doc_id") % 13 + 1).cast("int"))
+    return docs.select("doc_id", F.concat(F.unhex(header), F.encode("text", "UTF-8")).alias("content"))
