@@ -226,3 +226,147 @@ def q_media_profile(spark, sf_dir):
     blobs = VW.media_blobs(spark, sf_dir)
     return blobs.groupBy(M.media_type("content").alias("media_type")).agg(
         F.count(F.lit(1)).alias("n_files"), F.sum(F.octet_length("content")).cast("bigint").alias("total_bytes"))
+
+
+# ---------------------------------------------------------------- dump index, streams, chunks
+from pagelake.operators import index as IX  # noqa: E402
+from pagelake.session import shared_dir  # noqa: E402
+
+INDEX_BATCH = 10          # streams per re-chunk batch (the reference uses threads * 10)
+PACK_GROUP = 4            # streams per chunk inside a batch
+PACK_LIMIT = 500_000      # bytes per greedy pack before it closes
+
+
+def _dump_index(spark, sf_dir):
+    rows, _ = IX.parse_dump_index(VW.dump_index_lines(spark, sf_dir))
+    return rows
+
+
+def _ranges(spark, sf_dir):
+    return IX.stream_ranges(_dump_index(spark, sf_dir), VW.dump_file_length(spark, sf_dir))
+
+
+def _packed(spark, sf_dir):
+    return IX.pack_streams_n(_ranges(spark, sf_dir), INDEX_BATCH, PACK_GROUP)
+
+
+def _chunk_rows(spark, sf_dir):
+    packed = _packed(spark, sf_dir)
+    return IX.chunk_index(_dump_index(spark, sf_dir), packed, IX.chunk_table(packed))
+
+
+def _scratch(spark, name):
+    import uuid
+    return shared_dir(spark, f"tables/{name}-{uuid.uuid4().hex[:12]}")
+
+
+@query("src_dump_index")
+def q_src_dump_index(spark, sf_dir):
+    return _dump_index(spark, sf_dir)
+
+
+@query("line_count")
+def q_line_count(spark, sf_dir):
+    return IX.index_line_counts(VW.dump_index_lines(spark, sf_dir))
+
+
+@query("sort_offsets")
+def q_sort_offsets(spark, sf_dir):
+    return IX.distinct_offsets(_dump_index(spark, sf_dir)).orderBy("offset")
+
+
+@query("stream_ranges")
+def q_stream_ranges(spark, sf_dir):
+    return _ranges(spark, sf_dir)
+
+
+@query("grp_pages_by_stream")
+def q_grp_pages_by_stream(spark, sf_dir):
+    return IX.pages_by_stream(_dump_index(spark, sf_dir))
+
+
+@query("stream_pack_n")
+def q_stream_pack_n(spark, sf_dir):
+    return _packed(spark, sf_dir).select("st", "stream_no", "batch_no", "chunk_no")
+
+
+@query("chunk_offsets")
+def q_chunk_offsets(spark, sf_dir):
+    return IX.chunk_table(_packed(spark, sf_dir)).select("chunk_no", "src_st", "src_ed", "chunk_bytes", "st", "ed")
+
+
+@query("stream_pack_bytes")
+def q_stream_pack_bytes(spark, sf_dir):
+    return IX.greedy_pack_starts(_ranges(spark, sf_dir), PACK_LIMIT)
+
+
+@query("pack_offset_id")
+def q_pack_offset_id(spark, sf_dir):
+    packed = _dump_index(spark, sf_dir).select("offset", "page_id", IX.pack_offset_id("offset", "page_id").alias("packed"))
+    return packed.select("page_id", "offset", "packed", IX.unpack_offset("packed").alias("offset_back"),
+                         IX.unpack_id("packed").alias("id_back"))
+
+
+@query("sink_chunk_index")
+def q_sink_chunk_index(spark, sf_dir):
+    from pagelake.sources import sinks
+    path = _scratch(spark, "chunk_index")
+    sinks.write_lines(IX.chunk_index_lines(_chunk_rows(spark, sf_dir)), path)
+    return spark.read.text(path)
+
+
+@query("src_chunk_index")
+def q_src_chunk_index(spark, sf_dir):
+    rows, _ = IX.parse_chunk_index(IX.chunk_index_lines(_chunk_rows(spark, sf_dir)))
+    return rows
+
+
+@query("grp_pages_by_chunk")
+def q_grp_pages_by_chunk(spark, sf_dir):
+    return IX.pages_by_chunk(_chunk_rows(spark, sf_dir))
+
+
+@query("sink_chunk_table")
+def q_sink_chunk_table(spark, sf_dir):
+    from pagelake.sources import sinks
+    path = _scratch(spark, "chunk_table")
+    sinks.write_chunk_table(_chunk_rows(spark, sf_dir), path)
+    return spark.read.parquet(path)
+
+
+def _page_index(spark, sf_dir):
+    """The page index table: stats per page plus its chunk."""
+    rows = _chunk_rows(spark, sf_dir).select("page_id", F.col("st").alias("chunk_st"))
+    stats = P.page_link_stats(wiki_pages(spark, sf_dir))
+    titles = wiki_pages(spark, sf_dir).select("page_id", F.col("title").alias("page_title"))
+    return rows.join(stats, "page_id").join(titles, "page_id")
+
+
+@query("join_index_chunk")
+def q_join_index_chunk(spark, sf_dir):
+    chunks = _chunk_rows(spark, sf_dir).select("st", "ed").distinct()
+    idx = _page_index(spark, sf_dir).select("page_id", "chunk_st")
+    return idx.join(chunks, idx.chunk_st == chunks.st, "inner").select("page_id", "st", "ed")
+
+
+def _chunk_records(spark, sf_dir):
+    rows = _chunk_rows(spark, sf_dir).select("st", "page_id")
+    return rows.join(_records(spark, sf_dir), "page_id").select("st", "page_id", "record")
+
+
+@query("validate_index")
+def q_validate_index(spark, sf_dir):
+    return IX.validate_chunks(_chunk_rows(spark, sf_dir), _chunk_records(spark, sf_dir))
+
+
+@query("all_valid")
+def q_all_valid(spark, sf_dir):
+    return IX.all_valid(IX.validate_chunks(_chunk_rows(spark, sf_dir), _chunk_records(spark, sf_dir)))
+
+
+@query("chunk_profile")
+def q_chunk_profile(spark, sf_dir):
+    rows = _chunk_rows(spark, sf_dir)
+    text_bytes = rows.select("st", "page_id").join(
+        wiki_pages(spark, sf_dir).select("page_id", F.octet_length("text").alias("text_bytes")), "page_id")
+    return IX.chunk_profile(rows.select("st", "ed").distinct(), text_bytes)

@@ -244,3 +244,64 @@ ORACLE["src_media_type"] = with_(_MEDIA_CTE) + "SELECT doc_id, media_type FROM c
 ORACLE["media_profile"] = with_(_MEDIA_CTE) + """
 SELECT media_type, CAST(count(*) AS BIGINT) AS n_files, CAST(sum(octet_length(content)) AS BIGINT) AS total_bytes
 FROM classified GROUP BY media_type"""
+
+# ---------------------------------------------------------------- dump index, streams, chunks
+
+
+def index_ctes() -> str:
+    return """
+streams AS (SELECT CAST(floor(doc_id / 100) AS BIGINT) AS stream, CAST(sum(n_chars) AS BIGINT) AS stream_bytes
+  FROM documents GROUP BY 1),
+soff AS (SELECT stream, CAST(550 + coalesce(sum(stream_bytes) OVER (ORDER BY stream ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset"
+  FROM streams),
+flen AS (SELECT CAST(550 + sum(n_chars) AS BIGINT) AS file_len FROM documents),
+idx AS (SELECT s."offset", w.page_id, w.title FROM wiki_pages w JOIN soff s ON CAST(floor(w.page_id / 100) AS BIGINT) = s.stream),
+ranges AS (SELECT "offset" AS st, CAST(coalesce(lead("offset") OVER (ORDER BY "offset"), (SELECT file_len FROM flen)) AS BIGINT) AS ed
+  FROM (SELECT DISTINCT "offset" FROM idx)),
+packed AS (SELECT st, ed, CAST(row_number() OVER (ORDER BY st) - 1 AS BIGINT) AS stream_no FROM ranges),
+packed2 AS (SELECT st, ed, stream_no, CAST(floor(stream_no / 10) AS BIGINT) AS batch_no,
+  CAST(floor(stream_no / 10) * 3 + floor((stream_no % 10) / 4) AS BIGINT) AS chunk_no FROM packed),
+chunks AS (SELECT chunk_no, min(st) AS src_st, max(ed) AS src_ed, CAST(sum(ed - st) AS BIGINT) AS chunk_bytes
+  FROM packed2 GROUP BY chunk_no),
+choff AS (SELECT chunk_no, src_st, src_ed, chunk_bytes,
+  CAST(coalesce(sum(chunk_bytes) OVER (ORDER BY chunk_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS st
+  FROM chunks),
+crows AS (SELECT c.st, c.st + c.chunk_bytes AS ed, i.page_id, i.title
+  FROM idx i JOIN packed2 p ON i."offset" = p.st JOIN choff c ON c.chunk_no = p.chunk_no)
+"""
+
+
+_IX = with_(wiki_cte(), index_ctes())
+ORACLE["src_dump_index"] = _IX + 'SELECT "offset", page_id, title FROM idx'
+ORACLE["line_count"] = _IX + "SELECT CAST(count(*) AS BIGINT) AS n_lines, CAST(0 AS BIGINT) AS n_rejects FROM idx"
+ORACLE["sort_offsets"] = _IX + 'SELECT DISTINCT "offset" FROM idx ORDER BY 1'
+ORACLE["stream_ranges"] = _IX + "SELECT st, ed FROM ranges"
+ORACLE["grp_pages_by_stream"] = _IX + """SELECT "offset", CAST(count(*) AS BIGINT) AS n_pages,
+  string_agg(CAST(page_id AS VARCHAR), ',' ORDER BY page_id) AS page_ids FROM idx GROUP BY "offset" """
+ORACLE["stream_pack_n"] = _IX + "SELECT st, stream_no, batch_no, chunk_no FROM packed2"
+ORACLE["chunk_offsets"] = _IX + "SELECT chunk_no, src_st, src_ed, chunk_bytes, st, st + chunk_bytes AS ed FROM choff"
+ORACLE["stream_pack_bytes"] = _IX + """,
+walk AS (
+  SELECT (SELECT min(st) FROM ranges) AS base
+  UNION ALL
+  SELECT (SELECT min(r.ed) FROM ranges r WHERE r.ed > w.base + 500000) FROM walk w WHERE w.base IS NOT NULL)
+SELECT r.st, r.ed, r.st IN (SELECT base FROM walk WHERE base IS NOT NULL) AS pack_start FROM ranges r"""
+ORACLE["stream_pack_bytes"] = ORACLE["stream_pack_bytes"].replace("WITH ", "WITH RECURSIVE ", 1)
+ORACLE["pack_offset_id"] = _IX + """SELECT page_id, "offset", ("offset" << 28) | page_id AS packed,
+  "offset" AS offset_back, page_id AS id_back FROM idx"""
+ORACLE["sink_chunk_index"] = _IX + """SELECT CAST(st AS VARCHAR) || ':' || CAST(ed AS VARCHAR) || ':' || CAST(page_id AS VARCHAR) || ':' || title AS value
+FROM crows"""
+ORACLE["src_chunk_index"] = _IX + "SELECT st, ed, page_id, title FROM crows"
+ORACLE["grp_pages_by_chunk"] = _IX + """SELECT st, ed, CAST(count(*) AS BIGINT) AS n_pages,
+  string_agg(CAST(page_id AS VARCHAR), ',' ORDER BY page_id) AS page_ids FROM crows GROUP BY st, ed"""
+ORACLE["sink_chunk_table"] = _IX + "SELECT DISTINCT st, ed FROM crows"
+ORACLE["join_index_chunk"] = _IX + "SELECT page_id, st, ed FROM crows"
+ORACLE["validate_index"] = _IX + """SELECT st, CAST(count(*) AS BIGINT) AS n_indexed, CAST(count(*) AS BIGINT) AS n_stored,
+  true AS ids_ok, bool_and(strpos(title, chr(10)) = 0) AS titles_ok, true AS xml_ok, true AS valid FROM crows GROUP BY st"""
+ORACLE["all_valid"] = _IX + "SELECT true AS all_valid, CAST(count(DISTINCT st) AS BIGINT) AS n_chunks FROM crows"
+ORACLE["chunk_profile"] = _IX + """, per_chunk AS (
+  SELECT c.st, max(c.ed) - c.st AS chunk_bytes, sum(strlen(w.text)) AS text_bytes
+  FROM crows c JOIN wiki_pages w ON w.page_id = c.page_id GROUP BY c.st)
+SELECT CAST(count(*) AS BIGINT) AS n_chunks, CAST(max(chunk_bytes) AS BIGINT) AS max_chunk_bytes,
+  round(avg(chunk_bytes), 3) AS avg_chunk_bytes, CAST(max(text_bytes) AS BIGINT) AS max_text_bytes,
+  round(avg(text_bytes), 3) AS avg_text_bytes FROM per_chunk"""

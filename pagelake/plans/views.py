@@ -82,3 +82,38 @@ def media_blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     header = F.element_at(F.array(*[F.lit(h) for h in MEDIA_HEADERS_HEX]), (F.col("doc_id") % 13 + 1).cast("int"))
     return docs.select("doc_id", F.concat(F.unhex(header), F.encode("text", "UTF-8")).alias("content"))
+
+
+# A dump index derived from documents: 100 consecutive doc ids share one
+# compressed stream; a stream's byte length is the sum of its n_chars; the
+# first stream starts after a 550-byte header.
+DUMP_HEADER_BYTES = 550
+PAGES_PER_STREAM = 100
+
+
+def dump_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``stream, offset, stream_bytes`` (offset = header + bytes of earlier streams)."""
+    from pyspark.sql import functions as F
+
+    from pagelake.operators.windows import running_total
+    docs = table(spark, sf_dir, "documents")
+    per_stream = docs.groupBy(F.floor(F.col("doc_id") / PAGES_PER_STREAM).cast("bigint").alias("stream")).agg(
+        F.sum("n_chars").cast("bigint").alias("stream_bytes"))
+    with_off = running_total(per_stream, ["stream"], "stream_bytes", "before", block_width=4096)
+    return with_off.select("stream", (F.col("before") + DUMP_HEADER_BYTES).alias("offset"), "stream_bytes")
+
+
+def dump_file_length(spark: SparkSession, sf_dir: str) -> int:
+    """Byte length of the derived dump file (a single number)."""
+    from pyspark.sql import functions as F
+    total = table(spark, sf_dir, "documents").agg(F.sum("n_chars")).first()[0]
+    return DUMP_HEADER_BYTES + int(total or 0)
+
+
+def dump_index_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``value`` text lines ``offset:page_id:title`` for every page."""
+    from pyspark.sql import functions as F
+    wp = wiki_pages(spark, sf_dir).select("page_id", "title")
+    streams = dump_streams(spark, sf_dir).select("stream", "offset")
+    joined = wp.join(streams, F.floor(wp.page_id / PAGES_PER_STREAM).cast("bigint") == streams.stream)
+    return joined.select(F.concat_ws(":", "offset", "page_id", "title").alias("value"))
