@@ -370,3 +370,104 @@ def q_chunk_profile(spark, sf_dir):
     text_bytes = rows.select("st", "page_id").join(
         wiki_pages(spark, sf_dir).select("page_id", F.octet_length("text").alias("text_bytes")), "page_id")
     return IX.chunk_profile(rows.select("st", "ed").distinct(), text_bytes)
+
+
+# ---------------------------------------------------------------- category index and graph
+from pagelake.operators import graph as G  # noqa: E402
+
+GRAPH_ROOT = "k0"
+GRAPH_ROUNDS = 5
+
+
+def _cat_index(spark, sf_dir):
+    """The lower-cased category index, read back from its text form."""
+    return G.parse_category_index(G.category_index_lines(_cat_pages(spark, sf_dir)))
+
+
+def _cat_graph_pages(spark, sf_dir):
+    return G.category_pages(_cat_index(spark, sf_dir))
+
+
+def _levels(spark, sf_dir):
+    return G.descendants(_cat_graph_pages(spark, sf_dir), GRAPH_ROOT, GRAPH_ROUNDS)
+
+
+@query("src_category_index")
+def q_src_category_index(spark, sf_dir):
+    idx = _cat_index(spark, sf_dir)
+    return idx.select("page_id", "title", F.size("cats").cast("bigint").alias("n_cats"),
+                      F.array_join("cats", "|").alias("cats"))
+
+
+@query("prj_category_pages")
+def q_prj_category_pages(spark, sf_dir):
+    return _cat_graph_pages(spark, sf_dir).select("page_id", "title", F.array_join("cats", "|").alias("cats"))
+
+
+@query("prj_content_pages")
+def q_prj_content_pages(spark, sf_dir):
+    return G.content_pages(_cat_index(spark, sf_dir)).select("page_id", "title", F.array_join("cats", "|").alias("cats"))
+
+
+@query("join_parent_category")
+def q_join_parent_category(spark, sf_dir):
+    idx = _cat_index(spark, sf_dir)
+    return G.parent_edges(idx, G.category_pages(idx))
+
+
+@query("category_descendants")
+def q_category_descendants(spark, sf_dir):
+    return _levels(spark, sf_dir)
+
+
+@query("level_counts")
+def q_level_counts(spark, sf_dir):
+    return G.level_counts(_levels(spark, sf_dir))
+
+
+@query("max_title_length")
+def q_max_title_length(spark, sf_dir):
+    return _cat_graph_pages(spark, sf_dir).agg(F.max(F.octet_length("title")).cast("bigint").alias("max_title_bytes"))
+
+
+@query("set_union_seen")
+def q_set_union_seen(spark, sf_dir):
+    return G.seen_titles(_levels(spark, sf_dir), GRAPH_ROOT)
+
+
+@query("set_difference_seen")
+def q_set_difference_seen(spark, sf_dir):
+    cats = _cat_graph_pages(spark, sf_dir)
+    return G.unseen_categories(cats, G.seen_titles(G.descendants(cats, GRAPH_ROOT, GRAPH_ROUNDS), GRAPH_ROOT))
+
+
+@query("pages_under_category")
+def q_pages_under_category(spark, sf_dir):
+    idx = _cat_index(spark, sf_dir)
+    seen = G.seen_titles(G.descendants(G.category_pages(idx), GRAPH_ROOT, GRAPH_ROUNDS), GRAPH_ROOT)
+    return G.pages_under(idx, seen)
+
+
+@query("sink_category_index")
+def q_sink_category_index(spark, sf_dir):
+    from pagelake.sources import sinks
+    path = _scratch(spark, "category_index")
+    sinks.write_lines(G.category_index_lines(_cat_pages(spark, sf_dir)), path)
+    return spark.read.text(path)
+
+
+@query("sink_category_list")
+def q_sink_category_list(spark, sf_dir):
+    from pagelake.sources import sinks
+    path = _scratch(spark, "category_list")
+    sinks.write_lines(P.category_list(_cat_pages(spark, sf_dir)), path, col="category")
+    return spark.read.text(path).withColumnRenamed("value", "category")
+
+
+@query("sink_category_table")
+def q_sink_category_table(spark, sf_dir):
+    from pagelake.sources import sinks
+    path = _scratch(spark, "category_table")
+    rows = _cat_index(spark, sf_dir).select("page_id", F.explode("cats").alias("category")).distinct()
+    sinks.write_table(rows, path)
+    return spark.read.parquet(path)

@@ -305,3 +305,53 @@ ORACLE["chunk_profile"] = _IX + """, per_chunk AS (
 SELECT CAST(count(*) AS BIGINT) AS n_chunks, CAST(max(chunk_bytes) AS BIGINT) AS max_chunk_bytes,
   round(avg(chunk_bytes), 3) AS avg_chunk_bytes, CAST(max(text_bytes) AS BIGINT) AS max_text_bytes,
   round(avg(text_bytes), 3) AS avg_text_bytes FROM per_chunk"""
+
+# ---------------------------------------------------------------- category index and graph
+
+
+def cat_index_ctes() -> str:
+    """Lower-cased category index built straight from the extracted categories."""
+    return """
+cat_lists AS (
+  SELECT k.page_id, lower(k.title) AS title,
+    coalesce(list_filter((SELECT list(lower(pc.category) ORDER BY pc.cat_pos) FROM page_cats pc WHERE pc.page_id = k.page_id),
+      lambda c: c <> ''), []) AS cats
+  FROM kept_pages k),
+cat_graph AS (SELECT page_id, substr(title, 10) AS title, cats FROM cat_lists
+  WHERE starts_with(title, 'category:') AND len(cats) > 0),
+cat_edges AS (SELECT page_id, title, unnest(cats) AS parent FROM cat_graph),
+walk(title, depth) AS (
+  SELECT DISTINCT title, 0 FROM cat_edges WHERE parent = 'k0'
+  UNION
+  SELECT e.title, w.depth + 1 FROM walk w JOIN cat_edges e ON e.parent = w.title
+  WHERE w.depth < 5 AND e.title <> 'k0'),
+levels AS (SELECT CAST(min(depth) AS BIGINT) AS level, title FROM walk GROUP BY title),
+level_rows AS (SELECT l.level, c.page_id, c.title FROM levels l JOIN cat_graph c ON c.title = l.title),
+seen AS (SELECT title FROM levels UNION SELECT 'k0')
+"""
+
+
+_CG = "WITH RECURSIVE " + with_(wiki_cte(), content_filter_cte(), masked_ctes(src="kept_pages"), cats_ctes(),
+                                cat_index_ctes())[len("WITH "):]
+ORACLE["src_category_index"] = _CG + """SELECT page_id, title, CAST(len(cats) AS BIGINT) AS n_cats,
+  array_to_string(cats, '|') AS cats FROM cat_lists"""
+ORACLE["prj_category_pages"] = _CG + "SELECT page_id, title, array_to_string(cats, '|') AS cats FROM cat_graph"
+ORACLE["prj_content_pages"] = _CG + """SELECT page_id, title, array_to_string(cats, '|') AS cats FROM cat_lists
+WHERE NOT regexp_matches(title, '^(category|module|template|portal|help):') AND len(cats) > 0"""
+ORACLE["join_parent_category"] = _CG + """SELECT DISTINCT n.page_id, g.page_id AS parent_id
+FROM (SELECT page_id, unnest(cats) AS name FROM cat_lists) n JOIN cat_graph g ON g.title = n.name"""
+ORACLE["category_descendants"] = _CG + "SELECT level, page_id, title FROM level_rows"
+ORACLE["level_counts"] = _CG + """SELECT CAST(CASE WHEN grouping(level) = 1 THEN -1 ELSE level END AS BIGINT) AS level,
+  CAST(count(*) AS BIGINT) AS n_rows FROM level_rows GROUP BY ROLLUP (level)"""
+ORACLE["max_title_length"] = _CG + "SELECT CAST(max(strlen(title)) AS BIGINT) AS max_title_bytes FROM cat_graph"
+ORACLE["set_union_seen"] = _CG + "SELECT title FROM seen"
+ORACLE["set_difference_seen"] = _CG + "SELECT DISTINCT title FROM cat_graph WHERE title NOT IN (SELECT title FROM seen)"
+ORACLE["pages_under_category"] = _CG + """SELECT DISTINCT page_id, title FROM (
+  SELECT page_id, title, unnest(cats) AS name FROM cat_lists
+  WHERE NOT regexp_matches(title, '^(category|module|template|portal|help):') AND len(cats) > 0)
+WHERE name IN (SELECT title FROM seen)"""
+ORACLE["sink_category_index"] = _CG + """SELECT CAST(k.page_id AS VARCHAR) || '|' || k.title || '|' ||
+  coalesce((SELECT string_agg(pc.category, '|' ORDER BY pc.cat_pos) FROM page_cats pc WHERE pc.page_id = k.page_id), '') AS value
+FROM kept_pages k"""
+ORACLE["sink_category_list"] = _CG + "SELECT DISTINCT category FROM page_cats"
+ORACLE["sink_category_table"] = _CG + "SELECT DISTINCT page_id, unnest(cats) AS category FROM cat_lists"
