@@ -471,3 +471,161 @@ def q_sink_category_table(spark, sf_dir):
     rows = _cat_index(spark, sf_dir).select("page_id", F.explode("cats").alias("category")).distinct()
     sinks.write_table(rows, path)
     return spark.read.parquet(path)
+
+
+# ---------------------------------------------------------------- ledger jobs
+from pagelake.operators import ledger as L  # noqa: E402
+
+DRAW_SEED = "draw42"
+
+
+def _lt(spark, sf_dir, name):
+    return VW.ledger(spark, sf_dir, name)
+
+
+def _balances(spark, sf_dir):
+    bal, _ = L.apply_credits(_lt(spark, sf_dir, "profiles"), _lt(spark, sf_dir, "credits"))
+    return bal
+
+
+def _catalog(spark, sf_dir):
+    cat, _ = L.apply_catalog(_lt(spark, sf_dir, "catalog_log"))
+    return cat
+
+
+def _shop(spark, sf_dir):
+    log = _lt(spark, sf_dir, "catalog_log")
+    at_listing, _ = L.apply_catalog(log.where(F.col("op") == "add"))
+    shop, _ = L.apply_shop(_lt(spark, sf_dir, "shop_log"), at_listing)
+    return shop
+
+
+def _purchases(spark, sf_dir):
+    return L.run_purchases(_lt(spark, sf_dir, "purchases"), _balances(spark, sf_dir),
+                           _catalog(spark, sf_dir), _shop(spark, sf_dir))
+
+
+def _draws(spark, sf_dir):
+    return L.run_draws(_lt(spark, sf_dir, "draws"), _balances(spark, sf_dir))
+
+
+def _drawn_pages(spark, sf_dir):
+    decisions, _ = _draws(spark, sf_dir)
+    pages = wiki_pages(spark, sf_dir).select("page_id")
+    n_pages = pages.count()
+    return L.draw_pages(decisions, L.rank_pages(pages, DRAW_SEED, n_pages), DRAW_SEED, n_pages)
+
+
+@query("ledger_balance")
+def q_ledger_balance(spark, sf_dir):
+    return _balances(spark, sf_dir).select("account_id", "balance")
+
+
+@query("catalog_upsert")
+def q_catalog_upsert(spark, sf_dir):
+    return _catalog(spark, sf_dir)
+
+
+@query("shop_listing")
+def q_shop_listing(spark, sf_dir):
+    return _shop(spark, sf_dir)
+
+
+@query("join_catalog")
+def q_join_catalog(spark, sf_dir):
+    return _catalog(spark, sf_dir).join(_shop(spark, sf_dir), "item_id").select("item_id", "item_name", "item_stat", "item_cost")
+
+
+@query("flt_item_status")
+def q_flt_item_status(spark, sf_dir):
+    return _catalog(spark, sf_dir).where(F.col("item_stat") != L.YANKED).select("item_id", "item_name")
+
+
+@query("ledger_purchase")
+def q_ledger_purchase(spark, sf_dir):
+    decisions, _ = _purchases(spark, sf_dir)
+    return decisions.select("request_id", "account_id", "item_id", "item_count", "status")
+
+
+@query("ledger_purchase_balance")
+def q_ledger_purchase_balance(spark, sf_dir):
+    _, profiles = _purchases(spark, sf_dir)
+    return profiles.select("account_id", "balance")
+
+
+@query("storage_upsert")
+def q_storage_upsert(spark, sf_dir):
+    decisions, _ = _purchases(spark, sf_dir)
+    return L.upsert_storage(_lt(spark, sf_dir, "storage"), decisions)
+
+
+@query("ledger_draw")
+def q_ledger_draw(spark, sf_dir):
+    decisions, _ = _draws(spark, sf_dir)
+    return decisions.select("request_id", "account_id", "amount", "status")
+
+
+@query("ledger_draw_pages")
+def q_ledger_draw_pages(spark, sf_dir):
+    return _drawn_pages(spark, sf_dir)
+
+
+@query("insert_ignore")
+def q_insert_ignore(spark, sf_dir):
+    drawn = _drawn_pages(spark, sf_dir).select("account_id", "page_id")
+    return L.insert_ignore(_lt(spark, sf_dir, "collection"), drawn, ["account_id", "page_id"])
+
+
+@query("ledger_relation")
+def q_ledger_relation(spark, sf_dir):
+    rel, _ = L.run_relations(_lt(spark, sf_dir, "relation_requests"), _lt(spark, sf_dir, "accounts"))
+    return rel
+
+
+@query("register_batch")
+def q_register_batch(spark, sf_dir):
+    return L.register(_lt(spark, sf_dir, "registrations"), _lt(spark, sf_dir, "existing_local"),
+                      _lt(spark, sf_dir, "existing_global"))
+
+
+@query("exists_lookup")
+def q_exists_lookup(spark, sf_dir):
+    return L.name_lookup(_lt(spark, sf_dir, "registrations"), _lt(spark, sf_dir, "existing_local"),
+                         _lt(spark, sf_dir, "existing_global"))
+
+
+@query("profile_defaults")
+def q_profile_defaults(spark, sf_dir):
+    return L.profile_defaults(_lt(spark, sf_dir, "accounts"), _lt(spark, sf_dir, "profiles"),
+                              _lt(spark, sf_dir, "intros"))
+
+
+@query("join_account")
+def q_join_account(spark, sf_dir):
+    return L.join_account(_lt(spark, sf_dir, "accounts"), _lt(spark, sf_dir, "uni_accounts")).select(
+        "account_id", "uni_id", "username", "acc_status", "mail", "uni_status")
+
+
+@query("flt_account_live")
+def q_flt_account_live(spark, sf_dir):
+    j = L.join_account(_lt(spark, sf_dir, "accounts"), _lt(spark, sf_dir, "uni_accounts"))
+    return L.live_accounts(j).select("account_id")
+
+
+@query("join_user_info")
+def q_join_user_info(spark, sf_dir):
+    j = L.join_user_info(_lt(spark, sf_dir, "accounts"), _lt(spark, sf_dir, "uni_accounts"),
+                         _lt(spark, sf_dir, "profiles"), _lt(spark, sf_dir, "intros"))
+    return j.select("account_id", "username", "mail", "balance", "pull_count", "ranks", "description")
+
+
+@query("user_info")
+def q_user_info(spark, sf_dir):
+    _, profiles = _draws(spark, sf_dir)
+    info = L.join_user_info(_lt(spark, sf_dir, "accounts"), _lt(spark, sf_dir, "uni_accounts"), profiles,
+                            _lt(spark, sf_dir, "intros"))
+    drawn = _drawn_pages(spark, sf_dir).select("account_id", "page_id")
+    coll = L.insert_ignore(_lt(spark, sf_dir, "collection"), drawn, ["account_id", "page_id"])
+    n = coll.groupBy("account_id").agg(F.count(F.lit(1)).alias("n_pages"))
+    return info.join(n, "account_id", "left").select(
+        "account_id", "username", "balance", "pull_count", F.coalesce("n_pages", F.lit(0)).alias("n_pages"))

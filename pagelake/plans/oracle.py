@@ -355,3 +355,154 @@ ORACLE["sink_category_index"] = _CG + """SELECT CAST(k.page_id AS VARCHAR) || '|
 FROM kept_pages k"""
 ORACLE["sink_category_list"] = _CG + "SELECT DISTINCT category FROM page_cats"
 ORACLE["sink_category_table"] = _CG + "SELECT DISTINCT page_id, unnest(cats) AS category FROM cat_lists"
+
+# ---------------------------------------------------------------- ledger jobs
+from pagelake.plans.views import LEDGER_SQL  # noqa: E402
+
+_NAME_OK = "(length({c}) <= 20 AND regexp_matches({c}, '^[a-zA-Z0-9_.-]*\\n?$'))"
+
+
+def ledger_ctes() -> str:
+    views = ",\n".join(f"{name} AS ({sql})" for name, sql in LEDGER_SQL.items())
+    return views + """,
+balances AS (
+  SELECT p.account_id, p.ranks, CAST(p.balance + coalesce(c.s, 0) AS BIGINT) AS balance, p.pull_count
+  FROM profiles p LEFT JOIN (SELECT account_id, sum(amount) AS s FROM credits GROUP BY account_id) c
+    ON c.account_id = p.account_id),
+adds AS (SELECT * FROM catalog_log WHERE op = 'add'),
+cat_init AS (
+  SELECT a.item_id, a.item_name, a.item_stat FROM adds a
+  WHERE NOT EXISTS (SELECT 1 FROM adds b WHERE b.item_name = a.item_name
+                    AND (b.seq < a.seq OR (b.seq = a.seq AND b.item_id < a.item_id)))),
+last_rename AS (
+  SELECT item_id, item_name FROM (
+    SELECT item_id, item_name, row_number() OVER (PARTITION BY item_id ORDER BY seq DESC) AS rn
+    FROM catalog_log WHERE op = 'rename') WHERE rn = 1),
+last_stat AS (
+  SELECT item_id, item_stat FROM (
+    SELECT item_id, item_stat, row_number() OVER (PARTITION BY item_id ORDER BY seq DESC) AS rn
+    FROM catalog_log WHERE op = 'status') WHERE rn = 1),
+cat AS (
+  SELECT c.item_id, coalesce(r.item_name, c.item_name) AS item_name, coalesce(s.item_stat, c.item_stat) AS item_stat
+  FROM cat_init c LEFT JOIN last_rename r ON r.item_id = c.item_id LEFT JOIN last_stat s ON s.item_id = c.item_id),
+shop_chk AS (
+  SELECT l.seq, l.op, coalesce(l.item_id, n.item_id) AS rid, l.item_cost, c.item_stat
+  FROM shop_log l LEFT JOIN cat_init n ON n.item_name = l.item_name
+  LEFT JOIN cat_init c ON c.item_id = coalesce(l.item_id, n.item_id)),
+shop_ok AS (SELECT * FROM shop_chk WHERE item_stat IS NOT NULL AND NOT (op = 'list' AND item_stat = 'yanked')),
+listed AS (SELECT rid, arg_max(item_cost, seq) AS item_cost, max(seq) AS list_seq FROM shop_ok WHERE op = 'list' GROUP BY rid),
+unlisted AS (SELECT rid, max(seq) AS unlist_seq FROM shop_ok WHERE op = 'unlist' GROUP BY rid),
+shop AS (
+  SELECT l.rid AS item_id, l.item_cost FROM listed l LEFT JOIN unlisted u ON u.rid = l.rid
+  WHERE u.unlist_seq IS NULL OR u.unlist_seq < l.list_seq),
+p_checked AS (
+  SELECT q.request_id, q.account_id, q.item_id, q.item_count,
+    CASE WHEN b.account_id IS NULL THEN 'invalid name' WHEN o.item_id IS NULL THEN 'invalid id'
+         WHEN o.item_stat = 'yanked' THEN 'bad status' WHEN q.item_count <= 0 THEN 'invalid count' END AS status,
+    o.item_cost * q.item_count AS cost
+  FROM purchases q LEFT JOIN balances b ON b.account_id = q.account_id
+  LEFT JOIN (SELECT c.item_id, c.item_stat, s.item_cost FROM cat c JOIN shop s ON s.item_id = c.item_id) o
+    ON o.item_id = q.item_id),
+p_valid AS (
+  SELECT account_id, request_id, cost, row_number() OVER (PARTITION BY account_id ORDER BY request_id) AS rn
+  FROM p_checked WHERE status IS NULL),
+p_fold(account_id, rn, bal, ok) AS (
+  SELECT v.account_id, v.rn, CASE WHEN v.cost <= b.balance THEN b.balance - v.cost ELSE b.balance END, v.cost <= b.balance
+  FROM p_valid v JOIN balances b ON b.account_id = v.account_id WHERE v.rn = 1
+  UNION ALL
+  SELECT v.account_id, v.rn, CASE WHEN v.cost <= f.bal THEN f.bal - v.cost ELSE f.bal END, v.cost <= f.bal
+  FROM p_fold f JOIN p_valid v ON v.account_id = f.account_id AND v.rn = f.rn + 1),
+p_result AS (
+  SELECT c.request_id, c.account_id, c.item_id, c.item_count, c.cost,
+    coalesce(c.status, CASE WHEN f.ok THEN 'ok' ELSE 'insufficient balance' END) AS status
+  FROM p_checked c LEFT JOIN p_valid v ON v.request_id = c.request_id
+  LEFT JOIN p_fold f ON f.account_id = v.account_id AND f.rn = v.rn),
+d_checked AS (
+  SELECT q.request_id, q.account_id, q.amount,
+    CASE WHEN b.account_id IS NULL THEN 'invalid name' WHEN q.amount <= 0 THEN 'invalid count' END AS status
+  FROM draws q LEFT JOIN balances b ON b.account_id = q.account_id),
+d_valid AS (
+  SELECT account_id, request_id, amount, row_number() OVER (PARTITION BY account_id ORDER BY request_id) AS rn
+  FROM d_checked WHERE status IS NULL),
+d_fold(account_id, rn, bal, ok) AS (
+  SELECT v.account_id, v.rn, CASE WHEN v.amount <= b.balance THEN b.balance - v.amount ELSE b.balance END, v.amount <= b.balance
+  FROM d_valid v JOIN balances b ON b.account_id = v.account_id WHERE v.rn = 1
+  UNION ALL
+  SELECT v.account_id, v.rn, CASE WHEN v.amount <= f.bal THEN f.bal - v.amount ELSE f.bal END, v.amount <= f.bal
+  FROM d_fold f JOIN d_valid v ON v.account_id = f.account_id AND v.rn = f.rn + 1),
+d_result AS (
+  SELECT c.request_id, c.account_id, c.amount,
+    coalesce(c.status, CASE WHEN f.ok THEN 'ok' ELSE 'insufficient balance' END) AS status
+  FROM d_checked c LEFT JOIN d_valid v ON v.request_id = c.request_id
+  LEFT JOIN d_fold f ON f.account_id = v.account_id AND f.rn = v.rn),
+n_pages AS (SELECT count(*) AS n FROM wiki_pages),
+ranked AS (
+  SELECT page_id, row_number() OVER (ORDER BY substr(md5('draw42:' || CAST(page_id AS VARCHAR)), 1, 15), page_id) - 1 AS rnk
+  FROM wiki_pages),
+d_pages AS (
+  SELECT w.request_id, w.account_id, r.page_id FROM (
+    SELECT d.request_id, d.account_id,
+      (('0x' || substr(md5('draw42:r:' || CAST(d.request_id AS VARCHAR)), 1, 15))::BIGINT % (SELECT n FROM n_pages)
+        + unnest(range(least(d.amount, (SELECT n FROM n_pages))))) % (SELECT n FROM n_pages) AS rnk
+    FROM d_result d WHERE d.status = 'ok') w JOIN ranked r ON r.rnk = w.rnk),
+coll_after AS (SELECT account_id, page_id FROM collection UNION SELECT account_id, page_id FROM d_pages),
+d_profiles AS (
+  SELECT b.account_id, b.ranks,
+    CAST(b.balance - coalesce(s.spent, 0) AS BIGINT) AS balance, CAST(b.pull_count + coalesce(s.spent, 0) AS BIGINT) AS pull_count
+  FROM balances b LEFT JOIN (SELECT account_id, sum(amount) AS spent FROM d_result WHERE status = 'ok' GROUP BY 1) s
+    ON s.account_id = b.account_id)
+"""
+
+
+_LG = "WITH RECURSIVE " + with_(wiki_cte(), ledger_ctes())[len("WITH "):]
+ORACLE["ledger_balance"] = _LG + "SELECT account_id, balance FROM balances"
+ORACLE["catalog_upsert"] = _LG + "SELECT item_id, item_name, item_stat FROM cat"
+ORACLE["shop_listing"] = _LG + "SELECT item_id, item_cost FROM shop"
+ORACLE["join_catalog"] = _LG + "SELECT c.item_id, c.item_name, c.item_stat, s.item_cost FROM cat c JOIN shop s ON s.item_id = c.item_id"
+ORACLE["flt_item_status"] = _LG + "SELECT item_id, item_name FROM cat WHERE item_stat <> 'yanked'"
+ORACLE["ledger_purchase"] = _LG + "SELECT request_id, account_id, item_id, item_count, status FROM p_result"
+ORACLE["ledger_purchase_balance"] = _LG + """SELECT b.account_id, CAST(b.balance - coalesce(s.spent, 0) AS BIGINT) AS balance
+FROM balances b LEFT JOIN (SELECT account_id, sum(cost) AS spent FROM p_result WHERE status = 'ok' GROUP BY 1) s
+  ON s.account_id = b.account_id"""
+ORACLE["storage_upsert"] = _LG + """SELECT account_id, item_id, CAST(sum(item_count) AS BIGINT) AS item_count FROM (
+  SELECT account_id, item_id, item_count FROM storage
+  UNION ALL SELECT account_id, item_id, item_count FROM p_result WHERE status = 'ok') GROUP BY account_id, item_id"""
+ORACLE["ledger_draw"] = _LG + "SELECT request_id, account_id, amount, status FROM d_result"
+ORACLE["ledger_draw_pages"] = _LG + "SELECT request_id, account_id, page_id FROM d_pages"
+ORACLE["insert_ignore"] = _LG + "SELECT account_id, page_id FROM coll_after"
+ORACLE["ledger_relation"] = _LG + """, rel_res AS (
+  SELECT r.request_id, a.account_id AS src_id, b.account_id AS dst_id FROM relation_requests r
+  LEFT JOIN accounts a ON a.username = r.src_name LEFT JOIN accounts b ON b.username = r.dst_name),
+rel_good AS (
+  SELECT request_id, least(src_id, dst_id) AS id0, greatest(src_id, dst_id) AS id1, src_id < dst_id AS src_0
+  FROM rel_res WHERE src_id IS NOT NULL AND dst_id IS NOT NULL)
+SELECT id0, id1, src_0, 'pending' AS status, request_id FROM (
+  SELECT *, row_number() OVER (PARTITION BY id0, id1 ORDER BY request_id) AS rn FROM rel_good) WHERE rn = 1"""
+_REG_VALID = (_NAME_OK.format(c="r.username") + " AND " + _NAME_OK.format(c="r.display_name") +
+              " AND length(r.mail) <= 50 AND regexp_full_match(r.mail, '\\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Z|a-z]{2,7}\\b')"
+              " AND (r.phone IS NULL OR (length(r.phone) <= 16 AND regexp_full_match(r.phone, '\\+[0-9]*')))")
+ORACLE["register_batch"] = _LG + f""", reg AS (
+  SELECT r.req_id, r.username,
+    CASE WHEN NOT ({_REG_VALID}) THEN 'invalid'
+         WHEN r.username IN (SELECT username FROM existing_local) THEN 'wiky_acc_exist'
+         WHEN r.req_id <> (SELECT min(r2.req_id) FROM registrations r2 WHERE r2.username = r.username) THEN 'duplicate'
+         ELSE 'ok' END AS status
+  FROM registrations r)
+SELECT req_id, username, status, (status = 'ok' AND username IN (SELECT username FROM existing_global)) AS uni_reused FROM reg"""
+ORACLE["exists_lookup"] = _LG + """SELECT req_id, username,
+  username IN (SELECT username FROM existing_local) AS local_taken,
+  username IN (SELECT username FROM existing_global) AS global_known FROM registrations"""
+ORACLE["profile_defaults"] = _LG + """SELECT a.account_id, coalesce(p.ranks, 0) AS ranks, coalesce(p.balance, 0) AS balance,
+  coalesce(p.pull_count, 0) AS pull_count, p.account_id IS NULL AS created, coalesce(i.description, '') AS description
+FROM accounts a LEFT JOIN profiles p ON p.account_id = a.account_id LEFT JOIN intros i ON i.account_id = a.account_id"""
+ORACLE["join_account"] = _LG + """SELECT a.account_id, a.uni_id, a.username, a.acc_status, u.mail, u.uni_status
+FROM accounts a JOIN uni_accounts u ON u.uni_id = a.uni_id"""
+ORACLE["flt_account_live"] = _LG + """SELECT a.account_id FROM accounts a JOIN uni_accounts u ON u.uni_id = a.uni_id
+WHERE a.acc_status = 'live' AND u.uni_status = 'live'"""
+ORACLE["join_user_info"] = _LG + """SELECT a.account_id, a.username, u.mail, p.balance, p.pull_count, p.ranks, i.description
+FROM accounts a JOIN uni_accounts u ON u.uni_id = a.uni_id JOIN profiles p ON p.account_id = a.account_id
+JOIN intros i ON i.account_id = a.account_id"""
+ORACLE["user_info"] = _LG + """SELECT a.account_id, a.username, p.balance, p.pull_count,
+  CAST(coalesce((SELECT count(*) FROM coll_after c WHERE c.account_id = a.account_id), 0) AS BIGINT) AS n_pages
+FROM accounts a JOIN uni_accounts u ON u.uni_id = a.uni_id JOIN d_profiles p ON p.account_id = a.account_id
+JOIN intros i ON i.account_id = a.account_id"""

@@ -117,3 +117,106 @@ def dump_index_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     streams = dump_streams(spark, sf_dir).select("stream", "offset")
     joined = wp.join(streams, F.floor(wp.page_id / PAGES_PER_STREAM).cast("bigint") == streams.stream)
     return joined.select(F.concat_ws(":", "offset", "page_id", "title").alias("value"))
+
+
+# ---------------------------------------------------------------- ledger world
+# Account, catalog and request tables derived from customer, part and events.
+# Each SQL text runs unchanged in Spark and in the DuckDB oracle.
+LEDGER_SQL = {
+    # local (service) accounts
+    "accounts": """
+SELECT c_custkey AS account_id, c_custkey AS uni_id, lower(replace(c_name, '#', '_')) AS username,
+  replace(c_name, '#', '_') AS display_name,
+  CASE WHEN c_custkey % 11 = 5 THEN 'hold' ELSE 'live' END AS acc_status
+FROM customer""",
+    # global accounts
+    "uni_accounts": """
+SELECT c_custkey AS uni_id, lower(replace(c_name, '#', '_')) AS username,
+  concat('u', CAST(c_custkey AS STRING), '@example.com') AS mail,
+  CASE WHEN c_custkey % 13 = 6 THEN 'pending' ELSE 'live' END AS uni_status
+FROM customer""",
+    # profiles exist for three accounts in four
+    "profiles": """
+SELECT c_custkey AS account_id, CAST(0 AS BIGINT) AS ranks, CAST(0 AS BIGINT) AS balance,
+  CAST(0 AS BIGINT) AS pull_count
+FROM customer WHERE c_custkey % 4 <> 3""",
+    "intros": """
+SELECT c_custkey AS account_id, concat('intro ', lower(c_mktsegment)) AS description
+FROM customer WHERE c_custkey % 4 <> 3""",
+    # balance credits: signup events
+    "credits": """
+SELECT event_id AS request_id, user_id AS account_id, CAST(floor(value) AS BIGINT) AS amount
+FROM events WHERE event_type = 'signup'""",
+    # purchase requests, by item id
+    "purchases": """
+SELECT event_id AS request_id, user_id AS account_id,
+  event_id % (SELECT count(*) FROM part) AS item_id, CAST(1 + event_id % 3 AS BIGINT) AS item_count
+FROM events WHERE event_type = 'purchase'""",
+    # draw requests: view events draw 1..5 pages
+    "draws": """
+SELECT event_id AS request_id, user_id AS account_id, CAST(1 + event_id % 5 AS BIGINT) AS amount
+FROM events WHERE event_type = 'view'""",
+    # pages already collected before the draws
+    "collection": """
+SELECT DISTINCT user_id AS account_id, (event_id * 13) % (SELECT count(*) FROM documents) AS page_id
+FROM events WHERE event_type = 'click'""",
+    # items already stored before the purchases
+    "storage": """
+SELECT user_id AS account_id, event_id % (SELECT count(*) FROM part) AS item_id, CAST(count(*) AS BIGINT) AS item_count
+FROM events WHERE event_type = 'error' GROUP BY 1, 2""",
+    # relation requests: error events ask another (sometimes unknown) account
+    "relation_requests": """
+SELECT e.event_id AS request_id, a.username AS src_name,
+  coalesce(b.username, concat('ghost_', CAST((e.user_id * 31 + e.event_id) % ((SELECT count(*) FROM customer) + 50) AS STRING))) AS dst_name
+FROM events e JOIN (SELECT c_custkey, lower(replace(c_name, '#', '_')) AS username FROM customer) a ON a.c_custkey = e.user_id
+LEFT JOIN (SELECT c_custkey, lower(replace(c_name, '#', '_')) AS username FROM customer) b
+  ON b.c_custkey = (e.user_id * 31 + e.event_id) % ((SELECT count(*) FROM customer) + 50)
+WHERE e.event_type = 'error'""",
+    # catalog change log: adds, duplicate-name adds, yanks, renames
+    "catalog_log": """
+SELECT CAST(0 AS BIGINT) AS seq, 'add' AS op, p_partkey AS item_id, concat(p_name, '#', CAST(p_partkey AS STRING)) AS item_name,
+  'live' AS item_stat FROM part
+UNION ALL
+SELECT CAST(1 AS BIGINT), 'add', p_partkey + 1000000, concat(p_name, '#', CAST(p_partkey AS STRING)), 'live'
+FROM part WHERE p_partkey % 25 = 0
+UNION ALL
+SELECT CAST(2 AS BIGINT), 'status', p_partkey, CAST(NULL AS STRING), 'yanked' FROM part WHERE p_size % 7 = 0
+UNION ALL
+SELECT CAST(3 AS BIGINT), 'rename', p_partkey, concat(p_brand, '#', CAST(p_partkey AS STRING)), CAST(NULL AS STRING)
+FROM part WHERE p_partkey % 10 = 3""",
+    # shop requests: list every item at its size as cost; unlist some by id and some by name
+    "shop_log": """
+SELECT CAST(0 AS BIGINT) AS seq, 'list' AS op, p_partkey AS item_id, CAST(NULL AS STRING) AS item_name,
+  CAST(p_size AS BIGINT) AS item_cost FROM part
+UNION ALL
+SELECT CAST(1 AS BIGINT), 'unlist', p_partkey, CAST(NULL AS STRING), CAST(NULL AS BIGINT) FROM part WHERE p_partkey % 50 = 49
+UNION ALL
+SELECT CAST(1 AS BIGINT), 'unlist', CAST(NULL AS BIGINT), concat(p_name, '#', CAST(p_partkey AS STRING)), CAST(NULL AS BIGINT)
+FROM part WHERE p_partkey % 50 = 48""",
+    # registration requests from customer-derived fields
+    "registrations": """
+SELECT c_custkey AS req_id, lower(CASE c_custkey % 4 WHEN 0 THEN c_name WHEN 1 THEN replace(c_name, '#', '_')
+   WHEN 2 THEN replace(c_name, '#', '.') ELSE concat(replace(c_name, '#', '-'), '-', c_mktsegment) END) AS username,
+  replace(c_name, '#', '_') AS display_name,
+  CASE c_custkey % 5 WHEN 1 THEN concat(c_name, '@example.com') WHEN 3 THEN concat('u', CAST(c_custkey AS STRING), '@gm@a.com')
+    ELSE concat('u', CAST(c_custkey AS STRING), '@example.com') END AS mail,
+  CASE WHEN c_custkey % 2 = 0 THEN concat('+', CAST(c_custkey * 7919 AS STRING)) END AS phone
+FROM customer""",
+    # accounts that already exist locally / globally before the registrations
+    "existing_local": "SELECT username FROM (SELECT c_custkey, lower(replace(c_name, '#', '_')) AS username FROM customer) WHERE c_custkey % 3 = 0",
+    "existing_global": """SELECT c_custkey AS uni_id, lower(replace(c_name, '#', '_')) AS username FROM customer
+WHERE c_custkey % 5 <> 0""",
+}
+LEDGER_TABLES = {
+    "accounts": ["customer"], "uni_accounts": ["customer"], "profiles": ["customer"], "intros": ["customer"],
+    "credits": ["events"], "purchases": ["events", "part"], "draws": ["events"],
+    "collection": ["events", "documents"], "storage": ["events", "part"],
+    "relation_requests": ["events", "customer"], "catalog_log": ["part"], "shop_log": ["part"],
+    "registrations": ["customer"], "existing_local": ["customer"], "existing_global": ["customer"],
+}
+
+
+def ledger(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One derived ledger table, over the whole driver tables it reads."""
+    register_tables(spark, sf_dir, LEDGER_TABLES[name])
+    return spark.sql(LEDGER_SQL[name])
