@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagelake.operators.sampling import sample_key
+from pagelake.session import cut_lineage
 
 # --- fixed values: result codes of the reference's actions
 OK = "ok"
@@ -98,8 +99,9 @@ def ordered_fold(requests: DataFrame, balances: DataFrame) -> DataFrame:
     first_bad = d.where(F.col("cum") > F.col("balance")).groupBy("account_id").agg(
         F.min_by(F.struct("request_id", (F.col("balance") - F.col("cum") + F.col("cost")).alias("rem")),
                  "request_id").alias("fb"))
-    d = d.join(first_bad.select("account_id", F.col("fb.request_id").alias("k"), F.col("fb.rem").alias("rem")),
-               "account_id", "left")
+    # one materialised frame feeds the three branches below (no re-evaluation)
+    d = cut_lineage(d.join(first_bad.select("account_id", F.col("fb.request_id").alias("k"),
+                                            F.col("fb.rem").alias("rem")), "account_id", "left"))
     fast = d.where(F.col("k").isNull() | (F.col("request_id") < F.col("k"))).select(
         "request_id", "account_id", "cost", F.lit(True).alias("ok"))
     rest = d.where(F.col("request_id") >= F.col("k"))
@@ -110,7 +112,7 @@ def ordered_fold(requests: DataFrame, balances: DataFrame) -> DataFrame:
                       .sortWithinPartitions("account_id", "request_id")
                       .mapInPandas(_fold_partition, "request_id bigint, ok boolean"))
     folded = folded.join(foldable.select("request_id", "account_id", "cost"), "request_id")
-    return fast.unionByName(too_big).unionByName(folded.select("request_id", "account_id", "cost", "ok"))
+    return cut_lineage(fast.unionByName(too_big).unionByName(folded.select("request_id", "account_id", "cost", "ok")))
 
 
 def settle(profiles: DataFrame, decided: DataFrame) -> DataFrame:
@@ -190,7 +192,8 @@ def purchase_checks(requests: DataFrame, profiles: DataFrame, catalog: DataFrame
 
 def run_purchases(requests: DataFrame, profiles: DataFrame, catalog: DataFrame, shop: DataFrame):
     """Returns ``(decisions(request_id, account_id, item_id, item_count, cost, status), new profiles)``."""
-    checked = purchase_checks(requests, profiles, catalog, shop)
+    profiles = cut_lineage(profiles)
+    checked = cut_lineage(purchase_checks(requests, profiles, catalog, shop))
     open_ = checked.where(F.col("status").isNull())
     decided = ordered_fold(open_.select("account_id", "request_id", "cost"), profiles)
     settled = open_.drop("status").join(decided.select("request_id", "ok"), "request_id").select(
@@ -212,10 +215,11 @@ def run_draws(requests: DataFrame, profiles: DataFrame):
 
     ``pull_count`` grows by the amount drawn (the reference never updated it).
     """
+    profiles = cut_lineage(profiles)
     r = requests.join(profiles.select("account_id", F.lit(True).alias("has_profile")), "account_id", "left")
     status = (F.when(F.col("has_profile").isNull(), F.lit(INVALID_NAME))
                .when(F.col("amount") <= 0, F.lit(INVALID_COUNT)))
-    checked = r.select("request_id", "account_id", "amount", status.alias("status"))
+    checked = cut_lineage(r.select("request_id", "account_id", "amount", status.alias("status")))
     open_ = checked.where(F.col("status").isNull())
     decided = ordered_fold(open_.select("account_id", "request_id", F.col("amount").alias("cost")), profiles)
     settled = open_.drop("status").join(decided.select("request_id", "ok"), "request_id").select(

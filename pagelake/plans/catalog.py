@@ -629,3 +629,75 @@ def q_user_info(spark, sf_dir):
     n = coll.groupBy("account_id").agg(F.count(F.lit(1)).alias("n_pages"))
     return info.join(n, "account_id", "left").select(
         "account_id", "username", "balance", "pull_count", F.coalesce("n_pages", F.lit(0)).alias("n_pages"))
+
+
+# ---------------------------------------------------------------- history, site info, stores
+from pagelake.sources import dump as D  # noqa: E402
+from pagelake.sources import sinks as S  # noqa: E402
+
+
+def _history(spark, sf_dir):
+    recs = VW.history_records(spark, sf_dir)
+    parsed = recs.select(F.from_xml("record", VW_PAGE_DDL(), X.XML_OPTIONS).alias("p"))
+    revs = F.transform("p.revision", lambda r: F.struct(
+        r["id"].alias("id"), D.rfc3339_to_timestamp(r["timestamp"]).alias("timestamp"),
+        r["text"]["_bytes"].alias("bytes")))
+    return parsed.select(F.col("p.id").alias("page_id"), F.col("p.redirect._title").alias("redirect_title"),
+                         revs.alias("revision"))
+
+
+def VW_PAGE_DDL():
+    from pagelake.schemas import PAGE_SCHEMA_DDL
+    return PAGE_SCHEMA_DDL
+
+
+@query("src_history")
+def q_src_history(spark, sf_dir):
+    h = _history(spark, sf_dir)
+    return h.select("page_id", F.posexplode("revision").alias("rev_pos", "r")).select(
+        "page_id", (F.col("rev_pos") + 1).cast("bigint").alias("rev_pos"), F.col("r.id").alias("rev_id"),
+        F.unix_seconds("r.timestamp").alias("epoch"), F.col("r.bytes").alias("bytes"))
+
+
+@query("revision_count")
+def q_revision_count(spark, sf_dir):
+    return _history(spark, sf_dir).select("page_id", F.size("revision").cast("bigint").alias("revi_count"))
+
+
+@query("sink_history")
+def q_sink_history(spark, sf_dir):
+    path = _scratch(spark, "history")
+    S.write_history(_history(spark, sf_dir), path)
+    return spark.read.text(path)
+
+
+@query("rfc3339_epoch")
+def q_rfc3339_epoch(spark, sf_dir):
+    orders = VW.table(spark, sf_dir, "orders")
+    txt = F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    return orders.select("o_orderkey", txt.alias("ts_text"), D.rfc3339_epoch(txt).alias("epoch"))
+
+
+@query("src_site_info")
+def q_src_site_info(spark, sf_dir):
+    VW.register_tables(spark, sf_dir, ["documents"])
+    heads = spark.sql(VW.SITE_HEADER_SQL)
+    first = heads.join(_records(spark, sf_dir).withColumnRenamed("page_id", "first_doc"), "first_doc")
+    return first.select("source", D.site_info_text(F.concat("header", "record")).alias("site_info"))
+
+
+@query("sink_page_store")
+def q_sink_page_store(spark, sf_dir):
+    path = _scratch(spark, "page_store")
+    S.write_page_store(wiki_pages(spark, sf_dir), path)
+    return spark.read.parquet(path).select("page_id", "title", "redirect_title", "text")
+
+
+@query("sink_page_index_table")
+def q_sink_page_index_table(spark, sf_dir):
+    path = _scratch(spark, "page_index")
+    rows = _page_index(spark, sf_dir).select(
+        "page_id", "chunk_st", "link_count", "sect_count", F.lit(1).cast("bigint").alias("revi_count"),
+        "page_type", "page_title")
+    S.write_table(rows, path)
+    return spark.read.parquet(path)

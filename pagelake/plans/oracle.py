@@ -506,3 +506,28 @@ ORACLE["user_info"] = _LG + """SELECT a.account_id, a.username, p.balance, p.pul
   CAST(coalesce((SELECT count(*) FROM coll_after c WHERE c.account_id = a.account_id), 0) AS BIGINT) AS n_pages
 FROM accounts a JOIN uni_accounts u ON u.uni_id = a.uni_id JOIN d_profiles p ON p.account_id = a.account_id
 JOIN intros i ON i.account_id = a.account_id"""
+
+# ---------------------------------------------------------------- history, site info, stores
+from pagelake.plans.views import SITE_HEADER_SQL  # noqa: E402
+
+_HIST = """hist AS (
+  SELECT o_custkey AS page_id, o_orderkey AS rev_id, CAST(epoch(o_orderdate) AS BIGINT) AS epoch,
+    CAST(floor(o_totalprice) AS BIGINT) AS bytes,
+    CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS BIGINT) AS rev_pos
+  FROM orders)"""
+ORACLE["src_history"] = with_(_HIST) + "SELECT page_id, rev_pos, rev_id, epoch, bytes FROM hist"
+ORACLE["revision_count"] = with_(_HIST) + "SELECT page_id, CAST(count(*) AS BIGINT) AS revi_count FROM hist GROUP BY page_id"
+ORACLE["sink_history"] = with_(_HIST) + """SELECT CAST(page_id AS VARCHAR) || ',' ||
+  string_agg(CAST(epoch AS VARCHAR) || '-' || CAST(bytes AS VARCHAR), ',' ORDER BY rev_pos) AS value
+FROM hist WHERE page_id % 9 <> 4 GROUP BY page_id"""
+ORACLE["rfc3339_epoch"] = """SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') AS ts_text,
+  CAST(epoch(o_orderdate) AS BIGINT) AS epoch FROM orders"""
+ORACLE["src_site_info"] = f"""WITH heads AS ({SITE_HEADER_SQL})
+SELECT source, trim(header, {_WS}) AS site_info FROM heads"""
+ORACLE["sink_page_store"] = with_(wiki_cte()) + "SELECT page_id, title, redirect_title, text FROM wiki_pages"
+ORACLE["sink_page_index_table"] = _IX.rstrip() + f""",
+typed AS (SELECT page_id, title, {_PAGE_TYPE_SQL} AS page_type,
+  CAST(coalesce(len(regexp_extract_all(text, {_q(LINK_PATTERN)})), 0) AS BIGINT) AS link_count,
+  CAST(coalesce(len(regexp_extract_all(text, {_q(SECTION_PATTERN)})), 0) AS BIGINT) AS sect_count FROM wiki_pages)
+SELECT c.page_id, c.st AS chunk_st, t.link_count, t.sect_count, CAST(1 AS BIGINT) AS revi_count, t.page_type,
+  t.title AS page_title FROM crows c JOIN typed t ON t.page_id = c.page_id"""

@@ -220,3 +220,35 @@ def ledger(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One derived ledger table, over the whole driver tables it reads."""
     register_tables(spark, sf_dir, LEDGER_TABLES[name])
     return spark.sql(LEDGER_SQL[name])
+
+
+# ---------------------------------------------------------------- history dump derived from orders
+# page = customer, revision = order (timestamp = order date, bytes = floor(total price)),
+# ordered by date then order key; pages with o_custkey % 9 = 4 are redirects.
+def history_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``page_id, record``: one history ``<page>`` record per customer with orders."""
+    from pyspark.sql import functions as F
+    orders = table(spark, sf_dir, "orders")
+    revs = orders.groupBy(F.col("o_custkey").alias("page_id")).agg(F.array_sort(F.collect_list(F.struct(
+        "o_orderdate", "o_orderkey", F.floor("o_totalprice").cast("bigint").alias("bytes")))).alias("revs"))
+    ts_fmt = "yyyy-MM-dd'T'HH:mm:ss'Z'"
+    rev_xml = F.array_join(F.transform("revs", lambda r: F.concat(
+        F.lit("<revision><id>"), r["o_orderkey"].cast("string"), F.lit("</id><timestamp>"),
+        F.date_format(r["o_orderdate"], ts_fmt), F.lit('</timestamp><text bytes="'), r["bytes"].cast("string"),
+        F.lit('" /></revision>'))), "")
+    redirect = F.when(F.col("page_id") % 9 == 4, F.concat(F.lit('<redirect title="K'), F.col("page_id").cast("string"),
+                                                         F.lit('" />')))
+    rec = F.concat(F.lit("<page><title>K"), F.col("page_id").cast("string"), F.lit("</title><ns>0</ns><id>"),
+                   F.col("page_id").cast("string"), F.lit("</id>"), F.coalesce(redirect, F.lit("")), rev_xml,
+                   F.lit("</page>"))
+    return revs.select("page_id", rec.alias("record"))
+
+
+SITE_HEADER_SQL = """
+SELECT d.source,
+  concat('<mediawiki xml:lang="', d.lang, '">', chr(10), '  <siteinfo>', chr(10), '    <sitename>', d.source,
+         '</sitename>', chr(10), '    <dbname>', d.source, 'wiki</dbname>', chr(10), '  </siteinfo>', chr(10)) AS header,
+  d.doc_id AS first_doc
+FROM documents d JOIN (SELECT source, min(doc_id) AS first_doc FROM documents GROUP BY source) f
+  ON f.source = d.source AND f.first_doc = d.doc_id
+"""

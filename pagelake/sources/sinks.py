@@ -22,3 +22,29 @@ def write_chunk_table(rows: DataFrame, path: str) -> None:
 def write_table(df: DataFrame, path: str, compression: str = "zstd") -> None:
     """Atomic overwrite of a Parquet table."""
     df.write.mode("overwrite").option("compression", compression).parquet(path)
+
+
+def write_page_store(pages: DataFrame, path: str, key: str = "page_id", compression: str = "zstd",
+                     max_records_per_file: int = 200_000) -> None:
+    """Page-addressable store: range-partitioned and sorted by ``key``, zstd Parquet.
+
+    Row-group min/max statistics on the sorted key replace the byte-offset
+    index: a point lookup on ``key`` is a pushed filter that skips all other
+    row groups.
+    """
+    n = max(1, pages.sparkSession.sparkContext.defaultParallelism)
+    (pages.repartitionByRange(n, key).sortWithinPartitions(key)
+          .write.mode("overwrite").option("compression", compression)
+          .option("maxRecordsPerFile", max_records_per_file).parquet(path))
+
+
+def history_lines(history: DataFrame) -> DataFrame:
+    """``page_id,epoch-bytes,epoch-bytes,...`` for non-redirect pages."""
+    revs = F.transform("revision", lambda r: F.concat(F.unix_seconds(r["timestamp"]).cast("string"), F.lit("-"),
+                                                      r["bytes"].cast("string")))
+    return history.where(F.col("redirect_title").isNull()).select(
+        F.concat_ws(",", F.col("page_id").cast("string"), revs).alias("value"))
+
+
+def write_history(history: DataFrame, path: str) -> None:
+    write_lines(history_lines(history), path)
