@@ -110,34 +110,44 @@ def _merge_spans(spans: Column) -> Column:
     return F.aggregate(F.array_sort(spans), F.array().cast(_SPAN), step)
 
 
-def mask_markup(df: DataFrame, text_col: str, out_col: str = "masked",
-                patterns=None) -> DataFrame:
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and pass it to ``body`` (a one-element ``transform``).
+
+    Column expressions referenced several times would otherwise be inlined
+    into every reference by the optimizer and recomputed.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def masked_text(text) -> Column:
+    """The text with the union of all markup spans blanked byte for byte (see ``mask_markup``)."""
+    t = _as_col(text)
+    span_lists = [_pattern_spans(t, lit, pat) for lit, pat in MASK_PATTERNS]
+    all_spans = F.concat(*span_lists)
+    spans = F.when(F.instr(t, "<") > 0, _merge_spans(all_spans)).otherwise(F.array().cast(_SPAN))
+
+    def rebuild(m, b):
+        def piece(sp, i):
+            prev = F.when(i == 0, F.lit(0)).otherwise(F.element_at(m, i)["e"])
+            keep = F.decode(b.substr(prev + 1, sp["s"] - prev), "UTF-8")
+            return F.concat(keep, F.repeat(F.lit(" "), sp["e"] - sp["s"]))
+
+        last_end = F.coalesce(F.element_at(m, -1)["e"], F.lit(0))
+        tail = F.decode(b.substr(last_end + 1, F.octet_length(b) - last_end), "UTF-8")
+        return F.concat(F.array_join(F.transform(m, piece), ""), tail)
+
+    return let(spans, lambda m: F.when(F.size(m) == 0, t).otherwise(
+        let(F.encode(t, "UTF-8"), lambda b: rebuild(m, b))))
+
+
+def mask_markup(df: DataFrame, text_col: str, out_col: str = "masked") -> DataFrame:
     """Blank (byte for byte, with spaces) the union of all markup spans.
 
     All spans are found on the original text, then merged, then blanked, so a
     comment that opens inside ``<nowiki>`` and a ``<nowiki>`` that opens inside
     a comment are both honoured.  Pages without ``<`` pass through untouched.
     """
-    patterns = MASK_PATTERNS if patterns is None else patterns
-    t = F.col(text_col)
-    span_lists = [_pattern_spans(t, lit, pat) for lit, pat in patterns]
-    all_spans = F.concat(*span_lists) if len(span_lists) > 1 else span_lists[0]
-    tmp_b, tmp_m = f"__{out_col}_bytes", f"__{out_col}_spans"
-    out = (df.withColumn(tmp_b, F.encode(t, "UTF-8"))
-             .withColumn(tmp_m, F.when(F.instr(t, "<") > 0, _merge_spans(all_spans))
-                                 .otherwise(F.array().cast(_SPAN))))
-    b, m = F.col(tmp_b), F.col(tmp_m)
-
-    def piece(sp, i):
-        prev = F.when(i == 0, F.lit(0)).otherwise(F.element_at(m, i)["e"])
-        keep = F.decode(b.substr(prev + 1, sp["s"] - prev), "UTF-8")
-        return F.concat(keep, F.repeat(F.lit(" "), sp["e"] - sp["s"]))
-
-    last_end = F.coalesce(F.element_at(m, -1)["e"], F.lit(0))
-    tail = F.decode(b.substr(last_end + 1, F.octet_length(b) - last_end), "UTF-8")
-    masked = F.when(F.size(m) == 0, t).otherwise(
-        F.concat(F.array_join(F.transform(m, piece), ""), tail))
-    return out.withColumn(out_col, masked).drop(tmp_b, tmp_m)
+    return df.withColumn(out_col, masked_text(text_col))
 
 
 def extract_categories(c) -> Column:
@@ -162,6 +172,16 @@ XML_BAD_RANGES += [(plane * 0x10000 + 0xFFFE, plane * 0x10000 + 0xFFFF) for plan
 XML_BAD_CLASS = "[" + "".join(f"\\x{{{lo:X}}}-\\x{{{hi:X}}}" for lo, hi in XML_BAD_RANGES) + "]"
 
 
+def numbered(arr, pos_name: str, value_name: str) -> Column:
+    """Generator of ``(pos, value)`` rows (1-based) for a computed array.
+
+    ``inline(transform(...))`` evaluates the array expression once per row;
+    ``posexplode`` over a computed array measured ~3.5x slower here.
+    """
+    return F.inline(F.transform(_as_col(arr), lambda x, i: F.struct(
+        (i + 1).cast("bigint").alias(pos_name), x.alias(value_name))))
+
+
 def xml_scrub(c, replacement: str = "") -> Column:
     """Replace every character XML does not allow with ``replacement``."""
     return F.regexp_replace(_as_col(c), XML_BAD_CLASS, replacement)

@@ -41,9 +41,7 @@ def page_categories(pages: DataFrame) -> DataFrame:
 
 def explode_categories(cat_pages: DataFrame) -> DataFrame:
     """One row per (page, position, category); positions are 1-based."""
-    return cat_pages.select(
-        "page_id", F.posexplode("cats").alias("cat_pos", "category")
-    ).withColumn("cat_pos", (F.col("cat_pos") + 1).cast("bigint"))
+    return cat_pages.select("page_id", T.numbered("cats", "cat_pos", "category"))
 
 
 def category_list(cat_pages: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pagelake.functions import text as T
 from pagelake.operators import pages as P
 from pagelake.plans.views import wiki_pages
-from pagelake.session import prepare
+from pagelake.session import cut_lineage, prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -108,8 +108,7 @@ def q_page_link_stats(spark, sf_dir):
 
 def _raw_category_groups(spark, sf_dir):
     wp = wiki_pages(spark, sf_dir)
-    return wp.select("page_id", F.posexplode(F.regexp_extract_all("text", F.lit(T.CATEGORY_PATTERN), 1))
-                     .alias("cat_pos", "raw")).withColumn("cat_pos", (F.col("cat_pos") + 1).cast("bigint"))
+    return wp.select("page_id", T.numbered(F.regexp_extract_all("text", F.lit(T.CATEGORY_PATTERN), 1), "cat_pos", "raw"))
 
 
 @query("trim_ws")
@@ -206,12 +205,12 @@ def q_flt_phone(spark, sf_dir):
 
 @query("prj_url_norm")
 def q_prj_url_norm(spark, sf_dir):
-    pages = VW.table(spark, sf_dir, "pages")
+    pages = VW.spread(VW.table(spark, sf_dir, "pages"))
     hrefs = pages.select("page_id", V.url_origin("url").alias("origin"),
-                         F.posexplode(F.regexp_extract_all("html", F.lit(r'href="([^"]*)"'), 1)).alias("href_pos", "href"))
-    page_urls = pages.select("page_id", F.lit(0).alias("href_pos"), V.url_origin("url").alias("origin"),
+                         T.numbered(F.regexp_extract_all("html", F.lit(r'href="([^"]*)"'), 1), "href_pos", "href"))
+    page_urls = pages.select("page_id", F.lit(0).cast("bigint").alias("href_pos"), V.url_origin("url").alias("origin"),
                              F.col("url").alias("href"))
-    both = hrefs.withColumn("href_pos", F.col("href_pos") + 1).unionByName(page_urls)
+    both = hrefs.unionByName(page_urls)
     return both.select("page_id", F.col("href_pos").cast("bigint").alias("href_pos"), "href",
                        V.normalize_url("href", "origin").alias("url_norm"))
 
@@ -380,8 +379,13 @@ GRAPH_ROUNDS = 5
 
 
 def _cat_index(spark, sf_dir):
-    """The lower-cased category index, read back from its text form."""
-    return G.parse_category_index(G.category_index_lines(_cat_pages(spark, sf_dir)))
+    """The lower-cased category index, read back from its text form.
+
+    Materialised once (reliable checkpoint) like the index file it stands
+    for, so both sides of the graph joins read it instead of re-running the
+    markup mask.
+    """
+    return cut_lineage(G.parse_category_index(G.category_index_lines(_cat_pages(spark, sf_dir))))
 
 
 def _cat_graph_pages(spark, sf_dir):
@@ -654,8 +658,8 @@ def VW_PAGE_DDL():
 @query("src_history")
 def q_src_history(spark, sf_dir):
     h = _history(spark, sf_dir)
-    return h.select("page_id", F.posexplode("revision").alias("rev_pos", "r")).select(
-        "page_id", (F.col("rev_pos") + 1).cast("bigint").alias("rev_pos"), F.col("r.id").alias("rev_id"),
+    return h.select("page_id", T.numbered("revision", "rev_pos", "r")).select(
+        "page_id", "rev_pos", F.col("r.id").alias("rev_id"),
         F.unix_seconds("r.timestamp").alias("epoch"), F.col("r.bytes").alias("bytes"))
 
 

@@ -34,6 +34,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame, per_core: int = 2) -> DataFrame:
+    """Spread a text-heavy scan over all cores.
+
+    Regex work on page text is CPU-bound.  A big input already scans as many
+    partitions and is left alone; a scan with fewer partitions than the
+    cluster has cores (a single row group, a few large files) is
+    round-robin repartitioned once so every core gets text to work on.
+    """
+    target = df.sparkSession.sparkContext.defaultParallelism * per_core
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
+
+
 def register_tables(spark: SparkSession, sf_dir: str, names=None) -> None:
     for name in names or TABLES:
         table(spark, sf_dir, name).createOrReplaceTempView(name)
@@ -41,7 +55,7 @@ def register_tables(spark: SparkSession, sf_dir: str, names=None) -> None:
 
 def wiki_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``page_id, title, redirect_title, text`` over the whole documents table."""
-    table(spark, sf_dir, "documents").createOrReplaceTempView("documents")
+    spread(table(spark, sf_dir, "documents")).createOrReplaceTempView("documents")
     return spark.sql(WIKI_PAGES_SQL)
 
 
