@@ -332,7 +332,7 @@ def profile_defaults(accounts: DataFrame, profiles: DataFrame, intros: DataFrame
 def register(requests: DataFrame, existing_local: DataFrame, existing_global: DataFrame) -> DataFrame:
     """Validate fields, reject taken names, reuse a global account with the same name.
 
-    Same-batch duplicates: the lowest request id of a name wins.
+    Same-batch duplicates: the lowest id among the valid requests for a free name wins.
     Returns ``req_id, username, status, uni_reused``.
     """
     from pagelake.functions import validate as V
@@ -340,9 +340,12 @@ def register(requests: DataFrame, existing_local: DataFrame, existing_global: Da
              & V.mail_ok("mail") & (F.col("phone").isNull() | V.phone_ok("phone")))
     taken = existing_local.select("username", F.lit(True).alias("taken"))
     glob = existing_global.select("username", F.lit(True).alias("uni_reused"))
-    first = requests.groupBy("username").agg(F.min("req_id").alias("first_req"))
-    r = requests.join(taken, "username", "left").join(glob, "username", "left").join(first, "username")
-    status = (F.when(~valid, F.lit(INVALID))
+    r = requests.withColumn("__valid", valid).join(taken, "username", "left").join(glob, "username", "left")
+    # same-batch duplicates: the earliest *valid* request for a free name wins
+    first = r.where(F.col("__valid") & F.col("taken").isNull()).groupBy("username").agg(
+        F.min("req_id").alias("first_req"))
+    r = r.join(first, "username", "left")
+    status = (F.when(~F.col("__valid"), F.lit(INVALID))
                .when(F.col("taken").isNotNull(), F.lit(ACCOUNT_EXISTS))
                .when(F.col("req_id") != F.col("first_req"), F.lit(DUPLICATE))
                .otherwise(F.lit(OK)))

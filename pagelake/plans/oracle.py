@@ -481,13 +481,15 @@ SELECT id0, id1, src_0, 'pending' AS status, request_id FROM (
 _REG_VALID = (_NAME_OK.format(c="r.username") + " AND " + _NAME_OK.format(c="r.display_name") +
               " AND length(r.mail) <= 50 AND regexp_full_match(r.mail, '\\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Z|a-z]{2,7}\\b')"
               " AND (r.phone IS NULL OR (length(r.phone) <= 16 AND regexp_full_match(r.phone, '\\+[0-9]*')))")
-ORACLE["register_batch"] = _LG + f""", reg AS (
+ORACLE["register_batch"] = _LG + f""", reg_valid AS (
+  SELECT r.*, ({_REG_VALID}) AS is_valid FROM registrations r),
+reg AS (
   SELECT r.req_id, r.username,
-    CASE WHEN NOT ({_REG_VALID}) THEN 'invalid'
+    CASE WHEN NOT r.is_valid THEN 'invalid'
          WHEN r.username IN (SELECT username FROM existing_local) THEN 'wiky_acc_exist'
-         WHEN r.req_id <> (SELECT min(r2.req_id) FROM registrations r2 WHERE r2.username = r.username) THEN 'duplicate'
+         WHEN r.req_id <> (SELECT min(r2.req_id) FROM reg_valid r2 WHERE r2.username = r.username AND r2.is_valid) THEN 'duplicate'
          ELSE 'ok' END AS status
-  FROM registrations r)
+  FROM reg_valid r)
 SELECT req_id, username, status, (status = 'ok' AND username IN (SELECT username FROM existing_global)) AS uni_reused FROM reg"""
 ORACLE["exists_lookup"] = _LG + """SELECT req_id, username,
   username IN (SELECT username FROM existing_local) AS local_taken,
