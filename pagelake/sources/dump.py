@@ -23,7 +23,11 @@ def page_records(spark: SparkSession, path: str) -> DataFrame:
     Text before ``<page>`` in a record (the site header, whitespace) is cut
     off; the trailing piece after the last ``</page>`` (the footer) is dropped.
     """
-    raw = spark.read.option("lineSep", PAGE_CLOSE).text(path)
+    return records_from_chunks(spark.read.option("lineSep", PAGE_CLOSE).text(path))
+
+
+def records_from_chunks(raw: DataFrame) -> DataFrame:
+    """``</page>``-separated text chunks -> whole page records (batch or streaming)."""
     body = F.substring_index(F.col("value"), PAGE_OPEN, -1)
     has_page = F.instr(F.col("value"), PAGE_OPEN) > 0
     return raw.where(has_page).select(F.concat(F.lit(PAGE_OPEN), body, F.lit(PAGE_CLOSE)).alias("record"))
@@ -35,7 +39,12 @@ def read_pages(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     Records that do not parse (or parse without an id) go to the reject frame
     instead of failing the job.
     """
-    recs = page_records(spark, path).select("record", X.parse_page("record").alias("p"))
+    return split_parsed(page_records(spark, path))
+
+
+def split_parsed(records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Parse records; (``page_id, title, redirect_title, text``, rejects)."""
+    recs = records.select("record", X.parse_page("record").alias("p"))
     good = recs.where(F.col("p.id").isNotNull()).select(*X.flat_page("p"))
     bad = recs.where(F.col("p.id").isNull()).select("record")
     return good, bad
