@@ -74,22 +74,26 @@ def descendants(cats: DataFrame, root: str, rounds: int = 5) -> DataFrame:
     Returns ``level, page_id, title``.
     """
     root = root.lower()
+    spark = cats.sparkSession
     edges = cut_lineage(cats.select("page_id", "title", F.explode("cats").alias("parent")))
     level = cut_lineage(edges.where(F.col("parent") == root).select("page_id", "title").distinct())
     levels = [level.withColumn("level", F.lit(0).cast("bigint"))]
-    seen_titles = cut_lineage(level.select("title").union(
-        edges.sparkSession.createDataFrame([(root,)], "title string")).distinct())
     n_level = level.count()
+    # seen = root + every level so far; each level is already checkpointed, so
+    # the union stays a flat plan.  Its size is bounded by the sum of counts.
+    seen = spark.createDataFrame([(root,)], "title string")
+    seen = seen.unionByName(level.select("title"))
+    n_seen = 1 + n_level
     for i in range(1, rounds + 1):
         if n_level == 0:
             break
         frontier = level.select(F.col("title").alias("parent")).distinct()
         hit = edges.join(_small(frontier, n_level), "parent", "left_semi").select("page_id", "title").distinct()
-        n_seen = seen_titles.count()
-        level = cut_lineage(hit.join(_small(seen_titles, n_seen), "title", "left_anti"))
+        level = cut_lineage(hit.join(_small(seen.distinct(), n_seen), "title", "left_anti"))
         n_level = level.count()
+        n_seen += n_level
         levels.append(level.withColumn("level", F.lit(i).cast("bigint")))
-        seen_titles = cut_lineage(seen_titles.unionByName(level.select("title")).distinct())
+        seen = seen.unionByName(level.select("title"))
     out = levels[0]
     for lv in levels[1:]:
         out = out.unionByName(lv)

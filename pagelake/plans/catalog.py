@@ -237,8 +237,9 @@ PACK_LIMIT = 500_000      # bytes per greedy pack before it closes
 
 
 def _dump_index(spark, sf_dir):
+    """The parsed dump index, materialised once (it is read by several steps)."""
     rows, _ = IX.parse_dump_index(VW.dump_index_lines(spark, sf_dir))
-    return rows
+    return cut_lineage(rows)
 
 
 def _ranges(spark, sf_dir):
@@ -246,12 +247,16 @@ def _ranges(spark, sf_dir):
 
 
 def _packed(spark, sf_dir):
-    return IX.pack_streams_n(_ranges(spark, sf_dir), INDEX_BATCH, PACK_GROUP)
+    """Streams with their chunk number (one row per stream, materialised once)."""
+    return cut_lineage(IX.pack_streams_n(_ranges(spark, sf_dir), INDEX_BATCH, PACK_GROUP))
 
 
 def _chunk_rows(spark, sf_dir):
-    packed = _packed(spark, sf_dir)
-    return IX.chunk_index(_dump_index(spark, sf_dir), packed, IX.chunk_table(packed))
+    """The re-mapped chunk index, materialised once like the index file it stands for."""
+    idx = _dump_index(spark, sf_dir)
+    packed = cut_lineage(IX.pack_streams_n(IX.stream_ranges(idx, VW.dump_file_length(spark, sf_dir)),
+                                           INDEX_BATCH, PACK_GROUP))
+    return cut_lineage(IX.chunk_index(idx, packed, IX.chunk_table(packed)))
 
 
 def _scratch(spark, name):
@@ -348,19 +353,20 @@ def q_join_index_chunk(spark, sf_dir):
     return idx.join(chunks, idx.chunk_st == chunks.st, "inner").select("page_id", "st", "ed")
 
 
-def _chunk_records(spark, sf_dir):
-    rows = _chunk_rows(spark, sf_dir).select("st", "page_id")
-    return rows.join(_records(spark, sf_dir), "page_id").select("st", "page_id", "record")
+def _chunk_records(spark, sf_dir, rows):
+    return rows.select("st", "page_id").join(_records(spark, sf_dir), "page_id").select("st", "page_id", "record")
 
 
 @query("validate_index")
 def q_validate_index(spark, sf_dir):
-    return IX.validate_chunks(_chunk_rows(spark, sf_dir), _chunk_records(spark, sf_dir))
+    rows = _chunk_rows(spark, sf_dir)
+    return IX.validate_chunks(rows, _chunk_records(spark, sf_dir, rows))
 
 
 @query("all_valid")
 def q_all_valid(spark, sf_dir):
-    return IX.all_valid(IX.validate_chunks(_chunk_rows(spark, sf_dir), _chunk_records(spark, sf_dir)))
+    rows = _chunk_rows(spark, sf_dir)
+    return IX.all_valid(IX.validate_chunks(rows, _chunk_records(spark, sf_dir, rows)))
 
 
 @query("chunk_profile")
