@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from pagelake.functions import text as T
 from pagelake.operators import pages as P
+from pagelake.plans import views as VW
 from pagelake.plans.views import wiki_pages
 from pagelake.session import cut_lineage, prepare
 
@@ -40,6 +41,13 @@ def q_mask_markup(spark, sf_dir):
     return T.mask_markup(wiki_pages(spark, sf_dir), "text").select("page_id", "masked")
 
 
+@query("mask_markup_html")
+def q_mask_markup_html(spark, sf_dir):
+    """The same union mask on real markup: raw web pages (one comment per page)."""
+    pages = VW.spread(VW.table(spark, sf_dir, "pages"))
+    return pages.select("page_id", T.masked_text("html").alias("masked"))
+
+
 @query("extract_categories")
 def q_extract_categories(spark, sf_dir):
     return P.explode_categories(_cat_pages(spark, sf_dir))

@@ -42,10 +42,12 @@ def spread(df: DataFrame, per_core: int = 2) -> DataFrame:
     cluster has cores (a single row group, a few large files) is
     round-robin repartitioned once so every core gets text to work on.
     """
-    target = df.sparkSession.sparkContext.defaultParallelism * per_core
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
-    return df
+    try:
+        target = df.sparkSession.sparkContext.defaultParallelism * per_core
+        scanned = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - no RDD API (e.g. a Connect session): leave the scan as is
+        return df
+    return df.repartition(target) if scanned < target else df
 
 
 def register_tables(spark: SparkSession, sf_dir: str, names=None) -> None:

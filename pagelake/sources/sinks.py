@@ -25,14 +25,18 @@ def write_table(df: DataFrame, path: str, compression: str = "zstd") -> None:
 
 
 def write_page_store(pages: DataFrame, path: str, key: str = "page_id", compression: str = "zstd",
-                     max_records_per_file: int = 200_000) -> None:
+                     num_partitions: int | None = None, max_records_per_file: int = 200_000) -> None:
     """Page-addressable store: range-partitioned and sorted by ``key``, zstd Parquet.
 
     Row-group min/max statistics on the sorted key replace the byte-offset
     index: a point lookup on ``key`` is a pushed filter that skips all other
-    row groups.
+    row groups.  The number of ranges follows ``spark.sql.shuffle.partitions``
+    (sized to the data volume per job on a cluster) unless given; files are
+    capped at ``max_records_per_file`` rows.
     """
-    n = max(1, pages.sparkSession.sparkContext.defaultParallelism)
+    spark = pages.sparkSession
+    n = num_partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")),
+                              spark.sparkContext.defaultParallelism)
     (pages.repartitionByRange(n, key).sortWithinPartitions(key)
           .write.mode("overwrite").option("compression", compression)
           .option("maxRecordsPerFile", max_records_per_file).parquet(path))
