@@ -165,14 +165,19 @@ def apply_shop(log: DataFrame, catalog: DataFrame) -> tuple[DataFrame, DataFrame
                .when((F.col("op") == "list") & (F.col("item_stat") == YANKED), F.lit(BAD_STATUS))
                .otherwise(F.lit(OK)))
     checked = resolved.withColumn("status", status)
-    ok = checked.where(F.col("status") == OK)
-    listed = ok.where(F.col("op") == "list").groupBy("rid").agg(
-        F.max_by("item_cost", "seq").alias("item_cost"), F.max("seq").alias("list_seq"))
-    unlisted = ok.where(F.col("op") == "unlist").groupBy("rid").agg(F.max("seq").alias("unlist_seq"))
-    shop = listed.join(unlisted, "rid", "left").where(
-        F.col("unlist_seq").isNull() | (F.col("unlist_seq") < F.col("list_seq"))).select(
-        F.col("rid").alias("item_id"), "item_cost")
-    rejects = checked.where(F.col("status") != OK).select("seq", "op", "item_id", "item_name", "status")
+    # The shop holds an item once: a listing succeeds only if the item's
+    # previous accepted op (if any) was an unlisting.  ``lag`` keeps O(1) state
+    # per item, so a hot item is a long sorted run, not a collected group.
+    prev = F.lag("op").over(Window.partitionBy("rid").orderBy("seq", "op"))  # same seq: list, then unlist
+    ops = checked.where(F.col("status") == OK).withColumn("prev_op", prev)
+    dup = (F.col("op") == "list") & (F.col("prev_op") == "list")
+    final = ops.groupBy("rid").agg(
+        F.max_by("op", F.struct("seq", F.col("op") == "unlist")).alias("last_op"),
+        F.max_by("item_cost", F.when((F.col("op") == "list") & ~F.coalesce(dup, F.lit(False)), F.col("seq")))
+         .alias("item_cost"))
+    shop = final.where(F.col("last_op") == "list").select(F.col("rid").alias("item_id"), "item_cost")
+    rejects = checked.where(F.col("status") != OK).select("seq", "op", "item_id", "item_name", "status").unionByName(
+        ops.where(dup).select("seq", "op", "item_id", "item_name", F.lit(DUPLICATE).alias("status")))
     return shop, rejects
 
 

@@ -405,11 +405,14 @@ shop_chk AS (
   FROM shop_log l LEFT JOIN cat_init n ON n.item_name = l.item_name
   LEFT JOIN cat_init c ON c.item_id = coalesce(l.item_id, n.item_id)),
 shop_ok AS (SELECT * FROM shop_chk WHERE item_stat IS NOT NULL AND NOT (op = 'list' AND item_stat = 'yanked')),
-listed AS (SELECT rid, arg_max(item_cost, seq) AS item_cost, max(seq) AS list_seq FROM shop_ok WHERE op = 'list' GROUP BY rid),
-unlisted AS (SELECT rid, max(seq) AS unlist_seq FROM shop_ok WHERE op = 'unlist' GROUP BY rid),
+shop_seq AS (
+  SELECT *, lag(op) OVER (PARTITION BY rid ORDER BY seq, op) AS prev_op,
+    row_number() OVER (PARTITION BY rid ORDER BY seq DESC, op DESC) AS rev_rn FROM shop_ok),
 shop AS (
-  SELECT l.rid AS item_id, l.item_cost FROM listed l LEFT JOIN unlisted u ON u.rid = l.rid
-  WHERE u.unlist_seq IS NULL OR u.unlist_seq < l.list_seq),
+  SELECT s.rid AS item_id,
+    (SELECT x.item_cost FROM shop_seq x WHERE x.rid = s.rid AND x.op = 'list' AND coalesce(x.prev_op, '') <> 'list'
+     ORDER BY x.seq DESC LIMIT 1) AS item_cost
+  FROM shop_seq s WHERE s.rev_rn = 1 AND s.op = 'list'),
 p_checked AS (
   SELECT q.request_id, q.account_id, q.item_id, q.item_count,
     CASE WHEN b.account_id IS NULL THEN 'invalid name' WHEN o.item_id IS NULL THEN 'invalid id'

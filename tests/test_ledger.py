@@ -116,3 +116,14 @@ def test_draw_pages_exact_and_distinct(spark):
     for r in got:
         per.setdefault(r.request_id, set()).add(r.page_id)
     assert len(per[1]) == 3 and len(per[2]) == 100 and 3 not in per
+
+
+def test_shop_holds_an_item_once(spark):
+    catalog = spark.createDataFrame([(1, "a", "live"), (2, "b", "live")], "item_id long, item_name string, item_stat string")
+    log = spark.createDataFrame([(0, "list", 1, None, 5), (1, "list", 1, None, 9), (2, "unlist", None, "a", None),
+                                 (3, "list", 1, None, 7), (0, "list", 2, None, 3), (1, "unlist", 2, None, None),
+                                 (4, "unlist", None, "nope", None)],
+                                "seq long, op string, item_id long, item_name string, item_cost long")
+    shop, rejects = L.apply_shop(log, catalog)
+    assert [tuple(r) for r in shop.collect()] == [(1, 7)]
+    assert sorted((r.seq, r.status) for r in rejects.collect()) == [(1, L.DUPLICATE), (4, L.INVALID_NAME)]
