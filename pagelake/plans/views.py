@@ -151,14 +151,14 @@ SELECT c_custkey AS uni_id, lower(replace(c_name, '#', '_')) AS username,
   concat('u', CAST(c_custkey AS STRING), '@example.com') AS mail,
   CASE WHEN c_custkey % 13 = 6 THEN 'pending' ELSE 'live' END AS uni_status
 FROM customer""",
-    # profiles exist for three accounts in four
+    # customers in debt never opened a profile (their requests meet "invalid name")
     "profiles": """
 SELECT c_custkey AS account_id, CAST(0 AS BIGINT) AS ranks, CAST(0 AS BIGINT) AS balance,
   CAST(0 AS BIGINT) AS pull_count
-FROM customer WHERE c_custkey % 4 <> 3""",
+FROM customer WHERE c_acctbal >= 0""",
     "intros": """
 SELECT c_custkey AS account_id, concat('intro ', lower(c_mktsegment)) AS description
-FROM customer WHERE c_custkey % 4 <> 3""",
+FROM customer WHERE c_acctbal >= 0""",
     # balance credits: signup events
     "credits": """
 SELECT event_id AS request_id, user_id AS account_id, CAST(floor(value) AS BIGINT) AS amount
@@ -188,27 +188,29 @@ FROM events e JOIN (SELECT c_custkey, lower(replace(c_name, '#', '_')) AS userna
 LEFT JOIN (SELECT c_custkey, lower(replace(c_name, '#', '_')) AS username FROM customer) b
   ON b.c_custkey = (e.user_id * 31 + e.event_id) % ((SELECT count(*) FROM customer) + 50)
 WHERE e.event_type = 'error'""",
-    # catalog change log: adds, duplicate-name adds, yanks, renames
+    # catalog change log: adds, a second add of promo items under a taken name,
+    # yanks (size a multiple of 7), renames of the largest parts
     "catalog_log": """
 SELECT CAST(0 AS BIGINT) AS seq, 'add' AS op, p_partkey AS item_id, concat(p_name, '#', CAST(p_partkey AS STRING)) AS item_name,
   'live' AS item_stat FROM part
 UNION ALL
 SELECT CAST(1 AS BIGINT), 'add', p_partkey + 1000000, concat(p_name, '#', CAST(p_partkey AS STRING)), 'live'
-FROM part WHERE p_partkey % 25 = 0
+FROM part WHERE p_type = 'PROMO' AND p_size <= 5
 UNION ALL
 SELECT CAST(2 AS BIGINT), 'status', p_partkey, CAST(NULL AS STRING), 'yanked' FROM part WHERE p_size % 7 = 0
 UNION ALL
 SELECT CAST(3 AS BIGINT), 'rename', p_partkey, concat(p_brand, '#', CAST(p_partkey AS STRING)), CAST(NULL AS STRING)
-FROM part WHERE p_partkey % 10 = 3""",
-    # shop requests: list every item at its size as cost; unlist some by id and some by name
+FROM part WHERE p_size > 45""",
+    # shop requests: list every item at its size as cost; unlist size-1 parts by id and
+    # size-2 parts by name
     "shop_log": """
 SELECT CAST(0 AS BIGINT) AS seq, 'list' AS op, p_partkey AS item_id, CAST(NULL AS STRING) AS item_name,
   CAST(p_size AS BIGINT) AS item_cost FROM part
 UNION ALL
-SELECT CAST(1 AS BIGINT), 'unlist', p_partkey, CAST(NULL AS STRING), CAST(NULL AS BIGINT) FROM part WHERE p_partkey % 50 = 49
+SELECT CAST(1 AS BIGINT), 'unlist', p_partkey, CAST(NULL AS STRING), CAST(NULL AS BIGINT) FROM part WHERE p_size = 1
 UNION ALL
 SELECT CAST(1 AS BIGINT), 'unlist', CAST(NULL AS BIGINT), concat(p_name, '#', CAST(p_partkey AS STRING)), CAST(NULL AS BIGINT)
-FROM part WHERE p_partkey % 50 = 48""",
+FROM part WHERE p_size = 2""",
     # registration requests from customer-derived fields
     "registrations": """
 SELECT c_custkey AS req_id, lower(CASE c_custkey % 4 WHEN 0 THEN c_name WHEN 1 THEN replace(c_name, '#', '_')
@@ -219,9 +221,10 @@ SELECT c_custkey AS req_id, lower(CASE c_custkey % 4 WHEN 0 THEN c_name WHEN 1 T
   CASE WHEN c_custkey % 2 = 0 THEN concat('+', CAST(c_custkey * 7919 AS STRING)) END AS phone
 FROM customer""",
     # accounts that already exist locally / globally before the registrations
-    "existing_local": "SELECT username FROM (SELECT c_custkey, lower(replace(c_name, '#', '_')) AS username FROM customer) WHERE c_custkey % 3 = 0",
+    # building-segment customers already have a local account; all but households a global one
+    "existing_local": "SELECT lower(replace(c_name, '#', '_')) AS username FROM customer WHERE c_mktsegment = 'BUILDING'",
     "existing_global": """SELECT c_custkey AS uni_id, lower(replace(c_name, '#', '_')) AS username FROM customer
-WHERE c_custkey % 5 <> 0""",
+WHERE c_mktsegment <> 'HOUSEHOLD'""",
 }
 LEDGER_TABLES = {
     "accounts": ["customer"], "uni_accounts": ["customer"], "profiles": ["customer"], "intros": ["customer"],
