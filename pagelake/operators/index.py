@@ -146,12 +146,14 @@ def greedy_pack_starts(ranges: DataFrame, limit: int, max_rounds: int = 64) -> D
         "bin", F.floor(F.col("p") / width).cast("bigint"))
     hit = probes.join(bins, "bin").where((F.col("st") <= F.col("p")) & (F.col("p") < F.col("ed")))
     jump = cut_lineage(probes.join(hit.select("x", F.col("ed").alias("nxt")), "x", "left").select("x", "nxt"))
+    # Round k adds f^t(s0) for 2^k <= t < 2^(k+1): always new points, so the
+    # orbit is a plain union of the checkpointed rounds (no re-deduplication).
     orbit = cut_lineage(s0)
     for _ in range(max_rounds):
-        reach = orbit.join(jump.where(F.col("nxt").isNotNull()), "x").select(F.col("nxt").alias("x"))
-        if reach.isEmpty():
+        reach = cut_lineage(orbit.join(jump.where(F.col("nxt").isNotNull()), "x").select(F.col("nxt").alias("x")))
+        if reach.count() == 0:
             break
-        orbit = cut_lineage(orbit.unionByName(reach).distinct())
+        orbit = orbit.unionByName(reach)
         j2 = jump.alias("a").join(jump.alias("b"), F.col("a.nxt") == F.col("b.x"), "left")
         jump = cut_lineage(j2.select(F.col("a.x").alias("x"), F.col("b.nxt").alias("nxt")))
     else:  # pragma: no cover - 2^64 packs
