@@ -33,11 +33,11 @@ INVALID_NAME = "invalid name"
 INVALID_ID = "invalid id"
 BAD_STATUS = "bad status"
 INSUFFICIENT = "insufficient balance"
-ACCOUNT_EXISTS = "wiky_acc_exist"
 PENDING = "pending"
 YANKED = "yanked"
 LIVE = "live"
 # --- end of fixed values
+ACCOUNT_EXISTS = "account exists"     # the local account name is taken
 INVALID_COUNT = "invalid count"       # ours: the reference accepted negative counts
 NAME_EXISTS = "name exists"           # unique item name
 DUPLICATE = "duplicate"               # unique pair / same request twice

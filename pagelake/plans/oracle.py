@@ -504,7 +504,7 @@ ORACLE["register_batch"] = _LG + f""", reg_valid AS (
 reg AS (
   SELECT r.req_id, r.username,
     CASE WHEN NOT r.is_valid THEN 'invalid'
-         WHEN r.username IN (SELECT username FROM existing_local) THEN 'wiky_acc_exist'
+         WHEN r.username IN (SELECT username FROM existing_local) THEN 'account exists'
          WHEN r.req_id <> (SELECT min(r2.req_id) FROM reg_valid r2 WHERE r2.username = r.username AND r2.is_valid) THEN 'duplicate'
          ELSE 'ok' END AS status
   FROM reg_valid r)
