@@ -155,8 +155,13 @@ def q_page_layout(spark, sf_dir):
 
 @query("src_pages")
 def q_src_pages(spark, sf_dir):
-    parsed = _records(spark, sf_dir).select(X.parse_page("record").alias("p"))
-    return parsed.select(*X.flat_page("p"))
+    """Render the pages as a bz2 XML dump in the shared folder, then read it back."""
+    from pagelake.sources import dump as D
+    from pagelake.sources import sinks
+    path = _scratch(spark, "pages_dump")
+    sinks.write_dump(_records(spark, sf_dir), path)
+    pages, _ = D.read_pages(spark, path)
+    return pages
 
 
 @query("page_to_json")
@@ -245,9 +250,12 @@ PACK_LIMIT = 500_000      # bytes per greedy pack before it closes
 
 
 def _dump_index(spark, sf_dir):
-    """The parsed dump index, materialised once (it is read by several steps)."""
-    rows, _ = IX.parse_dump_index(VW.dump_index_lines(spark, sf_dir))
-    return cut_lineage(rows)
+    """The dump index, written as a bz2 text file (as published) and parsed back."""
+    from pagelake.sources import sinks
+    path = _scratch(spark, "dump_index")
+    sinks.write_lines(VW.dump_index_lines(spark, sf_dir), path, compression="bzip2")
+    rows, _ = IX.parse_dump_index(spark.read.text(path))
+    return rows
 
 
 def _ranges(spark, sf_dir):
@@ -329,7 +337,11 @@ def q_sink_chunk_index(spark, sf_dir):
 
 @query("src_chunk_index")
 def q_src_chunk_index(spark, sf_dir):
-    rows, _ = IX.parse_chunk_index(IX.chunk_index_lines(_chunk_rows(spark, sf_dir)))
+    """Write the re-mapped index as text, then parse the file."""
+    from pagelake.sources import sinks
+    path = _scratch(spark, "chunk_index_src")
+    sinks.write_lines(IX.chunk_index_lines(_chunk_rows(spark, sf_dir)), path)
+    rows, _ = IX.parse_chunk_index(spark.read.text(path))
     return rows
 
 
@@ -399,7 +411,10 @@ def _cat_index(spark, sf_dir):
     for, so both sides of the graph joins read it instead of re-running the
     markup mask.
     """
-    return cut_lineage(G.parse_category_index(G.category_index_lines(_cat_pages(spark, sf_dir))))
+    from pagelake.sources import sinks
+    path = _scratch(spark, "category_index_src")
+    sinks.write_lines(G.category_index_lines(_cat_pages(spark, sf_dir)), path)
+    return G.parse_category_index(spark.read.text(path))
 
 
 def _cat_graph_pages(spark, sf_dir):
@@ -655,18 +670,11 @@ from pagelake.sources import sinks as S  # noqa: E402
 
 
 def _history(spark, sf_dir):
-    recs = VW.history_records(spark, sf_dir)
-    parsed = recs.select(F.from_xml("record", VW_PAGE_DDL(), X.XML_OPTIONS).alias("p"))
-    revs = F.transform("p.revision", lambda r: F.struct(
-        r["id"].alias("id"), D.rfc3339_to_timestamp(r["timestamp"]).alias("timestamp"),
-        r["text"]["_bytes"].alias("bytes")))
-    return parsed.select(F.col("p.id").alias("page_id"), F.col("p.redirect._title").alias("redirect_title"),
-                         revs.alias("revision"))
-
-
-def VW_PAGE_DDL():
-    from pagelake.schemas import PAGE_SCHEMA_DDL
-    return PAGE_SCHEMA_DDL
+    """History dump shards written to the shared folder, read back with the shard reader."""
+    path = _scratch(spark, "history_shards")
+    S.write_dump(VW.history_records(spark, sf_dir), path)
+    hist, _ = D.read_history(spark, f"{path}/part-*")
+    return hist
 
 
 @query("src_history")
@@ -698,10 +706,14 @@ def q_rfc3339_epoch(spark, sf_dir):
 
 @query("src_site_info")
 def q_src_site_info(spark, sf_dir):
+    """One dump per source (its site header, then its pages); read each file's header back."""
     VW.register_tables(spark, sf_dir, ["documents"])
     heads = spark.sql(VW.SITE_HEADER_SQL)
-    first = heads.join(_records(spark, sf_dir).withColumnRenamed("page_id", "first_doc"), "first_doc")
-    return first.select("source", D.site_info_text(F.concat("header", "record")).alias("site_info"))
+    docs = VW.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id"), "source")
+    recs = _records(spark, sf_dir).join(docs, "page_id")
+    path = _scratch(spark, "site_dumps")
+    S.write_site_dumps(recs, heads, path)
+    return D.read_site_info(spark, path).select("source", "site_info")
 
 
 @query("sink_page_store")

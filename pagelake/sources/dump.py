@@ -84,7 +84,8 @@ def read_site_info(spark: SparkSession, path: str) -> DataFrame:
     """The ``<siteinfo>`` header of each dump file, trimmed (``path, site_info``)."""
     raw = spark.read.option("lineSep", PAGE_CLOSE).text(path).withColumn("path", F.input_file_name())
     head = raw.where(F.instr("value", "<siteinfo>") > 0)
-    return head.select("path", site_info_text("value").alias("site_info"))
+    extra = [c for c in raw.columns if c not in ("value", "path")]   # discovered partition columns
+    return head.select("path", *extra, site_info_text("value").alias("site_info"))
 
 
 def site_info_text(first_record):

@@ -52,3 +52,24 @@ def history_lines(history: DataFrame) -> DataFrame:
 
 def write_history(history: DataFrame, path: str) -> None:
     write_lines(history_lines(history), path)
+
+
+def write_dump(records: DataFrame, path: str, col: str = "record", compression: str | None = "bzip2") -> None:
+    """Page records as a text dump (one part file per partition, bz2 by default)."""
+    write_lines(records.select(F.col(col).alias("value")), path, compression=compression)
+
+
+def write_site_dumps(records: DataFrame, headers: DataFrame, path: str, key: str = "source",
+                     order: str = "page_id", compression: str | None = None) -> None:
+    """One dump file per ``key`` value: its header first, then its page records in ``order``.
+
+    All rows of a key land in one partition (hash repartition), are sorted
+    header-first, and the writer's ``partitionBy`` gives each key its folder.
+    """
+    head = headers.select(key, F.lit(None).cast("bigint").alias("__ord"), F.col("header").alias("value"))
+    body = records.select(key, F.col(order).cast("bigint").alias("__ord"), F.col("record").alias("value"))
+    rows = head.unionByName(body).repartition(key).sortWithinPartitions(key, F.col("__ord").asc_nulls_first())
+    w = rows.select(key, "value").write.mode("overwrite").partitionBy(key)
+    if compression:
+        w = w.option("compression", compression)
+    w.text(path)
