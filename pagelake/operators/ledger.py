@@ -13,7 +13,9 @@ account) is evaluated as:
    accepted without any fold, the first such request is rejected;
 3. later requests that cost more than what was left are rejected outright
    (the balance only shrinks);
-4. only the remaining requests go through a streaming per-account fold
+4. steps 1-3 repeat on what is still open, with the balance left, for a few
+   rounds (each exact and fully distributed);
+5. only what is open after that goes through a streaming per-account fold
    (``mapInPandas`` over partitions sorted by account and request id): state is
    one balance, never a collected list, so a hot account costs time in one
    task but no memory.
@@ -78,15 +80,15 @@ def _fold_partition(batches):
         yield pd.DataFrame({"request_id": pdf["request_id"].to_numpy(), "ok": ok})
 
 
-def ordered_fold(requests: DataFrame, balances: DataFrame) -> DataFrame:
-    """Accept requests per account in ``request_id`` order while the balance covers them.
+def _overdraft_round(pending: DataFrame, balances: DataFrame):
+    """One exact, fully distributed step of the fold.
 
-    ``requests``: ``account_id, request_id, cost`` (all checks other than the
-    balance already passed).  ``balances``: ``account_id, balance``.
-    Returns ``request_id, account_id, cost, ok``.
+    Per account: prefix sums of cost (block-wise windows, bounded groups); every
+    request before the first one whose prefix exceeds the balance is accepted;
+    that one is rejected, and so is every later request costing more than what
+    is left (the balance never grows).  Returns ``(decided, pending', balances')``.
     """
-    d = requests.select("account_id", "request_id", "cost").withColumn(
-        "blk", F.floor(F.col("request_id") / REQUEST_BLOCK).cast("bigint"))
+    d = pending.withColumn("blk", F.floor(F.col("request_id") / REQUEST_BLOCK).cast("bigint"))
     block_tot = d.groupBy("account_id", "blk").agg(F.sum("cost").alias("bt"))
     before = Window.partitionBy("account_id").orderBy("blk").rowsBetween(Window.unboundedPreceding, -1)
     block_off = block_tot.select("account_id", "blk", F.coalesce(F.sum("bt").over(before), F.lit(0)).alias("bo"))
@@ -99,20 +101,46 @@ def ordered_fold(requests: DataFrame, balances: DataFrame) -> DataFrame:
     first_bad = d.where(F.col("cum") > F.col("balance")).groupBy("account_id").agg(
         F.min_by(F.struct("request_id", (F.col("balance") - F.col("cum") + F.col("cost")).alias("rem")),
                  "request_id").alias("fb"))
-    # one materialised frame feeds the three branches below (no re-evaluation)
+    # one materialised frame feeds the branches below (no re-evaluation)
     d = cut_lineage(d.join(first_bad.select("account_id", F.col("fb.request_id").alias("k"),
                                             F.col("fb.rem").alias("rem")), "account_id", "left"))
-    fast = d.where(F.col("k").isNull() | (F.col("request_id") < F.col("k"))).select(
-        "request_id", "account_id", "cost", F.lit(True).alias("ok"))
-    rest = d.where(F.col("request_id") >= F.col("k"))
-    too_big = rest.where(F.col("cost") > F.col("rem")).select(
-        "request_id", "account_id", "cost", F.lit(False).alias("ok"))
-    foldable = rest.where(F.col("cost") <= F.col("rem")).select("account_id", "request_id", "cost", "rem")
+    accepted = F.col("k").isNull() | (F.col("request_id") < F.col("k"))
+    rejected = ~accepted & ((F.col("request_id") == F.col("k")) | (F.col("cost") > F.col("rem")))
+    decided = d.where(accepted | rejected).select("request_id", "account_id", "cost", accepted.alias("ok"))
+    rest = d.where(~accepted & ~rejected)
+    return decided, rest.select("account_id", "request_id", "cost"), \
+        rest.select("account_id", F.col("rem").alias("balance")).distinct()
+
+
+def ordered_fold(requests: DataFrame, balances: DataFrame, rounds: int = 3) -> DataFrame:
+    """Accept requests per account in ``request_id`` order while the balance covers them.
+
+    ``requests``: ``account_id, request_id, cost`` (all checks other than the
+    balance already passed).  ``balances``: ``account_id, balance``.
+    Returns ``request_id, account_id, cost, ok``.
+
+    Up to ``rounds`` distributed overdraft rounds decide almost everything;
+    only what is still open after them goes through the streaming fold.
+    """
+    pending = requests.select("account_id", "request_id", "cost")
+    bal = balances.select("account_id", "balance")
+    parts = []
+    for _ in range(rounds):
+        decided, pending, bal = _overdraft_round(pending, bal)
+        parts.append(decided)
+        pending = cut_lineage(pending)
+        if pending.isEmpty():
+            break
+    foldable = pending.join(bal.select("account_id", F.col("balance").alias("rem")), "account_id")
     folded = (foldable.repartition("account_id")
                       .sortWithinPartitions("account_id", "request_id")
                       .mapInPandas(_fold_partition, "request_id bigint, ok boolean"))
-    folded = folded.join(foldable.select("request_id", "account_id", "cost"), "request_id")
-    return cut_lineage(fast.unionByName(too_big).unionByName(folded.select("request_id", "account_id", "cost", "ok")))
+    parts.append(folded.join(foldable.select("request_id", "account_id", "cost"), "request_id")
+                       .select("request_id", "account_id", "cost", "ok"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return cut_lineage(out)
 
 
 def settle(profiles: DataFrame, decided: DataFrame) -> DataFrame:
