@@ -50,10 +50,15 @@ def category_list(cat_pages: DataFrame) -> DataFrame:
 
 
 def category_counts(cat_pages: DataFrame) -> DataFrame:
-    """Pages per category."""
-    return (explode_categories(cat_pages)
+    """Pages per category.
+
+    A page's category list is short, so it is de-duplicated in place and the
+    count is a single partial/final aggregation (no distinct-count shuffle).
+    """
+    distinct_cats = F.transform(F.array_distinct("cats"), lambda c: F.struct(c.alias("category")))
+    return (cat_pages.select(F.inline(distinct_cats))
             .groupBy("category")
-            .agg(F.countDistinct("page_id").cast("bigint").alias("n_pages")))
+            .agg(F.count(F.lit(1)).alias("n_pages")))
 
 
 def with_page_type(df: DataFrame, title_col: str = "title", redirect_col: str = "redirect_title",
