@@ -7,6 +7,8 @@ is no Python UDF on this path.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -120,7 +122,22 @@ def let(value: Column, body) -> Column:
 
 
 def masked_text(text) -> Column:
-    """The text with the union of all markup spans blanked byte for byte (see ``mask_markup``)."""
+    """The text with the union of all markup spans blanked byte for byte (see ``mask_markup``).
+
+    The expression is large and fixed; for a named column it is built once per
+    process (an unresolved Column can be reused by any DataFrame).
+    """
+    if isinstance(text, str):
+        return _masked_text_named(text)
+    return _build_masked_text(text)
+
+
+@functools.lru_cache(maxsize=32)
+def _masked_text_named(name: str) -> Column:
+    return _build_masked_text(F.col(name))
+
+
+def _build_masked_text(text) -> Column:
     t = _as_col(text)
     span_lists = [_pattern_spans(t, lit, pat) for lit, pat in MASK_PATTERNS]
     all_spans = F.concat(*span_lists)
