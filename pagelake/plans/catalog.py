@@ -250,10 +250,10 @@ PACK_LIMIT = 500_000      # bytes per greedy pack before it closes
 
 
 def _dump_index(spark, sf_dir):
-    """The dump index, written as a bz2 text file (as published) and parsed back."""
+    """The dump index, written as a text file and parsed back."""
     from pagelake.sources import sinks
     path = _scratch(spark, "dump_index")
-    sinks.write_lines(VW.dump_index_lines(spark, sf_dir), path, compression="bzip2")
+    sinks.write_lines(VW.dump_index_lines(spark, sf_dir), path)
     rows, _ = IX.parse_dump_index(spark.read.text(path))
     return rows
 
@@ -672,7 +672,7 @@ from pagelake.sources import sinks as S  # noqa: E402
 def _history(spark, sf_dir):
     """History dump shards written to the shared folder, read back with the shard reader."""
     path = _scratch(spark, "history_shards")
-    S.write_dump(VW.history_records(spark, sf_dir), path)
+    S.write_dump(VW.history_records(spark, sf_dir), path, compression=None)
     hist, _ = D.read_history(spark, f"{path}/part-*")
     return hist
 
