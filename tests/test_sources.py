@@ -93,3 +93,25 @@ def test_xml_validate_cases(spark):
     df = spark.createDataFrame([(r,) for r in recs], "r string")
     assert [r.ok for r in df.select(X.xml_valid("r").alias("ok")).collect()] == [True, False, False, False, False,
                                                                                   False, False]
+
+
+def test_one_bz2_file_splits_and_every_page_is_read_once(spark, scratch):
+    n = 3000
+    pages = spark.range(n).select(F.col("id").alias("page_id"), F.concat(F.lit("T"), F.col("id").cast("string")).alias("title"),
+                                  F.lit(None).cast("string").alias("redirect_title"),
+                                  F.concat(F.lit("[[Category:C"), (F.col("id") % 7).cast("string"), F.lit("]] "),
+                                           F.repeat(F.lit("lorem ipsum "), 40)).alias("text"))
+    path = os.path.join(scratch, "one_file")
+    recs = pages.select(X.render_page("page_id", "title", "redirect_title", "text").alias("record")).coalesce(1)
+    S.write_dump(recs, path)
+    assert len([f for f in os.listdir(path) if f.endswith(".bz2")]) == 1
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(16 * 1024))
+    try:
+        got, bad = D.read_pages(spark, path)
+        assert got.rdd.getNumPartitions() > 1
+        ids = [r.page_id for r in got.select("page_id").collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert sorted(ids) == list(range(n))
+    assert bad.count() == 0
