@@ -672,7 +672,7 @@ from pagelake.sources import sinks as S  # noqa: E402
 def _history(spark, sf_dir):
     """History dump shards written to the shared folder, read back with the shard reader."""
     path = _scratch(spark, "history_shards")
-    S.write_dump(VW.history_records(spark, sf_dir), path, compression=None)
+    S.write_ordered_lines(VW.history_lines(spark, sf_dir), path, "page_id", ["ord", "ord2"])
     hist, _ = D.read_history(spark, f"{path}/part-*")
     return hist
 

@@ -244,23 +244,33 @@ def ledger(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 # ---------------------------------------------------------------- history dump derived from orders
 # page = customer, revision = order (timestamp = order date, bytes = floor(total price)),
 # ordered by date then order key; pages with o_custkey % 9 = 4 are redirects.
-def history_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``page_id, record``: one history ``<page>`` record per customer with orders."""
+def history_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``page_id, ord, value``: the history dump as ordered text pieces.
+
+    Each page is an opening line (ord -1), one line per revision in
+    (date, order key) order, and a closing line (ord +inf).  Written in
+    ``(page_id, ord)`` order they form one ``<page>`` record per customer
+    without ever collecting a customer's orders into one row.
+    """
     from pyspark.sql import functions as F
     orders = table(spark, sf_dir, "orders")
-    revs = orders.groupBy(F.col("o_custkey").alias("page_id")).agg(F.array_sort(F.collect_list(F.struct(
-        "o_orderdate", "o_orderkey", F.floor("o_totalprice").cast("bigint").alias("bytes")))).alias("revs"))
     ts_fmt = "yyyy-MM-dd'T'HH:mm:ss'Z'"
-    rev_xml = F.array_join(F.transform("revs", lambda r: F.concat(
-        F.lit("<revision><id>"), r["o_orderkey"].cast("string"), F.lit("</id><timestamp>"),
-        F.date_format(r["o_orderdate"], ts_fmt), F.lit('</timestamp><text bytes="'), r["bytes"].cast("string"),
-        F.lit('" /></revision>'))), "")
+    # order within a page: date (epoch seconds) then order key, packed into one sortable pair
+    rev = orders.select(
+        F.col("o_custkey").alias("page_id"),
+        F.unix_seconds(F.col("o_orderdate").cast("timestamp")).alias("ord"), F.col("o_orderkey").alias("ord2"),
+        F.concat(F.lit("<revision><id>"), F.col("o_orderkey").cast("string"), F.lit("</id><timestamp>"),
+                 F.date_format("o_orderdate", ts_fmt), F.lit('</timestamp><text bytes="'),
+                 F.floor("o_totalprice").cast("bigint").cast("string"), F.lit('" /></revision>')).alias("value"))
+    pages = orders.select(F.col("o_custkey").alias("page_id")).distinct()
     redirect = F.when(F.col("page_id") % 9 == 4, F.concat(F.lit('<redirect title="K'), F.col("page_id").cast("string"),
                                                          F.lit('" />')))
-    rec = F.concat(F.lit("<page><title>K"), F.col("page_id").cast("string"), F.lit("</title><ns>0</ns><id>"),
-                   F.col("page_id").cast("string"), F.lit("</id>"), F.coalesce(redirect, F.lit("")), rev_xml,
-                   F.lit("</page>"))
-    return revs.select("page_id", rec.alias("record"))
+    head = pages.select("page_id", F.lit(-(1 << 62)).alias("ord"), F.lit(0).cast("bigint").alias("ord2"), F.concat(
+        F.lit("<page><title>K"), F.col("page_id").cast("string"), F.lit("</title><ns>0</ns><id>"),
+        F.col("page_id").cast("string"), F.lit("</id>"), F.coalesce(redirect, F.lit(""))).alias("value"))
+    tail = pages.select("page_id", F.lit(1 << 62).alias("ord"), F.lit(0).cast("bigint").alias("ord2"),
+                        F.lit("</page>").alias("value"))
+    return head.unionByName(rev).unionByName(tail)
 
 
 SITE_HEADER_SQL = """

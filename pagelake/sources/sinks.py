@@ -73,3 +73,18 @@ def write_site_dumps(records: DataFrame, headers: DataFrame, path: str, key: str
     if compression:
         w = w.option("compression", compression)
     w.text(path)
+
+
+def write_ordered_lines(rows: DataFrame, path: str, key: str, order: list[str], col: str = "value",
+                        compression: str | None = None) -> None:
+    """Text lines grouped by ``key`` and ordered by ``order`` inside each group.
+
+    Rows are hash-partitioned on ``key`` and sorted within partitions, so a
+    group's lines are contiguous and in order in one file without the group
+    ever being collected (the sort spills if a group is huge).
+    """
+    ordered = rows.repartition(key).sortWithinPartitions(key, *order)
+    w = ordered.select(F.col(col).alias("value")).write.mode("overwrite")
+    if compression:
+        w = w.option("compression", compression)
+    w.text(path)
