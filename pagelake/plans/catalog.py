@@ -6,16 +6,26 @@ runs on made-up input.  Column names equal those of the oracle SQL.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagelake.functions import media as M
 from pagelake.functions import text as T
+from pagelake.functions import validate as V
+from pagelake.functions import xml as X
+from pagelake.operators import graph as G
+from pagelake.operators import index as IX
+from pagelake.operators import ledger as L
 from pagelake.operators import pages as P
+from pagelake.operators.sampling import sample_n
 from pagelake.plans import views as VW
 from pagelake.plans.views import wiki_pages
-from pagelake.session import cut_lineage, prepare
+from pagelake.session import cut_lineage, prepare, shared_dir
+from pagelake.sources import dump as D
+from pagelake.sources import sinks as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -74,10 +84,6 @@ def q_count_sections(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- filters / projections
-from pagelake.functions import media as M  # noqa: E402
-from pagelake.functions import validate as V  # noqa: E402
-from pagelake.functions import xml as X  # noqa: E402
-from pagelake.plans import views as VW  # noqa: E402
 
 SAMPLE_SEED = "s42"
 SAMPLE_N = 40
@@ -156,10 +162,8 @@ def q_page_layout(spark, sf_dir):
 @query("src_pages")
 def q_src_pages(spark, sf_dir):
     """Render the pages as a bz2 XML dump in the shared folder, then read it back."""
-    from pagelake.sources import dump as D
-    from pagelake.sources import sinks
     path = _scratch(spark, "pages_dump")
-    sinks.write_dump(_records(spark, sf_dir), path)
+    S.write_dump(_records(spark, sf_dir), path)
     pages, _ = D.read_pages(spark, path)
     return pages
 
@@ -179,7 +183,6 @@ def q_point_lookup_page(spark, sf_dir):
 
 @query("random_sample_n")
 def q_random_sample_n(spark, sf_dir):
-    from pagelake.operators.sampling import sample_n
     return sample_n(wiki_pages(spark, sf_dir), "page_id", SAMPLE_N, SAMPLE_SEED).select("page_id")
 
 
@@ -241,8 +244,6 @@ def q_media_profile(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- dump index, streams, chunks
-from pagelake.operators import index as IX  # noqa: E402
-from pagelake.session import shared_dir  # noqa: E402
 
 INDEX_BATCH = 10          # streams per re-chunk batch (the reference uses threads * 10)
 PACK_GROUP = 4            # streams per chunk inside a batch
@@ -251,9 +252,8 @@ PACK_LIMIT = 500_000      # bytes per greedy pack before it closes
 
 def _dump_index(spark, sf_dir):
     """The dump index, written as a text file and parsed back."""
-    from pagelake.sources import sinks
     path = _scratch(spark, "dump_index")
-    sinks.write_lines(VW.dump_index_lines(spark, sf_dir), path)
+    S.write_lines(VW.dump_index_lines(spark, sf_dir), path)
     rows, _ = IX.parse_dump_index(spark.read.text(path))
     return rows
 
@@ -276,7 +276,6 @@ def _chunk_rows(spark, sf_dir):
 
 
 def _scratch(spark, name):
-    import uuid
     return shared_dir(spark, f"tables/{name}-{uuid.uuid4().hex[:12]}")
 
 
@@ -329,18 +328,16 @@ def q_pack_offset_id(spark, sf_dir):
 
 @query("sink_chunk_index")
 def q_sink_chunk_index(spark, sf_dir):
-    from pagelake.sources import sinks
     path = _scratch(spark, "chunk_index")
-    sinks.write_lines(IX.chunk_index_lines(_chunk_rows(spark, sf_dir)), path)
+    S.write_lines(IX.chunk_index_lines(_chunk_rows(spark, sf_dir)), path)
     return spark.read.text(path)
 
 
 @query("src_chunk_index")
 def q_src_chunk_index(spark, sf_dir):
     """Write the re-mapped index as text, then parse the file."""
-    from pagelake.sources import sinks
     path = _scratch(spark, "chunk_index_src")
-    sinks.write_lines(IX.chunk_index_lines(_chunk_rows(spark, sf_dir)), path)
+    S.write_lines(IX.chunk_index_lines(_chunk_rows(spark, sf_dir)), path)
     rows, _ = IX.parse_chunk_index(spark.read.text(path))
     return rows
 
@@ -352,9 +349,8 @@ def q_grp_pages_by_chunk(spark, sf_dir):
 
 @query("sink_chunk_table")
 def q_sink_chunk_table(spark, sf_dir):
-    from pagelake.sources import sinks
     path = _scratch(spark, "chunk_table")
-    sinks.write_chunk_table(_chunk_rows(spark, sf_dir), path)
+    S.write_chunk_table(_chunk_rows(spark, sf_dir), path)
     return spark.read.parquet(path)
 
 
@@ -398,7 +394,6 @@ def q_chunk_profile(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- category index and graph
-from pagelake.operators import graph as G  # noqa: E402
 
 GRAPH_ROOT = "k0"
 GRAPH_ROUNDS = 5
@@ -411,9 +406,8 @@ def _cat_index(spark, sf_dir):
     for, so both sides of the graph joins read it instead of re-running the
     markup mask.
     """
-    from pagelake.sources import sinks
     path = _scratch(spark, "category_index_src")
-    sinks.write_lines(G.category_index_lines(_cat_pages(spark, sf_dir)), path)
+    S.write_lines(G.category_index_lines(_cat_pages(spark, sf_dir)), path)
     return G.parse_category_index(spark.read.text(path))
 
 
@@ -483,31 +477,27 @@ def q_pages_under_category(spark, sf_dir):
 
 @query("sink_category_index")
 def q_sink_category_index(spark, sf_dir):
-    from pagelake.sources import sinks
     path = _scratch(spark, "category_index")
-    sinks.write_lines(G.category_index_lines(_cat_pages(spark, sf_dir)), path)
+    S.write_lines(G.category_index_lines(_cat_pages(spark, sf_dir)), path)
     return spark.read.text(path)
 
 
 @query("sink_category_list")
 def q_sink_category_list(spark, sf_dir):
-    from pagelake.sources import sinks
     path = _scratch(spark, "category_list")
-    sinks.write_lines(P.category_list(_cat_pages(spark, sf_dir)), path, col="category")
+    S.write_lines(P.category_list(_cat_pages(spark, sf_dir)), path, col="category")
     return spark.read.text(path).withColumnRenamed("value", "category")
 
 
 @query("sink_category_table")
 def q_sink_category_table(spark, sf_dir):
-    from pagelake.sources import sinks
     path = _scratch(spark, "category_table")
     rows = _cat_index(spark, sf_dir).select("page_id", F.explode("cats").alias("category")).distinct()
-    sinks.write_table(rows, path)
+    S.write_table(rows, path)
     return spark.read.parquet(path)
 
 
 # ---------------------------------------------------------------- ledger jobs
-from pagelake.operators import ledger as L  # noqa: E402
 
 DRAW_SEED = "draw42"
 
@@ -665,8 +655,6 @@ def q_user_info(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- history, site info, stores
-from pagelake.sources import dump as D  # noqa: E402
-from pagelake.sources import sinks as S  # noqa: E402
 
 
 def _history(spark, sf_dir):
