@@ -492,7 +492,8 @@ def q_sink_category_list(spark, sf_dir):
 @query("sink_category_table")
 def q_sink_category_table(spark, sf_dir):
     path = _scratch(spark, "category_table")
-    rows = _cat_index(spark, sf_dir).select("page_id", F.explode("cats").alias("category")).distinct()
+    # one row per category page: its id and its name (the category it defines)
+    rows = G.category_pages(_cat_index(spark, sf_dir)).select("page_id", F.col("title").alias("category"))
     S.write_table(rows, path)
     return spark.read.parquet(path)
 

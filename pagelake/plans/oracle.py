@@ -369,7 +369,7 @@ ORACLE["sink_category_index"] = _CG + """SELECT CAST(k.page_id AS VARCHAR) || '|
   coalesce((SELECT string_agg(pc.category, '|' ORDER BY pc.cat_pos) FROM page_cats pc WHERE pc.page_id = k.page_id), '') AS value
 FROM kept_pages k"""
 ORACLE["sink_category_list"] = _CG + "SELECT DISTINCT category FROM page_cats"
-ORACLE["sink_category_table"] = _CG + "SELECT DISTINCT page_id, unnest(cats) AS category FROM cat_lists"
+ORACLE["sink_category_table"] = _CG + "SELECT page_id, title AS category FROM cat_graph"
 
 # ---------------------------------------------------------------- ledger jobs
 from pagelake.plans.views import LEDGER_SQL  # noqa: E402
