@@ -46,8 +46,9 @@ def history_lines(history: DataFrame) -> DataFrame:
     """``page_id,epoch-bytes,epoch-bytes,...`` for non-redirect pages."""
     revs = F.transform("revision", lambda r: F.concat(F.unix_seconds(r["timestamp"]).cast("string"), F.lit("-"),
                                                       r["bytes"].cast("string")))
+    # "id," + joined revisions: a page without revisions still gets its comma
     return history.where(F.col("redirect_title").isNull()).select(
-        F.concat_ws(",", F.col("page_id").cast("string"), revs).alias("value"))
+        F.concat(F.col("page_id").cast("string"), F.lit(","), F.array_join(revs, ",")).alias("value"))
 
 
 def write_history(history: DataFrame, path: str) -> None:
