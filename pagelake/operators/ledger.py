@@ -13,8 +13,9 @@ account) is evaluated as:
    accepted without any fold, the first such request is rejected;
 3. later requests that cost more than what was left are rejected outright
    (the balance only shrinks);
-4. steps 1-3 repeat on what is still open, with the balance left, for a few
-   rounds (each exact and fully distributed);
+4. steps 1-3 repeat on what is still open, with the balance left, while some
+   account still has over a million open requests (each round exact and
+   fully distributed; the check is one small aggregation);
 5. only what is open after that goes through a streaming per-account fold
    (``mapInPandas`` over partitions sorted by account and request id): state is
    one balance, never a collected list, so a hot account costs time in one
@@ -46,6 +47,7 @@ DUPLICATE = "duplicate"               # unique pair / same request twice
 INVALID = "invalid"                   # a registration field failed validation
 
 REQUEST_BLOCK = 1 << 16               # request-id block for per-account prefix sums
+HOT_ACCOUNT_ROWS = 1_000_000          # open requests of one account that justify another distributed round
 
 
 # ---------------------------------------------------------------- balances
@@ -112,24 +114,27 @@ def _overdraft_round(pending: DataFrame, balances: DataFrame):
         rest.select("account_id", F.col("rem").alias("balance")).distinct()
 
 
-def ordered_fold(requests: DataFrame, balances: DataFrame, rounds: int = 3) -> DataFrame:
+def ordered_fold(requests: DataFrame, balances: DataFrame, rounds: int = 3,
+                 hot_rows: int = HOT_ACCOUNT_ROWS) -> DataFrame:
     """Accept requests per account in ``request_id`` order while the balance covers them.
 
     ``requests``: ``account_id, request_id, cost`` (all checks other than the
     balance already passed).  ``balances``: ``account_id, balance``.
     Returns ``request_id, account_id, cost, ok``.
 
-    Up to ``rounds`` distributed overdraft rounds decide almost everything;
-    only what is still open after them goes through the streaming fold.
+    The first distributed overdraft round always runs.  Further rounds (up to
+    ``rounds`` in total) run only while some account still has more than
+    ``hot_rows`` open requests (a size check, one small aggregation); what is
+    open after that goes through the streaming fold.
     """
     pending = requests.select("account_id", "request_id", "cost")
     bal = balances.select("account_id", "balance")
     parts = []
-    for _ in range(rounds):
+    for i in range(rounds):
         decided, pending, bal = _overdraft_round(pending, bal)
         parts.append(decided)
-        pending = cut_lineage(pending)
-        if pending.isEmpty():
+        largest = pending.groupBy("account_id").count().agg(F.max("count")).first()[0]
+        if largest is None or largest <= hot_rows:
             break
     foldable = pending.join(bal.select("account_id", F.col("balance").alias("rem")), "account_id")
     folded = (foldable.repartition("account_id")

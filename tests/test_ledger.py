@@ -26,13 +26,14 @@ def test_fold_matches_sequential_loop(spark):
     bal[99] = 500
     r = spark.createDataFrame(reqs, "account_id long, request_id long, cost long")
     b = spark.createDataFrame(list(bal.items()), "account_id long, balance long")
-    for rounds in (0, 1, 3):   # streaming fold only, one distributed round, the default
-        got = {x.request_id: x.ok for x in L.ordered_fold(r, b, rounds=rounds).collect()}
+    # streaming fold only; one round; forced extra rounds (hot threshold 0); the default
+    for rounds, hot in ((0, 0), (1, 0), (3, 0), (3, L.HOT_ACCOUNT_ROWS)):
+        got = {x.request_id: x.ok for x in L.ordered_fold(r, b, rounds=rounds, hot_rows=hot).collect()}
         assert len(got) == len(reqs)
         for acc in bal:
             mine = sorted((q for q in reqs if q[0] == acc), key=lambda q: q[1])
             ok, _ = purchase_fold(bal[acc], [q[2] for q in mine])
-            assert [got[q[1]] for q in mine] == ok, (rounds, acc)
+            assert [got[q[1]] for q in mine] == ok, (rounds, hot, acc)
 
 
 def test_scripted_scenario(spark):
