@@ -24,10 +24,11 @@ account) is evaluated as:
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagelake.operators.sampling import sample_key
+from pagelake.operators.windows import running_total
 from pagelake.session import cut_lineage
 
 # --- fixed values: result codes of the reference's actions
@@ -47,6 +48,7 @@ DUPLICATE = "duplicate"               # unique pair / same request twice
 INVALID = "invalid"                   # a registration field failed validation
 
 REQUEST_BLOCK = 1 << 16               # request-id block for per-account prefix sums
+SHOP_SEQ_BLOCK = 1 << 16              # change-log sequence block for per-item numbering
 HOT_ACCOUNT_ROWS = 1_000_000          # open requests of one account that justify another distributed round
 
 
@@ -90,16 +92,8 @@ def _overdraft_round(pending: DataFrame, balances: DataFrame):
     that one is rejected, and so is every later request costing more than what
     is left (the balance never grows).  Returns ``(decided, pending', balances')``.
     """
-    d = pending.withColumn("blk", F.floor(F.col("request_id") / REQUEST_BLOCK).cast("bigint"))
-    block_tot = d.groupBy("account_id", "blk").agg(F.sum("cost").alias("bt"))
-    before = Window.partitionBy("account_id").orderBy("blk").rowsBetween(Window.unboundedPreceding, -1)
-    block_off = block_tot.select("account_id", "blk", F.coalesce(F.sum("bt").over(before), F.lit(0)).alias("bo"))
-    inside = Window.partitionBy("account_id", "blk").orderBy("request_id").rowsBetween(Window.unboundedPreceding, 0)
-    d = (d.withColumn("inb", F.sum("cost").over(inside))
-          .join(block_off, ["account_id", "blk"])
-          .withColumn("cum", F.col("bo") + F.col("inb"))
-          .join(balances.select("account_id", "balance"), "account_id")
-          .drop("blk", "bo", "inb"))
+    d = running_total(pending, ["request_id"], "cost", "cum", REQUEST_BLOCK, inclusive=True,
+                      partition_cols=["account_id"]).join(balances.select("account_id", "balance"), "account_id")
     first_bad = d.where(F.col("cum") > F.col("balance")).groupBy("account_id").agg(
         F.min_by(F.struct("request_id", (F.col("balance") - F.col("cum") + F.col("cost")).alias("rem")),
                  "request_id").alias("fb"))
@@ -198,19 +192,29 @@ def apply_shop(log: DataFrame, catalog: DataFrame) -> tuple[DataFrame, DataFrame
                .when((F.col("op") == "list") & (F.col("item_stat") == YANKED), F.lit(BAD_STATUS))
                .otherwise(F.lit(OK)))
     checked = resolved.withColumn("status", status)
-    # The shop holds an item once: a listing succeeds only if the item's
-    # previous accepted op (if any) was an unlisting.  ``lag`` keeps O(1) state
-    # per item, so a hot item is a long sorted run, not a collected group.
-    prev = F.lag("op").over(Window.partitionBy("rid").orderBy("seq", "op"))  # same seq: list, then unlist
-    ops = checked.where(F.col("status") == OK).withColumn("prev_op", prev)
-    dup = (F.col("op") == "list") & (F.col("prev_op") == "list")
-    final = ops.groupBy("rid").agg(
-        F.max_by("op", F.struct("seq", F.col("op") == "unlist")).alias("last_op"),
-        F.max_by("item_cost", F.when((F.col("op") == "list") & ~F.coalesce(dup, F.lit(False)), F.col("seq")))
-         .alias("item_cost"))
-    shop = final.where(F.col("last_op") == "list").select(F.col("rid").alias("item_id"), "item_cost")
+    accepted = checked.where(F.col("status") == OK).withColumn(
+        "op_rank", F.when(F.col("op") == "list", F.lit(0)).otherwise(F.lit(1)))   # same seq: list, then unlist
+    pos = F.struct("seq", "op_rank")
+    # Final state by aggregation only: an item is listed iff its last accepted op
+    # is a listing, at the cost of the first listing after its last unlisting.
+    summary = accepted.groupBy("rid").agg(
+        F.max_by("op", pos).alias("last_op"),
+        F.max(F.when(F.col("op") == "unlist", pos)).alias("last_unlist"))
+    after = accepted.where(F.col("op") == "list").join(summary.where(F.col("last_op") == "list"), "rid").where(
+        F.col("last_unlist").isNull() | (pos > F.col("last_unlist")))
+    shop = after.groupBy("rid").agg(F.min_by("item_cost", pos).alias("item_cost")).select(
+        F.col("rid").alias("item_id"), "item_cost")
+    # Duplicate listings (the shop holds an item once): a listing whose previous
+    # accepted op is a listing.  Ops are numbered per item with the block-wise
+    # running count (a hot item is split into blocks) and meet their
+    # predecessor in an equi-join on (item, n - 1).  Lazy: only evaluated when
+    # the rejects are used.
+    numbered = running_total(accepted.withColumn("one", F.lit(1)), ["seq", "op_rank"], "one", "n",
+                             SHOP_SEQ_BLOCK, partition_cols=["rid"])
+    prev_ops = numbered.select("rid", (F.col("n") + 1).alias("n"), F.col("op").alias("prev_op"))
+    dups = numbered.join(prev_ops, ["rid", "n"]).where((F.col("op") == "list") & (F.col("prev_op") == "list"))
     rejects = checked.where(F.col("status") != OK).select("seq", "op", "item_id", "item_name", "status").unionByName(
-        ops.where(dup).select("seq", "op", "item_id", "item_name", F.lit(DUPLICATE).alias("status")))
+        dups.select("seq", "op", "item_id", "item_name", F.lit(DUPLICATE).alias("status")))
     return shop, rejects
 
 

@@ -17,21 +17,25 @@ def _block(col: str, width: int):
 
 
 def running_total(df: DataFrame, order_cols: list[str], value_col: str, out_col: str,
-                  block_width: int, inclusive: bool = False) -> DataFrame:
+                  block_width: int, inclusive: bool = False, partition_cols: list[str] | None = None) -> DataFrame:
     """Running sum of ``value_col`` in ``order_cols`` order (exclusive by default).
 
     ``order_cols[0]`` must be numeric; rows are grouped in blocks of
-    ``block_width`` of that key.  Remaining order columns break ties.
+    ``block_width`` of that key.  Remaining order columns break ties.  With
+    ``partition_cols`` the sum restarts per key, and a hot key is still split
+    into bounded blocks (only its per-block totals are ordered together).
     """
+    keys = list(partition_cols or [])
     key = order_cols[0]
     d = df.withColumn("__blk", _block(key, block_width))
-    totals = d.groupBy("__blk").agg(F.sum(value_col).alias("__bt"))
-    before = Window.orderBy("__blk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("__blk", F.coalesce(F.sum("__bt").over(before), F.lit(0)).alias("__bo"))
+    totals = d.groupBy(*keys, "__blk").agg(F.sum(value_col).alias("__bt"))
+    by_key = Window.partitionBy(*keys) if keys else Window
+    before = by_key.orderBy("__blk").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*keys, "__blk", F.coalesce(F.sum("__bt").over(before), F.lit(0)).alias("__bo"))
     frame_end = 0 if inclusive else -1
-    w = Window.partitionBy("__blk").orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, frame_end)
+    w = Window.partitionBy(*keys, "__blk").orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, frame_end)
     within = d.withColumn("__in", F.coalesce(F.sum(value_col).over(w), F.lit(0)))
-    out = within.join(offsets, "__blk").withColumn(out_col, (F.col("__bo") + F.col("__in")).cast("bigint"))
+    out = within.join(offsets, [*keys, "__blk"]).withColumn(out_col, (F.col("__bo") + F.col("__in")).cast("bigint"))
     return out.drop("__blk", "__bo", "__in")
 
 

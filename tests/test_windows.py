@@ -26,3 +26,16 @@ def test_next_value_skips_empty_blocks(spark):
     got = {r.k: r.nx for r in next_value(df, "k", "nx", 10 ** 7 + 1, 4096).collect()}
     for a, b in zip(keys, keys[1:] + [10 ** 7 + 1]):
         assert got[a] == b
+
+
+def test_running_total_per_key_with_hot_key(spark):
+    rnd = random.Random(2)
+    rows = [(0, rnd.randint(0, 10 ** 6), 1) for _ in range(900)]                  # hot key over many blocks
+    rows += [(k, rnd.randint(0, 10 ** 6), rnd.randint(1, 9)) for k in range(1, 30) for _ in range(rnd.randint(0, 20))]
+    rows = [(k, o, v, i) for i, (k, o, v) in enumerate(rows)]
+    df = spark.createDataFrame(rows, "k long, o long, v long, i long")
+    got = {r.i: r.run for r in running_total(df, ["o", "i"], "v", "run", 1000, True, partition_cols=["k"]).collect()}
+    acc = {}
+    for k, o, v, i in sorted(rows, key=lambda r: (r[0], r[1], r[3])):
+        acc[k] = acc.get(k, 0) + v
+        assert got[i] == acc[k]
