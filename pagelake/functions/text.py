@@ -128,12 +128,14 @@ def masked_text(text) -> Column:
     process (an unresolved Column can be reused by any DataFrame).
     """
     if isinstance(text, str):
-        return _masked_text_named(text)
+        from pyspark import SparkContext
+        return _masked_text_named(text, id(SparkContext._gateway))
     return _build_masked_text(text)
 
 
 @functools.lru_cache(maxsize=32)
-def _masked_text_named(name: str) -> Column:
+def _masked_text_named(name: str, gateway: int) -> Column:
+    """Cached per column name and per JVM gateway (a relaunched JVM gets a fresh Column)."""
     return _build_masked_text(F.col(name))
 
 
