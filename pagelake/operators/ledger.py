@@ -108,7 +108,7 @@ def _overdraft_round(pending: DataFrame, balances: DataFrame):
         rest.select("account_id", F.col("rem").alias("balance")).distinct()
 
 
-def ordered_fold(requests: DataFrame, balances: DataFrame, rounds: int = 3,
+def ordered_fold(requests: DataFrame, balances: DataFrame, rounds: int = 8,
                  hot_rows: int = HOT_ACCOUNT_ROWS) -> DataFrame:
     """Accept requests per account in ``request_id`` order while the balance covers them.
 
