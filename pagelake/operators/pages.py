@@ -74,3 +74,17 @@ def page_link_stats(pages: DataFrame) -> DataFrame:
         T.count_links("text").alias("link_count"),
         T.count_sections("text").alias("sect_count"),
     )
+
+
+def page_json(records: DataFrame, page_ids=None, record_col: str = "record") -> DataFrame:
+    """``page_id, json`` for page records, optionally only the given page ids.
+
+    Nulls are kept as JSON nulls.  With ``page_ids`` the filter applies to the
+    parsed id, so on a store keyed by ``page_id`` it prunes before parsing.
+    """
+    from pagelake.functions import xml as X
+    parsed = records.select(X.parse_page(record_col).alias("p")).select(*X.flat_page("p"))
+    if page_ids is not None:
+        parsed = parsed.where(F.col("page_id").isin(list(page_ids)))
+    return parsed.select("page_id", F.to_json(F.struct("page_id", "title", "redirect_title", "text"),
+                                              {"ignoreNullFields": "false"}).alias("json"))

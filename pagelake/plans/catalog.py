@@ -170,10 +170,7 @@ def q_src_pages(spark, sf_dir):
 
 @query("page_to_json")
 def q_page_to_json(spark, sf_dir):
-    parsed = _records(spark, sf_dir).select(X.parse_page("record").alias("p"))
-    flat = parsed.select(*X.flat_page("p"))
-    return flat.select("page_id", F.to_json(F.struct("page_id", "title", "redirect_title", "text"),
-                                            {"ignoreNullFields": "false"}).alias("json"))
+    return P.page_json(_records(spark, sf_dir))
 
 
 @query("point_lookup_page")

@@ -115,3 +115,11 @@ def test_one_bz2_file_splits_and_every_page_is_read_once(spark, scratch):
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     assert sorted(ids) == list(range(n))
     assert bad.count() == 0
+
+
+def test_page_json_filter(spark):
+    from pagelake.operators.pages import page_json
+    recs = _pages(spark).select(X.render_page("page_id", "title", "redirect_title", "text").alias("record"))
+    got = page_json(recs, [2, 3]).orderBy("page_id").collect()
+    assert [r.page_id for r in got] == [2, 3]
+    assert got[1].json == '{"page_id":3,"title":"Gamma: colon","redirect_title":null,"text":null}'
