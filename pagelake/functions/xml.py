@@ -49,7 +49,7 @@ def parse_page(record, schema_ddl: str = PAGE_SCHEMA_DDL) -> Column:
 def flat_page(parsed) -> list[Column]:
     """``page_id, title, redirect_title, text`` from a parsed page struct."""
     p = _as_col(parsed)
-    rev = F.element_at(p["revision"], 1)
+    rev = F.try_element_at(p["revision"], F.lit(1))
     return [p["id"].alias("page_id"), p["title"].alias("title"),
             p["redirect"]["_title"].alias("redirect_title"), rev["text"]["_VALUE"].alias("text")]
 

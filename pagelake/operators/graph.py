@@ -24,10 +24,10 @@ def parse_category_index(lines: DataFrame, col: str = "value") -> DataFrame:
     """Lower-cased lines -> ``page_id, title, cats`` (empty category names dropped)."""
     parts = F.split(F.lower(F.col(col)), r"\|", -1)
     return lines.select(
-        F.element_at(parts, 1).cast("bigint").alias("page_id"),
-        F.element_at(parts, 2).alias("title"),
+        F.try_element_at(parts, F.lit(1)).try_cast("bigint").alias("page_id"),
+        F.try_element_at(parts, F.lit(2)).alias("title"),
         F.filter(F.slice(parts, 3, F.greatest(F.size(parts) - 2, F.lit(1))), lambda c: c != "").alias("cats"),
-    ).where(F.col("page_id").isNotNull())
+    ).where(F.col("page_id").isNotNull() & F.col("title").isNotNull())
 
 
 def lowered_index(cat_pages: DataFrame) -> DataFrame:

@@ -19,9 +19,9 @@ def parse_dump_index(lines: DataFrame, col: str = "value") -> tuple[DataFrame, D
     p = f"split({col}, ':', 3)"
     parsed = lines.select(
         F.col(col).alias("line"),
-        F.expr(f"try_cast(element_at({p}, 1) AS BIGINT)").alias("offset"),
-        F.expr(f"try_cast(element_at({p}, 2) AS BIGINT)").alias("page_id"),
-        F.expr(f"CASE WHEN size({p}) = 3 THEN element_at({p}, 3) END").alias("title"))
+        F.expr(f"try_cast(try_element_at({p}, 1) AS BIGINT)").alias("offset"),
+        F.expr(f"try_cast(try_element_at({p}, 2) AS BIGINT)").alias("page_id"),
+        F.expr(f"CASE WHEN size({p}) = 3 THEN try_element_at({p}, 3) END").alias("title"))
     ok = F.col("offset").isNotNull() & F.col("page_id").isNotNull() & F.col("title").isNotNull()
     return parsed.where(ok).drop("line"), parsed.where(~ok).select("line")
 
@@ -30,7 +30,7 @@ def index_line_counts(lines: DataFrame, col: str = "value") -> DataFrame:
     """Lines in the dump index, and how many of them do not parse."""
     good, _ = parse_dump_index(lines.select(F.col(col).alias("value")))
     p = "split(value, ':', 3)"
-    bad = F.expr(f"try_cast(element_at({p}, 1) AS BIGINT) IS NULL OR try_cast(element_at({p}, 2) AS BIGINT) IS NULL "
+    bad = F.expr(f"try_cast(try_element_at({p}, 1) AS BIGINT) IS NULL OR try_cast(try_element_at({p}, 2) AS BIGINT) IS NULL "
                  f"OR size({p}) < 3")
     return lines.select(F.col(col).alias("value")).agg(
         F.count(F.lit(1)).alias("n_lines"), F.count_if(bad).alias("n_rejects"))
@@ -41,10 +41,10 @@ def parse_chunk_index(lines: DataFrame, col: str = "value") -> tuple[DataFrame,
     p = f"split({col}, ':', 4)"
     parsed = lines.select(
         F.col(col).alias("line"),
-        F.expr(f"try_cast(element_at({p}, 1) AS BIGINT)").alias("st"),
-        F.expr(f"try_cast(element_at({p}, 2) AS BIGINT)").alias("ed"),
-        F.expr(f"try_cast(element_at({p}, 3) AS BIGINT)").alias("page_id"),
-        F.expr(f"CASE WHEN size({p}) = 4 THEN element_at({p}, 4) END").alias("title"))
+        F.expr(f"try_cast(try_element_at({p}, 1) AS BIGINT)").alias("st"),
+        F.expr(f"try_cast(try_element_at({p}, 2) AS BIGINT)").alias("ed"),
+        F.expr(f"try_cast(try_element_at({p}, 3) AS BIGINT)").alias("page_id"),
+        F.expr(f"CASE WHEN size({p}) = 4 THEN try_element_at({p}, 4) END").alias("title"))
     ok = F.col("st").isNotNull() & F.col("ed").isNotNull() & F.col("page_id").isNotNull() & F.col("title").isNotNull()
     return parsed.where(ok).drop("line"), parsed.where(~ok).select("line")
 

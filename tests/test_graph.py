@@ -36,3 +36,8 @@ def test_index_round_trip_and_projections(spark):
     assert content == [3]
     edges = sorted(tuple(r) for r in G.parent_edges(idx, G.category_pages(idx)).collect())
     assert edges == [(1, 5), (2, 1), (3, 1), (5, 1)]
+
+
+def test_malformed_index_lines_are_skipped(spark):
+    lines = spark.createDataFrame([("nopipe",), ("x|y|z",), ("",), ("7|Category:Q|A||b",)], "value string")
+    assert [tuple(r) for r in G.parse_category_index(lines).collect()] == [(7, "category:q", ["a", "b"])]

@@ -7,13 +7,13 @@ from pyref import greedy_packs
 
 
 def test_parse_dump_index_rejects_bad_rows(spark):
-    lines = spark.createDataFrame([("550:1:Title: with colon",), ("x:2:Bad offset",), ("600:3",), ("600:4:Ok",)],
-                                  "value string")
+    lines = spark.createDataFrame([("550:1:Title: with colon",), ("x:2:Bad offset",), ("600:3",), ("600:4:Ok",),
+                                   ("junk",), ("",)], "value string")
     good, bad = IX.parse_dump_index(lines)
     assert sorted(tuple(r) for r in good.collect()) == [(550, 1, "Title: with colon"), (600, 4, "Ok")]
-    assert sorted(r.line for r in bad.collect()) == ["600:3", "x:2:Bad offset"]
+    assert sorted(r.line for r in bad.collect()) == ["", "600:3", "junk", "x:2:Bad offset"]
     counts = IX.index_line_counts(lines).first()
-    assert (counts.n_lines, counts.n_rejects) == (4, 2)
+    assert (counts.n_lines, counts.n_rejects) == (6, 4)
 
 
 def test_stream_ranges_last_ends_at_file_length(spark):
