@@ -298,6 +298,8 @@ def draw_pages(decisions: DataFrame, ranked: DataFrame, seed: str, n_pages: int)
     Each request explodes into its own ``amount`` rank numbers (at most all
     pages) and meets the ranked pages in an equi-join: no cross join, no cap.
     """
+    if n_pages <= 0:   # nothing to draw from (and no modulo by zero)
+        return decisions.sparkSession.createDataFrame([], "request_id bigint, account_id bigint, page_id bigint")
     ok = decisions.where(F.col("status") == OK)
     start = F.pmod(_hash60(sample_key(seed, F.lit("r"), "request_id")), F.lit(n_pages))
     ks = F.sequence(F.lit(0).cast("bigint"), (F.least(F.col("amount"), F.lit(n_pages)) - 1).cast("bigint"))
