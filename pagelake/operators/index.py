@@ -136,7 +136,7 @@ def greedy_pack_starts(ranges: DataFrame, limit: int, max_rounds: int = 64) -> D
     """
     spark = ranges.sparkSession
     width = max(int(limit), 1)
-    streams = ranges.select("st", "ed")
+    streams = cut_lineage(ranges.select("st", "ed"))   # read four times below
     bins = streams.select("st", "ed", F.explode(F.sequence(
         F.floor(F.col("st") / width).cast("bigint"),
         F.greatest(F.floor((F.col("ed") - 1) / width), F.floor(F.col("st") / width)).cast("bigint"))).alias("bin"))
