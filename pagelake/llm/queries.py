@@ -7,8 +7,26 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelake.llm import disclosure, mixing, packing, quality_rules, simhash
-from pagelake.llm.common import documents
+from pagelake.llm import (
+    disclosure,
+    fingerprints,
+    langid,
+    mixing,
+    packing,
+    quality_model,
+    quality_rules,
+    simhash,
+    token_output,
+    toxicity,
+)
+from pagelake.llm.common import documents, held_out, labels
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, out = documents(spark, sf_dir), held_out(F.col("doc_id"), 5, 0)
+    model = toxicity.fit(docs, labels(spark, sf_dir).where(~out))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op2_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,10 +46,27 @@ def op4_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.join(placed, "row_id").select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.with_next(documents(spark, sf_dir))
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, out = documents(spark, sf_dir), held_out(F.col("doc_id"), 4, 2)
+    model = quality_model.fit(docs, labels(spark, sf_dir).where(~out))
+    scored = quality_model.score(docs, model)
+    return scored.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, out = documents(spark, sf_dir), held_out(F.col("doc_id"), 5, 0)
+    filters = langid.fit(docs.where(~out))
+    return langid.identify(docs, filters).select("doc_id", out.alias("held_out"), "lang_pred", "score")
+
+
 def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = disclosure.detect(documents(spark, sf_dir))
 
@@ -45,10 +80,21 @@ def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.array_join(F.concat(base, terms), ",").alias("spans"))
 
 
+def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = token_output.folder(spark)
+    token_output.write(documents(spark, sf_dir), path)
+    return token_output.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op2_simhash_groups": op2_simhash_groups,
     "op3_quality_rules": op3_quality_rules,
     "op4_pack_sequences": op4_pack_sequences,
+    "op5_fingerprints": op5_fingerprints,
     "op6_mix_sources": op6_mix_sources,
+    "op7_quality_model": op7_quality_model,
+    "op8_language": op8_language,
     "op9_personal_data": op9_personal_data,
+    "op10_token_output": op10_token_output,
 }
