@@ -28,6 +28,8 @@ CAPACITY = 1024
 END_ID = 2
 # Pieces per group: one group is packed in one task's memory (a few MB).
 GROUP_PIECES = 40_000
+# The local search goes over the open bins until nothing changes, this often at most.
+PASSES = 4
 
 
 def cut_places(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
@@ -84,8 +86,18 @@ class _Bins:
             self.rooms |= 1 << left
 
 
-def _improve(members: list[list[int]], sizes: np.ndarray, capacity: int) -> list[list[int]]:
+def _improve(members: list[list[int]], sizes: np.ndarray, capacity: int, passes: int = PASSES) -> list[list[int]]:
     """Drain the least filled bins into the others while the sum of squared fills grows."""
+    for _ in range(passes):
+        better = _drained(members, sizes, capacity)
+        changed, members = sorted(map(sorted, better)) != sorted(map(sorted, members)), better
+        if not changed:
+            break
+    return members
+
+
+def _drained(members: list[list[int]], sizes: np.ndarray, capacity: int) -> list[list[int]]:
+    """One pass of the local search, from the least filled bin to the fullest one."""
     fill = np.array([int(sizes[m].sum()) for m in members], "int64")
     done = [m for m, f in zip(members, fill, strict=True) if f == capacity]
     order = [i for i in np.argsort(fill, kind="stable") if fill[i] < capacity]
