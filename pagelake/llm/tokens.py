@@ -17,7 +17,7 @@ from pagelake.llm.common import process_cache
 
 _cut = re.compile(r" (?=\S)")
 # Chunks kept per worker process (about 0.25 KB each); beyond this the cache starts anew.
-CACHED_CHUNKS = 800_000
+CACHED_CHUNKS = 500_000
 
 
 def default_tokenizer() -> str:

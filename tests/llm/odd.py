@@ -20,5 +20,10 @@ def docs(spark):
     return spark.createDataFrame(rows(), SCHEMA).repartition(3)
 
 
+def storable(df):
+    """The same without names that differ in case only, which Parquet refuses."""
+    return df.toDF(*["kept" if c == "TEXT" else c for c in df.columns])
+
+
 def empty(spark):
     return spark.createDataFrame([], SCHEMA)
