@@ -5,21 +5,15 @@ whole request table and the current state tables and returns new state plus a
 status per request, keeping the reference's acceptance rules and their order.
 
 The one inherently sequential rule (a rejected request must not consume
-balance, so acceptance depends on every earlier decision of the same
-account) is evaluated as:
-
-1. a distributed prefix sum of costs per account (block-wise, bounded groups);
-2. every request before the first one whose prefix exceeds the balance is
-   accepted without any fold, the first such request is rejected;
-3. later requests that cost more than what was left are rejected outright
-   (the balance only shrinks);
-4. steps 1-3 repeat on what is still open, with the balance left, while some
-   account still has over a million open requests (each round exact and
-   fully distributed; the check is one small aggregation);
-5. only what is open after that goes through a streaming per-account fold
-   (``mapInPandas`` over partitions sorted by account and request id): state is
-   one balance, never a collected list, so a hot account costs time in one
-   task but no memory.
+balance, so acceptance depends on every earlier decision of the same account)
+is evaluated for all accounts in parallel by halving what is left.  With
+``2^j <= rest < 2^(j+1)``, costs below ``2^j`` are small.  Until the first
+event every small request is accepted and every large one rejected.  The event
+is the earlier of the first large cost that still fits and the first small one
+that brings the rest below ``2^j``; both are accepted, and either way the rest
+loses its top bit.  So the rounds are at most the bit length of the largest
+balance, plus one.  A round is a block-wise prefix sum of the small costs, one
+aggregation per account and a join; no account is folded in one task.
 """
 
 from __future__ import annotations
@@ -49,7 +43,6 @@ INVALID = "invalid"                   # a registration field failed validation
 
 REQUEST_BLOCK = 1 << 16               # request-id block for per-account prefix sums
 SHOP_SEQ_BLOCK = 1 << 16              # change-log sequence block for per-item numbering
-HOT_ACCOUNT_ROWS = 1_000_000          # open requests of one account that justify another distributed round
 
 
 # ---------------------------------------------------------------- balances
@@ -64,82 +57,49 @@ def apply_credits(profiles: DataFrame, credits: DataFrame) -> tuple[DataFrame, D
 
 
 # ---------------------------------------------------------------- ordered fold
-def _fold_partition(batches):
-    """Streaming fold over rows sorted by (account_id, request_id)."""
-    import numpy as np
-    import pandas as pd
-
-    current, balance = None, 0
-    for pdf in batches:
-        acc = pdf["account_id"].to_numpy()
-        cost = pdf["cost"].to_numpy()
-        start = pdf["rem"].to_numpy()
-        ok = np.zeros(len(pdf), dtype=bool)
-        for i in range(len(pdf)):
-            if acc[i] != current:
-                current, balance = acc[i], start[i]
-            if cost[i] <= balance:
-                balance -= cost[i]
-                ok[i] = True
-        yield pd.DataFrame({"request_id": pdf["request_id"].to_numpy(), "ok": ok})
-
-
-def _overdraft_round(pending: DataFrame, balances: DataFrame):
-    """One exact, fully distributed step of the fold.
-
-    Per account: prefix sums of cost (block-wise windows, bounded groups); every
-    request before the first one whose prefix exceeds the balance is accepted;
-    that one is rejected, and so is every later request costing more than what
-    is left (the balance never grows).  Returns ``(decided, pending', balances')``.
+def _halving_round(pending: DataFrame) -> DataFrame:
+    """One round over ``account_id, request_id, cost, __rest`` and carried columns.
+
+    Adds ``__small`` and, from the account's event, ``__event`` (its request)
+    and ``__left`` (the rest after it); both are null without an event.
     """
-    d = running_total(pending, ["request_id"], "cost", "cum", REQUEST_BLOCK, inclusive=True,
-                      partition_cols=["account_id"]).join(balances.select("account_id", "balance"), "account_id")
-    first_bad = d.where(F.col("cum") > F.col("balance")).groupBy("account_id").agg(
-        F.min_by(F.struct("request_id", (F.col("balance") - F.col("cum") + F.col("cost")).alias("rem")),
-                 "request_id").alias("fb"))
-    # one materialised frame feeds the branches below (no re-evaluation)
-    d = cut_lineage(d.join(first_bad.select("account_id", F.col("fb.request_id").alias("k"),
-                                            F.col("fb.rem").alias("rem")), "account_id", "left"))
-    accepted = F.col("k").isNull() | (F.col("request_id") < F.col("k"))
-    rejected = ~accepted & ((F.col("request_id") == F.col("k")) | (F.col("cost") > F.col("rem")))
-    decided = d.where(accepted | rejected).select("request_id", "account_id", "cost", accepted.alias("ok"))
-    rest = d.where(~accepted & ~rejected)
-    return decided, rest.select("account_id", "request_id", "cost"), \
-        rest.select("account_id", F.col("rem").alias("balance")).distinct()
-
-
-def ordered_fold(requests: DataFrame, balances: DataFrame, rounds: int = 8,
-                 hot_rows: int = HOT_ACCOUNT_ROWS) -> DataFrame:
+    rest, cost = F.col("__rest"), F.col("cost")
+    top = F.when(rest > 0, F.expr("shiftleft(1L, length(bin(__rest)) - 1)")).otherwise(F.lit(0).cast("bigint"))
+    d = pending.withColumn("__top", top).withColumn("__small", cost < F.col("__top"))
+    d = d.withColumn("__add", F.when(F.col("__small"), cost).otherwise(F.lit(0).cast("bigint")))
+    d = running_total(d, ["request_id"], "__add", "__before", REQUEST_BLOCK, partition_cols=["account_id"])
+    left = rest - F.col("__before") - cost
+    event = (rest > 0) & F.when(F.col("__small"), left < F.col("__top")).otherwise(left >= 0)
+    events = d.where(event).groupBy("account_id").agg(F.min_by(F.struct("request_id", left.alias("left")), "request_id").alias("e"))
+    events = events.select("account_id", F.col("e.request_id").alias("__event"), F.col("e.left").alias("__left"))
+    return d.drop("__top", "__add", "__before").join(events, "account_id", "left")
+
+
+def ordered_fold(requests: DataFrame, balances: DataFrame) -> DataFrame:
     """Accept requests per account in ``request_id`` order while the balance covers them.
 
-    ``requests``: ``account_id, request_id, cost`` (all checks other than the
-    balance already passed).  ``balances``: ``account_id, balance``.
-    Returns ``request_id, account_id, cost, ok``.
-
-    The first distributed overdraft round always runs.  Further rounds (up to
-    ``rounds`` in total) run only while some account still has more than
-    ``hot_rows`` open requests (a size check, one small aggregation); what is
-    open after that goes through the streaming fold.
+    ``requests``: ``account_id, request_id, cost`` and any other columns, which
+    are carried along (all checks other than the balance already passed; costs
+    are not negative).  ``balances``: ``account_id, balance``.  Returns the
+    request rows with ``ok``.
     """
-    pending = requests.select("account_id", "request_id", "cost")
-    bal = balances.select("account_id", "balance")
-    parts = []
-    for i in range(rounds):
-        decided, pending, bal = _overdraft_round(pending, bal)
-        parts.append(decided)
-        largest = pending.groupBy("account_id").count().agg(F.max("count")).first()[0]
-        if largest is None or largest <= hot_rows:
+    columns = requests.columns
+    pending = requests.join(balances.select("account_id", F.col("balance").alias("__rest")), "account_id")
+    decided = []
+    while True:
+        d = cut_lineage(_halving_round(pending))
+        done = F.col("__event").isNull() | (F.col("request_id") <= F.col("__event"))
+        # nothing left: only what costs nothing is accepted
+        ok = (F.when(F.col("__rest") <= 0, F.col("cost") <= F.col("__rest"))
+               .otherwise(F.col("__small") | F.coalesce(F.col("request_id") == F.col("__event"), F.lit(False))))
+        decided.append(d.where(done).select(*columns, ok.alias("ok")))
+        pending = d.where(~done).select(*columns, F.col("__left").alias("__rest"))
+        if pending.isEmpty():
             break
-    foldable = pending.join(bal.select("account_id", F.col("balance").alias("rem")), "account_id")
-    folded = (foldable.repartition("account_id")
-                      .sortWithinPartitions("account_id", "request_id")
-                      .mapInPandas(_fold_partition, "request_id bigint, ok boolean"))
-    parts.append(folded.join(foldable.select("request_id", "account_id", "cost"), "request_id")
-                       .select("request_id", "account_id", "cost", "ok"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return cut_lineage(out)
+    out = decided[0]
+    for part in decided[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def settle(profiles: DataFrame, decided: DataFrame) -> DataFrame:
@@ -237,10 +197,9 @@ def run_purchases(requests: DataFrame, profiles: DataFrame, catalog: DataFrame,
     profiles = cut_lineage(profiles)
     checked = cut_lineage(purchase_checks(requests, profiles, catalog, shop))
     open_ = checked.where(F.col("status").isNull())
-    decided = ordered_fold(open_.select("account_id", "request_id", "cost"), profiles)
-    settled = open_.drop("status").join(decided.select("request_id", "ok"), "request_id").select(
-        "request_id", "account_id", "item_id", "item_count", "cost",
-        F.when(F.col("ok"), F.lit(OK)).otherwise(F.lit(INSUFFICIENT)).alias("status"))
+    decided = ordered_fold(open_.drop("status"), profiles)
+    settled = decided.select("request_id", "account_id", "item_id", "item_count", "cost",
+                             F.when(F.col("ok"), F.lit(OK)).otherwise(F.lit(INSUFFICIENT)).alias("status"))
     decisions = checked.where(F.col("status").isNotNull()).unionByName(settled)
     return decisions, settle(profiles, decided)
 
@@ -263,10 +222,9 @@ def run_draws(requests: DataFrame, profiles: DataFrame):
                .when(F.col("amount") <= 0, F.lit(INVALID_COUNT)))
     checked = cut_lineage(r.select("request_id", "account_id", "amount", status.alias("status")))
     open_ = checked.where(F.col("status").isNull())
-    decided = ordered_fold(open_.select("account_id", "request_id", F.col("amount").alias("cost")), profiles)
-    settled = open_.drop("status").join(decided.select("request_id", "ok"), "request_id").select(
-        "request_id", "account_id", "amount",
-        F.when(F.col("ok"), F.lit(OK)).otherwise(F.lit(INSUFFICIENT)).alias("status"))
+    decided = ordered_fold(open_.drop("status").withColumn("cost", F.col("amount").cast("bigint")), profiles)
+    settled = decided.select("request_id", "account_id", "amount",
+                             F.when(F.col("ok"), F.lit(OK)).otherwise(F.lit(INSUFFICIENT)).alias("status"))
     decisions = checked.where(F.col("status").isNotNull()).unionByName(settled)
     pulled = decided.where("ok").groupBy("account_id").agg(F.sum("cost").alias("pulled"))
     new_profiles = settle(profiles, decided).join(pulled, "account_id", "left").withColumn(

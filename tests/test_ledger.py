@@ -26,14 +26,29 @@ def test_fold_matches_sequential_loop(spark):
     bal[99] = 500
     r = spark.createDataFrame(reqs, "account_id long, request_id long, cost long")
     b = spark.createDataFrame(list(bal.items()), "account_id long, balance long")
-    # streaming fold only; one round; forced extra rounds (hot threshold 0); the default
-    for rounds, hot in ((0, 0), (1, 0), (3, 0), (3, L.HOT_ACCOUNT_ROWS)):
-        got = {x.request_id: x.ok for x in L.ordered_fold(r, b, rounds=rounds, hot_rows=hot).collect()}
-        assert len(got) == len(reqs)
-        for acc in bal:
-            mine = sorted((q for q in reqs if q[0] == acc), key=lambda q: q[1])
-            ok, _ = purchase_fold(bal[acc], [q[2] for q in mine])
-            assert [got[q[1]] for q in mine] == ok, (rounds, hot, acc)
+    got = {x.request_id: x.ok for x in L.ordered_fold(r, b).collect()}
+    assert len(got) == len(reqs)
+    for acc in bal:
+        mine = sorted((q for q in reqs if q[0] == acc), key=lambda q: q[1])
+        ok, _ = purchase_fold(bal[acc], [q[2] for q in mine])
+        assert [got[q[1]] for q in mine] == ok, acc
+
+
+def test_fold_of_alternating_costs_and_a_dominant_account(spark):
+    """Small costs between nearly full ones, one account with 90% of all requests, zero costs, ids shared by accounts."""
+    rnd = random.Random(11)
+    reqs = [(1, i, 1 if i % 2 else 999) for i in range(1, 1200)]
+    reqs += [(2, i, rnd.choice([0, 0, 3, 70])) for i in range(1, 60)] + [(3, i, 2 ** 40) for i in range(1, 5)]
+    bal = {1: 1000, 2: 500, 3: 2 ** 41 + 5, 4: 7}
+    r = spark.createDataFrame([(*q, f"n{q[0]}-{q[1]}") for q in reqs], "account_id long, request_id long, cost long, note string")
+    b = spark.createDataFrame(list(bal.items()), "account_id long, balance long")
+    rows = L.ordered_fold(r, b).collect()
+    assert len(rows) == len(reqs) and all(x.note == f"n{x.account_id}-{x.request_id}" for x in rows)
+    got = {(x.account_id, x.request_id): x.ok for x in rows}
+    for acc in bal:
+        mine = sorted((q for q in reqs if q[0] == acc), key=lambda q: q[1])
+        ok, _ = purchase_fold(bal[acc], [q[2] for q in mine])
+        assert [got[q[:2]] for q in mine] == ok, acc
 
 
 def test_scripted_scenario(spark):
