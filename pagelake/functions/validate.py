@@ -24,8 +24,6 @@ ACCOUNT_NAME_MAX = 20
 DISPLAY_NAME_MAX = 20
 MAIL_MAX = 50
 PHONE_MAX = 16
-ACCOUNT_STATUSES = ["pending", "live", "hold", "yanked", "archive", "deleted"]
-ITEM_STATUSES = ["live", "yanked"]
 # --- end of fixed values
 
 

@@ -38,12 +38,13 @@ def render_page(page_id, title, redirect_title, text, ts=None, rev_id=None) -> C
         F.lit("</timestamp>\n"), text_el, F.lit("    </revision>\n  </page>\n"))
 
 
-XML_OPTIONS = {"ignoreSurroundingSpaces": "false", "mode": "PERMISSIVE"}
+CORRUPT = "_corrupt_record"
+XML_OPTIONS = {"ignoreSurroundingSpaces": "false", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
 
 
 def parse_page(record, schema_ddl: str = PAGE_SCHEMA_DDL) -> Column:
-    """Parse one ``<page>...</page>`` record into the nested page struct."""
-    return F.from_xml(_as_col(record), schema_ddl, XML_OPTIONS)
+    """Parse one ``<page>...</page>`` record into the nested page struct; ``CORRUPT`` holds a record that does not parse."""
+    return F.from_xml(_as_col(record), f"{schema_ddl}, {CORRUPT} STRING", XML_OPTIONS)
 
 
 def flat_page(parsed) -> list[Column]:
@@ -57,28 +58,19 @@ def flat_page(parsed) -> list[Column]:
 def xml_valid(record) -> Column:
     """Well-formed record: parses without a corrupt record and ends in its one ``</page>``."""
     rec = _as_col(record)
-    parsed = F.from_xml(rec, STRING_PAGE_SCHEMA_DDL + ", _corrupt_record STRING",
-                        {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record",
-                         "ignoreSurroundingSpaces": "false"})
+    parsed = parse_page(rec, STRING_PAGE_SCHEMA_DDL)
     trimmed = F.rtrim(rec, F.lit(" \r\n\t"))
     one_end = (F.size(F.split(rec, "</page>", -1)) == 2) & trimmed.endswith("</page>")
-    return rec.isNotNull() & parsed["_corrupt_record"].isNull() & one_end
+    return rec.isNotNull() & parsed[CORRUPT].isNull() & one_end
 
 
-# --- fixed values: regexes that reduce a record to its tag skeleton
-_SKELETON_STEPS = [
-    (r"(?s)<!--.*?-->", ""),                      # comments
-    (r"=\"[^\"]*\"", ""),                          # attribute values (double quotes)
-    (r"='[^']*'", ""),                             # attribute values (single quotes)
-    (r">[ \t\r\n]+<", "> <"),                     # layout whitespace between tags
-    (r">[^<]*[^ \t\r\n<][^<]*<", "><"),            # text content
-    (r"[ \t\r\n]+(/?>)", "$1"),                    # whitespace before a tag end
-]
+# A tag, with quoted values that may hold any character; quotes in text do not count.
+_TAG = r"""<(?:[^<>"']++|"[^"]*+"|'[^']*+')*+>"""
 
 
 def page_skeleton(record) -> Column:
-    """Tag names and attribute names of a record, without text or values."""
-    c = F.btrim(_as_col(record), F.lit(" \r\n\t"))
-    for pattern, repl in _SKELETON_STEPS:
-        c = F.regexp_replace(c, pattern, repl)
-    return c
+    """Tag names and attribute names of a record, without comments, text or values."""
+    tags = F.regexp_extract_all(F.regexp_replace(_as_col(record), r"(?s)<!--.*?-->", ""), F.lit(_TAG), 0)
+    bare = F.transform(tags, lambda t: F.regexp_replace(
+        F.regexp_replace(t, r"""=\s*(?:"[^"]*"|'[^']*')""", ""), r"[ \t\r\n]+(/?>)", "$1"))
+    return F.array_join(bare, "")

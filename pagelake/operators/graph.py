@@ -7,11 +7,10 @@ from pyspark.sql import functions as F
 
 from pagelake.session import cut_lineage
 
-# Frontiers up to this many rows are broadcast; larger ones use a shuffle join.
-BROADCAST_FRONTIER_ROWS = 200_000
 CATEGORY_PREFIX = "category:"
 # --- fixed values: lower-cased namespaces that are not content pages
 NON_CONTENT_PREFIX_PATTERN = "^(category|module|template|portal|help):"
+# --- end of fixed values
 
 
 def category_index_lines(cat_pages: DataFrame) -> DataFrame:
@@ -20,21 +19,19 @@ def category_index_lines(cat_pages: DataFrame) -> DataFrame:
                                         F.array_join("cats", "|")).alias("value"))
 
 
-def parse_category_index(lines: DataFrame, col: str = "value") -> DataFrame:
-    """Lower-cased lines -> ``page_id, title, cats`` (empty category names dropped)."""
+def parse_category_index(lines: DataFrame, col: str = "value") -> tuple[DataFrame, DataFrame]:
+    """Lower-cased lines -> (``page_id, title, cats``, rejects); empty category names are dropped.
+
+    A line without a numeric id or without a title goes to the rejects.
+    """
     parts = F.split(F.lower(F.col(col)), r"\|", -1)
-    return lines.select(
+    parsed = lines.select(
+        F.col(col).alias("line"),
         F.try_element_at(parts, F.lit(1)).try_cast("bigint").alias("page_id"),
         F.try_element_at(parts, F.lit(2)).alias("title"),
-        F.filter(F.slice(parts, 3, F.greatest(F.size(parts) - 2, F.lit(1))), lambda c: c != "").alias("cats"),
-    ).where(F.col("page_id").isNotNull() & F.col("title").isNotNull())
-
-
-def lowered_index(cat_pages: DataFrame) -> DataFrame:
-    """The category index as loaded: lower-cased, empty names dropped (no text round trip)."""
-    return cat_pages.select(
-        "page_id", F.lower("title").alias("title"),
-        F.filter(F.transform("cats", lambda c: F.lower(c)), lambda c: c != "").alias("cats"))
+        F.filter(F.slice(parts, 3, F.greatest(F.size(parts) - 2, F.lit(1))), lambda c: c != "").alias("cats"))
+    ok = F.col("page_id").isNotNull() & F.col("title").isNotNull()
+    return parsed.where(ok).drop("line"), parsed.where(~ok).select("line")
 
 
 def category_pages(index: DataFrame) -> DataFrame:
@@ -59,44 +56,30 @@ def parent_edges(index: DataFrame, cats: DataFrame) -> DataFrame:
     return names.join(targets, "name").select("page_id", "parent_id").distinct()
 
 
-def _small(df: DataFrame, n: int) -> DataFrame:
-    return F.broadcast(df) if n <= BROADCAST_FRONTIER_ROWS else df
-
-
-def descendants(cats: DataFrame, root: str, rounds: int = 5) -> DataFrame:
+def descendants(cats: DataFrame, root: str, max_depth: int | None = None) -> DataFrame:
     """Level-by-level walk below ``root`` over category pages.
 
     Level 0: category pages listing ``root`` as a parent (not filtered by what
-    was seen).  Then up to ``rounds`` levels: unseen category pages with any
-    parent in the previous level.  Stops early when a level is empty.  Each
-    level is checkpointed to the reliable checkpoint folder so the lineage
-    stays flat and a lost executor only recomputes one level.
+    was seen).  Then unseen category pages with any parent in the previous
+    level, until a level is empty or, if given, level ``max_depth`` is done.
+    Each level is checkpointed to the shared folder, so the lineage stays flat
+    and a lost executor only recomputes one level.
     Returns ``level, page_id, title``.
     """
     root = root.lower()
     spark = cats.sparkSession
     edges = cut_lineage(cats.select("page_id", "title", F.explode("cats").alias("parent")))
     level = cut_lineage(edges.where(F.col("parent") == root).select("page_id", "title").distinct())
-    levels = [level.withColumn("level", F.lit(0).cast("bigint"))]
-    n_level = level.count()
-    # seen = root + every level so far; each level is already checkpointed, so
-    # the union stays a flat plan.  Its size is bounded by the sum of counts.
-    seen = spark.createDataFrame([(root,)], "title string")
-    seen = seen.unionByName(level.select("title"))
-    n_seen = 1 + n_level
-    for i in range(1, rounds + 1):
-        if n_level == 0:
-            break
+    out = level.withColumn("level", F.lit(0).cast("bigint"))
+    seen = level.select("title").unionByName(spark.createDataFrame([(root,)], "title string"))
+    depth = 0
+    while not level.isEmpty() and (max_depth is None or depth < max_depth):
+        depth += 1
         frontier = level.select(F.col("title").alias("parent")).distinct()
-        hit = edges.join(_small(frontier, n_level), "parent", "left_semi").select("page_id", "title").distinct()
-        level = cut_lineage(hit.join(_small(seen.distinct(), n_seen), "title", "left_anti"))
-        n_level = level.count()
-        n_seen += n_level
-        levels.append(level.withColumn("level", F.lit(i).cast("bigint")))
+        hit = edges.join(frontier, "parent", "left_semi").select("page_id", "title").distinct()
+        level = cut_lineage(hit.join(seen, "title", "left_anti"))
+        out = out.unionByName(level.withColumn("level", F.lit(depth).cast("bigint")))
         seen = seen.unionByName(level.select("title"))
-    out = levels[0]
-    for lv in levels[1:]:
-        out = out.unionByName(lv)
     return out.select("level", "page_id", "title")
 
 

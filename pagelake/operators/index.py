@@ -1,4 +1,4 @@
-"""Dump index, stream ranges, re-chunking, the chunk index and its validation."""
+"""Dump index, stream ranges, greedy packing of streams, and validation of the index."""
 
 from __future__ import annotations
 
@@ -6,12 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagelake.functions import xml as X
-from pagelake.operators.windows import next_value, running_total
+from pagelake.operators.windows import next_value
 from pagelake.session import cut_lineage
 
 OFFSET_BLOCK_BYTES = 1 << 30      # offset blocks for ordered work (~1 GiB of dump each)
-ORDINAL_BLOCK = 4096              # ordinal blocks for ordered work over streams/chunks
-ID_BITS = 28                      # packed offset/id layout: offset << 28 | id
 
 
 def parse_dump_index(lines: DataFrame, col: str = "value") -> tuple[DataFrame, DataFrame]:
@@ -36,19 +34,6 @@ def index_line_counts(lines: DataFrame, col: str = "value") -> DataFrame:
         F.count(F.lit(1)).alias("n_lines"), F.count_if(bad).alias("n_rejects"))
 
 
-def parse_chunk_index(lines: DataFrame, col: str = "value") -> tuple[DataFrame, DataFrame]:
-    """``st:ed:page_id:title`` -> (rows, rejects)."""
-    p = f"split({col}, ':', 4)"
-    parsed = lines.select(
-        F.col(col).alias("line"),
-        F.expr(f"try_cast(try_element_at({p}, 1) AS BIGINT)").alias("st"),
-        F.expr(f"try_cast(try_element_at({p}, 2) AS BIGINT)").alias("ed"),
-        F.expr(f"try_cast(try_element_at({p}, 3) AS BIGINT)").alias("page_id"),
-        F.expr(f"CASE WHEN size({p}) = 4 THEN try_element_at({p}, 4) END").alias("title"))
-    ok = F.col("st").isNotNull() & F.col("ed").isNotNull() & F.col("page_id").isNotNull() & F.col("title").isNotNull()
-    return parsed.where(ok).drop("line"), parsed.where(~ok).select("line")
-
-
 def distinct_offsets(index: DataFrame) -> DataFrame:
     return index.select("offset").distinct()
 
@@ -60,69 +45,11 @@ def stream_ranges(index: DataFrame, file_len) -> DataFrame:
 
 
 def pages_by_stream(index: DataFrame) -> DataFrame:
-    """offset -> its pages (bounded: a stream holds at most a few hundred pages)."""
+    """offset -> its pages, ``id title`` per line (bounded: a stream holds at most a few hundred pages)."""
+    page = F.struct("page_id", F.concat_ws(" ", F.col("page_id").cast("string"), "title").alias("line"))
     return index.groupBy("offset").agg(
         F.count(F.lit(1)).alias("n_pages"),
-        F.array_join(F.array_sort(F.collect_list("page_id")), ",").alias("page_ids"))
-
-
-def stream_ordinals(ranges: DataFrame) -> DataFrame:
-    """0-based position of each stream in file order, without a global window."""
-    one = ranges.withColumn("__one", F.lit(1))
-    return running_total(one, ["st"], "__one", "stream_no", OFFSET_BLOCK_BYTES).drop("__one")
-
-
-def pack_streams_n(ranges: DataFrame, batch: int, group: int = 4) -> DataFrame:
-    """Every ``group`` consecutive streams form one chunk, restarting per batch of ``batch`` streams."""
-    per_batch = -(-batch // group)
-    o = stream_ordinals(ranges)
-    batch_no = F.floor(F.col("stream_no") / batch)
-    in_batch = F.floor((F.col("stream_no") % batch) / group)
-    return o.withColumn("batch_no", batch_no.cast("bigint")).withColumn(
-        "chunk_no", (batch_no * per_batch + in_batch).cast("bigint"))
-
-
-def chunk_table(packed: DataFrame) -> DataFrame:
-    """Per chunk: its streams' span and its start/end in the re-written file.
-
-    ``chunk_bytes`` is the byte length of its streams; the new offsets are the
-    running total over chunks (block-wise, no single-partition window).
-    """
-    chunks = packed.groupBy("chunk_no").agg(
-        F.min("st").alias("src_st"), F.max("ed").alias("src_ed"),
-        F.sum(F.col("ed") - F.col("st")).cast("bigint").alias("chunk_bytes"))
-    off = running_total(chunks, ["chunk_no"], "chunk_bytes", "st", ORDINAL_BLOCK)
-    return off.withColumn("ed", F.col("st") + F.col("chunk_bytes"))
-
-
-def chunk_index(index: DataFrame, packed: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Re-mapped index rows ``st, ed, page_id, title`` (chunk offsets in the new file)."""
-    stream_chunk = packed.select(F.col("st").alias("offset"), "chunk_no")
-    return (index.join(stream_chunk, "offset")
-                 .join(chunks.select("chunk_no", "st", "ed"), "chunk_no")
-                 .select("st", "ed", "page_id", "title"))
-
-
-def chunk_index_lines(rows: DataFrame) -> DataFrame:
-    return rows.select(F.concat_ws(":", "st", "ed", "page_id", "title").alias("value"))
-
-
-def pages_by_chunk(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("st", "ed").agg(
-        F.count(F.lit(1)).alias("n_pages"),
-        F.array_join(F.array_sort(F.collect_list("page_id")), ",").alias("page_ids"))
-
-
-def pack_offset_id(offset, page_id):
-    return F.shiftleft(F.col(offset), ID_BITS).bitwiseOR(F.col(page_id))
-
-
-def unpack_offset(packed):
-    return F.shiftright(F.col(packed), ID_BITS)
-
-
-def unpack_id(packed):
-    return F.col(packed).bitwiseAND(F.lit((1 << ID_BITS) - 1))
+        F.array_join(F.transform(F.array_sort(F.collect_list(page)), lambda p: p["line"]), "\n").alias("pages"))
 
 
 def greedy_pack_starts(ranges: DataFrame, limit: int, max_rounds: int = 64) -> DataFrame:
@@ -163,28 +90,30 @@ def greedy_pack_starts(ranges: DataFrame, limit: int, max_rounds: int = 64) -> D
     return out.select("st", "ed", F.coalesce("pack_start", F.lit(False)).alias("pack_start"))
 
 
-def validate_chunks(rows: DataFrame, records: DataFrame) -> DataFrame:
-    """Per chunk: every indexed page is present in that chunk with its id and title, and
-    every record is well-formed; records not in the index fail their chunk too.
+def validate_index(index: DataFrame, records: DataFrame) -> DataFrame:
+    """Index against stored records, per stream; pages that are stored but not indexed report under stream -1.
 
-    ``rows``: ``st, ed, page_id, title`` (the chunk index).  ``records``:
-    ``st, page_id, record`` (raw, entity-encoded page XML stored in chunk ``st``).
+    ``index``: ``offset, page_id, title``.  ``records``: ``record``, raw page
+    XML; id and title are read from the record's own elements, so a wrong one
+    on either side shows.  Titles are compared trimmed; a title that holds
+    U+0085 is compared as that character.  A record without an id, or one that
+    is malformed, has no title and is not well-formed.
     """
-    idx = rows.select("st", "page_id", "title")
-    rec = records.select(F.col("st").alias("rec_st"), "page_id", "record")
-    j = idx.join(rec, "page_id", "full_outer")
-    expected = F.when(F.instr("title", "\u0085") > 0, F.lit("\u0085")).otherwise(F.trim("title"))
-    title_tag = F.concat(F.lit("<title>"), X.xml_escape(expected), F.lit("</title>"))
-    id_tag = F.concat(F.lit("<id>"), F.col("page_id").cast("string"), F.lit("</id>"))
-    chunk = F.coalesce(F.col("st"), F.col("rec_st"))
+    head = F.substring_index("record", "<revision>", 1)
+    stored = records.select(
+        F.regexp_extract(head, "<id>([0-9]+)</id>", 1).try_cast("bigint").alias("rec_id"),
+        F.regexp_extract(head, "(?s)<title>(.*?)</title>", 1).alias("rec_title"),
+        X.xml_valid("record").alias("rec_ok"))
+    trimmed = F.trim("title")
+    expected = X.xml_escape(F.when(F.instr("title", "\u0085") > 0, F.lit("\u0085")).otherwise(trimmed))
+    j = index.join(stored, index["page_id"] == stored["rec_id"], "full_outer")
+    indexed, found = F.col("page_id").isNotNull(), F.col("rec_ok").isNotNull()
+    ok = F.coalesce("rec_ok", F.lit(False))
     flags = j.select(
-        chunk.alias("st"),
-        (F.col("st").isNotNull() & F.col("rec_st").eqNullSafe(F.col("st")) &
-         F.coalesce(F.instr("record", id_tag) > 0, F.lit(False))).alias("id_ok"),
-        F.coalesce(F.instr("record", title_tag) > 0, F.lit(False)).alias("title_ok"),
-        F.coalesce(X.xml_valid("record"), F.lit(False)).alias("xml_ok"),
-        F.col("st").isNotNull().alias("indexed"), F.col("rec_st").isNotNull().alias("stored"))
-    return flags.groupBy("st").agg(
+        F.coalesce("offset", F.lit(-1)).alias("offset"), indexed.alias("indexed"), found.alias("stored"),
+        (indexed & ok).alias("id_ok"), (F.coalesce(F.trim("rec_title") == expected, F.lit(False)) & ok).alias("title_ok"),
+        ok.alias("xml_ok"))
+    return flags.groupBy("offset").agg(
         F.count_if("indexed").alias("n_indexed"), F.count_if("stored").alias("n_stored"),
         F.bool_and("id_ok").alias("ids_ok"), F.bool_and("title_ok").alias("titles_ok"),
         F.bool_and("xml_ok").alias("xml_ok"),
@@ -193,16 +122,4 @@ def validate_chunks(rows: DataFrame, records: DataFrame) -> DataFrame:
 
 def all_valid(report: DataFrame) -> DataFrame:
     return report.agg(F.coalesce(F.bool_and("valid"), F.lit(True)).alias("all_valid"),
-                      F.count(F.lit(1)).alias("n_chunks"))
-
-
-def chunk_profile(chunks: DataFrame, text_bytes: DataFrame) -> DataFrame:
-    """Count, max and mean of chunk sizes and of the text bytes per chunk."""
-    sized = chunks.select("st", (F.col("ed") - F.col("st")).alias("chunk_bytes")).join(
-        text_bytes.groupBy("st").agg(F.sum("text_bytes").alias("text_bytes")), "st", "left")
-    return sized.agg(
-        F.count(F.lit(1)).alias("n_chunks"),
-        F.max("chunk_bytes").cast("bigint").alias("max_chunk_bytes"),
-        F.round(F.avg("chunk_bytes"), 3).alias("avg_chunk_bytes"),
-        F.max("text_bytes").cast("bigint").alias("max_text_bytes"),
-        F.round(F.avg("text_bytes"), 3).alias("avg_text_bytes"))
+                      F.count(F.lit(1)).alias("n_streams"))

@@ -340,8 +340,9 @@ def register(requests: DataFrame, existing_local: DataFrame, existing_global: Da
     from pagelake.functions import validate as V
     valid = (V.account_name_ok("username") & V.account_name_ok("display_name", V.DISPLAY_NAME_MAX)
              & V.mail_ok("mail") & (F.col("phone").isNull() | V.phone_ok("phone")))
-    taken = existing_local.select("username", F.lit(True).alias("taken"))
-    glob = existing_global.select("username", F.lit(True).alias("uni_reused"))
+    # a name may stand in the state more than once; a request must not multiply
+    taken = existing_local.select("username").distinct().withColumn("taken", F.lit(True))
+    glob = existing_global.select("username").distinct().withColumn("uni_reused", F.lit(True))
     r = requests.withColumn("__valid", valid).join(taken, "username", "left").join(glob, "username", "left")
     # same-batch duplicates: the earliest *valid* request for a free name wins
     first = r.where(F.col("__valid") & F.col("taken").isNull()).groupBy("username").agg(

@@ -54,7 +54,7 @@ def q_mask_markup(spark, sf_dir):
 @query("mask_markup_html")
 def q_mask_markup_html(spark, sf_dir):
     """The same union mask on real markup: raw web pages (one comment per page)."""
-    pages = VW.spread(VW.table(spark, sf_dir, "pages"))
+    pages = VW.table(spark, sf_dir, "pages")
     return pages.select("page_id", T.masked_text("html").alias("masked"))
 
 
@@ -221,7 +221,7 @@ def q_flt_phone(spark, sf_dir):
 
 @query("prj_url_norm")
 def q_prj_url_norm(spark, sf_dir):
-    pages = VW.spread(VW.table(spark, sf_dir, "pages"))
+    pages = VW.table(spark, sf_dir, "pages")
     hrefs = pages.select("page_id", V.url_origin("url").alias("origin"),
                          T.numbered(F.regexp_extract_all("html", F.lit(r'href="([^"]*)"'), 1), "href_pos", "href"))
     page_urls = pages.select("page_id", F.lit(0).cast("bigint").alias("href_pos"), V.url_origin("url").alias("origin"),
@@ -245,8 +245,6 @@ def q_media_profile(spark, sf_dir):
 
 # ---------------------------------------------------------------- dump index, streams, chunks
 
-INDEX_BATCH = 10          # streams per re-chunk batch (the reference uses threads * 10)
-PACK_GROUP = 4            # streams per chunk inside a batch
 PACK_LIMIT = 500_000      # bytes per greedy pack before it closes
 
 
@@ -262,19 +260,6 @@ def _ranges(spark, sf_dir):
     return IX.stream_ranges(_dump_index(spark, sf_dir), VW.dump_file_length(spark, sf_dir))
 
 
-def _packed(spark, sf_dir):
-    """Streams with their chunk number (one row per stream, materialised once)."""
-    return cut_lineage(IX.pack_streams_n(_ranges(spark, sf_dir), INDEX_BATCH, PACK_GROUP))
-
-
-def _chunk_rows(spark, sf_dir):
-    """The re-mapped chunk index, materialised once like the index file it stands for."""
-    idx = _dump_index(spark, sf_dir)
-    packed = cut_lineage(IX.pack_streams_n(IX.stream_ranges(idx, VW.dump_file_length(spark, sf_dir)),
-                                           INDEX_BATCH, PACK_GROUP))
-    return cut_lineage(IX.chunk_index(idx, packed, IX.chunk_table(packed)))
-
-
 def _scratch(spark, name):
     return shared_dir(spark, f"tables/{name}-{uuid.uuid4().hex[:12]}")
 
@@ -304,99 +289,52 @@ def q_grp_pages_by_stream(spark, sf_dir):
     return IX.pages_by_stream(_dump_index(spark, sf_dir))
 
 
-@query("stream_pack_n")
-def q_stream_pack_n(spark, sf_dir):
-    return _packed(spark, sf_dir).select("st", "stream_no", "batch_no", "chunk_no")
-
-
-@query("chunk_offsets")
-def q_chunk_offsets(spark, sf_dir):
-    return IX.chunk_table(_packed(spark, sf_dir)).select("chunk_no", "src_st", "src_ed", "chunk_bytes", "st", "ed")
-
-
 @query("stream_pack_bytes")
 def q_stream_pack_bytes(spark, sf_dir):
     return IX.greedy_pack_starts(_ranges(spark, sf_dir), PACK_LIMIT)
 
 
-@query("pack_offset_id")
-def q_pack_offset_id(spark, sf_dir):
-    packed = _dump_index(spark, sf_dir).select("offset", "page_id", IX.pack_offset_id("offset", "page_id").alias("packed"))
-    return packed.select("page_id", "offset", "packed", IX.unpack_offset("packed").alias("offset_back"),
-                         IX.unpack_id("packed").alias("id_back"))
-
-
-@query("sink_chunk_index")
-def q_sink_chunk_index(spark, sf_dir):
-    path = _scratch(spark, "chunk_index")
-    S.write_lines(IX.chunk_index_lines(_chunk_rows(spark, sf_dir)), path)
-    return spark.read.text(path)
-
-
-@query("src_chunk_index")
-def q_src_chunk_index(spark, sf_dir):
-    """Write the re-mapped index as text, then parse the file."""
-    path = _scratch(spark, "chunk_index_src")
-    S.write_lines(IX.chunk_index_lines(_chunk_rows(spark, sf_dir)), path)
-    rows, _ = IX.parse_chunk_index(spark.read.text(path))
-    return rows
-
-
-@query("grp_pages_by_chunk")
-def q_grp_pages_by_chunk(spark, sf_dir):
-    return IX.pages_by_chunk(_chunk_rows(spark, sf_dir))
-
-
-@query("sink_chunk_table")
-def q_sink_chunk_table(spark, sf_dir):
-    path = _scratch(spark, "chunk_table")
-    S.write_chunk_table(_chunk_rows(spark, sf_dir), path)
-    return spark.read.parquet(path)
-
-
 def _page_index(spark, sf_dir):
-    """The page index table: stats per page plus its chunk."""
-    rows = _chunk_rows(spark, sf_dir).select("page_id", F.col("st").alias("chunk_st"))
-    stats = P.page_link_stats(wiki_pages(spark, sf_dir))
-    titles = wiki_pages(spark, sf_dir).select("page_id", F.col("title").alias("page_title"))
-    return rows.join(stats, "page_id").join(titles, "page_id")
-
+    """The page index table: stats and title per page, and the stream that holds it."""
+    pages = wiki_pages(spark, sf_dir)
+    stats = P.page_link_stats(pages)
+    rows = _dump_index(spark, sf_dir).select("page_id", F.col("offset").alias("stream_st"), F.col("title").alias("page_title"))
+    return rows.join(stats, "page_id")
 
-@query("join_index_chunk")
-def q_join_index_chunk(spark, sf_dir):
-    chunks = _chunk_rows(spark, sf_dir).select("st", "ed").distinct()
-    idx = _page_index(spark, sf_dir).select("page_id", "chunk_st")
-    return idx.join(chunks, idx.chunk_st == chunks.st, "inner").select("page_id", "st", "ed")
 
+def _faulty_dump(spark, sf_dir):
+    """Dump and index that disagree: pages missing on either side, wrong titles and ids, broken records.
 
-def _chunk_records(spark, sf_dir, rows):
-    return rows.select("st", "page_id").join(_records(spark, sf_dir), "page_id").select("st", "page_id", "record")
+    Both go through files: the records are read back from a dump, the index
+    from its text form.
+    """
+    kind = F.col("page_id") % 97
+    records = _records(spark, sf_dir).where(kind != 5)
+    broken = F.replace(F.col("record"), F.lit("</revision>"), F.lit("</revision"))
+    dump = _scratch(spark, "faulty_dump")
+    S.write_dump(records.withColumn("record", F.when(kind == 13, broken).otherwise(F.col("record"))), dump)
+    index = _dump_index(spark, sf_dir).where(kind != 7).select(
+        "offset", F.when(kind == 11, F.col("page_id") + 1000000007).otherwise(F.col("page_id")).alias("page_id"),
+        F.when(kind == 9, F.concat(F.lit("not "), F.col("title"))).otherwise(F.col("title")).alias("title"))
+    lines = _scratch(spark, "faulty_index")
+    S.write_lines(index.select(F.concat_ws(":", "offset", "page_id", "title").alias("value")), lines)
+    rows, _ = IX.parse_dump_index(spark.read.text(lines))
+    return rows, D.page_records(spark, dump)
 
 
 @query("validate_index")
 def q_validate_index(spark, sf_dir):
-    rows = _chunk_rows(spark, sf_dir)
-    return IX.validate_chunks(rows, _chunk_records(spark, sf_dir, rows))
+    return IX.validate_index(*_faulty_dump(spark, sf_dir))
 
 
 @query("all_valid")
 def q_all_valid(spark, sf_dir):
-    rows = _chunk_rows(spark, sf_dir)
-    return IX.all_valid(IX.validate_chunks(rows, _chunk_records(spark, sf_dir, rows)))
-
-
-@query("chunk_profile")
-def q_chunk_profile(spark, sf_dir):
-    rows = _chunk_rows(spark, sf_dir)
-    text_bytes = rows.select("st", "page_id").join(
-        wiki_pages(spark, sf_dir).select("page_id", F.octet_length("text").alias("text_bytes")), "page_id")
-    return IX.chunk_profile(rows.select("st", "ed").distinct(), text_bytes)
+    return IX.all_valid(IX.validate_index(*_faulty_dump(spark, sf_dir)))
 
 
 # ---------------------------------------------------------------- category index and graph
 
 GRAPH_ROOT = "k0"
-GRAPH_ROUNDS = 5
 
 
 def _cat_index(spark, sf_dir):
@@ -408,7 +346,8 @@ def _cat_index(spark, sf_dir):
     """
     path = _scratch(spark, "category_index_src")
     S.write_lines(G.category_index_lines(_cat_pages(spark, sf_dir)), path)
-    return G.parse_category_index(spark.read.text(path))
+    rows, _ = G.parse_category_index(spark.read.text(path))
+    return rows
 
 
 def _cat_graph_pages(spark, sf_dir):
@@ -416,7 +355,7 @@ def _cat_graph_pages(spark, sf_dir):
 
 
 def _levels(spark, sf_dir):
-    return G.descendants(_cat_graph_pages(spark, sf_dir), GRAPH_ROOT, GRAPH_ROUNDS)
+    return G.descendants(_cat_graph_pages(spark, sf_dir), GRAPH_ROOT)
 
 
 @query("src_category_index")
@@ -465,13 +404,13 @@ def q_set_union_seen(spark, sf_dir):
 @query("set_difference_seen")
 def q_set_difference_seen(spark, sf_dir):
     cats = _cat_graph_pages(spark, sf_dir)
-    return G.unseen_categories(cats, G.seen_titles(G.descendants(cats, GRAPH_ROOT, GRAPH_ROUNDS), GRAPH_ROOT))
+    return G.unseen_categories(cats, G.seen_titles(G.descendants(cats, GRAPH_ROOT), GRAPH_ROOT))
 
 
 @query("pages_under_category")
 def q_pages_under_category(spark, sf_dir):
     idx = _cat_index(spark, sf_dir)
-    seen = G.seen_titles(G.descendants(G.category_pages(idx), GRAPH_ROOT, GRAPH_ROUNDS), GRAPH_ROOT)
+    seen = G.seen_titles(G.descendants(G.category_pages(idx), GRAPH_ROOT), GRAPH_ROOT)
     return G.pages_under(idx, seen)
 
 
@@ -716,7 +655,7 @@ def q_sink_page_store(spark, sf_dir):
 def q_sink_page_index_table(spark, sf_dir):
     path = _scratch(spark, "page_index")
     rows = _page_index(spark, sf_dir).select(
-        "page_id", "chunk_st", "link_count", "sect_count", F.lit(1).cast("bigint").alias("revi_count"),
+        "page_id", "stream_st", "link_count", "sect_count", F.lit(1).cast("bigint").alias("revi_count"),
         "page_type", "page_title")
     S.write_table(rows, path)
     return spark.read.parquet(path)

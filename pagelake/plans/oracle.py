@@ -174,17 +174,17 @@ ORACLE["trim_ws"] = with_(wiki_cte(), _RAW_GROUPS) + f"SELECT page_id, cat_pos,
 ORACLE["collapse_spaces"] = with_(wiki_cte(), _RAW_GROUPS) + \
     "SELECT page_id, cat_pos, regexp_replace(raw, '  +', ' ', 'g') AS collapsed FROM raw_groups"
 
-ORACLE["page_layout"] = with_(wiki_cte(), records_cte()) + f"""
-SELECT DISTINCT
-  regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
-    trim(record, {_WS}),
-    '(?s)<!--.*?-->', '', 'g'),
-    '="[^"]*"', '', 'g'),
-    '=''[^'']*''', '', 'g'),
-    '>[ \\t\\r\\n]+<', '> <', 'g'),
-    '>[^<]*[^ \\t\\r\\n<][^<]*<', '><', 'g'),
-    '[ \\t\\r\\n]+(/?>)', '\\1', 'g') AS layout
-FROM records"""
+# from the record frame, not from the record text: a page has a redirect or not, and a text or not
+ORACLE["page_layout"] = with_(wiki_cte()) + """
+SELECT DISTINCT '<page><title></title><ns></ns><id></id>' ||
+  CASE WHEN redirect_title IS NULL THEN '' ELSE '<redirect title/>' END ||
+  '<revision><id></id><timestamp></timestamp>' ||
+  CASE WHEN text IS NULL THEN '<text bytes/>' ELSE '<text bytes xml:space></text>' END || '</revision></page>' AS layout
+FROM wiki_pages"""
+# from the rule: after comments and entities are gone, no markup and no ampersand may be left
+ORACLE["xml_validate"] = with_(wiki_cte()) + """
+SELECT page_id, NOT regexp_matches(regexp_replace(regexp_replace(text, '(?s)<!--.*?-->', '', 'g'),
+  '&(amp|lt|gt|quot|apos|#[0-9]+|#x[0-9a-fA-F]+);', '', 'g'), '[<&]') AS is_valid FROM wiki_pages"""
 
 ORACLE["src_pages"] = with_(wiki_cte()) + "SELECT page_id, title, redirect_title, text FROM wiki_pages"
 ORACLE["page_to_json"] = with_(wiki_cte()) + """
@@ -260,17 +260,7 @@ soff AS (SELECT stream, CAST(550 + coalesce(sum(stream_bytes) OVER (ORDER BY str
 flen AS (SELECT CAST(550 + sum(n_chars) AS BIGINT) AS file_len FROM documents),
 idx AS (SELECT s."offset", w.page_id, w.title FROM wiki_pages w JOIN soff s ON CAST(floor(w.page_id / 100) AS BIGINT) = s.stream),
 ranges AS (SELECT "offset" AS st, CAST(coalesce(lead("offset") OVER (ORDER BY "offset"), (SELECT file_len FROM flen)) AS BIGINT) AS ed
-  FROM (SELECT DISTINCT "offset" FROM idx)),
-packed AS (SELECT st, ed, CAST(row_number() OVER (ORDER BY st) - 1 AS BIGINT) AS stream_no FROM ranges),
-packed2 AS (SELECT st, ed, stream_no, CAST(floor(stream_no / 10) AS BIGINT) AS batch_no,
-  CAST(floor(stream_no / 10) * 3 + floor((stream_no % 10) / 4) AS BIGINT) AS chunk_no FROM packed),
-chunks AS (SELECT chunk_no, min(st) AS src_st, max(ed) AS src_ed, CAST(sum(ed - st) AS BIGINT) AS chunk_bytes
-  FROM packed2 GROUP BY chunk_no),
-choff AS (SELECT chunk_no, src_st, src_ed, chunk_bytes,
-  CAST(coalesce(sum(chunk_bytes) OVER (ORDER BY chunk_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS st
-  FROM chunks),
-crows AS (SELECT c.st, c.st + c.chunk_bytes AS ed, i.page_id, i.title
-  FROM idx i JOIN packed2 p ON i."offset" = p.st JOIN choff c ON c.chunk_no = p.chunk_no)
+  FROM (SELECT DISTINCT "offset" FROM idx))
 """
 
 
@@ -280,9 +270,7 @@ ORACLE["line_count"] = _IX + "SELECT CAST(count(*) AS BIGINT) AS n_lines, CAST(0
 ORACLE["sort_offsets"] = _IX + 'SELECT DISTINCT "offset" FROM idx ORDER BY 1'
 ORACLE["stream_ranges"] = _IX + "SELECT st, ed FROM ranges"
 ORACLE["grp_pages_by_stream"] = _IX + """SELECT "offset", CAST(count(*) AS BIGINT) AS n_pages,
-  string_agg(CAST(page_id AS VARCHAR), ',' ORDER BY page_id) AS page_ids FROM idx GROUP BY "offset" """
-ORACLE["stream_pack_n"] = _IX + "SELECT st, stream_no, batch_no, chunk_no FROM packed2"
-ORACLE["chunk_offsets"] = _IX + "SELECT chunk_no, src_st, src_ed, chunk_bytes, st, st + chunk_bytes AS ed FROM choff"
+  string_agg(CAST(page_id AS VARCHAR) || ' ' || title, chr(10) ORDER BY page_id) AS pages FROM idx GROUP BY "offset" """
 ORACLE["stream_pack_bytes"] = _IX + """,
 walk AS (
   SELECT (SELECT min(st) FROM ranges) AS base
@@ -290,36 +278,25 @@ walk AS (
   SELECT (SELECT min(r.ed) FROM ranges r WHERE r.ed > w.base + 500000) FROM walk w WHERE w.base IS NOT NULL)
 SELECT r.st, r.ed, r.st IN (SELECT base FROM walk WHERE base IS NOT NULL) AS pack_start FROM ranges r"""
 ORACLE["stream_pack_bytes"] = ORACLE["stream_pack_bytes"].replace("WITH ", "WITH RECURSIVE ", 1)
-ORACLE["pack_offset_id"] = _IX + """SELECT page_id, "offset", ("offset" << 28) | page_id AS packed,
-  "offset" AS offset_back, page_id AS id_back FROM idx"""
-ORACLE["sink_chunk_index"] = _IX + """SELECT CAST(st AS VARCHAR) || ':' || CAST(ed AS VARCHAR) || ':' || CAST(page_id AS VARCHAR) || ':' || title AS value
-FROM crows"""
-ORACLE["src_chunk_index"] = _IX + "SELECT st, ed, page_id, title FROM crows"
-ORACLE["grp_pages_by_chunk"] = _IX + """SELECT st, ed, CAST(count(*) AS BIGINT) AS n_pages,
-  string_agg(CAST(page_id AS VARCHAR), ',' ORDER BY page_id) AS page_ids FROM crows GROUP BY st, ed"""
-ORACLE["sink_chunk_table"] = _IX + "SELECT DISTINCT st, ed FROM crows"
-ORACLE["join_index_chunk"] = _IX + "SELECT page_id, st, ed FROM crows"
-# ids and titles are checked for real against records rendered here; DuckDB has
-# no XML parser, so well-formedness is taken as given for these escaped records.
-_VALIDATE = with_(wiki_cte(), index_ctes(), records_cte()).rstrip() + f""",
+# the same faults as in the derived dump, each flag computed from them
+_VALIDATE = with_(wiki_cte(), index_ctes()).rstrip() + """,
+stored AS (SELECT page_id, title, page_id % 97 <> 13 AS xml_ok FROM wiki_pages WHERE page_id % 97 <> 5),
+indexed AS (SELECT "offset", CASE WHEN page_id % 97 = 11 THEN page_id + 1000000007 ELSE page_id END AS page_id,
+    CASE WHEN page_id % 97 = 9 THEN 'not ' || title ELSE title END AS title
+  FROM idx WHERE page_id % 97 <> 7),
 checks AS (
-  SELECT c.st, strpos(r.record, '<id>' || CAST(c.page_id AS VARCHAR) || '</id>') > 0 AS id_ok,
-    strpos(r.record, '<title>' || {_esc("trim(c.title)")} || '</title>') > 0 AS title_ok
-  FROM crows c JOIN records r ON r.page_id = c.page_id),
+  SELECT coalesce(i."offset", -1) AS "offset", i.page_id IS NOT NULL AS indexed, s.page_id IS NOT NULL AS stored,
+    i.page_id IS NOT NULL AND s.page_id IS NOT NULL AND s.xml_ok AS id_ok,
+    coalesce(trim(i.title) = trim(s.title), false) AND coalesce(s.xml_ok, false) AS title_ok, coalesce(s.xml_ok, false) AS xml_ok
+  FROM indexed i FULL JOIN stored s ON s.page_id = i.page_id),
 report AS (
-  SELECT st, CAST(count(*) AS BIGINT) AS n_indexed, CAST(count(*) AS BIGINT) AS n_stored,
-    bool_and(id_ok) AS ids_ok, bool_and(title_ok) AS titles_ok, true AS xml_ok,
-    bool_and(id_ok) AND bool_and(title_ok) AS valid
-  FROM checks GROUP BY st)
+  SELECT "offset", CAST(count(*) FILTER (indexed) AS BIGINT) AS n_indexed, CAST(count(*) FILTER (stored) AS BIGINT) AS n_stored,
+    bool_and(id_ok) AS ids_ok, bool_and(title_ok) AS titles_ok, bool_and(xml_ok) AS xml_ok,
+    bool_and(id_ok AND title_ok AND xml_ok) AS valid
+  FROM checks GROUP BY "offset")
 """
 ORACLE["validate_index"] = _VALIDATE + "SELECT * FROM report"
-ORACLE["all_valid"] = _VALIDATE + "SELECT bool_and(valid) AS all_valid, CAST(count(*) AS BIGINT) AS n_chunks FROM report"
-ORACLE["chunk_profile"] = _IX + """, per_chunk AS (
-  SELECT c.st, max(c.ed) - c.st AS chunk_bytes, sum(strlen(w.text)) AS text_bytes
-  FROM crows c JOIN wiki_pages w ON w.page_id = c.page_id GROUP BY c.st)
-SELECT CAST(count(*) AS BIGINT) AS n_chunks, CAST(max(chunk_bytes) AS BIGINT) AS max_chunk_bytes,
-  round(avg(chunk_bytes), 3) AS avg_chunk_bytes, CAST(max(text_bytes) AS BIGINT) AS max_text_bytes,
-  round(avg(text_bytes), 3) AS avg_text_bytes FROM per_chunk"""
+ORACLE["all_valid"] = _VALIDATE + "SELECT bool_and(valid) AS all_valid, CAST(count(*) AS BIGINT) AS n_streams FROM report"
 
 # ---------------------------------------------------------------- category index and graph
 
@@ -339,7 +316,7 @@ walk(title, depth) AS (
   SELECT DISTINCT title, 0 FROM cat_edges WHERE parent = 'k0'
   UNION
   SELECT e.title, w.depth + 1 FROM walk w JOIN cat_edges e ON e.parent = w.title
-  WHERE w.depth < 5 AND e.title <> 'k0'),
+  WHERE w.depth < (SELECT count(*) FROM cat_graph) AND e.title <> 'k0'),
 levels AS (SELECT CAST(min(depth) AS BIGINT) AS level, title FROM walk GROUP BY title),
 level_rows AS (SELECT l.level, c.page_id, c.title FROM levels l JOIN cat_graph c ON c.title = l.title),
 seen AS (SELECT title FROM levels UNION SELECT 'k0')
@@ -549,5 +526,5 @@ ORACLE["sink_page_index_table"] = _IX.rstrip() + f""",
 typed AS (SELECT page_id, title, {_PAGE_TYPE_SQL} AS page_type,
   CAST(coalesce(len(regexp_extract_all(text, {_q(LINK_PATTERN)})), 0) AS BIGINT) AS link_count,
   CAST(coalesce(len(regexp_extract_all(text, {_q(SECTION_PATTERN)})), 0) AS BIGINT) AS sect_count FROM wiki_pages)
-SELECT c.page_id, c.st AS chunk_st, t.link_count, t.sect_count, CAST(1 AS BIGINT) AS revi_count, t.page_type,
-  t.title AS page_title FROM crows c JOIN typed t ON t.page_id = c.page_id"""
+SELECT c.page_id, c."offset" AS stream_st, t.link_count, t.sect_count, CAST(1 AS BIGINT) AS revi_count, t.page_type,
+  t.title AS page_title FROM idx c JOIN typed t ON t.page_id = c.page_id"""

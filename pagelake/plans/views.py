@@ -14,15 +14,26 @@ TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineite
 
 # Wiki pages derived from ``documents``: namespace prefixes, redirects, parent
 # categories forming a graph, a pipe sort key, leading and double spaces, a
-# masked comment and an overlapping comment/nowiki span.
+# masked comment and an overlapping comment/nowiki span.  In every odd hundred
+# of ids the categories form one chain; every fifth hundred is a ring that no
+# other category reaches.
 WIKI_PAGES_SQL = """
 SELECT doc_id AS page_id,
  concat(CASE doc_id % 10 WHEN 0 THEN 'Category:' WHEN 1 THEN 'Template:' WHEN 2 THEN 'Module:'
    WHEN 3 THEN 'Portal:' WHEN 4 THEN 'Help:' WHEN 5 THEN 'Wikipedia:' ELSE '' END,
    'K', CAST(doc_id AS STRING)) AS title,
  CASE WHEN doc_id % 9 = 4 THEN concat('K', CAST(doc_id - doc_id % 2 AS STRING)) END AS redirect_title,
- concat('[[Category:K', CAST(CAST(floor(doc_id / 30) AS BIGINT) * 10 AS STRING), ']] [[Category: K',
-   CAST(((CAST(floor(doc_id / 10) AS BIGINT) * 7 + 1) % 20) * 10 AS STRING), '  |s]] ',
+ concat('[[Category:K', CAST(CASE
+     WHEN CAST(floor(doc_id / 100) AS BIGINT) % 5 = 4 THEN
+       CAST(floor(doc_id / 100) AS BIGINT) * 100 + (CAST(floor(doc_id / 10) AS BIGINT) + 9) % 10 * 10
+     WHEN CAST(floor(doc_id / 100) AS BIGINT) % 2 = 1 AND CAST(floor(doc_id / 10) AS BIGINT) % 10 > 0 THEN
+       CAST(floor(doc_id / 10) AS BIGINT) * 10 - 10
+     ELSE CAST(floor(doc_id / 30) AS BIGINT) * 10 END AS STRING), ']] [[Category: K',
+   CAST(CASE
+     WHEN CAST(floor(doc_id / 100) AS BIGINT) % 5 = 4 THEN
+       CAST(floor(doc_id / 100) AS BIGINT) * 100 + (CAST(floor(doc_id / 10) AS BIGINT) + 9) % 10 * 10
+     WHEN CAST(floor(doc_id / 100) AS BIGINT) % 2 = 1 THEN CAST(floor(doc_id / 30) AS BIGINT) * 10
+     ELSE ((CAST(floor(doc_id / 10) AS BIGINT) * 7 + 1) % 20) * 10 END AS STRING), '  |s]] ',
    CASE WHEN doc_id % 3 = 0 THEN '<!-- <nowiki> --> [[Category:KZ]] </nowiki>'
         ELSE '<!-- [[Category:KX]] -->' END,
    ' ==', lang, '== [[', source, ']] ', text) AS text
@@ -34,22 +45,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def spread(df: DataFrame, per_core: int = 2) -> DataFrame:
-    """Spread a text-heavy scan over all cores.
-
-    Regex work on page text is CPU-bound.  A big input already scans as many
-    partitions and is left alone; a scan with fewer partitions than the
-    cluster has cores (a single row group, a few large files) is
-    round-robin repartitioned once so every core gets text to work on.
-    """
-    try:
-        target = df.sparkSession.sparkContext.defaultParallelism * per_core
-        scanned = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - no RDD API (e.g. a Connect session): leave the scan as is
-        return df
-    return df.repartition(target) if scanned < target else df
-
-
 def register_tables(spark: SparkSession, sf_dir: str, names=None) -> None:
     for name in names or TABLES:
         table(spark, sf_dir, name).createOrReplaceTempView(name)
@@ -57,7 +52,7 @@ def register_tables(spark: SparkSession, sf_dir: str, names=None) -> None:
 
 def wiki_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``page_id, title, redirect_title, text`` over the whole documents table."""
-    spread(table(spark, sf_dir, "documents")).createOrReplaceTempView("documents")
+    table(spark, sf_dir, "documents").createOrReplaceTempView("documents")
     return spark.sql(WIKI_PAGES_SQL)
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
 CONTRIBUTOR_DDL = "STRUCT<ip: STRING, username: STRING, id: BIGINT>"
 REVISION_DDL = (
     "STRUCT<id: BIGINT, parentid: BIGINT, timestamp: STRING, contributor: " + CONTRIBUTOR_DDL +
@@ -16,26 +14,3 @@ PAGE_SCHEMA_DDL = (
 )
 # All-string variant used for well-formedness checks only.
 STRING_PAGE_SCHEMA_DDL = "id STRING, title STRING, ns STRING, revision ARRAY<STRING>"
-
-DUMP_INDEX_SCHEMA = T.StructType([
-    T.StructField("offset", T.LongType()),
-    T.StructField("page_id", T.LongType()),
-    T.StructField("title", T.StringType()),
-])
-
-CHUNK_INDEX_SCHEMA = T.StructType([
-    T.StructField("st", T.LongType()),
-    T.StructField("ed", T.LongType()),
-    T.StructField("page_id", T.LongType()),
-    T.StructField("title", T.StringType()),
-])
-
-PAGE_INDEX_SCHEMA = T.StructType([
-    T.StructField("page_id", T.LongType()),
-    T.StructField("chunk_st", T.LongType()),
-    T.StructField("link_count", T.LongType()),
-    T.StructField("sect_count", T.LongType()),
-    T.StructField("revi_count", T.LongType()),
-    T.StructField("page_type", T.StringType()),
-    T.StructField("page_title", T.StringType()),
-])

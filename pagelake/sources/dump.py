@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagelake.functions import xml as X
-from pagelake.schemas import PAGE_SCHEMA_DDL
 
 PAGE_OPEN, PAGE_CLOSE = "<page>", "</page>"
 
@@ -36,8 +35,8 @@ def records_from_chunks(raw: DataFrame) -> DataFrame:
 def read_pages(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Current-revision dump -> (``page_id, title, redirect_title, text``, rejects).
 
-    Records that do not parse (or parse without an id) go to the reject frame
-    instead of failing the job.
+    Records that are malformed anywhere, hold a value of the wrong type, or
+    have no id go to the reject frame, whole, instead of failing the job.
     """
     return split_parsed(page_records(spark, path))
 
@@ -45,9 +44,8 @@ def read_pages(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 def split_parsed(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Parse records; (``page_id, title, redirect_title, text``, rejects)."""
     recs = records.select("record", X.parse_page("record").alias("p"))
-    good = recs.where(F.col("p.id").isNotNull()).select(*X.flat_page("p"))
-    bad = recs.where(F.col("p.id").isNull()).select("record")
-    return good, bad
+    ok = F.col("p.id").isNotNull() & F.col(f"p.{X.CORRUPT}").isNull()
+    return recs.where(ok).select(*X.flat_page("p")), recs.where(~ok).select("record")
 
 
 def read_history(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -57,15 +55,16 @@ def read_history(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     of ``struct<id, timestamp, bytes>`` with the timestamp parsed (RFC 3339);
     pages with an unparsable timestamp go to the rejects.
     """
-    recs = page_records(spark, path).select("record", F.from_xml("record", PAGE_SCHEMA_DDL, X.XML_OPTIONS).alias("p"))
+    recs = page_records(spark, path).select("record", X.parse_page("record").alias("p"))
     revs = F.transform("p.revision", lambda r: F.struct(
         r["id"].alias("id"), rfc3339_to_timestamp(r["timestamp"]).alias("timestamp"),
         r["text"]["_bytes"].alias("bytes")))
     pages = recs.select(F.col("p.id").alias("page_id"), F.col("p.title").alias("title"),
-                        F.col("p.redirect._title").alias("redirect_title"), revs.alias("revision"), "record")
-    bad_ts = F.exists("revision", lambda r: r["timestamp"].isNull())
-    ok = F.col("page_id").isNotNull() & ~bad_ts
-    return pages.where(ok).drop("record"), pages.where(~ok).select("record")
+                        F.col("p.redirect._title").alias("redirect_title"), revs.alias("revision"), F.col(f"p.{X.CORRUPT}").alias("corrupt"), "record")
+    # a page without revisions has no bad timestamp
+    bad_ts = F.coalesce(F.exists("revision", lambda r: r["timestamp"].isNull()), F.lit(False))
+    ok = F.col("page_id").isNotNull() & F.col("corrupt").isNull() & ~bad_ts
+    return pages.where(ok).drop("record", "corrupt"), pages.where(~ok).select("record")
 
 
 def rfc3339_to_timestamp(c):
@@ -94,11 +93,6 @@ def site_info_text(first_record):
     return F.btrim(F.substring_index(c, PAGE_OPEN, 1), F.lit(" \r\n\t"))
 
 
-def read_text_index(spark: SparkSession, path: str) -> DataFrame:
-    """Plain or compressed text index, one ``value`` per line."""
-    return spark.read.text(path)
-
-
 def read_media(spark: SparkSession, path: str) -> DataFrame:
     """Binary files -> ``path, length, media_type`` (classified by magic bytes)."""
     from pagelake.functions.media import media_type

@@ -14,11 +14,6 @@ def write_lines(df: DataFrame, path: str, col: str = "value", compression: str |
     w.text(path)
 
 
-def write_chunk_table(rows: DataFrame, path: str) -> None:
-    """Distinct ``(st, ed)`` chunk ranges."""
-    rows.select("st", "ed").distinct().write.mode("overwrite").parquet(path)
-
-
 def write_table(df: DataFrame, path: str, compression: str = "zstd") -> None:
     """Atomic overwrite of a Parquet table."""
     df.write.mode("overwrite").option("compression", compression).parquet(path)

@@ -23,15 +23,6 @@ def test_stream_ranges_last_ends_at_file_length(spark):
     assert rng == [(550, 900), (900, 5000), (5000, 7000)]
 
 
-def test_ordinals_and_pack_n_across_blocks(spark):
-    # offsets far apart so the block-wise running count crosses many blocks
-    offs = sorted(random.Random(1).sample(range(1, 1 << 36), 57))
-    rng = spark.createDataFrame([(o, o + 1) for o in offs], "st long, ed long")
-    packed = {r.st: (r.stream_no, r.batch_no, r.chunk_no) for r in IX.pack_streams_n(rng, 10, 4).collect()}
-    for i, o in enumerate(offs):
-        assert packed[o] == (i, i // 10, (i // 10) * 3 + (i % 10) // 4)
-
-
 def test_greedy_packing_matches_loop(spark):
     rnd = random.Random(11)
     for limit in (1000, 5000):
@@ -46,20 +37,21 @@ def test_greedy_packing_matches_loop(spark):
         assert got == want, limit
 
 
-def test_pack_offset_id_round_trip(spark):
-    df = spark.createDataFrame([(123456789, 268435455), (0, 1)], "offset long, page_id long")
-    p = df.select("offset", "page_id", IX.pack_offset_id("offset", "page_id").alias("packed"))
-    for r in p.select("offset", "page_id", IX.unpack_offset("packed").alias("o"), IX.unpack_id("packed").alias("i")).collect():
-        assert (r.o, r.i) == (r.offset, r.page_id)
-
-
-def test_validate_chunks_flags_mismatches(spark):
-    rows = spark.createDataFrame([(0, 10, 1, "A"), (0, 10, 2, " B "), (10, 20, 3, "C")],
-                                 "st long, ed long, page_id long, title string")
-    recs = spark.createDataFrame([(0, 1, "<page><title>A</title><id>1</id></page>"),
-                                  (0, 2, "<page><title>B</title><id>2</id></page>"),
-                                  (10, 3, "<page><title>Z</title><id>3</id></page>")],
-                                 "st long, page_id long, record string")
-    rep = {r.st: r.valid for r in IX.validate_chunks(rows, recs).collect()}
-    assert rep == {0: True, 10: False}
-    assert IX.all_valid(IX.validate_chunks(rows, recs)).first().all_valid is False
+def test_validate_index_flags_each_fault(spark):
+    good = "<page><title>{t}</title><id>{i}</id><revision><id>9</id></revision></page>"
+    rows = [(0, 1, "A"), (0, 2, " B "), (10, 3, "C"), (20, 4, "D"), (30, 5, "E"), (40, 6, "F & G")]
+    recs = [good.format(t="A", i=1), good.format(t="B", i=2), good.format(t="Z", i=3), good.format(t="E", i=5)[:-9],
+            good.format(t="F &amp; G", i=6), good.format(t="extra", i=7)]
+    rep = IX.validate_index(spark.createDataFrame(rows, "offset long, page_id long, title string"),
+                            spark.createDataFrame([(r,) for r in recs], "record string"))
+    got = {r.offset: (r.n_indexed, r.n_stored, r.ids_ok, r.titles_ok, r.xml_ok, r.valid) for r in rep.collect()}
+    assert got == {0: (2, 2, True, True, True, True), 10: (1, 1, True, False, True, False),   # wrong title
+                   20: (1, 0, False, False, False, False),                                     # missing record
+                   30: (1, 1, False, False, False, False),                                     # malformed record
+                   40: (1, 1, True, True, True, True), -1: (0, 1, False, False, True, False)}  # not indexed
+    assert IX.all_valid(rep).first().all_valid is False
+
+
+def test_pages_by_stream_keeps_titles(spark):
+    idx = spark.createDataFrame([(5, 12, "b"), (5, 3, "a: c"), (9, 1, "z")], "offset long, page_id long, title string")
+    assert sorted(map(tuple, IX.pages_by_stream(idx).collect())) == [(5, 2, "3 a: c\n12 b"), (9, 1, "1 z")]

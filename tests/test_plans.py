@@ -1,7 +1,7 @@
 import __spark_entry__ as E
 
 SF = "/root/testdata/sf0.001"
-JOIN_HEAVY = ["join_parent_category", "pages_under_category", "join_index_chunk", "validate_index",
+JOIN_HEAVY = ["join_parent_category", "pages_under_category", "validate_index",
               "stream_pack_bytes", "ledger_purchase", "ledger_draw_pages", "ledger_relation", "register_batch",
               "user_info", "src_site_info", "category_counts"]
 

@@ -48,6 +48,29 @@ def test_bad_records_go_to_rejects(spark, scratch):
     assert bad.count() == 2
 
 
+def test_no_text_is_lost_to_a_malformed_record(spark):
+    page = "<page><title>{t}</title><id>{i}</id><revision><id>{r}</id><text>{x}</text></revision></page>"
+    recs = [page.format(t="a", i=1, r=1, x="fine &amp; well"), page.format(t="b", i=2, r=2, x="bare & here"),
+            page.format(t="c", i=3, r="x7", x="wrong type"), page.format(t="d", i=4, r=4, x="stray <b> tag")]
+    good, bad = D.split_parsed(spark.createDataFrame([(r,) for r in recs], "record string"))
+    assert [(r.page_id, r.text) for r in good.collect()] == [(1, "fine & well")]
+    assert sorted(r.record for r in bad.collect()) == sorted(recs[1:])
+
+
+def test_history_keeps_pages_without_revisions(spark, scratch):
+    text = ("<page><title>none</title><id>1</id></page><page><title>one</title><id>2</id><revision><id>3</id>"
+            "<timestamp>2001-01-01T00:00:00Z</timestamp></revision></page><page><title>x & y</title><id>4</id></page>")
+    S.write_lines(spark.createDataFrame([(text,)], "value string"), os.path.join(scratch, "h"))
+    good, bad = D.read_history(spark, os.path.join(scratch, "h"))
+    assert sorted(r.page_id for r in good.collect()) == [1, 2] and bad.count() == 1
+
+
+def test_page_skeleton_ignores_quotes_in_text(spark):
+    rec = """<page><comment>x='b</comment><text bytes="3" note='a > b'>it's fine</text>\n <minor />\n</page>"""
+    got = spark.createDataFrame([(rec,)], "r string").select(X.page_skeleton("r").alias("s")).first().s
+    assert got == "<page><comment></comment><text bytes note></text><minor/></page>"
+
+
 def test_history_shards_and_sink(spark, scratch):
     shard = ('<page><title>K1</title><ns>0</ns><id>1</id>'
              '<revision><id>10</id><timestamp>2001-01-01T00:00:00Z</timestamp><text bytes="7" /></revision>'
