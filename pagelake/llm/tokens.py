@@ -10,14 +10,18 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 
 import numpy as np
 
 from pagelake.llm.common import process_cache
 
 _cut = re.compile(r" (?=\S)")
-# Chunks kept per worker process (about 0.25 KB each); beyond this the cache starts anew.
-CACHED_CHUNKS = 500_000
+# A place: the first id in the store, shifted, and the number of ids.
+_SHIFT = 31
+_LENGTH = (1 << _SHIFT) - 1
+# Chunks kept per worker process (about 0.16 KB each); beyond this the cache starts anew.
+CACHED_CHUNKS = 1_400_000
 
 
 def default_tokenizer() -> str:
@@ -49,13 +53,11 @@ class ChunkEncoder:
         self.clear()
 
     def clear(self) -> None:
-        # chunks after a space, and first chunks of a text, which have none
+        # places of chunks after a space, and of first chunks of a text, which have none
         self.place: dict[str, int] = {}
         self.first: dict[str, int] = {}
         self.pieces: dict[str, list[int]] = {}
-        self.count = 0
-        self.starts, self.lengths = np.zeros(1024, "int64"), np.zeros(1024, "int64")
-        self.ids, self.used = np.zeros(4096, "uint32"), 0
+        self.ids = array("I")
 
     def _piece(self, piece: str) -> list[int]:
         """Ids of one pre-token, spelled in byte letters."""
@@ -64,6 +66,14 @@ class ChunkEncoder:
             ids = self.pieces[piece] = [t.id for t in self.model.tokenize(piece)]
         return ids
 
+    def _word(self, word: str) -> list[int]:
+        """Ids of a run of letters after a space; words are chunks themselves."""
+        at = self.place.get(word)
+        if at is None:
+            at = self._learn(self.place, word, " " + word)
+        begin = at >> _SHIFT
+        return self.ids[begin:begin + (at & _LENGTH)].tolist()
+
     def _spell(self, text: str) -> str:
         if text.isascii() and text[1:].isalnum():
             return "\u0120" + text[1:] if text[0] == " " else text
@@ -74,64 +84,56 @@ class ChunkEncoder:
             # a run of letters after a space, and marks after it, are pre-tokens as they stand
             body = chunk[1:]
             if body.isalpha():
-                return self._piece(self._spell(chunk))
+                return [t.id for t in self.model.tokenize(self._spell(chunk))]
             word = body.rstrip(".,;:!?*$%&#|")
             if word.isalpha():
-                return self._piece(self._spell(" " + word)) + self._piece(body[len(word):])
+                return self._word(word) + self._piece(body[len(word):])
         return [i for piece, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(chunk) for i in self._piece(piece)]
 
     def _learn(self, known: dict[str, int], key: str, chunk: str) -> int:
         ids = self._encode(chunk) if chunk else []
-        n = self.count
-        if n == len(self.starts):
-            self.starts, self.lengths = np.resize(self.starts, 2 * n), np.resize(self.lengths, 2 * n)
-        while self.used + len(ids) > len(self.ids):
-            self.ids = np.resize(self.ids, 2 * len(self.ids))
-        self.ids[self.used:self.used + len(ids)] = ids
-        self.starts[n], self.lengths[n] = self.used, len(ids)
-        self.used += len(ids)
-        self.count += 1
-        known[key] = n
-        return n
-
-    def _first(self, chunk: str) -> int:
-        at = self.first.get(chunk)
-        return self._learn(self.first, chunk, chunk) if at is None else at
+        at = known[key] = len(self.ids) << _SHIFT | len(ids)
+        self.ids.extend(ids)
+        return at
+
+    def _gather(self, where: list[int]) -> np.ndarray:
+        """Ids at all places, one after the other."""
+        at = np.array(where, "int64")
+        lengths = at & _LENGTH
+        ends = lengths.cumsum()
+        # the view must go before the store can grow again; taking makes a copy
+        return np.frombuffer(self.ids, "uint32")[np.repeat((at >> _SHIFT) - ends + lengths, lengths) + np.arange(ends[-1])]
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of one whole text as unsigned 32-bit integers."""
         if not text:
             return np.empty(0, "uint32")
-        if self.count > CACHED_CHUNKS:
+        if len(self.place) + len(self.first) + 2 * len(self.pieces) > CACHED_CHUNKS:
             self.clear()
         chunks = text.split(" ")
         known = self.place
         where = list(map(known.get, chunks))
-        where[0] = self._first(chunks[0])
-        for i, at in enumerate(where):
-            if at is None:
+        at = self.first.get(chunks[0])
+        where[0] = self._learn(self.first, chunks[0], chunks[0]) if at is None else at
+        if None in where:
+            for i in [i for i, at in enumerate(where) if at is None]:
                 chunk = chunks[i]
                 if not chunk or chunk[0].isspace():
                     return self._encode_spaced(text)
                 at = known.get(chunk)
                 where[i] = self._learn(known, chunk, " " + chunk) if at is None else at
-        at = np.array(where, "int64")
-        lengths = self.lengths[at]
-        ends = lengths.cumsum()
-        return self.ids[np.repeat(self.starts[at] - ends + lengths, lengths) + np.arange(ends[-1])]
+        return self._gather(where)
 
     def _encode_spaced(self, text: str) -> np.ndarray:
         """As ``encode``, for texts with a space before other white space."""
         begins = [0, *(m.start() for m in _cut.finditer(text)), len(text)]
-        out = []
+        where = []
         for a, b in zip(begins, begins[1:], strict=False):
             if a < b:
                 known, key = (self.place, text[a + 1:b]) if a or text[0] == " " and begins[1] == 0 else (self.first, text[:b])
                 at = known.get(key)
-                if at is None:
-                    at = self._learn(known, key, text[a:b])
-                out.append(self.ids[self.starts[at]:self.starts[at] + self.lengths[at]])
-        return np.concatenate(out)
+                where.append(self._learn(known, key, text[a:b]) if at is None else at)
+        return self._gather(where)
 
 
 def encoder(path: str) -> ChunkEncoder:
