@@ -18,6 +18,9 @@ aggregation per account and a join; no account is folded in one task.
 
 from __future__ import annotations
 
+import hashlib
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,6 +46,8 @@ INVALID = "invalid"                   # a registration field failed validation
 
 REQUEST_BLOCK = 1 << 16               # request-id block for per-account prefix sums
 SHOP_SEQ_BLOCK = 1 << 16              # change-log sequence block for per-item numbering
+DRAW_BLOCK = 4096                     # rank numbers exploded from one row
+DRAW_STEPS = 256                      # strides tried for random draws
 
 
 # ---------------------------------------------------------------- balances
@@ -136,16 +141,24 @@ def apply_catalog(log: DataFrame) -> tuple[DataFrame, DataFrame]:
     return catalog, rejects
 
 
-def apply_shop(log: DataFrame, catalog: DataFrame) -> tuple[DataFrame, DataFrame]:
+def apply_shop(log: DataFrame, catalog: DataFrame, changes: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """List items at a cost unless missing or yanked; unlist by id or by name.
 
     Names resolve through the catalog; the status check applies to every
-    listing (the reference skipped it for numeric ids).
+    listing (the reference skipped it for numeric ids).  With ``changes``
+    (``seq, item_id, item_stat``) a listing sees the status as of its own
+    ``seq``; without, the catalog's.
     """
     by_name = catalog.select(F.col("item_name").alias("lookup_name"), F.col("item_id").alias("named_id"))
     resolved = log.join(by_name, log.item_name == by_name.lookup_name, "left").withColumn(
         "rid", F.coalesce("item_id", "named_id"))
     resolved = resolved.join(catalog.select(F.col("item_id").alias("rid"), "item_stat"), "rid", "left")
+    if changes is not None:
+        past = resolved.select("rid", "seq").distinct().join(
+            changes.select(F.col("item_id").alias("rid"), F.col("seq").alias("at"), F.col("item_stat").alias("then")), "rid")
+        as_of = past.where(F.col("at") <= F.col("seq")).groupBy("rid", "seq").agg(F.max_by("then", "at").alias("then"))
+        resolved = resolved.join(as_of, ["rid", "seq"], "left").withColumn(
+            "item_stat", F.when(F.col("item_stat").isNotNull(), F.coalesce("then", "item_stat"))).drop("then")
     missing = F.col("item_stat").isNull()
     status = (F.when(missing & F.col("item_id").isNull(), F.lit(INVALID_NAME))
                .when(missing, F.lit(INVALID_ID))
@@ -250,19 +263,34 @@ def rank_pages(pages: DataFrame, seed: str, n_pages: int) -> DataFrame:
     return running_total(keyed, ["hkey", "page_id"], "one", "rank", width).select("page_id", "rank")
 
 
+def draw_steps(seed: str, n_pages: int, tries: int = DRAW_STEPS) -> list[int]:
+    """Pseudo-random strides without a common factor with ``n_pages``; never empty."""
+    found = (1 + int(hashlib.md5(f"{seed}:s:{i}".encode()).hexdigest()[:15], 16) % n_pages for i in range(tries))
+    return [s for s in found if math.gcd(s, n_pages) == 1] or [1]
+
+
 def draw_pages(decisions: DataFrame, ranked: DataFrame, seed: str, n_pages: int) -> DataFrame:
-    """Pages for each accepted draw: ``amount`` consecutive ranks from a seeded start.
+    """Pages for each accepted draw: ``amount`` ranks from a seeded start, a seeded stride apart.
 
-    Each request explodes into its own ``amount`` rank numbers (at most all
-    pages) and meets the ranked pages in an equi-join: no cross join, no cap.
+    The stride has no common factor with the number of pages, so the pages of a
+    request are distinct, and requests that start near each other part at once.
+    Each request explodes into its own rank numbers (at most all pages), in
+    blocks and then within blocks, and meets the ranked pages in an equi-join.
     """
     if n_pages <= 0:   # nothing to draw from (and no modulo by zero)
         return decisions.sparkSession.createDataFrame([], "request_id bigint, account_id bigint, page_id bigint")
+    steps = draw_steps(seed, n_pages)
     ok = decisions.where(F.col("status") == OK)
     start = F.pmod(_hash60(sample_key(seed, F.lit("r"), "request_id")), F.lit(n_pages))
-    ks = F.sequence(F.lit(0).cast("bigint"), (F.least(F.col("amount"), F.lit(n_pages)) - 1).cast("bigint"))
-    want = ok.select("request_id", "account_id", F.explode(ks).alias("k"), start.alias("start")).select(
-        "request_id", "account_id", F.pmod(F.col("start") + F.col("k"), F.lit(n_pages)).alias("rank"))
+    turn = F.pmod(_hash60(sample_key(seed, F.lit("k"), "request_id")), F.lit(len(steps)))
+    step = F.element_at(F.array(*[F.lit(s).cast("bigint") for s in steps]), (turn + 1).cast("int"))
+    zero, last = F.lit(0).cast("bigint"), (F.least(F.col("amount"), F.lit(n_pages)) - 1).cast("bigint")
+    blocks = ok.select("request_id", "account_id", start.alias("start"), step.alias("step"), last.alias("last"),
+                       F.explode(F.sequence(zero, F.floor(last / DRAW_BLOCK))).alias("block"))
+    low = F.col("block") * DRAW_BLOCK
+    ks = F.sequence(low, F.least(F.col("last"), low + DRAW_BLOCK - 1))
+    want = blocks.select("request_id", "account_id", "start", "step", F.explode(ks).alias("k")).select(
+        "request_id", "account_id", F.pmod(F.col("start") + F.col("k") * F.col("step"), F.lit(n_pages)).alias("rank"))
     return want.join(ranked, "rank").select("request_id", "account_id", "page_id")
 
 

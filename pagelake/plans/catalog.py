@@ -457,23 +457,23 @@ def _catalog(spark, sf_dir):
 
 
 def _shop(spark, sf_dir):
+    """The shop and the rejected requests; a listing sees the status as of its time."""
     log = _lt(spark, sf_dir, "catalog_log")
     at_listing, _ = L.apply_catalog(log.where(F.col("op") == "add"))
-    shop, _ = L.apply_shop(_lt(spark, sf_dir, "shop_log"), at_listing)
-    return shop
+    return L.apply_shop(_lt(spark, sf_dir, "shop_log"), at_listing, log.where(F.col("op") == "status"))
 
 
 def _purchases(spark, sf_dir):
     return L.run_purchases(_lt(spark, sf_dir, "purchases"), _balances(spark, sf_dir),
-                           _catalog(spark, sf_dir), _shop(spark, sf_dir))
+                           _catalog(spark, sf_dir), _shop(spark, sf_dir)[0])
 
 
 def _draws(spark, sf_dir):
     return L.run_draws(_lt(spark, sf_dir, "draws"), _balances(spark, sf_dir))
 
 
-def _drawn_pages(spark, sf_dir):
-    decisions, _ = _draws(spark, sf_dir)
+def _drawn_pages(spark, sf_dir, decisions=None):
+    decisions = _draws(spark, sf_dir)[0] if decisions is None else decisions
     pages = wiki_pages(spark, sf_dir).select("page_id")
     n_pages = pages.count()
     return L.draw_pages(decisions, L.rank_pages(pages, DRAW_SEED, n_pages), DRAW_SEED, n_pages)
@@ -491,12 +491,18 @@ def q_catalog_upsert(spark, sf_dir):
 
 @query("shop_listing")
 def q_shop_listing(spark, sf_dir):
-    return _shop(spark, sf_dir)
+    return _shop(spark, sf_dir)[0]
+
+
+@query("shop_rejects")
+def q_shop_rejects(spark, sf_dir):
+    asked = F.coalesce(F.col("item_id").cast("string"), F.col("item_name"))
+    return _shop(spark, sf_dir)[1].select("seq", "op", asked.alias("item"), "status")
 
 
 @query("join_catalog")
 def q_join_catalog(spark, sf_dir):
-    return _catalog(spark, sf_dir).join(_shop(spark, sf_dir), "item_id").select("item_id", "item_name", "item_stat", "item_cost")
+    return _catalog(spark, sf_dir).join(_shop(spark, sf_dir)[0], "item_id").select("item_id", "item_name", "item_stat", "item_cost")
 
 
 @query("flt_item_status")
@@ -584,14 +590,14 @@ def q_join_user_info(spark, sf_dir):
 
 @query("user_info")
 def q_user_info(spark, sf_dir):
-    _, profiles = _draws(spark, sf_dir)
+    decisions, profiles = _draws(spark, sf_dir)
     info = L.join_user_info(_lt(spark, sf_dir, "accounts"), _lt(spark, sf_dir, "uni_accounts"), profiles,
                             _lt(spark, sf_dir, "intros"))
-    drawn = _drawn_pages(spark, sf_dir).select("account_id", "page_id")
+    drawn = _drawn_pages(spark, sf_dir, decisions).select("account_id", "page_id")
     coll = L.insert_ignore(_lt(spark, sf_dir, "collection"), drawn, ["account_id", "page_id"])
-    n = coll.groupBy("account_id").agg(F.count(F.lit(1)).alias("n_pages"))
-    return info.join(n, "account_id", "left").select(
-        "account_id", "username", "balance", "pull_count", F.coalesce("n_pages", F.lit(0)).alias("n_pages"))
+    # one row per collected page; an account without any has one row with page -1
+    return info.join(coll, "account_id", "left").select("account_id", "username", "balance", "pull_count",
+                                                        F.coalesce("page_id", F.lit(-1)).cast("bigint").alias("page_id"))
 
 
 # ---------------------------------------------------------------- history, site info, stores

@@ -378,7 +378,9 @@ cat AS (
   SELECT c.item_id, coalesce(r.item_name, c.item_name) AS item_name, coalesce(s.item_stat, c.item_stat) AS item_stat
   FROM cat_init c LEFT JOIN last_rename r ON r.item_id = c.item_id LEFT JOIN last_stat s ON s.item_id = c.item_id),
 shop_chk AS (
-  SELECT l.seq, l.op, coalesce(l.item_id, n.item_id) AS rid, l.item_cost, c.item_stat
+  SELECT l.seq, l.op, l.item_id AS asked_id, l.item_name AS asked_name, coalesce(l.item_id, n.item_id) AS rid, l.item_cost,
+    CASE WHEN c.item_stat IS NOT NULL THEN coalesce((SELECT arg_max(x.item_stat, x.seq) FROM catalog_log x
+      WHERE x.op = 'status' AND x.item_id = coalesce(l.item_id, n.item_id) AND x.seq <= l.seq), c.item_stat) END AS item_stat
   FROM shop_log l LEFT JOIN cat_init n ON n.item_name = l.item_name
   LEFT JOIN cat_init c ON c.item_id = coalesce(l.item_id, n.item_id)),
 shop_ok AS (SELECT * FROM shop_chk WHERE item_stat IS NOT NULL AND NOT (op = 'list' AND item_stat = 'yanked')),
@@ -434,12 +436,19 @@ n_pages AS (SELECT count(*) AS n FROM wiki_pages),
 ranked AS (
   SELECT page_id, row_number() OVER (ORDER BY substr(md5('draw42:' || CAST(page_id AS VARCHAR)), 1, 15), page_id) - 1 AS rnk
   FROM wiki_pages),
+draw_steps AS (
+  SELECT s, row_number() OVER (ORDER BY i) - 1 AS k FROM (
+    SELECT i, 1 + ('0x' || substr(md5('draw42:s:' || CAST(i AS VARCHAR)), 1, 15))::BIGINT % (SELECT n FROM n_pages) AS s
+    FROM range(256) r(i)) WHERE gcd(s, (SELECT n FROM n_pages)) = 1),
+d_start AS (
+  SELECT request_id, account_id, least(amount, (SELECT n FROM n_pages)) AS m,
+    ('0x' || substr(md5('draw42:r:' || CAST(request_id AS VARCHAR)), 1, 15))::BIGINT % (SELECT n FROM n_pages) AS b,
+    (SELECT list(s ORDER BY k) FROM draw_steps)[CAST(('0x' || substr(md5('draw42:k:' || CAST(request_id AS VARCHAR)), 1, 15))::BIGINT
+      % (SELECT count(*) FROM draw_steps) + 1 AS INTEGER)] AS s
+  FROM d_result WHERE status = 'ok'),
+d_rank AS MATERIALIZED (SELECT request_id, account_id, b, s, unnest(range(m)) AS k FROM d_start),
 d_pages AS (
-  SELECT w.request_id, w.account_id, r.page_id FROM (
-    SELECT d.request_id, d.account_id,
-      (('0x' || substr(md5('draw42:r:' || CAST(d.request_id AS VARCHAR)), 1, 15))::BIGINT % (SELECT n FROM n_pages)
-        + unnest(range(least(d.amount, (SELECT n FROM n_pages))))) % (SELECT n FROM n_pages) AS rnk
-    FROM d_result d WHERE d.status = 'ok') w JOIN ranked r ON r.rnk = w.rnk),
+  SELECT w.request_id, w.account_id, r.page_id FROM d_rank w JOIN ranked r ON r.rnk = (w.b + w.k * w.s) % (SELECT n FROM n_pages)),
 coll_after AS (SELECT account_id, page_id FROM collection UNION SELECT account_id, page_id FROM d_pages),
 d_profiles AS (
   SELECT b.account_id, b.ranks,
@@ -453,6 +462,12 @@ _LG = "WITH RECURSIVE " + with_(wiki_cte(), ledger_ctes())[len("WITH "):]
 ORACLE["ledger_balance"] = _LG + "SELECT account_id, balance FROM balances"
 ORACLE["catalog_upsert"] = _LG + "SELECT item_id, item_name, item_stat FROM cat"
 ORACLE["shop_listing"] = _LG + "SELECT item_id, item_cost FROM shop"
+ORACLE["shop_rejects"] = _LG + """SELECT seq, op, coalesce(CAST(asked_id AS VARCHAR), asked_name) AS item,
+  CASE WHEN item_stat IS NULL AND asked_id IS NULL THEN 'invalid name' WHEN item_stat IS NULL THEN 'invalid id'
+       ELSE 'bad status' END AS status
+FROM shop_chk WHERE item_stat IS NULL OR (op = 'list' AND item_stat = 'yanked')
+UNION ALL
+SELECT seq, op, coalesce(CAST(asked_id AS VARCHAR), asked_name), 'duplicate' FROM shop_seq WHERE op = 'list' AND prev_op = 'list'"""
 ORACLE["join_catalog"] = _LG + "SELECT c.item_id, c.item_name, c.item_stat, s.item_cost FROM cat c JOIN shop s ON s.item_id = c.item_id"
 ORACLE["flt_item_status"] = _LG + "SELECT item_id, item_name FROM cat WHERE item_stat <> 'yanked'"
 ORACLE["ledger_purchase"] = _LG + "SELECT request_id, account_id, item_id, item_count, status FROM p_result"
@@ -499,10 +514,9 @@ WHERE a.acc_status = 'live' AND u.uni_status = 'live'"""
 ORACLE["join_user_info"] = _LG + """SELECT a.account_id, a.username, u.mail, p.balance, p.pull_count, p.ranks, i.description
 FROM accounts a JOIN uni_accounts u ON u.uni_id = a.uni_id JOIN profiles p ON p.account_id = a.account_id
 JOIN intros i ON i.account_id = a.account_id"""
-ORACLE["user_info"] = _LG + """SELECT a.account_id, a.username, p.balance, p.pull_count,
-  CAST(coalesce((SELECT count(*) FROM coll_after c WHERE c.account_id = a.account_id), 0) AS BIGINT) AS n_pages
+ORACLE["user_info"] = _LG + """SELECT a.account_id, a.username, p.balance, p.pull_count, coalesce(c.page_id, -1) AS page_id
 FROM accounts a JOIN uni_accounts u ON u.uni_id = a.uni_id JOIN d_profiles p ON p.account_id = a.account_id
-JOIN intros i ON i.account_id = a.account_id"""
+JOIN intros i ON i.account_id = a.account_id LEFT JOIN coll_after c ON c.account_id = a.account_id"""
 
 # ---------------------------------------------------------------- history, site info, stores
 from pagelake.plans.views import SITE_HEADER_SQL  # noqa: E402

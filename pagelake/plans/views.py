@@ -165,7 +165,8 @@ SELECT event_id AS request_id, user_id AS account_id,
 FROM events WHERE event_type = 'purchase'""",
     # draw requests: view events draw 1..5 pages
     "draws": """
-SELECT event_id AS request_id, user_id AS account_id, CAST(1 + event_id % 5 AS BIGINT) AS amount
+SELECT event_id AS request_id, user_id AS account_id, CASE WHEN event_id % 40 = 0 THEN CAST(1000000 AS BIGINT)
+  ELSE CAST(1 + event_id % 5 AS BIGINT) END AS amount
 FROM events WHERE event_type = 'view'""",
     # pages already collected before the draws
     "collection": """
@@ -197,7 +198,8 @@ UNION ALL
 SELECT CAST(3 AS BIGINT), 'rename', p_partkey, concat(p_brand, '#', CAST(p_partkey AS STRING)), CAST(NULL AS STRING)
 FROM part WHERE p_size > 45""",
     # shop requests: list every item at its size as cost; unlist size-1 parts by id and
-    # size-2 parts by name
+    # size-2 parts by name; list some again later (yanked by then, or listed already), and
+    # names and ids that do not exist
     "shop_log": """
 SELECT CAST(0 AS BIGINT) AS seq, 'list' AS op, p_partkey AS item_id, CAST(NULL AS STRING) AS item_name,
   CAST(p_size AS BIGINT) AS item_cost FROM part
@@ -205,7 +207,14 @@ UNION ALL
 SELECT CAST(1 AS BIGINT), 'unlist', p_partkey, CAST(NULL AS STRING), CAST(NULL AS BIGINT) FROM part WHERE p_size = 1
 UNION ALL
 SELECT CAST(1 AS BIGINT), 'unlist', CAST(NULL AS BIGINT), concat(p_name, '#', CAST(p_partkey AS STRING)), CAST(NULL AS BIGINT)
-FROM part WHERE p_size = 2""",
+FROM part WHERE p_size = 2
+UNION ALL
+SELECT CAST(5 AS BIGINT), 'list', p_partkey, CAST(NULL AS STRING), CAST(p_size + 1 AS BIGINT) FROM part WHERE p_size % 5 < 2
+UNION ALL
+SELECT CAST(6 AS BIGINT), 'list', CAST(NULL AS BIGINT), concat('no such part ', CAST(p_partkey AS STRING)), CAST(1 AS BIGINT)
+FROM part WHERE p_size = 3
+UNION ALL
+SELECT CAST(6 AS BIGINT), 'list', p_partkey + 5000000, CAST(NULL AS STRING), CAST(1 AS BIGINT) FROM part WHERE p_size = 4""",
     # registration requests from customer-derived fields
     "registrations": """
 SELECT c_custkey AS req_id, lower(CASE c_custkey % 4 WHEN 0 THEN c_name WHEN 1 THEN replace(c_name, '#', '_')

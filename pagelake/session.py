@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -79,6 +80,24 @@ def shared_dir(spark: SparkSession, name: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` to the reliable checkpoint folder (survives executor loss)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """``df`` as a Parquet table in the shared folder.
+
+    It survives lost executors, is computed once, and later reads prune
+    columns and know its size.
+    """
+    path = shared_dir(df.sparkSession, f"cut/{uuid.uuid4().hex}")
+    schema = df.schema
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(schema).parquet(path)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete the sub-folders that jobs of this library wrote under the shared folder.
+
+    Call it when no result is needed any more: frames that read them fail then.
+    """
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    jvm = spark.sparkContext._jvm
+    for name in ("cut", "tables", "llm"):
+        path = jvm.org.apache.hadoop.fs.Path(f"{base}/{name}")
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -1,3 +1,4 @@
+import math
 import random
 
 from pyspark.sql import functions as F
@@ -135,6 +136,38 @@ def test_draw_pages_exact_and_distinct(spark):
     assert len(per[1]) == 3 and len(per[2]) == 100 and 3 not in per
 
 
+def test_draws_that_start_together_part_at_once(spark):
+    n = 1000
+    ranked = spark.range(n).select(F.col("id").alias("page_id"), F.col("id").alias("rank"))
+    dec = spark.createDataFrame([(i, 1, 20, L.OK) for i in range(400)] + [(400, 1, 9000, L.OK)],
+                                "request_id long, account_id long, amount long, status string")
+    per = {}
+    for r in L.draw_pages(dec, ranked, "s", n).collect():
+        per.setdefault(r.request_id, []).append(r.page_id)
+    assert all(len(set(p)) == len(p) == (20 if i < 400 else n) for i, p in per.items())
+    shared = [len(set(per[i]) & set(per[j])) for i in range(0, 60) for j in range(i + 1, 60)]
+    assert sum(shared) / len(shared) < 1.5           # 0.4 for independent draws
+    assert set(L.draw_steps("s", 1)) == {1} and all(math.gcd(s, 30) == 1 for s in L.draw_steps("s", 30))
+
+
+def test_a_listing_sees_the_status_of_its_time(spark):
+    catalog = spark.createDataFrame([(1, "a", "live"), (2, "b", "yanked")], "item_id long, item_name string, item_stat string")
+    changes = spark.createDataFrame([(3, 1, "yanked"), (6, 1, "live"), (4, 2, "live")], "seq long, item_id long, item_stat string")
+    log = spark.createDataFrame([(1, "list", 1, None, 5), (2, "unlist", 1, None, None), (4, "list", 1, None, 6), (7, "list", None, "a", 7),
+                                 (1, "list", 2, None, 1), (5, "list", None, "b", 2)],
+                                "seq long, op string, item_id long, item_name string, item_cost long")
+    shop, rejects = L.apply_shop(log, catalog, changes)
+    assert sorted(map(tuple, shop.collect())) == [(1, 7), (2, 2)]
+    assert sorted((r.seq, r.status) for r in rejects.collect()) == [(1, L.BAD_STATUS), (4, L.BAD_STATUS)]
+
+
+def test_repeated_state_names_do_not_multiply_requests(spark):
+    reqs = spark.createDataFrame([(1, "ann", "Ann", "ann@example.com", None)],
+                                 "req_id long, username string, display_name string, mail string, phone string")
+    names = spark.createDataFrame([("ann",), ("ann",)], "username string")
+    assert L.register(reqs, names, names).count() == 1
+
+
 def test_shop_holds_an_item_once(spark):
     catalog = spark.createDataFrame([(1, "a", "live"), (2, "b", "live")], "item_id long, item_name string, item_stat string")
     log = spark.createDataFrame([(0, "list", 1, None, 5), (1, "list", 1, None, 9), (2, "unlist", None, "a", None),
