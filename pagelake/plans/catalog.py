@@ -647,7 +647,7 @@ def q_src_site_info(spark, sf_dir):
     recs = _records(spark, sf_dir).join(docs, "page_id")
     path = _scratch(spark, "site_dumps")
     S.write_site_dumps(recs, heads, path)
-    return D.read_site_info(spark, path).select("source", "site_info")
+    return D.read_site_info(spark, f"{path}/headers").select("source", "site_info")
 
 
 @query("sink_page_store")

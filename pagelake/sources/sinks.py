@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+# Page ids per file block of a site dump.
+SITE_BLOCK = 100_000
+
+
 def write_lines(df: DataFrame, path: str, col: str = "value", compression: str | None = None) -> None:
     """One text line per row (the column must be a string)."""
     w = df.select(F.col(col).alias("value")).write.mode("overwrite")
@@ -20,20 +24,20 @@ def write_table(df: DataFrame, path: str, compression: str = "zstd") -> None:
 
 
 def write_page_store(pages: DataFrame, path: str, key: str = "page_id", compression: str = "zstd",
-                     num_partitions: int | None = None, max_records_per_file: int = 200_000) -> None:
+                     num_partitions: int | None = None, max_records_per_file: int = 200_000,
+                     level: int = 9) -> None:
     """Page-addressable store: range-partitioned and sorted by ``key``, zstd Parquet.
 
     Row-group min/max statistics on the sorted key replace the byte-offset
     index: a point lookup on ``key`` is a pushed filter that skips all other
-    row groups.  The number of ranges follows ``spark.sql.shuffle.partitions``
-    (sized to the data volume per job on a cluster) unless given; files are
+    row groups.  Unless a number of ranges is given, the session's shuffle
+    setting decides and adaptive execution merges small ranges; files are
     capped at ``max_records_per_file`` rows.
     """
-    spark = pages.sparkSession
-    n = num_partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")),
-                              spark.sparkContext.defaultParallelism)
-    (pages.repartitionByRange(n, key).sortWithinPartitions(key)
+    ranged = pages.repartitionByRange(num_partitions, key) if num_partitions else pages.repartitionByRange(key)
+    (ranged.sortWithinPartitions(key)
           .write.mode("overwrite").option("compression", compression)
+          .option("parquet.compression.codec.zstd.level", level)
           .option("maxRecordsPerFile", max_records_per_file).parquet(path))
 
 
@@ -56,19 +60,21 @@ def write_dump(records: DataFrame, path: str, col: str = "record", compression:
 
 
 def write_site_dumps(records: DataFrame, headers: DataFrame, path: str, key: str = "source",
-                     order: str = "page_id", compression: str | None = None) -> None:
-    """One dump file per ``key`` value: its header first, then its page records in ``order``.
+                     order: str = "page_id", compression: str | None = None, block: int = SITE_BLOCK) -> None:
+    """Site dumps per ``key`` value: headers under ``headers``, page records under ``pages``.
 
-    All rows of a key land in one partition (hash repartition), are sorted
-    header-first, and the writer's ``partitionBy`` gives each key its folder.
+    The header of a site is a file of its own, so reading it touches no page.
+    The pages of a key are dealt in blocks of ``order``, so a large site is many
+    tasks and files, each in order.
     """
-    head = headers.select(key, F.lit(None).cast("bigint").alias("__ord"), F.col("header").alias("value"))
+    def write(rows: DataFrame, folder: str) -> None:
+        w = rows.write.mode("overwrite").partitionBy(key)
+        (w.option("compression", compression) if compression else w).text(f"{path}/{folder}")
+
+    write(headers.select(key, F.col("header").alias("value")), "headers")
     body = records.select(key, F.col(order).cast("bigint").alias("__ord"), F.col("record").alias("value"))
-    rows = head.unionByName(body).repartition(key).sortWithinPartitions(key, F.col("__ord").asc_nulls_first())
-    w = rows.select(key, "value").write.mode("overwrite").partitionBy(key)
-    if compression:
-        w = w.option("compression", compression)
-    w.text(path)
+    body = body.repartition(key, F.floor(F.col("__ord") / block)).sortWithinPartitions(key, "__ord")
+    write(body.select(key, "value"), "pages")
 
 
 def write_ordered_lines(rows: DataFrame, path: str, key: str, order: list[str], col: str = "value",
