@@ -59,11 +59,10 @@ class Code:
         begins = np.cumsum(steps) - steps
         self.codes = np.zeros(len(self.lengths), "uint64")
         self.codes[self.order] = (begins >> (MAX_BITS - sorted_lengths)).astype("uint64")
-        self.table = np.zeros(1 << MAX_BITS, "uint32")
-        self.table_bits = np.ones(1 << MAX_BITS, "int64")
+        # symbol and code length by prefix; prefixes of no code move on by a bit
+        self.packed = np.ones(1 << MAX_BITS, "uint32")
         total = int(steps.sum())
-        self.table[:total] = np.repeat(self.order, steps)
-        self.table_bits[:total] = np.repeat(sorted_lengths, steps)
+        self.packed[:total] = np.repeat((self.order << 8 | sorted_lengths).astype("uint32"), steps)
 
     def encode(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
         """Packed bits and the bit offset of every ``STRIDE``-th id."""
@@ -88,11 +87,14 @@ class Code:
         """The ``n`` ids of a block."""
         lanes = len(checkpoints)
         raw = np.frombuffer(payload + bytes(STRIDE * MAX_BITS // 8 + 4), "uint8").astype("uint32")
-        out, at = np.empty((STRIDE, lanes), "uint32"), checkpoints.astype("int64")
+        # the three bytes from each byte on hold the longest code at any bit of the first
+        three = raw[:-2] << 16
+        three |= raw[1:-1] << 8
+        three |= raw[2:]
+        out, at = np.empty((STRIDE, lanes), "uint32"), checkpoints.astype("uint32")
         for step in range(min(STRIDE, n)):
-            byte = at >> 3
-            window = (raw[byte] << 16) | (raw[byte + 1] << 8) | raw[byte + 2]
-            prefix = (window >> (24 - MAX_BITS - (at & 7)).astype("uint32")) & ((1 << MAX_BITS) - 1)
-            out[step] = self.table[prefix]
-            at = at + self.table_bits[prefix]
+            prefix = (three[at >> 3] >> (24 - MAX_BITS - (at & 7))) & ((1 << MAX_BITS) - 1)
+            found = self.packed[prefix]
+            out[step] = found >> 8
+            at += found & 255
         return out.T.reshape(-1)[:n]

@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -55,14 +56,21 @@ def tokenized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
     return map_texts(d, "text", "ids binary", run, 2_000_000).select(F.spark_partition_id().alias("part"), "doc_id", "ids")
 
 
+def _all_ids(column: pa.Array) -> np.ndarray:
+    """The ids of all rows, one after the other, as they lie in the Arrow buffer."""
+    if not len(column):
+        return np.empty(0, "<u2")
+    offsets = np.frombuffer(column.buffers()[1], "<i4")[column.offset:column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], "<u2", (offsets[-1] - offsets[0]) // 2, offsets[0])
+
+
 def id_counts(coded: DataFrame, vocabulary: int) -> np.ndarray:
     """Occurrences of each id in all documents: a vector of the vocabulary's size per task, summed by id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(vocabulary, "int64")
         for batch in batches:
-            ids = np.frombuffer(b"".join(batch.column("ids").to_pylist()), "<u2")
-            total += np.bincount(ids, minlength=vocabulary)
+            total += np.bincount(_all_ids(batch.column("ids")), minlength=vocabulary)
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"id": pa.array(seen, pa.int32()), "n": pa.array(total[seen], pa.int64())})
 
@@ -117,7 +125,7 @@ def _placed(tokenised: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before = 0
         for batch in batches:
-            n = np.array([len(x) // 2 for x in batch.column("ids").to_pylist()], "int64")
+            n = pc.binary_length(batch.column("ids")).to_numpy(zero_copy_only=False).astype("int64") // 2
             ends = before + np.cumsum(n)
             if len(n):
                 before = int(ends[-1])

@@ -20,6 +20,8 @@ _cut = re.compile(r" (?=\S)")
 # A place: the first id in the store, shifted, and the number of ids.
 _SHIFT = 31
 _LENGTH = (1 << _SHIFT) - 1
+# The letter that stands for a space in a byte-level vocabulary.
+_SPACE = "\u0120"
 # Chunks kept per worker process (about 0.16 KB each); beyond this the cache starts anew.
 CACHED_CHUNKS = 1_400_000
 
@@ -66,36 +68,33 @@ class ChunkEncoder:
             ids = self.pieces[piece] = [t.id for t in self.model.tokenize(piece)]
         return ids
 
-    def _word(self, word: str) -> list[int]:
-        """Ids of a run of letters after a space; words are chunks themselves."""
-        at = self.place.get(word)
-        if at is None:
-            at = self._learn(self.place, word, " " + word)
-        begin = at >> _SHIFT
-        return self.ids[begin:begin + (at & _LENGTH)].tolist()
-
-    def _spell(self, text: str) -> str:
-        if text.isascii() and text[1:].isalnum():
-            return "\u0120" + text[1:] if text[0] == " " else text
-        return text.encode("utf-8").decode("latin-1").translate(self.letters)
-
-    def _encode(self, chunk: str) -> list[int]:
-        if chunk[0] == " ":
-            # a run of letters after a space, and marks after it, are pre-tokens as they stand
-            body = chunk[1:]
-            if body.isalpha():
-                return [t.id for t in self.model.tokenize(self._spell(chunk))]
-            word = body.rstrip(".,;:!?*$%&#|")
-            if word.isalpha():
-                return self._word(word) + self._piece(body[len(word):])
-        return [i for piece, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(chunk) for i in self._piece(piece)]
-
-    def _learn(self, known: dict[str, int], key: str, chunk: str) -> int:
-        ids = self._encode(chunk) if chunk else []
+    def _store(self, known: dict[str, int], key: str, ids: list[int]) -> int:
         at = known[key] = len(self.ids) << _SHIFT | len(ids)
         self.ids.extend(ids)
         return at
 
+    def _learn_word(self, word: str) -> int:
+        """A run of letters after a space is one pre-token: no need to split it."""
+        raw = word if word.isascii() else word.encode("utf-8").decode("latin-1").translate(self.letters)
+        return self._store(self.place, word, [t.id for t in self.model.tokenize(_SPACE + raw)])
+
+    def _learn(self, chunk: str) -> int:
+        """Learn a chunk that follows a space."""
+        if chunk.isalpha():
+            return self._learn_word(chunk)
+        word = chunk.rstrip(".,;:!?*$%&#|")
+        if word.isalpha():
+            # the marks behind a word are one pre-token, and the word is a chunk itself
+            at = self.place.get(word)
+            at = self._learn_word(word) if at is None else at
+            begin = at >> _SHIFT
+            ids = self.ids[begin:begin + (at & _LENGTH)].tolist() + self._piece(chunk[len(word):])
+            return self._store(self.place, chunk, ids)
+        return self._store(self.place, chunk, self._split(" " + chunk))
+
+    def _split(self, text: str) -> list[int]:
+        return [i for piece, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(text) for i in self._piece(piece)]
+
     def _gather(self, where: list[int]) -> np.ndarray:
         """Ids at all places, one after the other."""
         at = np.array(where, "int64")
@@ -114,14 +113,14 @@ class ChunkEncoder:
         known = self.place
         where = list(map(known.get, chunks))
         at = self.first.get(chunks[0])
-        where[0] = self._learn(self.first, chunks[0], chunks[0]) if at is None else at
+        where[0] = self._store(self.first, chunks[0], self._split(chunks[0])) if at is None else at
         if None in where:
             for i in [i for i, at in enumerate(where) if at is None]:
                 chunk = chunks[i]
                 if not chunk or chunk[0].isspace():
                     return self._encode_spaced(text)
                 at = known.get(chunk)
-                where[i] = self._learn(known, chunk, " " + chunk) if at is None else at
+                where[i] = self._learn(chunk) if at is None else at
         return self._gather(where)
 
     def _encode_spaced(self, text: str) -> np.ndarray:
@@ -129,10 +128,14 @@ class ChunkEncoder:
         begins = [0, *(m.start() for m in _cut.finditer(text)), len(text)]
         where = []
         for a, b in zip(begins, begins[1:], strict=False):
-            if a < b:
-                known, key = (self.place, text[a + 1:b]) if a or text[0] == " " and begins[1] == 0 else (self.first, text[:b])
-                at = known.get(key)
-                where.append(self._learn(known, key, text[a:b]) if at is None else at)
+            if a == b:
+                continue
+            if a or text[0] == " " and begins[1] == 0:
+                at = self.place.get(text[a + 1:b])
+                where.append(self._learn(text[a + 1:b]) if at is None else at)
+            else:
+                at = self.first.get(text[:b])
+                where.append(self._store(self.first, text[:b], self._split(text[:b])) if at is None else at)
         return self._gather(where)
 
 
