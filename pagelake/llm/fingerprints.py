@@ -102,11 +102,12 @@ def edited(text: str, following: str) -> str:
 def _compared(text: str, own: bytes, following: str, other: bytes) -> dict:
     new = edited(text, following)
     print_new = fingerprint(new)
-    return {"n_chars": len(text), "edited_sha256": hashlib.sha256(new.encode("utf-8")).hexdigest(), "fingerprint": own.hex(),
-            "edited_fingerprint": print_new.hex(), "near_edited": likeness(own, print_new), "near_next": likeness(own, other)}
+    return {"n_chars": len(text), "edited_sha256": hashlib.sha256(new.encode("utf-8")).digest(), "fingerprint": own,
+            "edited_fingerprint": print_new, "near_edited": likeness(own, print_new), "near_next": likeness(own, other)}
 
 
-_RESULT = "n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+# Digests stay binary until the result: as text they take twice the disk.
+_RESULT = "n_chars bigint, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
 
 
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -141,13 +142,14 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
             yield pa.RecordBatch.from_pylist([last[0] | {"head": head, "tail": last[1]}], schema=arrow)
 
     rows = written(d.mapInArrow(run, schema), "fingerprints")
-    names = ["doc_id", *made.fieldNames()]
+    columns = ["doc_id", *made.fieldNames()]
+    result = ["doc_id", *[F.lower(F.hex(f.name)).alias(f.name) if f.dataType == T.BinaryType() else f.name for f in made.fields]]
     # one row per range: the first and the last text of it
     ends = rows.where("tail is not null").select("part", "doc_id", "head", "tail")
     place = ends.select("part", F.row_number().over(Window.orderBy("part")).alias("n"))
     total = place.count()
     if not total:
-        return rows.select(*names)
+        return rows.select(*result)
     follower = place.select(F.when(F.col("n") == 1, total).otherwise(F.col("n") - 1).alias("n"), F.col("part").alias("next_part"))
     waiting = (ends.join(place, "part").join(follower, "n")
                .join(ends.select(F.col("part").alias("next_part"), F.col("head").alias("following")), "next_part")
@@ -161,4 +163,4 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
                    for r in batch.to_pylist()]
             yield pa.RecordBatch.from_pylist(out, schema=last_arrow)
 
-    return rows.where("tail is null").select(*names).unionByName(waiting.mapInArrow(finish, last_schema))
+    return rows.where("tail is null").select(*columns).unionByName(waiting.mapInArrow(finish, last_schema)).select(*result)
