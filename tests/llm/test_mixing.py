@@ -94,3 +94,38 @@ def test_many_sources_are_joined_instead_of_sent(spark, monkeypatch):
     want = sorted(map(tuple, M.mix(df).select("doc_id", "taken").collect()))
     monkeypatch.setattr(M, "BROADCAST_SOURCES", 0)
     assert sorted(map(tuple, M.mix(df).select("doc_id", "taken").collect())) == want
+
+
+def test_rounds_take_a_source_with_one_long_document_to_its_target(spark):
+    rng = random.Random(5)
+    rows = [(i, " ".join(["w"] * rng.randint(1, 30)), "a") for i in range(600)] + [(5000, " ".join(["w"] * 18_000), "a")]
+    rows += [(6000 + i, " ".join(["w"] * rng.randint(1, 30)), None) for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string").coalesce(2)
+    single = []
+    for seed in ("x-1", "x-2"):
+        got = {fill: [r for r in M.mix(df, weights=(1.0, 4.0), seed=seed, fill=fill).collect() if r["source"] == "a"] for fill in (False, True)}
+        target = got[True][0]["target"]
+        assert target < 9000 and abs(sum(r["taken"] for r in got[True]) - target) <= 2
+        single.append(sum(r["taken"] for r in got[False]) / target)
+    # the single draw of the SQL ends at the long document
+    assert min(single) < 0.9
+
+
+def test_rounds_keep_whole_copies_and_ties(spark):
+    for df in (odd.docs(spark), corpus(spark, 200)[1].union(corpus(spark, 200)[1])):
+        got = M.mix(df, fill=True).collect()
+        for source in {r["source"] for r in got}:
+            own = [r for r in got if r["source"] == source]
+            copies = {}
+            for r in own:
+                assert copies.setdefault((r["doc_id"], r["size"]), r["copies"]) == r["copies"] <= 3
+            # what is missing is shorter than any document left out, or its neighbour comes no nearer
+            gap = own[0]["target"] - sum(r["taken"] for r in own)
+            base = min((r["copies"] for r in own if r["size"]), default=0)
+            left = [r["size"] * sum((x["doc_id"], x["size"]) == (r["doc_id"], r["size"]) for x in own)
+                    for r in own if r["size"] and r["copies"] == base and base < 3]
+            assert gap < 1e-6 or all(n > gap and n - gap >= gap for n in left) or own[0]["target"] >= 3 * own[0]["source_size"]
+        again = M.mix(df.repartition(7), fill=True).select("doc_id", "size", "taken").collect()
+        key = lambda r: tuple((x is None, x or 0) for x in r)
+        assert sorted(map(tuple, again), key=key) == sorted(((r["doc_id"], r["size"], r["taken"]) for r in got), key=key)
+    assert M.mix(odd.empty(spark), fill=True).count() == 0
