@@ -4,7 +4,7 @@ Patterns find e-mail addresses, IP addresses, card and phone numbers.  Every
 value found is a protected entity; the words around its mentions are its
 context terms.  How much of the entity a term reveals is its pointwise mutual
 information over the information content of the entity, both from corpus
-counts: with ``n`` documents, ``log2(n * p(entity | term) / n(entity)) /
+counts of distinct texts: with ``n`` of them, ``log2(n * p(entity | term) / n(entity)) /
 log2(n / n(entity))``, 1 if the term occurs with this entity only.  Terms seen
 with an entity in ``min_support`` different contexts that reveal
 ``generalise_at`` of it are replaced by their class, those that reveal
@@ -46,6 +46,10 @@ GENERALISE_AT = 0.8
 REMOVE_AT = 0.95
 # Up to this many distinct terms are sent to the tasks that count documents; more are joined.
 SENT_TERMS = 100_000
+# Up to this many digests of copied texts are sent to the tasks; more are joined.
+BROADCAST_COPIED = 200_000
+# Counts of terms kept by a task before it passes them on.
+_HELD_COUNTS = 300_000
 _BATCH_CHARS = 8_000_000
 
 _tail, _ip, _card, _phone = (re.compile(p) for p in (EMAIL_TAIL, IP, CARD, PHONE))
@@ -138,37 +142,53 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     return map_texts(d, "text", _FOUND, run, _BATCH_CHARS)
 
 
-def _document_counts(docs: DataFrame, terms: DataFrame, text_col: str) -> DataFrame:
-    """``(term, df)``: documents that hold each of ``terms``."""
-    d = pick(docs, text=text_col).where("text is not null")
+def _once(docs: DataFrame, found: DataFrame, text_col: str) -> DataFrame:
+    """``(text, text_md5, weight)``: the weights of the copies of a text sum to 1, so that sums count distinct texts."""
+    d = pick(docs, text=text_col).where("text is not null").withColumn("text_md5", F.md5(F.col("text")))
+    copied = written(found.groupBy(F.col("text_md5").alias("md5")).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "copied")
+    few = copied.limit(BROADCAST_COPIED + 1).count() <= BROADCAST_COPIED
+    d = d.join(F.broadcast(copied) if few else copied, d["text_md5"] == copied["md5"], "left")
+    return d.select("text", "text_md5", (F.lit(1.0) / F.coalesce("n", F.lit(1))).alias("weight"))
+
+
+def _document_counts(docs: DataFrame, found: DataFrame, terms: DataFrame, text_col: str) -> DataFrame:
+    """``(term, df)``: distinct texts that hold each of ``terms``."""
     few = terms.limit(SENT_TERMS + 1).count() <= SENT_TERMS
     wanted = frozenset(r["term"] for r in terms.collect()) if few else None
 
+    def rows(counts: dict[str, float]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"term": pa.array(list(counts), pa.string()),
+                                           "part": pa.array(list(counts.values()), pa.float64())})
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[str, float] = {}
         for batch in batches:
-            counts: dict[str, int] = {}
-            for text in batch.column("text"):
-                held = set(_word.findall(text.as_py().lower()))
+            for text, weight in zip(batch.column("text"), batch.column("weight").to_pylist(), strict=True):
+                held = {w.lower() for w in _word.findall(text.as_py())}
                 for term in held if wanted is None else held & wanted:
-                    counts[term] = counts.get(term, 0) + 1
-            yield pa.RecordBatch.from_pydict({"term": pa.array(list(counts), pa.string()),
-                                              "df": pa.array(list(counts.values()), pa.int64())})
-
-    counted = d.mapInArrow(run, "term string, df bigint").groupBy("term").agg(F.sum("df").alias("df"))
+                    counts[term] = counts.get(term, 0.0) + weight
+                if len(counts) > _HELD_COUNTS:
+                    yield rows(counts)
+                    counts = {}
+        yield rows(counts)
+
+    counted = _once(docs, found, text_col).select("text", "weight").mapInArrow(run, "term string, part double")
+    counted = counted.groupBy("term").agg(F.round(F.sum("part")).cast("bigint").alias("df"))
     return counted.join(terms, "term", "left_semi") if wanted is None else counted
 
 
 def disclosing(docs: DataFrame, found: DataFrame, text_col: str = "text", min_support: int = MIN_SUPPORT,
                generalise_at: float = GENERALISE_AT) -> DataFrame:
     """``(entity, term, revealed)`` for terms that reveal ``generalise_at`` of an entity or more."""
-    c = found.select(F.explode("contexts").alias("c")).select("c.entity", "c.context", "c.terms")
-    seen = c.groupBy("entity").agg(F.countDistinct("context").alias("n_entity"))
-    pairs = c.select("entity", "context", F.explode("terms").alias("t")).select("entity", "context", F.col("t.term").alias("term"))
-    pairs = pairs.distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both")).where(F.col("n_both") >= min_support)
+    c = found.select("text_md5", F.explode("contexts").alias("c")).select("text_md5", "c.entity", "c.context", "c.terms")
+    seen = c.groupBy("entity").agg(F.countDistinct("text_md5").alias("n_entity"))
+    pairs = c.select("text_md5", "entity", "context", F.explode("terms").alias("t")).select("text_md5", "entity", "context", F.col("t.term").alias("term"))
+    pairs = pairs.distinct().groupBy("entity", "term").agg(
+        F.countDistinct("context").alias("n_contexts"), F.countDistinct("text_md5").alias("n_both")).where(F.col("n_contexts") >= min_support)
     pairs = written(pairs, "pairs")
     terms = written(pairs.select("term").distinct(), "terms")
-    n = found.count()
-    counts = _document_counts(docs, terms, text_col)
+    n = found.select("text_md5").distinct().count()
+    counts = _document_counts(docs, found, terms, text_col)
     p = pairs.join(seen, "entity").join(counts, "term")
     given = F.col("n_both") / F.greatest("n_both", "df")
     revealed = F.log2(given * n / F.col("n_entity")) / F.log2(F.lit(float(n)) / F.col("n_entity"))

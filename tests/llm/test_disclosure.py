@@ -68,6 +68,20 @@ def test_terms_that_give_an_entity_away(spark):
     assert "[NAME] [EMAIL]" in softer[503]
 
 
+def test_copies_count_once_on_both_sides(spark, monkeypatch):
+    rng = random.Random(3)
+    words = [f"{a}{b}" for a in ("bar", "lom", "tir", "vek") for b in ("an", "or", "il", "ud")]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(30))) for i in range(400)]
+    for i in range(6):
+        rows += [(1000 + 100 * i + k, f"{words[i]} {words[i + 1]} Zanthippe bluehat@corp.example.org {words[i + 2]}") for k in range(60)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = D.written(D.find(df), "test")
+    for limit in (D.BROADCAST_COPIED, 0):
+        monkeypatch.setattr(D, "BROADCAST_COPIED", limit)
+        got = {(r["entity"], r["term"]): r["revealed"] for r in D.disclosing(df, found).collect()}
+        assert got == {("email:bluehat@corp.example.org", "zanthippe"): 1.0}
+
+
 def test_many_terms_are_joined_instead_of_sent(spark, monkeypatch):
     monkeypatch.setattr(D, "SENT_TERMS", 0)
     df = corpus(spark)
