@@ -1,15 +1,20 @@
 """Personal data: patterns, and terms that give a protected value away.
 
 Patterns find e-mail addresses, IP addresses, card and phone numbers.  Every
-value found is a protected entity; the words around its mentions are its
+value found is a protected entity; all words of the texts that hold it are its
 context terms.  How much of the entity a term reveals is its pointwise mutual
 information over the information content of the entity, both from corpus
-counts of distinct texts: with ``n`` of them, ``log2(n * p(entity | term) / n(entity)) /
-log2(n / n(entity))``, 1 if the term occurs with this entity only.  Terms seen
-with an entity in ``min_support`` different contexts that reveal
-``generalise_at`` of it are replaced by their class, those that reveal
-``remove_at`` are removed.  Copies of one context count once, so a text copied
-many times does not make its own words suspicious.
+counts of distinct texts: with ``n`` of them, ``log2(n * p(entity | term) /
+n(entity)) / log2(n / n(entity))``, 1 if the term occurs with this entity only.
+There is no least support: few texts make ``p`` uncertain, so a term discloses
+an entity if it reveals ``generalise_at`` of it even at the lower end of
+Wilson's interval for ``p``.  Such a term is replaced by its class, or removed
+if it reveals ``remove_at``, wherever it occurs: in all texts, with the entity
+or without it.  Copies of one text count once, so a text copied many times does
+not make its own words suspicious.
+
+Entities that occur in the very same texts have the same counts; they are one
+class, so a list of a thousand addresses costs no more than one address.
 
 Defined results: null and empty texts have no spans; repeated rows get equal
 spans; null ids pass through; an empty table gives an empty result; other
@@ -19,12 +24,11 @@ columns are ignored or passed through by position, whatever their names.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Container, Iterator
 
 import pandas as pd
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagelake.llm.common import apart, map_texts, pick, written
@@ -39,9 +43,7 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 # End of the fixed values.
 
 TERM = "term"
-WINDOW_WORDS = 8
-WINDOW_CHARS = 400
-MIN_SUPPORT = 3
+CONFIDENCE = 1.96
 GENERALISE_AT = 0.8
 REMOVE_AT = 0.95
 # Up to this many distinct terms are sent to the tasks that count documents; more are joined.
@@ -106,38 +108,37 @@ def entity_of(kind: str, value: str) -> str:
     return f"{kind}:{value.lower() if kind in ('email', 'ip') else _not_digit.sub('', value)}"
 
 
-def contexts(text: str, spans: list[tuple[str, int, int]], words: int = WINDOW_WORDS) -> list[dict]:
-    """Around each span: the entity, a digest of the context, and its terms with their places."""
+def places(text: str, spans: list[tuple[str, int, int]], wanted: Container[str] | None = None) -> list[tuple[str, int, int]]:
+    """``(term, start, end)`` of all words, or of those in ``wanted``, that no span touches."""
     taken = sorted((a, b) for _, a, b in spans)
-    out = []
-    for kind, start, end in spans:
-        low, high = max(0, start - WINDOW_CHARS), min(len(text), end + WINDOW_CHARS)
-        left = [m for m in _word.finditer(text, low, start)][-words:]
-        right = []
-        for m in _word.finditer(text, end, high):
-            right.append(m)
-            if len(right) == words:
-                break
-        near = [m for m in left + right if not any(a < m.end() and m.start() < b for a, b in taken if b > low and a < high)]
-        terms = [{"term": m.group().lower(), "start": m.start(), "end": m.end()} for m in near]
-        digest = xxhash.xxh64_intdigest("\x00".join(t["term"] for t in terms)) & 0x7FFFFFFFFFFFFFFF
-        out.append({"entity": entity_of(kind, text[start:end]), "context": digest, "terms": terms})
+    out, i, reach = [], 0, 0
+    for m in _word.finditer(text):
+        start, end = m.span()
+        # spans that begin before the word ends; the furthest of them must not reach into it
+        while i < len(taken) and taken[i][0] < end:
+            reach = max(reach, taken[i][1])
+            i += 1
+        if reach <= start and (wanted is None or m.group().lower() in wanted):
+            out.append((m.group().lower(), start, end))
     return out
 
 
-_FOUND = """spans array<struct<kind:string,start:int,end:int>>,
-contexts array<struct<entity:string,context:bigint,terms:array<struct<term:string,start:int,end:int>>>>"""
+_FOUND = """spans array<struct<kind:string,start:int,end:int>>, entities array<string>,
+terms array<struct<term:string,start:int,end:int>>"""
+_CLASS = ["n_entity", "class_a", "class_b"]
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, text_md5, spans, contexts)``: base spans and their contexts, per document."""
+    """``(doc_id, text_md5, spans, entities, terms)``: base spans, and where there are any, all terms with their places."""
     d = pick(docs, doc_id=id_col, text=text_col).withColumn("text", F.coalesce("text", F.lit("")))
     d = d.withColumn("text_md5", F.md5(F.col("text")))
 
     def run(texts: list[str]) -> dict:
         spans = [base_spans(t) for t in texts]
-        near = [contexts(t, s) if s else [] for t, s in zip(texts, spans, strict=True)]
-        return {"spans": [[{"kind": k, "start": a, "end": b} for k, a, b in s] for s in spans], "contexts": near}
+        both = list(zip(texts, spans, strict=True))
+        return {"spans": [[{"kind": k, "start": a, "end": b} for k, a, b in s] for s in spans],
+                "entities": [sorted({entity_of(k, t[a:b]) for k, a, b in s}) for t, s in both],
+                "terms": [[{"term": w, "start": a, "end": b} for w, a, b in places(t, s)] if s else [] for t, s in both]}
 
     return map_texts(d, "text", _FOUND, run, _BATCH_CHARS)
 
@@ -177,30 +178,83 @@ def _document_counts(docs: DataFrame, found: DataFrame, terms: DataFrame, text_c
     return counted.join(terms, "term", "left_semi") if wanted is None else counted
 
 
-def disclosing(docs: DataFrame, found: DataFrame, text_col: str = "text", min_support: int = MIN_SUPPORT,
-               generalise_at: float = GENERALISE_AT) -> DataFrame:
-    """``(entity, term, revealed)`` for terms that reveal ``generalise_at`` of an entity or more."""
-    c = found.select("text_md5", F.explode("contexts").alias("c")).select("text_md5", "c.entity", "c.context", "c.terms")
-    seen = c.groupBy("entity").agg(F.countDistinct("text_md5").alias("n_entity"))
-    pairs = c.select("text_md5", "entity", "context", F.explode("terms").alias("t")).select("text_md5", "entity", "context", F.col("t.term").alias("term"))
-    pairs = pairs.distinct().groupBy("entity", "term").agg(
-        F.countDistinct("context").alias("n_contexts"), F.countDistinct("text_md5").alias("n_both")).where(F.col("n_contexts") >= min_support)
-    pairs = written(pairs, "pairs")
-    terms = written(pairs.select("term").distinct(), "terms")
+def _held(found: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Entities with their classes, the classes in each distinct text, and the terms of each with their places."""
+    one = written(found.where(F.size("entities") > 0).select("text_md5", "entities", "terms").dropDuplicates(["text_md5"]), "texts")
+    member = one.select("text_md5", F.explode("entities").alias("entity"))
+    # entities of one class: as many texts, and equal digests of the set of texts
+    classes = written(member.groupBy("entity").agg(
+        F.count(F.lit(1)).alias("n_entity"), F.bit_xor(F.xxhash64("text_md5")).alias("class_a"),
+        F.bit_xor(F.xxhash64("text_md5", F.lit(1))).alias("class_b")), "classes")
+    within = written(member.join(classes, "entity").select("text_md5", *_CLASS).distinct(), "within")
+    return classes, within, one.select("text_md5", F.explode("terms").alias("t")).select("text_md5", "t.*")
+
+
+def _revealed(share: Column, n: int) -> Column:
+    return F.log2(share * n / F.col("n_entity")) / F.log2(F.lit(float(n)) / F.col("n_entity"))
+
+
+def _lower(k: Column, m: Column, z: float) -> Column:
+    """The lower end of Wilson's interval for a share of which ``k`` of ``m`` cases are known."""
+    p, zz = k / m, z * z
+    return (p + zz / (2 * m) - z * F.sqrt(p * (1 - p) / m + zz / (4 * m * m))) / (1 + zz / m)
+
+
+def _disclosing(docs: DataFrame, found: DataFrame, held: tuple[DataFrame, DataFrame, DataFrame], text_col: str,
+                generalise_at: float, confidence: float) -> DataFrame:
+    """``term, revealed, n_both, df`` and the class, for terms that disclose the entities of the class."""
+    _, within, terms = held
     n = found.select("text_md5").distinct().count()
-    counts = _document_counts(docs, found, terms, text_col)
-    p = pairs.join(seen, "entity").join(counts, "term")
-    given = F.col("n_both") / F.greatest("n_both", "df")
-    revealed = F.log2(given * n / F.col("n_entity")) / F.log2(F.lit(float(n)) / F.col("n_entity"))
-    p = p.where(F.col("n_entity") < n).withColumn("revealed", revealed)
-    return p.where(F.col("revealed") >= generalise_at).select("entity", "term", "revealed")
+    pairs = within.where(F.col("n_entity") < n).join(terms.select("text_md5", "term").distinct(), "text_md5")
+    pairs = pairs.groupBy(*_CLASS, "term").agg(F.count(F.lit(1)).alias("n_both"))
+    # what is not enough if no other text holds the term is never enough
+    best = _revealed(_lower(F.col("n_both"), F.col("n_both"), confidence), n)
+    pairs = written(pairs.where(best >= generalise_at), "pairs")
+    counts = _document_counts(docs, found, written(pairs.select("term").distinct(), "terms"), text_col)
+    p = pairs.join(counts.withColumnRenamed("term", "counted"), F.col("term") == F.col("counted")).drop("counted")
+    df = F.greatest("n_both", "df")
+    p = p.withColumn("revealed", _revealed(F.col("n_both") / df, n))
+    return p.where(_revealed(_lower(F.col("n_both"), df, confidence), n) >= generalise_at)
+
+
+def disclosing(docs: DataFrame, found: DataFrame, text_col: str = "text", generalise_at: float = GENERALISE_AT,
+               confidence: float = CONFIDENCE) -> DataFrame:
+    """``(entity, term, revealed)`` for terms that reveal ``generalise_at`` of an entity or more, with ``confidence``."""
+    held = _held(found)
+    return _disclosing(docs, found, held, text_col, generalise_at, confidence).join(held[0], _CLASS).select("entity", "term", "revealed")
+
+
+def _elsewhere(docs: DataFrame, terms: DataFrame, text_col: str) -> DataFrame:
+    """``(text_md5, start, end, revealed)``: places of ``terms`` in all texts."""
+    few = terms.limit(SENT_TERMS + 1).count() <= SENT_TERMS
+    wanted = frozenset(r["term"] for r in terms.select("term").collect()) if few else None
+    d = pick(docs, text=text_col).where("text is not null").select("text", F.md5("text").alias("text_md5"))
+
+    def run(texts: list[str]) -> dict:
+        out = []
+        for t in texts:
+            some = wanted is None or any(w.lower() in wanted for w in _word.findall(t))
+            out.append([{"term": w, "start": a, "end": b} for w, a, b in places(t, base_spans(t), wanted)] if some else [])
+        return {"terms": out}
+
+    t = map_texts(d, "text", "terms array<struct<term:string,start:int,end:int>>", run, _BATCH_CHARS)
+    t = t.select("text_md5", F.explode("terms").alias("t")).select("text_md5", "t.*").distinct()
+    return t.join(terms, "term").select("text_md5", "start", "end", "revealed")
 
 
-def term_spans(found: DataFrame, pairs: DataFrame, remove_at: float = REMOVE_AT) -> DataFrame:
+def term_spans(docs: DataFrame, found: DataFrame, text_col: str = "text", remove_at: float = REMOVE_AT,
+               generalise_at: float = GENERALISE_AT, confidence: float = CONFIDENCE) -> DataFrame:
     """``(text_md5, terms)``: places of disclosing terms per distinct text, in order, marked to remove or not."""
-    one = found.where(F.size("contexts") > 0).dropDuplicates(["text_md5"])
-    t = one.select("text_md5", F.explode("contexts").alias("c")).select("text_md5", "c.entity", F.explode("c.terms").alias("t"))
-    t = t.select("text_md5", "entity", "t.*").join(pairs, ["entity", "term"])
+    held = _held(found)
+    told = written(_disclosing(docs, found, held, text_col, generalise_at, confidence), "told")
+    _, within, terms = held
+    near = terms.select("text_md5", "term").distinct().join(within, "text_md5").join(told, [*_CLASS, "term"])
+    near = near.groupBy("text_md5", "term").agg(F.max("revealed").alias("revealed"))
+    t = terms.join(near, ["text_md5", "term"]).select("text_md5", "start", "end", "revealed")
+    # only terms that more texts hold than hold them with the entity can be in a text without it
+    beyond = written(told.where("df > n_both").groupBy("term").agg(F.max("revealed").alias("revealed")), "beyond")
+    if not beyond.isEmpty():
+        t = t.unionByName(_elsewhere(docs, beyond, text_col))
     t = t.groupBy("text_md5", "start", "end").agg(F.max("revealed").alias("revealed"))
     place = F.struct("start", "end", (F.col("revealed") >= remove_at).alias("remove"))
     return t.groupBy("text_md5").agg(F.sort_array(F.collect_list(place)).alias("terms"))
@@ -208,10 +262,9 @@ def term_spans(found: DataFrame, pairs: DataFrame, remove_at: float = REMOVE_AT)
 
 def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limits) -> DataFrame:
     """``(doc_id, spans, terms)``: base spans, and places of disclosing terms (null: none)."""
-    remove_at = limits.pop("remove_at", REMOVE_AT)
     found = written(find(docs, id_col, text_col), "found")
-    pairs = disclosing(docs, found, text_col, **limits)
-    return found.join(term_spans(found, pairs, remove_at), "text_md5", "left").select("doc_id", "spans", "terms")
+    terms = term_spans(docs, found, text_col, **limits)
+    return found.select("doc_id", "text_md5", "spans").join(terms, "text_md5", "left").select("doc_id", "spans", "terms")
 
 
 def _class_of(term: str) -> str:
@@ -232,9 +285,8 @@ def redact(text: str, terms: list[tuple[int, int, bool]]) -> str:
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limits) -> DataFrame:
     """``docs`` with personal data and disclosing terms replaced in ``text_col``; null texts stay null."""
-    remove_at = limits.pop("remove_at", REMOVE_AT)
     found = written(find(docs, id_col, text_col), "found")
-    terms = written(term_spans(found, disclosing(docs, found, text_col, **limits), remove_at), "terms")
+    terms = written(term_spans(docs, found, text_col, **limits), "terms")
     marks = F.array_join(F.transform("terms", lambda t: F.concat_ws(":", t["start"], t["end"], t["remove"].cast("int"))), ",")
     terms = terms.select("text_md5", marks.alias("marks"))
     d, new, old = apart(docs)

@@ -82,6 +82,22 @@ def test_copies_count_once_on_both_sides(spark, monkeypatch):
         assert got == {("email:bluehat@corp.example.org", "zanthippe"): 1.0}
 
 
+def test_terms_far_from_the_address_and_in_other_texts(spark, monkeypatch):
+    rng = random.Random(6)
+    words = [f"{a}{b}" for a in ("bar", "lom", "tir", "vek") for b in ("an", "or", "il", "ud")]
+    far = lambda: " ".join(rng.choice(words) for _ in range(200))
+    # seen once beside its entity: a word of its own is enough among many texts
+    rows = [(i, f"{rng.choice(words)} {i}") for i in range(3000)] + [(5000, f"Quillon {far()} single@corp.example.org {far()} Quillon")]
+    rows += [(6000 + i, f"Zanthippe {far()} {i} bluehat@corp.example.org {far()} zanthippe") for i in range(30)]
+    rows += [(7000, f"ask Zanthippe {far()}")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    text = dict(rows)
+    for limit in (D.SENT_TERMS, 0):
+        monkeypatch.setattr(D, "SENT_TERMS", limit)
+        got = {r["doc_id"]: [text[r["doc_id"]][t["start"]:t["end"]] for t in r["terms"]] for r in D.detect(df).where("terms is not null").collect()}
+        assert got == {5000: ["Quillon", "Quillon"], 7000: ["Zanthippe"], **{6000 + i: ["Zanthippe", "zanthippe"] for i in range(30)}}
+
+
 def test_many_terms_are_joined_instead_of_sent(spark, monkeypatch):
     monkeypatch.setattr(D, "SENT_TERMS", 0)
     df = corpus(spark)
