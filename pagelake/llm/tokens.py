@@ -3,7 +3,8 @@
 A byte-level tokenizer never joins text across the space in front of a
 character other than white space, so a text is cut there and every chunk is
 encoded once per worker process.  Chunks are looked up as whole texts are, and
-ids are gathered with numpy.
+ids are gathered with numpy.  A text that holds an added token of the file
+literally, such as ``<|endoftext|>``, goes to the library as a whole.
 """
 
 from __future__ import annotations
@@ -42,14 +43,14 @@ def byte_letters() -> dict[int, str]:
 
 
 class ChunkEncoder:
-    """Encodes texts with the tokenizer in a file; special tokens are ordinary text."""
+    """Encodes texts with the tokenizer in a file, as its ``encode`` does without adding special tokens."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model = self.tokenizer.model
         self.letters = byte_letters()
         self.clear()
@@ -107,6 +108,9 @@ class ChunkEncoder:
         """Ids of one whole text as unsigned 32-bit integers."""
         if not text:
             return np.empty(0, "uint32")
+        for token in self.added:
+            if token in text:
+                return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "uint32")
         if len(self.place) + len(self.first) + 2 * len(self.pieces) > CACHED_CHUNKS:
             self.clear()
         chunks = text.split(" ")

@@ -30,6 +30,15 @@ def test_chunked_encoding_equals_the_library(enc):
         assert enc.encode(text).tolist() == plain(enc, text), repr(text)
 
 
+def test_literal_added_tokens_are_single_ids(enc):
+    from tokenizers import Tokenizer
+
+    fresh = Tokenizer.from_file(tokens.default_tokenizer())
+    for text in ("a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n y", " <|endoftext| >", "<|endoftext|", "plain text"):
+        assert enc.encode(text).tolist() == fresh.encode(text, add_special_tokens=False).ids
+    assert enc.encode("a <|endoftext|> b").tolist() == [64, 220, 50256, 275]
+
+
 def test_a_full_cache_starts_anew(enc, monkeypatch):
     monkeypatch.setattr(tokens, "CACHED_CHUNKS", 3)
     for text in ("a b c d e f", "a b c", "x y z a b"):
