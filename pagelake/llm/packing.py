@@ -28,8 +28,6 @@ CAPACITY = 1024
 END_ID = 2
 # Pieces per group: one group is packed in one task's memory (a few MB).
 GROUP_PIECES = 40_000
-# The local search goes over the open bins until nothing changes, this often at most.
-PASSES = 4
 
 
 def cut_places(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
@@ -86,14 +84,35 @@ class _Bins:
             self.rooms |= 1 << left
 
 
-def _improve(members: list[list[int]], sizes: np.ndarray, capacity: int, passes: int = PASSES) -> list[list[int]]:
-    """Drain the least filled bins into the others while the sum of squared fills grows."""
-    for _ in range(passes):
+def _improve(members: list[list[int]], sizes: np.ndarray, capacity: int) -> list[list[int]]:
+    """Drain the least filled bins into the others as long as the sum of squared fills grows."""
+    worth = _squares(members, sizes)
+    while True:
         better = _drained(members, sizes, capacity)
-        changed, members = sorted(map(sorted, better)) != sorted(map(sorted, members)), better
-        if not changed:
-            break
-    return members
+        grown = _squares(better, sizes)
+        if grown <= worth:
+            return members
+        members, worth = better, grown
+
+
+def _squares(members: list[list[int]], sizes: np.ndarray) -> int:
+    return sum(int(sizes[m].sum()) ** 2 for m in members)
+
+
+def _offers(own: list[int], sizes: list[int]) -> dict[int, tuple[int, ...]]:
+    """One or two documents for every sum that one or two of a bin's documents have: those of equal size are interchangeable."""
+    two: dict[int, list[int]] = {}
+    for x, n in zip(own, sizes, strict=True):
+        if len(held := two.setdefault(n, [])) < 2:
+            held.append(x)
+    offers: dict[int, tuple[int, ...]] = {n: (held[0],) for n, held in two.items()}
+    kinds = list(two)
+    for i, a in enumerate(kinds):
+        if len(two[a]) == 2:
+            offers.setdefault(2 * a, tuple(two[a]))
+        for b in kinds[i + 1:]:
+            offers.setdefault(a + b, (two[a][0], two[b][0]))
+    return offers
 
 
 def _drained(members: list[list[int]], sizes: np.ndarray, capacity: int) -> list[list[int]]:
@@ -127,14 +146,13 @@ def _drained(members: list[list[int]], sizes: np.ndarray, capacity: int) -> list
             if moved or not len(own):
                 continue
             # exchange one or two of this bin's documents for one smaller in a fuller bin
-            offers = [(int(size[x]), (x,)) for x in own]
-            offers += [(int(size[x] + size[y]), (x, y)) for i, x in enumerate(own[:40]) for y in own[i + 1:40]]
+            offers = _offers(own.tolist(), size[own].tolist())
             others = np.flatnonzero((home > low) & (room[home] > 0))
             if not len(others):
                 break
             other_size, other_room, other_fill = size[others], room[home[others]], fill[home[others]]
             best_gain, best = 0, None
-            for total, what in offers:
+            for total, what in offers.items():
                 d = total - other_size
                 gain = np.where((d > 0) & (d <= other_room), 2 * d * (other_fill - fill[low] + d), 0)
                 at = int(np.argmax(gain))

@@ -130,6 +130,22 @@ def test_local_search_beats_a_bad_start():
     assert len(bins) == 2
 
 
+def test_pairs_are_offered_from_all_documents_of_a_bin():
+    # 42 documents of size 2 come before the 30 and the 31, which only together take the place of the 60
+    sizes = np.array([2] * 42 + [30, 31, 60, 939])
+    bins = P._improve([list(range(44)), [44, 45]], sizes, 1000)
+    offers = P._offers(list(range(44)), sizes[:44].tolist())
+    assert offers[61] == (42, 43) and set(offers) == {2, 4, 30, 31, 32, 33, 61}
+    assert sorted(int(sizes[b].sum()) for b in bins) == [144, 1000]
+    # no limit of passes: searching what came out again changes nothing
+    rng = np.random.default_rng(7)
+    sizes = np.concatenate((rng.integers(1, 4, 2000), rng.integers(300, 1000, 500)))
+    start = [[i] for i in range(len(sizes))]
+    found = P._improve(start, sizes, 1024)
+    assert P._squares(P._drained(found, sizes, 1024), sizes) <= P._squares(found, sizes)
+    assert sorted(x for b in found for x in b) == list(range(len(sizes)))
+
+
 def test_documents_are_packed_whole(spark, enc):
     got = P.pack_documents(odd.docs(spark)).collect()
     texts = {}
