@@ -8,13 +8,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagelake.llm import (
+    conversations,
     disclosure,
+    divergence,
     fingerprints,
     langid,
     mixing,
     packing,
     quality_model,
     quality_rules,
+    sharding,
     simhash,
     token_output,
     toxicity,
@@ -86,6 +89,19 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op11_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.place(documents(spark, sf_dir)).select(
+        "doc_id", "size", "text_crc32", F.lit(sharding.LAW).alias("law"), "shard", "slot", "grown_shard")
+
+
+def op12_repair_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair_damaged(spark.read.parquet(f"{sf_dir.rstrip('/')}/conversations.parquet"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_simhash_groups": op2_simhash_groups,
@@ -97,4 +113,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language": op8_language,
     "op9_personal_data": op9_personal_data,
     "op10_token_output": op10_token_output,
+    "op11_shard_documents": op11_shard_documents,
+    "op12_repair_conversations": op12_repair_conversations,
+    "op13_source_divergence": op13_source_divergence,
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pagelake.llm import mixing, quality_rules
+from pagelake.llm import divergence, mixing, quality_rules, sharding
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
@@ -79,4 +79,102 @@ FROM h LEFT JOIN drawn ON h.source IS NOT DISTINCT FROM drawn.source AND h.doc_i
 """
 
 
-ORACLE = {"op3_quality_rules": quality_rules_sql(), "op6_mix_sources": mixing_sql()}
+def sharding_sql() -> str:
+    """Jump hash as a recursive query; crc32 byte by byte with the table of the reflected polynomial."""
+    n = sharding.SHARDS
+    step = "((k::HUGEINT * 2862933555777941757 + 1) % 18446744073709551616)::UBIGINT"
+    return rf"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS u FROM documents),
+poly AS (SELECT list(c ORDER BY i) AS tab FROM (SELECT i, list_reduce(range(8), lambda c, x:
+  CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) AS c FROM (SELECT unnest(range(256)) AS i))),
+t AS (SELECT r, doc_id, octet_length(u)::BIGINT + 1 AS size, xor(4294967295, list_reduce(regexp_extract_all(hex(u), '..'),
+  lambda a, x: xor(a >> 8, tab[xor(a & 255, ('0x' || x)::BIGINT) + 1]), 4294967295::BIGINT)) AS text_crc32,
+  ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 16))::UBIGINT AS k0 FROM d, poly),
+j AS (SELECT r, {step.replace("k::", "k0::")} AS k, 0::BIGINT AS b FROM t
+  UNION ALL SELECT r, {step} AS k, floor((b + 1) * (2147483648::DOUBLE / ((k >> 33) + 1)::DOUBLE))::BIGINT AS b FROM j
+  WHERE floor((b + 1) * (2147483648::DOUBLE / ((k >> 33) + 1)::DOUBLE)) < {n + 1}),
+s AS (SELECT r, max(b) FILTER (b < {n})::INT AS shard, max(b)::INT AS grown_shard FROM j GROUP BY r)
+SELECT doc_id, size, text_crc32, '{sharding.LAW}' AS law, shard,
+  row_number() OVER (PARTITION BY shard ORDER BY md5(coalesce(doc_id::VARCHAR, '') || ':' || size || ':' || text_crc32), doc_id) - 1 AS slot,
+  grown_shard FROM t JOIN s USING (r)
+"""
+
+
+def divergence_sql() -> str:
+    """The audit written out over terms as strings, with 128-bit integers."""
+    p = "1 + (1000000000::HUGEINT * ({c} + 2)) // ({n} + 2 * v)"
+    low = f"translate(coalesce(text, ''), '{'ABCDEFGHIJKLMNOPQRSTUVWXYZ'}', '{'abcdefghijklmnopqrstuvwxyz'}')"
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  regexp_extract_all({low}, '{divergence.TERM_PATTERN}') AS w FROM documents),
+w AS (SELECT r, lang, source, unnest(w) AS term FROM d),
+kept AS (SELECT lang, term, count(*)::HUGEINT AS lc FROM w GROUP BY lang, term HAVING count(DISTINCT r) >= {divergence.MIN_DOCS}),
+l AS (SELECT g.lang, coalesce(v, 0) AS v, coalesce(ln, 0) AS ln FROM (SELECT DISTINCT lang FROM d) g
+  LEFT JOIN (SELECT lang, count(*)::HUGEINT AS v, sum(lc) AS ln FROM kept GROUP BY lang) k ON g.lang = k.lang),
+c AS (SELECT w.lang, source, w.term, count(*)::HUGEINT AS c FROM w JOIN kept ON w.lang = kept.lang AND w.term = kept.term GROUP BY ALL),
+g AS (SELECT x.lang, x.source, coalesce(n, 0) AS n FROM (SELECT DISTINCT lang, source FROM d) x
+  LEFT JOIN (SELECT lang, source, sum(c) AS n FROM c GROUP BY ALL) y ON x.lang = y.lang AND x.source = y.source),
+p AS (SELECT g.lang, g.source, kept.term, coalesce(c.c, 0) AS c, {p.format(c="coalesce(c.c, 0)", n="g.n")} AS p, {p.format(c="lc", n="ln")} AS q
+  FROM g JOIN l ON g.lang = l.lang JOIN kept ON kept.lang = g.lang
+  LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = kept.term),
+f AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+o AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q)) // (p + q) FROM p WHERE c > 0 AND p > q)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank FROM (SELECT *,
+  row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM o) WHERE part = 'pair' OR rank <= {divergence.RANKS}
+"""
+
+
+def repair_sql() -> str:
+    """The edits as a recursive query: each step keeps the least (cost, audit) per conversation and state.
+
+    States: 0 nothing yet, 1 after a system row, 2 after a user row, 3 after an assistant row.
+    """
+    blank = r"NOT regexp_matches(text, '[^\x20\x09-\x0D]')"
+    whole = r"regexp_matches(text, '[.!?][\x20\x09-\x0D]*$')"
+    return rf"""
+WITH RECURSIVE poly AS (SELECT list(c ORDER BY i) AS tab FROM (SELECT i, list_reduce(range(8), lambda c, x:
+  CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) AS c FROM (SELECT unnest(range(256)) AS i))),
+src AS (SELECT dense_rank() OVER (ORDER BY conv_id) AS c, conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+  xor(4294967295, list_reduce(regexp_extract_all(hex(encode(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '))), '..'),
+  lambda a, x: xor(a >> 8, tab[xor(a & 255, ('0x' || x)::BIGINT) + 1]), 4294967295::BIGINT)) % 20 AS fault FROM conversations, poly),
+dmg AS (SELECT c, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role, CASE WHEN fault = 1 THEN '' WHEN fault = 2
+  THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE WHEN fault = 3 THEN [0, 1] ELSE [0] END) AS copy
+  FROM src WHERE fault <> 0),
+num AS (SELECT *, substr(role, 1, 1) AS ini, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, md5(length(role) || ':' || role || text), copy) AS i,
+  row_number() OVER (PARTITION BY c, role, text ORDER BY turn NULLS FIRST, copy) AS seen FROM dmg),
+x AS (SELECT *, {blank} AS blank, {blank} = false AND seen > 1 AS dup, {blank} = false AND seen = 1 AND NOT {whole} AS cut,
+  coalesce(lag(ini) OVER (PARTITION BY c ORDER BY i) || ini NOT IN ('su', 'ua', 'au'), false) AS illegal FROM num),
+ins AS (SELECT * FROM (VALUES (0, 0, 0, ''), (0, 2, 1, 'user:'), (0, 3, 2, 'user:' || chr(10) || 'assistant:'), (1, 1, 0, ''), (1, 2, 1, 'user:'),
+  (1, 3, 2, 'user:' || chr(10) || 'assistant:'), (2, 2, 0, ''), (2, 3, 1, 'assistant:'), (3, 3, 0, ''), (3, 2, 1, 'user:')) v(q, t, k, lines)),
+best AS (SELECT DISTINCT c, 0::BIGINT AS i, 0 AS q, struct_pack(cost := 0, audit := '', txt := NULL::VARCHAR) AS p FROM src
+  UNION ALL
+  SELECT c, i, q, min(p) AS p FROM (
+    SELECT c, i, e.q AS q, struct_pack(cost := p.cost + 2 * k + e.cost, audit := p.audit || repeat('I', k) || e.letter,
+      txt := nullif(concat_ws(chr(10), p.txt, CASE WHEN k > 0 THEN lines END, e.line), '')) AS p
+    FROM (SELECT b.c, x.i, b.p, ins.t, ins.k, ins.lines, unnest([
+        struct_pack(q := ins.t, cost := 3, letter := 'D', line := NULL::VARCHAR),
+        CASE WHEN NOT blank AND NOT dup THEN struct_pack(q := CASE WHEN ins.t = 2 THEN 3 ELSE 2 END, cost := 2 + cut::INT, letter := 'R',
+          line := CASE WHEN ins.t = 2 THEN 'assistant:' ELSE 'user:' END || x.text) END,
+        CASE WHEN NOT blank AND NOT dup AND (ini = 's' AND ins.t = 0 OR ini = 'u' AND ins.t <> 2 OR ini = 'a' AND ins.t = 2)
+          THEN struct_pack(q := CASE ini WHEN 's' THEN 1 WHEN 'u' THEN 2 ELSE 3 END, cost := cut::INT, letter := 'K', line := x.role || ':' || x.text) END]) AS e
+      FROM best b JOIN x ON x.c = b.c AND x.i = b.i + 1 JOIN ins ON ins.q = b.q) WHERE e IS NOT NULL) GROUP BY c, i, q),
+n AS (SELECT c, count(*) AS n, count(*) FILTER (blank) AS blank, count(*) FILTER (dup) AS duplicate, count(*) FILTER (cut) AS truncated,
+  count(*) FILTER (illegal) AS illegal, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps FROM x GROUP BY c),
+fin AS (SELECT b.c, min(struct_pack(cost := p.cost + 2 * k, audit := p.audit || repeat('I', k), txt := concat_ws(chr(10), p.txt, CASE WHEN k > 0 THEN lines END))) AS p
+  FROM best b LEFT JOIN n ON n.c = b.c JOIN ins ON ins.q = b.q WHERE b.i = coalesce(n.n, 0) AND ins.t IN (0, 3) GROUP BY b.c)
+SELECT s.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, p.cost::BIGINT AS cost, p.audit AS audit, sha256(coalesce(p.txt, '')) AS repaired_sha256
+FROM (SELECT DISTINCT c, conv_id FROM src) s JOIN fin ON fin.c = s.c LEFT JOIN n ON n.c = s.c
+"""
+
+
+ORACLE = {
+    "op3_quality_rules": quality_rules_sql(),
+    "op6_mix_sources": mixing_sql(),
+    "op11_shard_documents": sharding_sql(),
+    "op12_repair_conversations": repair_sql(),
+    "op13_source_divergence": divergence_sql(),
+}
