@@ -1,11 +1,13 @@
 """Source divergence audit: how far the words of each source lie from those of the others of its language.
 
-Terms are letters A-Z and characters beyond ASCII, only A-Z lower-cased.  The
-shuffles of the counts carry fixed-width digests of the terms; a term's text is
-written once per task beside them and joined back for the rows that are
-returned.  The least and the greatest text of a digest tell whether two terms
-share it; such digests are counted again by their texts.  Shares and values are
-integers throughout.
+Terms are letters A-Z and characters beyond ASCII, only A-Z lower-cased.  Every
+task counts its words and hands on blocks of fixed-width records (digest, place
+of the source, occurrences, documents), one block per language and range of
+digests; these blocks are all that the counts shuffle.  The texts of a task's
+terms lie in a column of their own, which only digests that are kept read again.
+The least and the greatest text of a digest tell whether two terms share it;
+such digests are counted again by their texts.  Shares and values are integers
+throughout.
 
 Pairs of sources are summed from the terms that occur: a term that a source
 lacks has the same share there as all others it lacks, so those terms are taken
@@ -22,13 +24,15 @@ columns are ignored.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from pagelake.llm.common import pick, written
 
@@ -37,8 +41,11 @@ MIN_DOCS = 10
 RANKS = 10
 SCALE = 1_000_000_000
 DIGEST_BITS = 64
-# Distinct words a task counts before it hands its counts on (memory, not results).
-HELD_WORDS = 500_000
+# Distinct words a task counts, and records it merges, before it hands them on (memory, not results).
+HELD_WORDS = 200_000
+HELD_RECORDS = 1_000_000
+# Documents per range of digests, about: what a task merges at once.
+RANGE_DOCS = 4_000
 # The filter of wanted digests has 8 bits for each and this many at most (8 MiB); a join follows it.
 FILTER_BITS = 1 << 26
 
@@ -55,53 +62,143 @@ def digests_of(terms: list[bytes], bits: int = DIGEST_BITS) -> np.ndarray:
     return (made & np.uint64((1 << bits) - 1)).view("int64")
 
 
-def _counting(docs: DataFrame, schema: str, keys: Callable, by_source: bool, rows_of: Callable) -> DataFrame:
-    """Count words per (lang, source) or lang in each task; ``rows_of`` turns the counts into Arrow columns.
+def _strings(values: list, counts: list[int]) -> pa.Array:
+    """Each value as many times as its count says."""
+    return pa.array(values, pa.string()).take(pa.array(np.repeat(np.arange(len(values)), counts)))
 
-    ``keys`` picks what one document adds: its words, or each distinct word once.
-    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple, tuple[Counter, ...]] = {}
-        n = 0
-        for batch in batches:
-            for lang, source, text in zip(*(batch.column(c).to_pylist() for c in ("lang", "source", "text")), strict=True):
-                group = (lang, source) if by_source else (lang,)
-                counts = held.get(group)
-                words = keys(terms_of(text))
-                if counts is None:
-                    counts = held[group] = tuple(Counter() for _ in words)
-                n -= len(counts[0])
-                for c, w in zip(counts, words, strict=True):
-                    c.update(w)
-                n += len(counts[0])
-                if n > HELD_WORDS:
-                    yield from rows_of(held)
-                    held, n = {}, 0
-        yield from rows_of(held)
-
-    return docs.select("lang", "source", "text").mapInArrow(run, schema)
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[tuple[str, str], tuple[Counter, Counter]]]:
+    """Occurrences and documents of each word by (lang, source), handed on before they grow too many."""
+    held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
+    n = 0
+    for batch in batches:
+        for lang, source, text in zip(*(batch.column(c).to_pylist() for c in ("lang", "source", "text")), strict=True):
+            counts = held.get((lang, source))
+            if counts is None:
+                counts = held[lang, source] = (Counter(), Counter())
+            words = terms_of(text)
+            n -= len(counts[0])
+            counts[0].update(words)
+            counts[1].update(set(words))
+            n += len(counts[0])
+            if n > HELD_WORDS:
+                yield held
+                held, n = {}, 0
+    yield held
 
 
-def _strings(values: list, counts: list[int]) -> pa.Array:
-    """Each value as many times as its count says."""
-    return pa.array(values, pa.string()).take(pa.array(np.repeat(np.arange(len(values)), counts)))
+_RECORDS = "lang string, bucket bigint, sources array<string>, places binary, digests binary, n binary, df binary"
+_NAMES = "name_digests binary, names array<string>"
+
 
+def _merged(digest: np.ndarray, place: np.ndarray, n: np.ndarray, df: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Records of one digest and place added up, in the order of digest and place."""
+    order = np.lexsort((place, digest))
+    digest, place, n, df = digest[order], place[order], n[order], df[order]
+    begin = np.flatnonzero(np.concatenate(([True], (digest[1:] != digest[:-1]) | (place[1:] != place[:-1])))[:len(digest)])
+    if not len(begin):
+        return digest, place, n, df
+    return digest[begin], place[begin], np.add.reduceat(n, begin), np.add.reduceat(df, begin)
 
-def _numbers(counters: list[Counter]) -> pa.Array:
-    total = sum(map(len, counters))
-    return pa.array(np.fromiter((v for c in counters for v in c.values()), "int64", total))
 
+def _binary(parts: list[np.ndarray]) -> pa.Array:
+    return pa.array([x.tobytes() for x in parts], pa.binary())
 
-def document_counts(docs: DataFrame, bits: int) -> DataFrame:
-    """``(lang, digest, df)``: documents of a language that hold a term of the digest, per task."""
 
-    def rows_of(held: dict) -> Iterator[pa.RecordBatch]:
-        for (lang,), (c,) in held.items():
-            yield pa.RecordBatch.from_arrays([_strings([lang], [len(c)]), pa.array(digests_of(list(c), bits)), _numbers([c])],
-                                             names=["lang", "digest", "df"])
+def count_blocks(docs: DataFrame, ranges: int, bits: int) -> DataFrame:
+    """Per task: blocks of records by language and range of digests, and the texts of its terms beside them."""
+    ddl = f"{_RECORDS}, {_NAMES}"
+    schema = to_arrow_schema(StructType.fromDDL(ddl))
+    shift = np.uint64(64 - ranges.bit_length() + 1)
 
-    return _counting(docs, "lang string, digest bigint, df bigint", lambda words: (set(words),), False, rows_of)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places: dict[tuple[str, str], int] = {}
+        waiting: list[tuple[np.ndarray, ...]] = []
+        records = 0
+
+        def blocks() -> Iterator[pa.RecordBatch]:
+            digest, place, n, df = _merged(*map(np.concatenate, zip(*waiting, strict=True)))
+            group_lang = [lang for lang, _ in places]
+            langs = sorted(set(group_lang))
+            lang_no = np.array([langs.index(x) for x in group_lang])[place]
+            bucket = digest >> shift if ranges > 1 else np.zeros(len(digest), "uint64")
+            order = np.lexsort((digest, place, bucket, lang_no))
+            digest, place, n, df, bucket, lang_no = (x[order] for x in (digest, place, n, df, bucket, lang_no))
+            change = (np.diff(lang_no) != 0) | (np.diff(bucket.view("int64")) != 0)
+            begins = [0, *(np.flatnonzero(change) + 1).tolist(), len(digest)]
+            names = [source for _, source in places]
+            own, at = [], []
+            for a, b in zip(begins, begins[1:], strict=False):
+                used, back = np.unique(place[a:b], return_inverse=True)
+                own.append([names[i] for i in used])
+                at.append(back.astype("<u4"))
+            cuts = list(zip(begins, begins[1:], strict=False))
+            yield pa.RecordBatch.from_arrays([
+                pa.array([langs[lang_no[a]] for a, _ in cuts], pa.string()), pa.array([int(bucket[a]) for a, _ in cuts], pa.int64()),
+                pa.array(own, pa.list_(pa.string())), _binary(at), _binary([digest[a:b].astype("<u8") for a, b in cuts]),
+                _binary([n[a:b].astype("<i8") for a, b in cuts]), _binary([df[a:b].astype("<i8") for a, b in cuts]),
+                pa.nulls(len(cuts), pa.binary()), pa.nulls(len(cuts), pa.list_(pa.string()))], schema=schema)
+
+        for held in _word_counts(batches):
+            terms = list(set().union(*(c for c, _ in held.values()))) if held else []
+            if not terms:
+                continue
+            made = digests_of(terms, bits)
+            digest = dict(zip(terms, made.tolist(), strict=True))
+            for group, (c, per_doc) in held.items():
+                k, place = len(c), places.setdefault(group, len(places))
+                waiting.append((np.fromiter(map(digest.__getitem__, c), "int64", k).view("uint64"), np.full(k, place),
+                                np.fromiter(c.values(), "int64", k), np.fromiter(map(per_doc.__getitem__, c), "int64", k)))
+                records += k
+            texts = pa.ListArray.from_arrays(pa.array([0, len(terms)], pa.int32()), pa.array(terms, pa.binary()).cast(pa.string()))
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(1, f.type) for f in list(schema)[:7]), _binary([made.astype("<i8")]), texts], schema=schema)
+            if records >= HELD_RECORDS:
+                yield from blocks()
+                places, waiting, records = {}, [], 0
+        if records:
+            yield from blocks()
+
+    return docs.select("lang", "source", "text").mapInArrow(run, ddl)
+
+
+def kept_counts(blocks: DataFrame, min_docs: int) -> DataFrame:
+    """``(lang, source, digest, n)`` of the digests in enough documents of the language, block by block."""
+    ddl = "lang string, source string, digest bigint, n bigint"
+    records = blocks.where("bucket is not null").select("lang", "bucket", "sources", "places", "digests", "n", "df")
+    ordered = records.repartition("lang", "bucket").sortWithinPartitions("lang", "bucket")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, places, waiting, records = None, {}, [], 0
+
+        def merge() -> tuple[np.ndarray, ...]:
+            return _merged(*map(np.concatenate, zip(*waiting, strict=True)))
+
+        def kept() -> pa.RecordBatch:
+            digest, place, n, df = merge()
+            begin = np.flatnonzero(np.concatenate(([True], digest[1:] != digest[:-1])))
+            width = np.diff(np.append(begin, len(digest)))
+            enough = np.repeat(np.add.reduceat(df, begin) >= min_docs, width)
+            names = pa.array(list(places), pa.string()).take(pa.array(place[enough]))
+            return pa.RecordBatch.from_arrays([_strings([key[0]], [len(names)]), names, pa.array(digest[enough].view("int64")), pa.array(n[enough])],
+                                               names=["lang", "source", "digest", "n"])
+
+        for batch in batches:
+            for lang, bucket, sources, at, digest, n, df in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if waiting and (lang, bucket) != key:
+                    yield kept()
+                    places, waiting, records = {}, [], 0
+                key = (lang, bucket)
+                own = np.array([places.setdefault(s, len(places)) for s in sources])
+                waiting.append((np.frombuffer(digest, "<u8"), own[np.frombuffer(at, "<u4")], np.frombuffer(n, "<i8"), np.frombuffer(df, "<i8")))
+                records += len(waiting[-1][0])
+                if records >= 4 * HELD_RECORDS:
+                    waiting = [merge()]
+                    # what is left are different records; the next merge waits for as many again
+                    records = 0
+        if waiting:
+            yield kept()
+
+    return ordered.mapInArrow(run, ddl)
 
 
 def _filter(digests: DataFrame) -> np.ndarray:
@@ -123,48 +220,40 @@ def _wanted(filter_words: np.ndarray, digests: np.ndarray) -> np.ndarray:
     return (filter_words[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) == 1
 
 
-def term_counts(docs: DataFrame, kept: DataFrame, bits: int) -> DataFrame:
-    """Rows ``(lang, source, digest, n)`` per task, and one row ``(digest, term)`` per distinct term of the task."""
-    wanted = _filter(kept.select("digest").distinct())
-    schema = "lang string, source string, digest bigint, n bigint, term string"
+def term_names(blocks: DataFrame, digests: DataFrame) -> DataFrame:
+    """``(digest, term, last)``: the least and the greatest text of each of the distinct ``digests``."""
+    wanted = _filter(digests)
 
-    def rows_of(held: dict) -> Iterator[pa.RecordBatch]:
-        terms = list(set().union(*(c for c, in held.values()))) if held else []
-        made = digests_of(terms, bits)
-        hit = _wanted(wanted, made)
-        digest = {t: d for t, d, h in zip(terms, made.tolist(), hit.tolist(), strict=True) if h}
-        for (lang, source), (c,) in held.items():
-            rows = [(digest[t], n) for t, n in c.items() if t in digest]
-            yield pa.RecordBatch.from_arrays([
-                _strings([lang], [len(rows)]), _strings([source], [len(rows)]), pa.array([r[0] for r in rows], pa.int64()),
-                pa.array([r[1] for r in rows], pa.int64()), pa.nulls(len(rows), pa.string())],
-                names=["lang", "source", "digest", "n", "term"])
-        k = len(digest)
-        yield pa.RecordBatch.from_arrays([
-            pa.nulls(k, pa.string()), pa.nulls(k, pa.string()), pa.array(list(digest.values()), pa.int64()),
-            pa.array(np.zeros(k, "int64")), pa.array(list(digest), pa.binary()).cast(pa.string())],
-            names=["lang", "source", "digest", "n", "term"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                made = np.frombuffer(batch.column(0)[i].as_py(), "<i8")
+                hit = np.flatnonzero(_wanted(wanted, made))
+                yield pa.RecordBatch.from_arrays([pa.array(made[hit]), batch.column(1)[i].values.take(pa.array(hit))], names=["digest", "term"])
 
-    return _counting(docs, schema, lambda words: (words,), True, rows_of)
+    found = blocks.where("names is not null").select("name_digests", "names").mapInArrow(run, "digest bigint, term string")
+    found = found.groupBy("digest").agg(F.min("term").alias("term"), F.max("term").alias("last"))
+    return found.join(digests, "digest", "left_semi")
 
 
 def exact_counts(docs: DataFrame, shared: DataFrame, bits: int) -> DataFrame:
     """``(lang, source, digest, term, n, df)`` for the terms whose digest is shared, counted by their texts."""
     wanted = _filter(shared.select("digest"))
-    schema = "lang string, source string, digest bigint, term string, n bigint, df bigint"
-
-    def rows_of(held: dict) -> Iterator[pa.RecordBatch]:
-        for (lang, source), (c, per_doc) in held.items():
-            terms = list(c)
-            made = digests_of(terms, bits)
-            hit = _wanted(wanted, made)
-            own = [t for t, h in zip(terms, hit.tolist(), strict=True) if h]
-            yield pa.RecordBatch.from_arrays([
-                _strings([lang], [len(own)]), _strings([source], [len(own)]), pa.array(made[hit]),
-                pa.array(own, pa.binary()).cast(pa.string()), pa.array([c[t] for t in own], pa.int64()),
-                pa.array([per_doc[t] for t in own], pa.int64())], names=["lang", "source", "digest", "term", "n", "df"])
+    ddl = "lang string, source string, digest bigint, term string, n bigint, df bigint"
 
-    made = _counting(docs, schema, lambda words: (words, set(words)), True, rows_of)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in _word_counts(batches):
+            for (lang, source), (c, per_doc) in held.items():
+                terms = list(c)
+                made = digests_of(terms, bits)
+                hit = _wanted(wanted, made)
+                own = [t for t, h in zip(terms, hit.tolist(), strict=True) if h]
+                yield pa.RecordBatch.from_arrays([
+                    _strings([lang], [len(own)]), _strings([source], [len(own)]), pa.array(made[hit]),
+                    pa.array(own, pa.binary()).cast(pa.string()), pa.array([c[t] for t in own], pa.int64()),
+                    pa.array([per_doc[t] for t in own], pa.int64())], names=["lang", "source", "digest", "term", "n", "df"])
+
+    made = docs.select("lang", "source", "text").mapInArrow(run, ddl)
     return made.groupBy("lang", "source", "digest", "term").agg(F.sum("n").alias("n"), F.sum("df").alias("df")).join(
         shared.select("digest"), "digest", "left_semi")
 
@@ -184,15 +273,14 @@ def audit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sourc
     """``(lang, source, part, item, value, rank)``: distances between sources, and the terms that set a source apart."""
     d = pick(docs, lang=lang_col, source=source_col, text=text_col).select(
         *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")])
-    kept = document_counts(d, digest_bits).groupBy("lang", "digest").agg(F.sum("df").alias("df"))
-    kept = written(kept.where(F.col("df") >= min_docs).select("lang", "digest"), "kept")
-
-    # texts lie in a column of their own: the counts below never read it
-    parts = written(term_counts(d, kept, digest_bits), "parts")
-    counts = parts.where("term is null").groupBy("lang", "source", "digest").agg(F.sum("n").alias("n"))
-    counts = counts.join(kept, ["lang", "digest"], "left_semi").select("lang", "source", "digest", F.lit("").alias("split"), "n")
-    names = parts.where("term is not null").groupBy("digest").agg(F.min("term").alias("term"), F.max("term").alias("last"))
-    names = written(names.join(kept.select("digest").distinct(), "digest", "left_semi"), "names")
+    ranges = 16
+    total = docs.count()
+    while ranges * RANGE_DOCS < total:
+        ranges *= 2
+    blocks = written(count_blocks(d, ranges, digest_bits), "blocks")
+    found = written(kept_counts(blocks, min_docs), "kept")
+    counts = found.select("lang", "source", "digest", F.lit("").alias("split"), "n")
+    names = written(term_names(blocks, found.select("digest").distinct()), "names")
     shared = names.where("term < last").select("digest")
     if not shared.isEmpty():
         exact = written(exact_counts(d, shared, digest_bits), "exact")
@@ -200,7 +288,7 @@ def audit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sourc
         exact = exact.join(enough, ["lang", "digest", "term"], "left_semi")
         counts = counts.join(shared, "digest", "left_anti").select("lang", "source", "digest", "split", "n").unionByName(
             exact.select("lang", "source", "digest", F.col("term").alias("split"), "n"))
-    counts = written(counts, "counts")
+        counts = written(counts, "counts")
     return _audited(d, counts, names, ranks)
 
 

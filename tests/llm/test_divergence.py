@@ -79,6 +79,8 @@ def test_ties_take_the_least_item(spark):
 
 def test_counts_pass_on_in_parts(spark, monkeypatch):
     monkeypatch.setattr(D, "HELD_WORDS", 3)
+    monkeypatch.setattr(D, "HELD_RECORDS", 5)
+    monkeypatch.setattr(D, "RANGE_DOCS", 1)
     rows = rows_of(9, 60)
     assert sorted(map(tuple, D.audit(frame(spark, rows), min_docs=3).collect())) == brute(rows, 3)
 
