@@ -8,7 +8,9 @@ counts of distinct texts: with ``n`` of them, ``log2(n * p(entity | term) /
 n(entity)) / log2(n / n(entity))``, 1 if the term occurs with this entity only.
 There is no least support: few texts make ``p`` uncertain, so a term discloses
 an entity if it reveals ``generalise_at`` of it even at the lower end of
-Wilson's interval for ``p``.  Such a term is replaced by its class, or removed
+Wilson's interval for ``p``, and that lower end is ``SHARE_AT`` or more: what a
+term reveals grows with ``n``, but a term mostly seen without the entity never
+gives it away, however large the corpus.  Such a term is replaced by its class, or removed
 if it reveals ``remove_at``, wherever it occurs: in all texts, with the entity
 or without it.  Copies of one text count once, so a text copied many times does
 not make its own words suspicious.
@@ -46,13 +48,15 @@ TERM = "term"
 CONFIDENCE = 1.96
 GENERALISE_AT = 0.8
 REMOVE_AT = 0.95
+# The least share of a term's texts, at the lower end of its interval, that must hold the entity.
+SHARE_AT = 0.2
 # Up to this many distinct terms are sent to the tasks that count documents; more are joined.
 SENT_TERMS = 100_000
 # Up to this many digests of copied texts are sent to the tasks; more are joined.
 BROADCAST_COPIED = 200_000
 # Counts of terms kept by a task before it passes them on.
 _HELD_COUNTS = 300_000
-_BATCH_CHARS = 8_000_000
+_BATCH_CHARS = 1_000_000
 
 _tail, _ip, _card, _phone = (re.compile(p) for p in (EMAIL_TAIL, IP, CARD, PHONE))
 _word = re.compile(r"[^\W\d_]{3,}")
@@ -214,7 +218,8 @@ def _disclosing(docs: DataFrame, found: DataFrame, held: tuple[DataFrame, DataFr
     p = pairs.join(counts.withColumnRenamed("term", "counted"), F.col("term") == F.col("counted")).drop("counted")
     df = F.greatest("n_both", "df")
     p = p.withColumn("revealed", _revealed(F.col("n_both") / df, n))
-    return p.where(_revealed(_lower(F.col("n_both"), df, confidence), n) >= generalise_at)
+    least = _lower(F.col("n_both"), df, confidence)
+    return p.where((_revealed(least, n) >= generalise_at) & (least >= SHARE_AT))
 
 
 def disclosing(docs: DataFrame, found: DataFrame, text_col: str = "text", generalise_at: float = GENERALISE_AT,

@@ -105,6 +105,22 @@ def test_many_terms_are_joined_instead_of_sent(spark, monkeypatch):
     assert [(r["term"], r["revealed"]) for r in D.disclosing(df, found).collect()] == [("zanthippe", 1.0)]
 
 
+def test_more_clean_texts_mark_no_more_words(spark):
+    """A word of one text with the value and of several without it stays, however large the corpus."""
+    marked = {}
+    for n in (3_000, 40_000):
+        beside = [(i, "plain words here ursine lantern") for i in range(6)]
+        rows = [(100 + i, f"filler{i} text number{i} runs on") for i in range(n)]
+        rows += [(90, "ursine lonelyword someone@place.example.org")]
+        rows += [(i, f"{t} v{chr(97 + i)}{chr(97 + i)}{chr(97 + i)}") for i, t in beside]
+        df = spark.createDataFrame(rows, "doc_id bigint, text string")
+        text = rows[n][1]
+        hits = {r["doc_id"]: [text[t["start"]:t["end"]] for t in r["terms"]] for r in D.detect(df).collect() if r["terms"]}
+        assert set(hits) <= {90} and "ursine" not in hits.get(90, [])
+        marked[n] = hits
+    assert marked[40_000] == {90: ["lonelyword"]}
+
+
 def test_overlapping_spans_are_redacted_once():
     text = "call +1.2.3.4 99999 or 4111 1111 1111 1111 x"
     out = D.redact(text, [])

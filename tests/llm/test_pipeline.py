@@ -92,7 +92,7 @@ def test_stages_take_odd_and_empty_tables(spark):
 
 def test_registered_names():
     names = set(E.queries())
-    assert "pipeline" in names and {f"op{i}_" for i in range(1, 11)} == {n.split("_")[0] + "_" for n in names if n.startswith("op")}
+    assert "pipeline" in names and {f"op{i}_" for i in range(1, 14)} == {n.split("_")[0] + "_" for n in names if n.startswith("op")}
     assert {"op3_quality_rules", "op6_mix_sources"} <= set(E.oracle_sql())
 
 
