@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagelake.session import cut_lineage
+from pagelake.sources.checked import Checked, split_rows
 
 CATEGORY_PREFIX = "category:"
 # --- fixed values: lower-cased namespaces that are not content pages
@@ -19,19 +20,30 @@ def category_index_lines(cat_pages: DataFrame) -> DataFrame:
                                         F.array_join("cats", "|")).alias("value"))
 
 
-def parse_category_index(lines: DataFrame, col: str = "value") -> tuple[DataFrame, DataFrame]:
-    """Lower-cased lines -> (``page_id, title, cats``, rejects); empty category names are dropped.
-
-    A line without a numeric id or without a title goes to the rejects.
-    """
+def tagged_category_index(lines: DataFrame, col: str = "value") -> DataFrame:
+    """Lower-cased lines beside the raw one and, in ``reject``, what is wrong; empty category names are dropped."""
     parts = F.split(F.lower(F.col(col)), r"\|", -1)
     parsed = lines.select(
-        F.col(col).alias("line"),
         F.try_element_at(parts, F.lit(1)).try_cast("bigint").alias("page_id"),
         F.try_element_at(parts, F.lit(2)).alias("title"),
-        F.filter(F.slice(parts, 3, F.greatest(F.size(parts) - 2, F.lit(1))), lambda c: c != "").alias("cats"))
-    ok = F.col("page_id").isNotNull() & F.col("title").isNotNull()
-    return parsed.where(ok).drop("line"), parsed.where(~ok).select("line")
+        F.filter(F.slice(parts, 3, F.greatest(F.size(parts) - 2, F.lit(1))), lambda c: c != "").alias("cats"),
+        F.col(col).alias("record"))
+    reject = F.when(F.col("page_id").isNull(), F.lit("bad id")).when(F.col("title").isNull(), F.lit("no title"))
+    return parsed.withColumn("reject", reject)
+
+
+def parse_category_index(lines: DataFrame, col: str = "value") -> tuple[DataFrame, DataFrame]:
+    """Lower-cased lines -> (``page_id, title, cats``, rejects).
+
+    A line without a numeric id or without a title goes to the rejects.
+    """
+    tagged, fine = tagged_category_index(lines, col), F.col("reject").isNull()
+    return tagged.where(fine).select("page_id", "title", "cats"), tagged.where(~fine).select(F.col("record").alias("line"))
+
+
+def check_category_index(lines: DataFrame, col: str = "value") -> Checked:
+    """As ``parse_category_index`` in one pass, with the number of lines and of rejects."""
+    return split_rows(tagged_category_index(lines, col))
 
 
 def category_pages(index: DataFrame) -> DataFrame:

@@ -8,30 +8,37 @@ from pyspark.sql import functions as F
 from pagelake.functions import xml as X
 from pagelake.operators.windows import next_value
 from pagelake.session import cut_lineage
+from pagelake.sources.checked import Checked, split_rows
 
 OFFSET_BLOCK_BYTES = 1 << 30      # offset blocks for ordered work (~1 GiB of dump each)
 
 
-def parse_dump_index(lines: DataFrame, col: str = "value") -> tuple[DataFrame, DataFrame]:
-    """``offset:page_id:title`` (title may hold ':') -> (rows, rejects)."""
+def tagged_dump_index(lines: DataFrame, col: str = "value") -> DataFrame:
+    """``offset:page_id:title`` (title may hold ':') beside the line and, in ``reject``, what is wrong with it."""
     p = f"split({col}, ':', 3)"
     parsed = lines.select(
-        F.col(col).alias("line"),
         F.expr(f"try_cast(try_element_at({p}, 1) AS BIGINT)").alias("offset"),
         F.expr(f"try_cast(try_element_at({p}, 2) AS BIGINT)").alias("page_id"),
-        F.expr(f"CASE WHEN size({p}) = 3 THEN try_element_at({p}, 3) END").alias("title"))
-    ok = F.col("offset").isNotNull() & F.col("page_id").isNotNull() & F.col("title").isNotNull()
-    return parsed.where(ok).drop("line"), parsed.where(~ok).select("line")
+        F.expr(f"CASE WHEN size({p}) = 3 THEN try_element_at({p}, 3) END").alias("title"), F.col(col).alias("record"))
+    reject = (F.when(F.col("offset").isNull(), F.lit("bad offset")).when(F.col("page_id").isNull(), F.lit("bad id"))
+               .when(F.col("title").isNull(), F.lit("no title")))
+    return parsed.withColumn("reject", reject)
+
+
+def parse_dump_index(lines: DataFrame, col: str = "value") -> tuple[DataFrame, DataFrame]:
+    """``offset:page_id:title`` lines -> (rows, rejects)."""
+    tagged, fine = tagged_dump_index(lines, col), F.col("reject").isNull()
+    return tagged.where(fine).select("offset", "page_id", "title"), tagged.where(~fine).select(F.col("record").alias("line"))
+
+
+def check_dump_index(lines: DataFrame, col: str = "value") -> Checked:
+    """As ``parse_dump_index`` in one pass, with the number of lines and of rejects."""
+    return split_rows(tagged_dump_index(lines, col))
 
 
 def index_line_counts(lines: DataFrame, col: str = "value") -> DataFrame:
     """Lines in the dump index, and how many of them do not parse."""
-    good, _ = parse_dump_index(lines.select(F.col(col).alias("value")))
-    p = "split(value, ':', 3)"
-    bad = F.expr(f"try_cast(try_element_at({p}, 1) AS BIGINT) IS NULL OR try_cast(try_element_at({p}, 2) AS BIGINT) IS NULL "
-                 f"OR size({p}) < 3")
-    return lines.select(F.col(col).alias("value")).agg(
-        F.count(F.lit(1)).alias("n_lines"), F.count_if(bad).alias("n_rejects"))
+    return tagged_dump_index(lines, col).agg(F.count(F.lit(1)).alias("n_lines"), F.count("reject").alias("n_rejects"))
 
 
 def distinct_offsets(index: DataFrame) -> DataFrame:

@@ -25,7 +25,9 @@ from pagelake.plans import views as VW
 from pagelake.plans.views import wiki_pages
 from pagelake.session import cut_lineage, prepare, shared_dir
 from pagelake.sources import dump as D
+from pagelake.sources import history as H
 from pagelake.sources import sinks as S
+from pagelake.sources.checked import together
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -42,6 +44,12 @@ def query(name: str):
     return deco
 
 
+def _numbered_rejects(rows: DataFrame) -> DataFrame:
+    """Numbers of rejected rows as -1, which both engines hand over alike."""
+    kinds = dict(rows.dtypes)
+    return rows.select(*[F.coalesce(F.col(c), F.lit(-1)).cast("bigint").alias(c) if kinds[c] == "bigint" else F.col(c) for c in rows.columns])
+
+
 def _cat_pages(spark, sf_dir):
     return P.page_categories(wiki_pages(spark, sf_dir))
 
@@ -161,11 +169,16 @@ def q_page_layout(spark, sf_dir):
 
 @query("src_pages")
 def q_src_pages(spark, sf_dir):
-    """Render the pages as a bz2 XML dump in the shared folder, then read it back."""
+    """Render the pages as a bz2 XML dump, some of them broken, and read it back: accepted pages and rejects."""
     path = _scratch(spark, "pages_dump")
-    S.write_dump(_records(spark, sf_dir), path)
-    pages, _ = D.read_pages(spark, path)
-    return pages
+    record, kind = F.col("record"), F.col("page_id") % 97
+    number = F.concat(F.lit("<id>"), F.col("page_id").cast("string"), F.lit("</id>"))
+    # an unclosed tag, a bare ampersand, a page without an id of its own
+    record = (F.when(kind == 13, F.replace(record, F.lit("</revision>"), F.lit("</revision")))
+               .when(kind == 29, F.replace(record, F.lit("<ns>"), F.lit("& <ns>")))
+               .when(kind == 31, F.replace(record, F.concat(F.lit("    "), number, F.lit("\n")), F.lit("    \n"))).otherwise(record))
+    S.write_dump(_records(spark, sf_dir).withColumn("record", record), path)
+    return _numbered_rejects(together(D.check_pages(spark, path)))
 
 
 @query("page_to_json")
@@ -248,12 +261,15 @@ def q_media_profile(spark, sf_dir):
 PACK_LIMIT = 500_000      # bytes per greedy pack before it closes
 
 
-def _dump_index(spark, sf_dir):
-    """The dump index, written as a text file and parsed back."""
+def _checked_index(spark, sf_dir):
+    """The dump index, written as a text file with some bad lines and parsed back in one pass."""
     path = _scratch(spark, "dump_index")
     S.write_lines(VW.dump_index_lines(spark, sf_dir), path)
-    rows, _ = IX.parse_dump_index(spark.read.text(path))
-    return rows
+    return IX.check_dump_index(spark.read.text(path))
+
+
+def _dump_index(spark, sf_dir):
+    return _checked_index(spark, sf_dir).accepted
 
 
 def _ranges(spark, sf_dir):
@@ -266,12 +282,15 @@ def _scratch(spark, name):
 
 @query("src_dump_index")
 def q_src_dump_index(spark, sf_dir):
-    return _dump_index(spark, sf_dir)
+    return _numbered_rejects(together(_checked_index(spark, sf_dir)))
 
 
 @query("line_count")
 def q_line_count(spark, sf_dir):
-    return IX.index_line_counts(VW.dump_index_lines(spark, sf_dir))
+    """Lines and rejects, counted while the index is parsed."""
+    checked = _checked_index(spark, sf_dir)
+    return spark.range(1).select(F.lit(checked.n_rows).cast("bigint").alias("n_lines"),
+                                 F.lit(checked.n_rejects).cast("bigint").alias("n_rejects"))
 
 
 @query("sort_offsets")
@@ -337,17 +356,20 @@ def q_all_valid(spark, sf_dir):
 GRAPH_ROOT = "k0"
 
 
-def _cat_index(spark, sf_dir):
-    """The lower-cased category index, read back from its text form.
-
-    Materialised once (reliable checkpoint) like the index file it stands
-    for, so both sides of the graph joins read it instead of re-running the
-    markup mask.
-    """
+def _checked_categories(spark, sf_dir):
+    """The lower-cased category index, read back from its text form, in which some lines have no id or no title."""
     path = _scratch(spark, "category_index_src")
-    S.write_lines(G.category_index_lines(_cat_pages(spark, sf_dir)), path)
-    rows, _ = G.parse_category_index(spark.read.text(path))
-    return rows
+    lines = G.category_index_lines(_cat_pages(spark, sf_dir))
+    pages = VW.wiki_pages(spark, sf_dir).select("page_id", "title")
+    broken = pages.where(F.col("page_id") % 83 < 2).select(
+        F.when(F.col("page_id") % 83 == 0, F.concat(F.lit("no id|"), "title")).otherwise(F.col("page_id").cast("string")).alias("value"))
+    S.write_lines(lines.unionByName(broken), path)
+    return G.check_category_index(spark.read.text(path))
+
+
+def _cat_index(spark, sf_dir):
+    """The accepted rows of the index: parsed once, so both sides of the graph joins read a table."""
+    return _checked_categories(spark, sf_dir).accepted
 
 
 def _cat_graph_pages(spark, sf_dir):
@@ -360,9 +382,10 @@ def _levels(spark, sf_dir):
 
 @query("src_category_index")
 def q_src_category_index(spark, sf_dir):
-    idx = _cat_index(spark, sf_dir)
-    return idx.select("page_id", "title", F.size("cats").cast("bigint").alias("n_cats"),
-                      F.array_join("cats", "|").alias("cats"))
+    both = together(_checked_categories(spark, sf_dir))
+    # the size of no list is null, not -1
+    n_cats = F.when(F.col("cats").isNotNull(), F.size("cats")).cast("bigint")
+    return _numbered_rejects(both.select("page_id", "title", n_cats.alias("n_cats"), F.array_join("cats", "|").alias("cats"), "reject", "record"))
 
 
 @query("prj_category_pages")
@@ -604,24 +627,23 @@ def q_user_info(spark, sf_dir):
 
 
 def _history(spark, sf_dir):
-    """History dump shards written to the shared folder, read back with the shard reader."""
+    """History dump shards written to the shared folder, read back revision by revision."""
     path = _scratch(spark, "history_shards")
     S.write_ordered_lines(VW.history_lines(spark, sf_dir), path, "page_id", ["ord", "ord2"])
-    hist, _ = D.read_history(spark, f"{path}/part-*")
-    return hist
+    return H.read_history(spark, f"{path}/part-*")
 
 
 @query("src_history")
 def q_src_history(spark, sf_dir):
+    """Accepted revisions, and the rejects with their reason."""
     h = _history(spark, sf_dir)
-    return h.select("page_id", T.numbered("revision", "rev_pos", "r")).select(
-        "page_id", "rev_pos", F.col("r.id").alias("rev_id"),
-        F.unix_seconds("r.timestamp").alias("epoch"), F.col("r.bytes").alias("bytes"))
+    rows = h.revisions.select("page_id", "rev_pos", "rev_id", F.unix_seconds("timestamp").alias("epoch"), "bytes")
+    return _numbered_rejects(rows.unionByName(h.rejects.select("page_id", "reject", "record"), allowMissingColumns=True))
 
 
 @query("revision_count")
 def q_revision_count(spark, sf_dir):
-    return _history(spark, sf_dir).select("page_id", F.size("revision").cast("bigint").alias("revi_count"))
+    return _history(spark, sf_dir).pages.select("page_id", "revi_count", "n_rejected")
 
 
 @query("sink_history")

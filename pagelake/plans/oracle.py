@@ -186,7 +186,13 @@ ORACLE["xml_validate"] = with_(wiki_cte()) + """
 SELECT page_id, NOT regexp_matches(regexp_replace(regexp_replace(text, '(?s)<!--.*?-->', '', 'g'),
   '&(amp|lt|gt|quot|apos|#[0-9]+|#x[0-9a-fA-F]+);', '', 'g'), '[<&]') AS is_valid FROM wiki_pages"""
 
-ORACLE["src_pages"] = with_(wiki_cte()) + "SELECT page_id, title, redirect_title, text FROM wiki_pages"
+ORACLE["src_pages"] = with_(wiki_cte(), records_cte()) + """
+SELECT page_id, title, redirect_title, text, NULL AS reject, NULL AS record FROM wiki_pages WHERE page_id % 97 NOT IN (13, 29, 31)
+UNION ALL
+SELECT -1, NULL, NULL, NULL, CASE WHEN page_id % 97 = 31 THEN 'no id' ELSE 'malformed' END,
+  rtrim(ltrim(CASE page_id % 97 WHEN 13 THEN replace(record, '</revision>', '</revision') WHEN 29 THEN replace(record, '<ns>', '& <ns>')
+    ELSE replace(record, '    <id>' || CAST(page_id AS VARCHAR) || '</id>' || chr(10), '    ' || chr(10)) END, ' '), chr(10))
+FROM records WHERE page_id % 97 IN (13, 29, 31)"""
 ORACLE["page_to_json"] = with_(wiki_cte()) + """
 SELECT page_id, CAST(to_json({'page_id': page_id, 'title': title, 'redirect_title': redirect_title, 'text': text}) AS VARCHAR) AS json
 FROM wiki_pages"""
@@ -265,8 +271,15 @@ ranges AS (SELECT "offset" AS st, CAST(coalesce(lead("offset") OVER (ORDER BY "o
 
 
 _IX = with_(wiki_cte(), index_ctes())
-ORACLE["src_dump_index"] = _IX + 'SELECT "offset", page_id, title FROM idx'
-ORACLE["line_count"] = _IX + "SELECT CAST(count(*) AS BIGINT) AS n_lines, CAST(0 AS BIGINT) AS n_rejects FROM idx"
+_BAD_LINES = """, bad_lines AS (
+  SELECT 'bad offset' AS reject, 'x:' || page_id || ':' || title AS record FROM wiki_pages WHERE page_id % 89 = 3
+  UNION ALL SELECT 'bad id', '550:K:' || page_id FROM wiki_pages WHERE page_id % 89 = 5
+  UNION ALL SELECT 'no title', '550:' || page_id FROM wiki_pages WHERE page_id % 89 = 7)
+"""
+ORACLE["src_dump_index"] = _IX.rstrip() + _BAD_LINES + """SELECT "offset", page_id, title, NULL AS record, NULL AS reject FROM idx
+UNION ALL SELECT -1, -1, NULL, record, reject FROM bad_lines"""
+ORACLE["line_count"] = _IX.rstrip() + _BAD_LINES + """SELECT CAST((SELECT count(*) FROM idx) + (SELECT count(*) FROM bad_lines) AS BIGINT) AS n_lines,
+  CAST((SELECT count(*) FROM bad_lines) AS BIGINT) AS n_rejects"""
 ORACLE["sort_offsets"] = _IX + 'SELECT DISTINCT "offset" FROM idx ORDER BY 1'
 ORACLE["stream_ranges"] = _IX + "SELECT st, ed FROM ranges"
 ORACLE["grp_pages_by_stream"] = _IX + """SELECT "offset", CAST(count(*) AS BIGINT) AS n_pages,
@@ -326,7 +339,9 @@ seen AS (SELECT title FROM levels UNION SELECT 'k0')
 _CG = "WITH RECURSIVE " + with_(wiki_cte(), content_filter_cte(), masked_ctes(src="kept_pages"), cats_ctes(),
                                 cat_index_ctes())[len("WITH "):]
 ORACLE["src_category_index"] = _CG + """SELECT page_id, title, CAST(len(cats) AS BIGINT) AS n_cats,
-  array_to_string(cats, '|') AS cats FROM cat_lists"""
+  array_to_string(cats, '|') AS cats, NULL AS reject, NULL AS record FROM cat_lists
+UNION ALL SELECT -1, NULL, -1, NULL, CASE page_id % 83 WHEN 0 THEN 'bad id' ELSE 'no title' END,
+  CASE page_id % 83 WHEN 0 THEN 'no id|' || title ELSE CAST(page_id AS VARCHAR) END FROM wiki_pages WHERE page_id % 83 < 2"""
 ORACLE["prj_category_pages"] = _CG + "SELECT page_id, title, array_to_string(cats, '|') AS cats FROM cat_graph"
 ORACLE["prj_content_pages"] = _CG + """SELECT page_id, title, array_to_string(cats, '|') AS cats FROM cat_lists
 WHERE NOT regexp_matches(title, '^(category|module|template|portal|help):') AND len(cats) > 0"""
@@ -524,13 +539,28 @@ from pagelake.plans.views import SITE_HEADER_SQL  # noqa: E402
 _HIST = """hist AS (
   SELECT o_custkey AS page_id, o_orderkey AS rev_id, CAST(epoch(o_orderdate) AS BIGINT) AS epoch,
     CAST(floor(o_totalprice) AS BIGINT) AS bytes,
-    CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS BIGINT) AS rev_pos
-  FROM orders)"""
-ORACLE["src_history"] = with_(_HIST) + "SELECT page_id, rev_pos, rev_id, epoch, bytes FROM hist"
-ORACLE["revision_count"] = with_(_HIST) + "SELECT page_id, CAST(count(*) AS BIGINT) AS revi_count FROM hist GROUP BY page_id"
-ORACLE["sink_history"] = with_(_HIST) + """SELECT CAST(page_id AS VARCHAR) || ',' ||
-  string_agg(CAST(epoch AS VARCHAR) || '-' || CAST(bytes AS VARCHAR), ',' ORDER BY rev_pos) AS value
-FROM hist WHERE page_id % 9 <> 4 GROUP BY page_id"""
+    CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS BIGINT) AS rev_pos,
+    CASE WHEN o_orderkey % 103 = 5 THEN 'malformed' WHEN o_orderkey % 101 = 7 THEN 'bad timestamp'
+      WHEN o_custkey % 211 = 3 THEN 'bad page' END AS reject,
+    '<revision><id>' || o_orderkey || '</id><timestamp>' || CASE WHEN o_orderkey % 101 = 7 THEN 'no time'
+      ELSE strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') END || '</timestamp>' || CASE WHEN o_orderkey % 103 = 5 THEN '<b>' ELSE '' END ||
+      '<text bytes="' || CAST(floor(o_totalprice) AS BIGINT) || '" /></revision>' AS record
+  FROM orders),
+hist_pages AS (SELECT c_custkey AS page_id, c_custkey % 9 = 4 AS redirect,
+    CAST(count(rev_id) FILTER (reject IS NULL) AS BIGINT) AS revi_count, CAST(count(reject) AS BIGINT) AS n_rejected
+  FROM customer LEFT JOIN hist ON hist.page_id = c_custkey WHERE c_custkey % 211 <> 3 GROUP BY c_custkey)"""
+ORACLE["src_history"] = with_(_HIST) + """
+SELECT page_id, rev_pos, rev_id, epoch, bytes, NULL AS reject, NULL AS record FROM hist WHERE reject IS NULL
+UNION ALL
+SELECT CASE WHEN page_id % 211 <> 3 THEN page_id ELSE -1 END, -1, -1, -1, -1, reject, record FROM hist WHERE reject IS NOT NULL
+UNION ALL
+SELECT -1, -1, -1, -1, -1, 'no id', '<page><title>K' || c_custkey || '</title><ns>0</ns>' ||
+  CASE WHEN c_custkey % 9 = 4 THEN '<redirect title="K' || c_custkey || '" />' ELSE '' END || chr(10) || '</page>'
+FROM customer WHERE c_custkey % 211 = 3"""
+ORACLE["revision_count"] = with_(_HIST) + "SELECT page_id, revi_count, n_rejected FROM hist_pages"
+ORACLE["sink_history"] = with_(_HIST) + """SELECT CAST(p.page_id AS VARCHAR) || ',' ||
+  coalesce(string_agg(CAST(epoch AS VARCHAR) || '-' || CAST(bytes AS VARCHAR), ',' ORDER BY rev_pos), '') AS value
+FROM hist_pages p LEFT JOIN hist h ON h.page_id = p.page_id WHERE NOT redirect AND n_rejected = 0 GROUP BY p.page_id"""
 ORACLE["rfc3339_epoch"] = """SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') AS ts_text,
   CAST(epoch(o_orderdate) AS BIGINT) AS epoch FROM orders"""
 ORACLE["src_site_info"] = f"""WITH heads AS ({SITE_HEADER_SQL})

@@ -127,7 +127,12 @@ def dump_index_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     wp = wiki_pages(spark, sf_dir).select("page_id", "title")
     streams = dump_streams(spark, sf_dir).select("stream", "offset")
     joined = wp.join(streams, F.floor(wp.page_id / PAGES_PER_STREAM).cast("bigint") == streams.stream)
-    return joined.select(F.concat_ws(":", "offset", "page_id", "title").alias("value"))
+    lines = joined.select(F.concat_ws(":", "offset", "page_id", "title").alias("value"))
+    # beside them, lines that break each rule: offset, id, title
+    broken = (F.when(F.col("page_id") % 89 == 3, F.concat_ws(":", F.lit("x"), "page_id", "title"))
+               .when(F.col("page_id") % 89 == 5, F.concat_ws(":", F.lit("550"), F.lit("K"), "page_id"))
+               .when(F.col("page_id") % 89 == 7, F.concat_ws(":", F.lit("550"), "page_id")))
+    return lines.unionByName(wp.select(broken.alias("value")).where("value is not null"))
 
 
 # ---------------------------------------------------------------- ledger world
@@ -248,6 +253,8 @@ def ledger(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 # ---------------------------------------------------------------- history dump derived from orders
 # page = customer, revision = order (timestamp = order date, bytes = floor(total price)),
 # ordered by date then order key; pages with o_custkey % 9 = 4 are redirects.
+# Customers without orders are pages without revisions.  Some revisions have a
+# bad timestamp or a stray tag, and some pages have no id.
 def history_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``page_id, ord, value``: the history dump as ordered text pieces.
 
@@ -259,19 +266,23 @@ def history_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
     orders = table(spark, sf_dir, "orders")
     ts_fmt = "yyyy-MM-dd'T'HH:mm:ss'Z'"
+    key = F.col("o_orderkey")
+    time = F.when(key % 101 == 7, F.lit("no time")).otherwise(F.date_format("o_orderdate", ts_fmt))
     # order within a page: date (epoch seconds) then order key, packed into one sortable pair
     rev = orders.select(
         F.col("o_custkey").alias("page_id"),
-        F.unix_seconds(F.col("o_orderdate").cast("timestamp")).alias("ord"), F.col("o_orderkey").alias("ord2"),
-        F.concat(F.lit("<revision><id>"), F.col("o_orderkey").cast("string"), F.lit("</id><timestamp>"),
-                 F.date_format("o_orderdate", ts_fmt), F.lit('</timestamp><text bytes="'),
+        F.unix_seconds(F.col("o_orderdate").cast("timestamp")).alias("ord"), key.alias("ord2"),
+        F.concat(F.lit("<revision><id>"), key.cast("string"), F.lit("</id><timestamp>"), time, F.lit("</timestamp>"),
+                 F.when(key % 103 == 5, F.lit("<b>")).otherwise(F.lit("")), F.lit('<text bytes="'),
                  F.floor("o_totalprice").cast("bigint").cast("string"), F.lit('" /></revision>')).alias("value"))
-    pages = orders.select(F.col("o_custkey").alias("page_id")).distinct()
+    pages = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("page_id"))
     redirect = F.when(F.col("page_id") % 9 == 4, F.concat(F.lit('<redirect title="K'), F.col("page_id").cast("string"),
                                                          F.lit('" />')))
+    number = F.when(F.col("page_id") % 211 == 3, F.lit("")).otherwise(
+        F.concat(F.lit("<id>"), F.col("page_id").cast("string"), F.lit("</id>")))
     head = pages.select("page_id", F.lit(-(1 << 62)).alias("ord"), F.lit(0).cast("bigint").alias("ord2"), F.concat(
-        F.lit("<page><title>K"), F.col("page_id").cast("string"), F.lit("</title><ns>0</ns><id>"),
-        F.col("page_id").cast("string"), F.lit("</id>"), F.coalesce(redirect, F.lit(""))).alias("value"))
+        F.lit("<page><title>K"), F.col("page_id").cast("string"), F.lit("</title><ns>0</ns>"), number,
+        F.coalesce(redirect, F.lit(""))).alias("value"))
     tail = pages.select("page_id", F.lit(1 << 62).alias("ord"), F.lit(0).cast("bigint").alias("ord2"),
                         F.lit("</page>").alias("value"))
     return head.unionByName(rev).unionByName(tail)

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagelake.functions import xml as X
+from pagelake.sources.checked import Checked, split_rows
 
 PAGE_OPEN, PAGE_CLOSE = "<page>", "</page>"
 
@@ -43,28 +44,21 @@ def read_pages(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 def split_parsed(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Parse records; (``page_id, title, redirect_title, text``, rejects)."""
-    recs = records.select("record", X.parse_page("record").alias("p"))
-    ok = F.col("p.id").isNotNull() & F.col(f"p.{X.CORRUPT}").isNull()
-    return recs.where(ok).select(*X.flat_page("p")), recs.where(~ok).select("record")
+    tagged = tagged_pages(records)
+    fine = F.col("reject").isNull()
+    return tagged.where(fine).drop("reject", "record"), tagged.where(~fine).select("record")
+
 
+def tagged_pages(records: DataFrame) -> DataFrame:
+    """Parsed records beside the raw one and, in ``reject``, why it is not accepted (null: it is)."""
+    recs = records.select("record", X.parse_page("record").alias("p"))
+    reject = F.when(F.col(f"p.{X.CORRUPT}").isNotNull(), F.lit("malformed")).when(F.col("p.id").isNull(), F.lit("no id"))
+    return recs.select(*X.flat_page("p"), reject.alias("reject"), "record")
 
-def read_history(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """History dump shards (a path glob) -> one row per page with all revisions.
 
-    ``page_id, title, redirect_title, revision`` where ``revision`` is an array
-    of ``struct<id, timestamp, bytes>`` with the timestamp parsed (RFC 3339);
-    pages with an unparsable timestamp go to the rejects.
-    """
-    recs = page_records(spark, path).select("record", X.parse_page("record").alias("p"))
-    revs = F.transform("p.revision", lambda r: F.struct(
-        r["id"].alias("id"), rfc3339_to_timestamp(r["timestamp"]).alias("timestamp"),
-        r["text"]["_bytes"].alias("bytes")))
-    pages = recs.select(F.col("p.id").alias("page_id"), F.col("p.title").alias("title"),
-                        F.col("p.redirect._title").alias("redirect_title"), revs.alias("revision"), F.col(f"p.{X.CORRUPT}").alias("corrupt"), "record")
-    # a page without revisions has no bad timestamp
-    bad_ts = F.coalesce(F.exists("revision", lambda r: r["timestamp"].isNull()), F.lit(False))
-    ok = F.col("page_id").isNotNull() & F.col("corrupt").isNull() & ~bad_ts
-    return pages.where(ok).drop("record", "corrupt"), pages.where(~ok).select("record")
+def check_pages(spark: SparkSession, path: str) -> Checked:
+    """As ``read_pages`` in one pass: both frames and their counts come from a single parse of the dump."""
+    return split_rows(tagged_pages(page_records(spark, path)))
 
 
 def rfc3339_to_timestamp(c):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagelake.sources.history import History, history_lines
 
 # Page ids per file block of a site dump.
 SITE_BLOCK = 100_000
@@ -41,16 +42,7 @@ def write_page_store(pages: DataFrame, path: str, key: str = "page_id", compress
           .option("maxRecordsPerFile", max_records_per_file).parquet(path))
 
 
-def history_lines(history: DataFrame) -> DataFrame:
-    """``page_id,epoch-bytes,epoch-bytes,...`` for non-redirect pages."""
-    revs = F.transform("revision", lambda r: F.concat(F.unix_seconds(r["timestamp"]).cast("string"), F.lit("-"),
-                                                      r["bytes"].cast("string")))
-    # "id," + joined revisions: a page without revisions still gets its comma
-    return history.where(F.col("redirect_title").isNull()).select(
-        F.concat(F.col("page_id").cast("string"), F.lit(","), F.array_join(revs, ",")).alias("value"))
-
-
-def write_history(history: DataFrame, path: str) -> None:
+def write_history(history: History, path: str) -> None:
     write_lines(history_lines(history), path)
 
 

@@ -1,9 +1,11 @@
 import os
+import random
 
 from pyspark.sql import functions as F
 
 from pagelake.functions import xml as X
 from pagelake.sources import dump as D
+from pagelake.sources import history as H
 from pagelake.sources import sinks as S
 
 HEADER = '<mediawiki xml:lang="en">\n  <siteinfo>\n    <sitename>Test</sitename>\n  </siteinfo>\n'
@@ -57,12 +59,74 @@ def test_no_text_is_lost_to_a_malformed_record(spark):
     assert sorted(r.record for r in bad.collect()) == sorted(recs[1:])
 
 
+def _history(spark, texts, path):
+    """One file per text, without any separator behind it."""
+    os.makedirs(path)
+    for i, text in enumerate(texts):
+        with open(os.path.join(path, f"shard{i}.xml"), "w", encoding="utf-8") as fh:
+            fh.write(text)
+    return H.read_history(spark, path)
+
+
 def test_history_keeps_pages_without_revisions(spark, scratch):
     text = ("<page><title>none</title><id>1</id></page><page><title>one</title><id>2</id><revision><id>3</id>"
-            "<timestamp>2001-01-01T00:00:00Z</timestamp></revision></page><page><title>x & y</title><id>4</id></page>")
-    S.write_lines(spark.createDataFrame([(text,)], "value string"), os.path.join(scratch, "h"))
-    good, bad = D.read_history(spark, os.path.join(scratch, "h"))
-    assert sorted(r.page_id for r in good.collect()) == [1, 2] and bad.count() == 1
+            "<timestamp>2001-01-01T00:00:00Z</timestamp></revision></page><page><title>x & y</title><id>4</id></page>"
+            "<page><title>last</title><id>5</id></page>" + FOOTER)
+    h = _history(spark, [HEADER + text], os.path.join(scratch, "h"))
+    assert sorted((r.page_id, r.revi_count) for r in h.pages.collect()) == [(1, 0), (2, 1), (5, 0)]
+    assert [(r.record, r.reject) for r in h.rejects.collect()] == [("<page><title>x & y</title><id>4</id></page>", "malformed")]
+    assert sorted(r.value for r in H.history_lines(h).collect()) == ["1,", "2,978307200-", "5,"]
+
+
+def test_revisions_of_a_page_run_through_many_splits(spark, scratch):
+    """Every page boundary falls somewhere else in its split, and the largest page spans most of them."""
+    rnd, want, pages, texts = random.Random(3), [], [], []
+    for f in range(2):
+        text = HEADER + ("<revision><id>999</id><timestamp>2001-01-01T00:00:00Z</timestamp></revision>" if f else "")
+        for p in range(30):
+            page_id = f * 100 + p
+            text += f"  <page>\n <title>P{page_id}</title><id>{page_id}</id>\n" + ('<redirect title="x" />' if p % 7 == 6 else "")
+            n = 900 if p == 11 else rnd.choice([0, 0, 1, 2, 9])
+            for r in range(n):
+                bad = rnd.random() < 0.02
+                time = "soon" if bad else f"2001-01-01T00:{r // 60:02d}:{r % 60:02d}Z"
+                text += f"<revision><id>{r}</id><timestamp>{time}</timestamp><text bytes=\"{r}\" /></revision>\n"
+                if not bad:
+                    want.append((page_id, r + 1, r, r))
+            pages.append((page_id, n))
+            text += "</page>\n"
+        texts.append(text + FOOTER)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(4 * 1024))
+    try:
+        h = _history(spark, texts, os.path.join(scratch, "many"))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert h.revisions.select("page_key.file", "page_key.block").distinct().count() >= 4
+    assert sorted((r.page_id, r.rev_pos, r.rev_id, r.bytes) for r in h.revisions.collect()) == sorted(want)
+    assert sorted((r.page_id, r.revi_count + r.n_rejected) for r in h.pages.collect()) == sorted(pages)
+    rejects = [r.reject for r in h.rejects.collect()]
+    assert rejects.count("no page") == 1 and rejects.count("bad timestamp") == sum(n for _, n in pages) - len(want)
+    by_page = {}
+    for page_id, _, _, size in sorted(want):
+        by_page.setdefault(page_id, []).append(f"{978307200 + size}-{size}")
+    whole = [p for p, n in pages if p % 100 % 7 != 6 and len(by_page.get(p, [])) == n]
+    assert sorted(r.value for r in H.history_lines(h).collect()) == sorted(f"{p}," + ",".join(by_page.get(p, [])) for p in whole)
+
+
+def test_rejects_and_accepted_rows_come_from_one_pass(spark, scratch):
+    path = os.path.join(scratch, "bad")
+    text = ("<page><title>ok</title><id>5</id><revision><text>t</text></revision></page>"
+            "<page><title>broken<id>6</id></page><page><title>no id</title></page>")
+    S.write_lines(spark.createDataFrame([(text,)], "value string"), path)
+    c = D.check_pages(spark, path)
+    assert (c.n_rows, c.n_rejects) == (3, 2) and [r.page_id for r in c.accepted.collect()] == [5]
+    assert sorted((r.reject, r.record) for r in c.rejects.collect()) == [
+        ("malformed", "<page><title>broken<id>6</id></page>"), ("no id", "<page><title>no id</title></page>")]
+    plan = c.accepted._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(__rejected" in plan and "from_xml" not in plan
+    nothing = D.split_rows(D.tagged_pages(spark.createDataFrame([], "record string")))
+    assert (nothing.n_rows, nothing.accepted.count(), nothing.rejects.count()) == (0, 0, 0)
 
 
 def test_page_skeleton_ignores_quotes_in_text(spark):
@@ -81,8 +145,9 @@ def test_history_shards_and_sink(spark, scratch):
              '<revision><id>13</id><timestamp>not a time</timestamp><text bytes="1" /></revision></page>')
     for i in range(2):
         S.write_lines(spark.createDataFrame([(shard,)], "value string"), os.path.join(scratch, f"h{i}"))
-    hist, bad = D.read_history(spark, os.path.join(scratch, "h*"))
-    assert hist.count() == 4 and bad.count() == 2
+    hist = H.read_history(spark, os.path.join(scratch, "h*"))
+    assert hist.revisions.count() == 6 and hist.pages.count() == 6
+    assert [r.reject for r in hist.rejects.collect()] == ["bad timestamp"] * 2
     out = os.path.join(scratch, "hist_out")
     S.write_history(hist, out)
     lines = sorted(r.value for r in spark.read.text(out).collect())
