@@ -40,7 +40,7 @@ class Rule:
 
 
 RULES = (
-    Rule("length_words", "n_words", 50, 1_000_000),
+    Rule("length_words", "n_words", 50, None),
     Rule("mean_word_chars", "mean_word_chars", 2, 12),
     Rule("symbols_per_word", "symbol_ratio", None, 0.25),
     Rule("stop_words_per_word", "stop_ratio", 0.02, None),
