@@ -20,12 +20,13 @@ from __future__ import annotations
 
 import hashlib
 import math
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagelake.operators.sampling import sample_key
-from pagelake.operators.windows import running_total
+from pagelake.operators.windows import as_of, running_total
 from pagelake.session import cut_lineage
 
 # --- fixed values: result codes of the reference's actions
@@ -45,6 +46,7 @@ DUPLICATE = "duplicate"               # unique pair / same request twice
 INVALID = "invalid"                   # a registration field failed validation
 
 REQUEST_BLOCK = 1 << 16               # request-id block for per-account prefix sums
+CATALOG_SEQ_BLOCK = 1 << 16           # change-log sequence block for per-name and per-item lookups
 SHOP_SEQ_BLOCK = 1 << 16              # change-log sequence block for per-item numbering
 DRAW_BLOCK = 4096                     # rank numbers exploded from one row
 DRAW_STEPS = 256                      # strides tried for random draws
@@ -89,8 +91,13 @@ def ordered_fold(requests: DataFrame, balances: DataFrame) -> DataFrame:
     request rows with ``ok``.
     """
     columns = requests.columns
-    pending = requests.join(balances.select("account_id", F.col("balance").alias("__rest")), "account_id")
-    decided = []
+    asked = requests.join(balances.select("account_id", F.col("balance").alias("__rest")), "account_id")
+    # most accounts can pay for everything they ask: one aggregation settles them
+    totals = requests.groupBy("account_id").agg(F.sum(F.col("cost").cast("decimal(38,0)")).alias("__total"))
+    asked = asked.join(totals, "account_id")
+    covered = F.col("__total") <= F.col("__rest")
+    decided = [asked.where(covered).select(*columns, F.lit(True).alias("ok"))]
+    pending = asked.where(~covered).drop("__total")
     while True:
         d = cut_lineage(_halving_round(pending))
         done = F.col("__event").isNull() | (F.col("request_id") <= F.col("__event"))
@@ -115,105 +122,225 @@ def settle(profiles: DataFrame, decided: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- catalog and shop
+_LOG_ORDER = ["seq", "item_id", "op", "item_name"]
+
+
+def _claims(log: DataFrame) -> DataFrame:
+    """Adds and renames, once each; a null name is no name."""
+    return log.where(F.col("op").isin("add", "rename") & F.col("item_name").isNotNull()).select(*_LOG_ORDER).distinct()
+
+
+def _settled_claims(claims: DataFrame) -> DataFrame:
+    """``claims`` with ``ok`` and ``known`` (the item exists then), as a loop over the log in order would decide them.
+
+    A claim succeeds if the name is free then: its last holder has left it, by
+    a later claim that succeeded.  Claims on names that one item alone ever
+    claims succeed whenever the item exists.  The others are decided in rounds:
+    every round takes the decisions so far, looks up the last holder of each
+    name and the last name of each holder as of every claim, and decides anew.
+    A decision depends on earlier claims only, so after each round at least
+    those that depend on settled ones are settled, and when a round changes
+    nothing all are what the loop gives.  Rounds are as many as the longest
+    chain of claims that decide each other, not as there are claims.
+    """
+    order = F.struct(*_LOG_ORDER)
+    contested = claims.groupBy("item_name").agg(F.min("item_id").alias("a"), F.max("item_id").alias("b")).where("a <> b").select("item_name")
+    adds = claims.where(F.col("op") == "add").groupBy("item_id").agg(F.count(F.lit(1)).alias("n_adds"), F.min(order).alias("born"))
+    open_items = claims.join(contested, "item_name", "left_semi").select("item_id").unionByName(
+        adds.where("n_adds > 1").select("item_id")).distinct()
+    sure = claims.join(open_items, "item_id", "left_anti").join(adds.select("item_id", "born"), "item_id", "left")
+    exists = F.coalesce(order >= F.col("born"), F.lit(False))
+    sure = sure.select(*_LOG_ORDER, exists.alias("ok"), exists.alias("known"))
+    pending = cut_lineage(claims.join(open_items, "item_id", "left_semi").withColumn("ok", F.lit(True)).withColumn("known", F.lit(True)))
+    while not pending.isEmpty():
+        pending = cut_lineage(_decided_again(pending))
+        if pending.where("changed").isEmpty():
+            break
+    return sure.unionByName(pending.select(*_LOG_ORDER, "ok", "known"))
+
+
+def _decided_again(claims: DataFrame) -> DataFrame:
+    """One round: each claim decided from the present decisions on the claims before it."""
+    at = ["seq", "at_item", "at_op", "at_name"]
+    placed = claims.select(*_LOG_ORDER, "ok", "known", *[F.col(c).alias(a) for c, a in zip(_LOG_ORDER[1:], at[1:], strict=True)])
+    took = placed.where("ok").select(*at, F.col("item_name").alias("name"), F.col("item_id").alias("holder"))
+    asked = as_of(placed.withColumn("name", F.col("item_name")), took, "name", at, ["holder"], CATALOG_SEQ_BLOCK, inclusive=False)
+    # what the item itself, and the last holder of the name, are called then
+    names = placed.where("ok").select(*at, F.col("item_id").alias("who"), F.col("item_name").alias("called"))
+    own = asked.withColumn("who", F.col("item_id")).withColumn("side", F.lit("own"))
+    other = asked.where("holder <> item_id").withColumn("who", F.col("holder")).withColumn("side", F.lit("other"))
+    called = as_of(own.unionByName(other), names, "who", at, ["called"], CATALOG_SEQ_BLOCK, inclusive=False)
+    d = called.groupBy(*_LOG_ORDER, F.col("ok").alias("was"), F.col("known").alias("was_known")).agg(
+        F.max(F.when(F.col("side") == "own", F.col("called"))).alias("own_name"),
+        F.max(F.when(F.col("side") == "other", F.col("called"))).alias("other_name"))
+    known = F.col("own_name").isNotNull()
+    free = F.col("other_name").isNull() | (F.col("other_name") != F.col("item_name"))
+    ok = free & F.when(F.col("op") == "add", ~known).otherwise(known)
+    return d.select(*_LOG_ORDER, ok.alias("ok"), known.alias("known"), (ok != F.col("was")).alias("changed"))
+
+
+class Catalog(NamedTuple):
+    """``items``: item_id, item_name, item_stat.  ``rejects``: seq, op, item_id, item_name, status.
+
+    ``names`` (item_id, item_name, seq, ...) are the accepted claims and
+    ``stats`` (item_id, item_stat, seq, ...) the accepted statuses, in time.
+    """
+
+    items: DataFrame
+    rejects: DataFrame
+    names: DataFrame
+    stats: DataFrame
+
+
+def catalog_history(log: DataFrame) -> Catalog:
+    """Adds, renames and status changes in ``(seq, item_id, op, item_name)`` order.
+
+    A name belongs to one item at a time: adds and renames to a held name are
+    rejected, a rename frees the old name.  Winners and latest values come from
+    aggregations and block-wise passes, so a hot item or name is not a hot task.
+    """
+    claims = cut_lineage(_settled_claims(_claims(log)))
+    born = claims.where("ok").groupBy("item_id").agg(F.min(F.struct(*_LOG_ORDER)).alias("born"))
+    rows = log.join(born, "item_id", "left")
+    exists = F.coalesce(F.struct(*_LOG_ORDER) >= F.col("born"), F.lit(False))
+    stated = rows.where((F.col("op") == "status") & exists)
+    added = log.where(F.col("op") == "add").join(claims.where("ok"), _LOG_ORDER, "left_semi")
+    stats = added.select(*_LOG_ORDER, "item_stat").unionByName(stated.select(*_LOG_ORDER, "item_stat"))
+    names = claims.where("ok").select(*_LOG_ORDER)
+    place = F.struct(*_LOG_ORDER)
+    last_name = names.groupBy("item_id").agg(F.max_by("item_name", place).alias("item_name"))
+    last_stat = stats.groupBy("item_id").agg(F.max_by("item_stat", place).alias("item_stat"))
+    refused = claims.where(~F.col("ok")).select("seq", "op", "item_id", "item_name", F.when(
+        (F.col("op") == "rename") & ~F.col("known"), F.lit(INVALID_ID)).when((F.col("op") == "add") & F.col("known"), F.lit(DUPLICATE))
+        .otherwise(F.lit(NAME_EXISTS)).alias("status"))
+    lost = rows.where((F.col("op") == "status") & ~exists).select("seq", "op", "item_id", "item_name", F.lit(INVALID_ID).alias("status"))
+    return Catalog(last_name.join(last_stat, "item_id", "left").select("item_id", "item_name", "item_stat"), refused.unionByName(lost), names, stats)
+
+
 def apply_catalog(log: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Adds (unique names; the earliest add of a name wins), renames and status changes.
+    """``(catalog(item_id, item_name, item_stat), rejects(seq, op, item_id, item_name, status))`` at the end of the log."""
+    made = catalog_history(log)
+    return made.items, made.rejects
+
+
+def _at_start(catalog: DataFrame) -> Catalog:
+    """A catalog without a history: its names and statuses hold from the beginning."""
+    first = [F.lit(-(1 << 62)).alias("seq"), "item_id", F.lit("add").alias("op"), "item_name"]
+    return Catalog(catalog, catalog.limit(0), catalog.select(*first), catalog.select(*first, "item_stat"))
 
-    The latest change per item wins.  Winners and latest values come from
-    aggregations (partial + final), so a hot item or name is not a hot task.
-    Returns ``(catalog(item_id, item_name, item_stat), rejects(seq, op, item_id, item_name, status))``.
+
+def resolve_items(requests: DataFrame, catalog: Catalog) -> DataFrame:
+    """Requests (``seq, item_id, item_name``) with ``rid`` and ``item_stat`` as of their ``seq``; null: no such item then.
+
+    A name stands for the item that holds it at that time: the last one to take
+    it, unless that item has another name by then.
     """
-    adds = log.where(F.col("op") == "add")
-    win = adds.groupBy("item_name").agg(F.min(F.struct("seq", "item_id")).alias("w"))
-    accepted = adds.join(win, "item_name").where(
-        (F.col("seq") == F.col("w.seq")) & (F.col("item_id") == F.col("w.item_id"))).drop("w")
-    add_rejects = adds.join(accepted.select("seq", "item_id"), ["seq", "item_id"], "left_anti")
-    updates = log.where(F.col("op") != "add")
-    known = updates.join(accepted.select("item_id"), "item_id", "left_semi")
-    unknown = updates.join(accepted.select("item_id"), "item_id", "left_anti")
-    latest = known.groupBy("item_id").agg(
-        F.max_by("item_name", F.when(F.col("op") == "rename", F.col("seq"))).alias("new_name"),
-        F.max_by("item_stat", F.when(F.col("op") == "status", F.col("seq"))).alias("new_stat"))
-    catalog = accepted.join(latest, "item_id", "left").select(
-        "item_id", F.coalesce("new_name", "item_name").alias("item_name"),
-        F.coalesce("new_stat", "item_stat").alias("item_stat"))
-    rejects = add_rejects.select("seq", "op", "item_id", "item_name", F.lit(NAME_EXISTS).alias("status")).unionByName(
-        unknown.select("seq", "op", "item_id", "item_name", F.lit(INVALID_ID).alias("status")))
-    return catalog, rejects
-
-
-def apply_shop(log: DataFrame, catalog: DataFrame, changes: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """List items at a cost unless missing or yanked; unlist by id or by name.
-
-    Names resolve through the catalog; the status check applies to every
-    listing (the reference skipped it for numeric ids).  With ``changes``
-    (``seq, item_id, item_stat``) a listing sees the status as of its own
-    ``seq``; without, the catalog's.
+    at = ["seq"]
+    took = catalog.names.select("seq", F.col("item_name").alias("asked_name"), F.struct("seq", "item_id", "op").alias("place"), "item_id")
+    took = took.groupBy("asked_name", "seq").agg(F.max_by("item_id", "place").alias("named_id"))
+    r = requests.withColumn("asked_name", F.when(F.col("item_id").isNull(), F.col("item_name")))
+    r = as_of(r, took, "asked_name", at, ["named_id"], CATALOG_SEQ_BLOCK)
+    place = F.struct("op", "item_name")
+    called = catalog.names.withColumn("who", F.col("item_id")).groupBy("who", "seq").agg(F.max_by("item_name", place).alias("called"))
+    r = as_of(r.withColumn("who", F.coalesce("item_id", "named_id")), called, "who", at, ["called"], CATALOG_SEQ_BLOCK)
+    held = F.col("item_id").isNotNull() | (F.col("called") == F.col("asked_name"))
+    r = r.withColumn("who", F.when(F.col("called").isNotNull() & held, F.col("who")))
+    stat = catalog.stats.withColumn("who", F.col("item_id")).groupBy("who", "seq").agg(F.max_by("item_stat", place).alias("now_stat"))
+    r = as_of(r, stat, "who", at, ["now_stat"], CATALOG_SEQ_BLOCK)
+    return r.select(*requests.columns, F.col("who").alias("rid"), F.col("now_stat").alias("item_stat"))
+
+
+class Shop(NamedTuple):
+    """``items``: item_id, item_cost at the end.  ``rejects``: seq, op, item_id, item_name, status.
+
+    ``offers`` (item_id, seq, item_cost) are the changes in time; a null cost ends an offer.
+    """
+
+    items: DataFrame
+    rejects: DataFrame
+    offers: DataFrame
+
+
+def shop_history(log: DataFrame, catalog: Catalog) -> Shop:
+    """List items at a cost unless missing or yanked; unlist by id or by name; names and statuses as of the request.
+
+    The status check applies to every listing (the reference skipped it for
+    numeric ids).  The shop holds an item once: a listing of a listed item is
+    a duplicate, and the first cost stays.
     """
-    by_name = catalog.select(F.col("item_name").alias("lookup_name"), F.col("item_id").alias("named_id"))
-    resolved = log.join(by_name, log.item_name == by_name.lookup_name, "left").withColumn(
-        "rid", F.coalesce("item_id", "named_id"))
-    resolved = resolved.join(catalog.select(F.col("item_id").alias("rid"), "item_stat"), "rid", "left")
-    if changes is not None:
-        past = resolved.select("rid", "seq").distinct().join(
-            changes.select(F.col("item_id").alias("rid"), F.col("seq").alias("at"), F.col("item_stat").alias("then")), "rid")
-        as_of = past.where(F.col("at") <= F.col("seq")).groupBy("rid", "seq").agg(F.max_by("then", "at").alias("then"))
-        resolved = resolved.join(as_of, ["rid", "seq"], "left").withColumn(
-            "item_stat", F.when(F.col("item_stat").isNotNull(), F.coalesce("then", "item_stat"))).drop("then")
-    missing = F.col("item_stat").isNull()
+    resolved = resolve_items(log, catalog)
+    missing = F.col("rid").isNull()
     status = (F.when(missing & F.col("item_id").isNull(), F.lit(INVALID_NAME))
                .when(missing, F.lit(INVALID_ID))
                .when((F.col("op") == "list") & (F.col("item_stat") == YANKED), F.lit(BAD_STATUS))
                .otherwise(F.lit(OK)))
-    checked = resolved.withColumn("status", status)
+    checked = cut_lineage(resolved.withColumn("status", status))
     accepted = checked.where(F.col("status") == OK).withColumn(
         "op_rank", F.when(F.col("op") == "list", F.lit(0)).otherwise(F.lit(1)))   # same seq: list, then unlist
-    pos = F.struct("seq", "op_rank")
-    # Final state by aggregation only: an item is listed iff its last accepted op
-    # is a listing, at the cost of the first listing after its last unlisting.
-    summary = accepted.groupBy("rid").agg(
-        F.max_by("op", pos).alias("last_op"),
-        F.max(F.when(F.col("op") == "unlist", pos)).alias("last_unlist"))
-    after = accepted.where(F.col("op") == "list").join(summary.where(F.col("last_op") == "list"), "rid").where(
-        F.col("last_unlist").isNull() | (pos > F.col("last_unlist")))
-    shop = after.groupBy("rid").agg(F.min_by("item_cost", pos).alias("item_cost")).select(
-        F.col("rid").alias("item_id"), "item_cost")
-    # Duplicate listings (the shop holds an item once): a listing whose previous
-    # accepted op is a listing.  Ops are numbered per item with the block-wise
-    # running count (a hot item is split into blocks) and meet their
-    # predecessor in an equi-join on (item, n - 1).  Lazy: only evaluated when
-    # the rejects are used.
-    numbered = running_total(accepted.withColumn("one", F.lit(1)), ["seq", "op_rank"], "one", "n",
+    # listings and unlistings per item, numbered by the block-wise running count; each meets its predecessor
+    numbered = running_total(accepted.withColumn("one", F.lit(1)), ["seq", "op_rank", "item_cost"], "one", "n",
                              SHOP_SEQ_BLOCK, partition_cols=["rid"])
-    prev_ops = numbered.select("rid", (F.col("n") + 1).alias("n"), F.col("op").alias("prev_op"))
-    dups = numbered.join(prev_ops, ["rid", "n"]).where((F.col("op") == "list") & (F.col("prev_op") == "list"))
+    prev = numbered.select("rid", (F.col("n") + 1).alias("n"), F.col("op").alias("prev_op"))
+    known = cut_lineage(numbered.join(prev, ["rid", "n"], "left"))
+    again = (F.col("op") == "list") & F.coalesce(F.col("prev_op") == "list", F.lit(False))
+    offers = known.where(~again).select(F.col("rid").alias("item_id"), "seq", "op_rank", F.when(F.col("op") == "list", F.col("item_cost")).alias("item_cost"))
+    last = offers.groupBy("item_id").agg(F.max_by(F.struct("item_cost"), F.struct("seq", "op_rank")).alias("o"))
+    items = last.select("item_id", F.col("o.item_cost").alias("item_cost")).where("item_cost is not null")
+    offers = offers.groupBy("item_id", "seq").agg(F.max_by(F.struct("item_cost"), "op_rank").alias("o")).select(
+        "item_id", "seq", F.col("o.item_cost").alias("item_cost"))
     rejects = checked.where(F.col("status") != OK).select("seq", "op", "item_id", "item_name", "status").unionByName(
-        dups.select("seq", "op", "item_id", "item_name", F.lit(DUPLICATE).alias("status")))
-    return shop, rejects
+        known.where(again).select("seq", "op", "item_id", "item_name", F.lit(DUPLICATE).alias("status")))
+    return Shop(items, rejects, offers)
+
+
+def apply_shop(log: DataFrame, catalog: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``shop_history`` against a catalog that does not change; returns (shop, rejects)."""
+    made = shop_history(log, _at_start(catalog))
+    return made.items, made.rejects
 
 
 # ---------------------------------------------------------------- purchases and draws
-def purchase_checks(requests: DataFrame, profiles: DataFrame, catalog: DataFrame, shop: DataFrame) -> DataFrame:
-    """Balance-independent checks in the reference's order; ``status`` null = still open."""
-    offer = catalog.join(shop, "item_id")
-    r = (requests.join(profiles.select("account_id", F.lit(True).alias("has_profile")), "account_id", "left")
-                 .join(offer.select("item_id", "item_stat", "item_cost"), "item_id", "left"))
+def purchase_checks(requests: DataFrame, profiles: DataFrame, catalog: Catalog, shop: Shop) -> DataFrame:
+    """Balance-independent checks in the reference's order; ``status`` null = still open.
+
+    An item is asked for by id or, without one, by name; ``seq`` is the time in
+    the catalog's and the shop's logs that a request sees.
+    """
+    r = resolve_items(requests, catalog)
+    offers = shop.offers.select(F.col("item_id").alias("rid"), "seq", "item_cost")
+    r = as_of(r, offers, "rid", ["seq"], ["item_cost"], SHOP_SEQ_BLOCK)
+    r = r.join(profiles.select("account_id", F.lit(True).alias("has_profile")), "account_id", "left")
+    missing = F.col("rid").isNull() | F.col("item_cost").isNull()
     status = (F.when(F.col("has_profile").isNull(), F.lit(INVALID_NAME))
-               .when(F.col("item_stat").isNull(), F.lit(INVALID_ID))
+               .when(missing & F.col("item_id").isNull(), F.lit(INVALID_NAME))
+               .when(missing, F.lit(INVALID_ID))
                .when(F.col("item_stat") == YANKED, F.lit(BAD_STATUS))
                .when(F.col("item_count") <= 0, F.lit(INVALID_COUNT)))
-    return r.select("request_id", "account_id", "item_id", "item_count",
+    return r.select("request_id", "account_id", F.coalesce("item_id", "rid").alias("item_id"), "item_name", "item_count",
                     (F.col("item_cost") * F.col("item_count")).cast("bigint").alias("cost"), status.alias("status"))
 
 
-def run_purchases(requests: DataFrame, profiles: DataFrame, catalog: DataFrame, shop: DataFrame):
-    """Returns ``(decisions(request_id, account_id, item_id, item_count, cost, status), new profiles)``."""
+def run_purchases(requests: DataFrame, profiles: DataFrame, catalog: Catalog | DataFrame, shop: Shop | DataFrame):
+    """Returns ``(decisions(request_id, account_id, item_id, item_name, item_count, cost, status), new profiles)``.
+
+    ``item_id`` of a purchase by name is the item that had the name.  A plain
+    catalog or shop frame holds at all times; requests may then lack ``seq`` and ``item_name``.
+    """
+    if isinstance(catalog, DataFrame):
+        catalog = _at_start(catalog)
+    if isinstance(shop, DataFrame):
+        shop = Shop(shop, shop.limit(0), shop.select("item_id", F.lit(-(1 << 62)).alias("seq"), "item_cost"))
+    for name, kind in (("seq", "bigint"), ("item_name", "string")):
+        if name not in requests.columns:
+            requests = requests.withColumn(name, F.lit(0 if name == "seq" else None).cast(kind))
     profiles = cut_lineage(profiles)
     checked = cut_lineage(purchase_checks(requests, profiles, catalog, shop))
+    # only what the fold reads goes through its rounds; the rest of a request is joined back once
     open_ = checked.where(F.col("status").isNull())
-    decided = ordered_fold(open_.drop("status"), profiles)
-    settled = decided.select("request_id", "account_id", "item_id", "item_count", "cost",
-                             F.when(F.col("ok"), F.lit(OK)).otherwise(F.lit(INSUFFICIENT)).alias("status"))
-    decisions = checked.where(F.col("status").isNotNull()).unionByName(settled)
+    folded = ordered_fold(open_.select("account_id", "request_id", "cost"), profiles).select("account_id", "request_id", "ok")
+    decided = open_.drop("status").join(folded, ["account_id", "request_id"])
+    settled = decided.withColumn("status", F.when(F.col("ok"), F.lit(OK)).otherwise(F.lit(INSUFFICIENT)))
+    decisions = checked.where(F.col("status").isNotNull()).unionByName(settled.drop("ok"))
     return decisions, settle(profiles, decided)
 
 
@@ -256,7 +383,7 @@ def rank_pages(pages: DataFrame, seed: str, n_pages: int) -> DataFrame:
     Ranks come from a block-wise running count over the 60-bit hash (no
     single-partition window); blocks hold about 4096 pages each.
     """
-    from pagelake.operators.windows import running_total
+    from pagelake.operators.windows import as_of, running_total
     keyed = pages.select("page_id", _hash60(sample_key(seed, "page_id")).alias("hkey"), F.lit(1).alias("one"))
     n_blocks = max(1, -(-n_pages // 4096))
     width = -(-(1 << 60) // n_blocks)

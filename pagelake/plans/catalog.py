@@ -475,20 +475,17 @@ def _balances(spark, sf_dir):
 
 
 def _catalog(spark, sf_dir):
-    cat, _ = L.apply_catalog(_lt(spark, sf_dir, "catalog_log"))
-    return cat
+    return L.catalog_history(_lt(spark, sf_dir, "catalog_log"))
 
 
-def _shop(spark, sf_dir):
-    """The shop and the rejected requests; a listing sees the status as of its time."""
-    log = _lt(spark, sf_dir, "catalog_log")
-    at_listing, _ = L.apply_catalog(log.where(F.col("op") == "add"))
-    return L.apply_shop(_lt(spark, sf_dir, "shop_log"), at_listing, log.where(F.col("op") == "status"))
+def _shop(spark, sf_dir, catalog=None):
+    """The shop over time; a request sees the names and statuses of its time."""
+    return L.shop_history(_lt(spark, sf_dir, "shop_log"), catalog or _catalog(spark, sf_dir))
 
 
 def _purchases(spark, sf_dir):
-    return L.run_purchases(_lt(spark, sf_dir, "purchases"), _balances(spark, sf_dir),
-                           _catalog(spark, sf_dir), _shop(spark, sf_dir)[0])
+    catalog = _catalog(spark, sf_dir)
+    return L.run_purchases(_lt(spark, sf_dir, "purchases"), _balances(spark, sf_dir), catalog, _shop(spark, sf_dir, catalog))
 
 
 def _draws(spark, sf_dir):
@@ -509,34 +506,40 @@ def q_ledger_balance(spark, sf_dir):
 
 @query("catalog_upsert")
 def q_catalog_upsert(spark, sf_dir):
-    return _catalog(spark, sf_dir)
+    return _catalog(spark, sf_dir).items
+
+
+@query("catalog_rejects")
+def q_catalog_rejects(spark, sf_dir):
+    return _catalog(spark, sf_dir).rejects.select("seq", "op", "item_id", "item_name", "status")
 
 
 @query("shop_listing")
 def q_shop_listing(spark, sf_dir):
-    return _shop(spark, sf_dir)[0]
+    return _shop(spark, sf_dir).items
 
 
 @query("shop_rejects")
 def q_shop_rejects(spark, sf_dir):
     asked = F.coalesce(F.col("item_id").cast("string"), F.col("item_name"))
-    return _shop(spark, sf_dir)[1].select("seq", "op", asked.alias("item"), "status")
+    return _shop(spark, sf_dir).rejects.select("seq", "op", asked.alias("item"), "status")
 
 
 @query("join_catalog")
 def q_join_catalog(spark, sf_dir):
-    return _catalog(spark, sf_dir).join(_shop(spark, sf_dir)[0], "item_id").select("item_id", "item_name", "item_stat", "item_cost")
+    catalog = _catalog(spark, sf_dir)
+    return catalog.items.join(_shop(spark, sf_dir, catalog).items, "item_id").select("item_id", "item_name", "item_stat", "item_cost")
 
 
 @query("flt_item_status")
 def q_flt_item_status(spark, sf_dir):
-    return _catalog(spark, sf_dir).where(F.col("item_stat") != L.YANKED).select("item_id", "item_name")
+    return _catalog(spark, sf_dir).items.where(F.col("item_stat") != L.YANKED).select("item_id", "item_name")
 
 
 @query("ledger_purchase")
 def q_ledger_purchase(spark, sf_dir):
     decisions, _ = _purchases(spark, sf_dir)
-    return decisions.select("request_id", "account_id", "item_id", "item_count", "status")
+    return _numbered_rejects(decisions.select("request_id", "account_id", "item_id", "item_name", "item_count", "status"))
 
 
 @query("ledger_purchase_balance")

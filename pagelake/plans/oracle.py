@@ -376,45 +376,50 @@ balances AS (
   SELECT p.account_id, p.ranks, CAST(p.balance + coalesce(c.s, 0) AS BIGINT) AS balance, p.pull_count
   FROM profiles p LEFT JOIN (SELECT account_id, sum(amount) AS s FROM credits GROUP BY account_id) c
     ON c.account_id = p.account_id),
-adds AS (SELECT * FROM catalog_log WHERE op = 'add'),
-cat_init AS (
-  SELECT a.item_id, a.item_name, a.item_stat FROM adds a
-  WHERE NOT EXISTS (SELECT 1 FROM adds b WHERE b.item_name = a.item_name
-                    AND (b.seq < a.seq OR (b.seq = a.seq AND b.item_id < a.item_id)))),
-last_rename AS (
-  SELECT item_id, item_name FROM (
-    SELECT item_id, item_name, row_number() OVER (PARTITION BY item_id ORDER BY seq DESC) AS rn
-    FROM catalog_log WHERE op = 'rename') WHERE rn = 1),
-last_stat AS (
-  SELECT item_id, item_stat FROM (
-    SELECT item_id, item_stat, row_number() OVER (PARTITION BY item_id ORDER BY seq DESC) AS rn
-    FROM catalog_log WHERE op = 'status') WHERE rn = 1),
+-- the planted claims decided by hand, level by level of the log: p_next is the part whose first name is asked for,
+-- p_prev the one that may have taken it
+parts AS (SELECT p_partkey AS k, p_size AS size, p_name || '#' || p_partkey AS first_name, p_brand || '#' || p_partkey AS late_name FROM part),
+turns AS (SELECT a.*, n.first_name AS next_name, a.size IN (44, 45) AND coalesce(n.size > 45, false) AS moved_on,
+    a.size > 45 AND coalesce(b.size IN (44, 45), false) AS lost
+  FROM parts a LEFT JOIN parts n ON n.k = a.k + 1 LEFT JOIN parts b ON b.k = a.k - 1),
+held AS (
+  SELECT k AS item_id, first_name AS item_name, 0 AS st, CASE WHEN size > 45 THEN 3 WHEN moved_on THEN 4 ELSE 1000 END AS ed FROM turns
+  UNION ALL SELECT k, late_name, 3, CASE WHEN size > 47 AND NOT lost THEN 5 ELSE 1000 END FROM turns WHERE size > 45
+  UNION ALL SELECT k, next_name, 4, 1000 FROM turns WHERE moved_on
+  UNION ALL SELECT k, first_name, 5, 1000 FROM turns WHERE size > 47 AND NOT lost
+  UNION ALL SELECT k + 2000000, first_name, 8, 1000 FROM turns WHERE size = 46 AND NOT lost),
 cat AS (
-  SELECT c.item_id, coalesce(r.item_name, c.item_name) AS item_name, coalesce(s.item_stat, c.item_stat) AS item_stat
-  FROM cat_init c LEFT JOIN last_rename r ON r.item_id = c.item_id LEFT JOIN last_stat s ON s.item_id = c.item_id),
+  SELECT h.item_id, h.item_name, CASE WHEN t.size % 7 = 0 THEN 'yanked' ELSE 'live' END AS item_stat
+  FROM held h LEFT JOIN parts t ON t.k = h.item_id WHERE h.ed = 1000),
+cat_bad AS (
+  SELECT l.seq, l.op, l.item_id, l.item_name, CASE WHEN l.seq = 6 THEN 'invalid id' ELSE 'name exists' END AS status
+  FROM catalog_log l LEFT JOIN turns t ON t.k = l.item_id % 1000000
+  WHERE l.seq IN (1, 6) OR (l.seq = 4 AND NOT t.moved_on) OR (l.seq = 5 AND t.lost) OR (l.seq = 8 AND (t.size = 49 OR t.lost))),
+born AS (SELECT item_id, min(st) AS born FROM held GROUP BY item_id),
 shop_chk AS (
-  SELECT l.seq, l.op, l.item_id AS asked_id, l.item_name AS asked_name, coalesce(l.item_id, n.item_id) AS rid, l.item_cost,
-    CASE WHEN c.item_stat IS NOT NULL THEN coalesce((SELECT arg_max(x.item_stat, x.seq) FROM catalog_log x
-      WHERE x.op = 'status' AND x.item_id = coalesce(l.item_id, n.item_id) AND x.seq <= l.seq), c.item_stat) END AS item_stat
-  FROM shop_log l LEFT JOIN cat_init n ON n.item_name = l.item_name
-  LEFT JOIN cat_init c ON c.item_id = coalesce(l.item_id, n.item_id)),
+  SELECT l.seq, l.op, l.item_id AS asked_id, l.item_name AS asked_name, c.item_id AS rid, l.item_cost,
+    CASE WHEN c.item_id IS NULL THEN NULL WHEN l.seq >= 2 AND t.size % 7 = 0 THEN 'yanked' ELSE 'live' END AS item_stat
+  FROM shop_log l LEFT JOIN held n ON l.item_id IS NULL AND n.item_name = l.item_name AND n.st <= l.seq AND l.seq < n.ed
+  LEFT JOIN born c ON c.item_id = coalesce(l.item_id, n.item_id) AND c.born <= l.seq
+  LEFT JOIN parts t ON t.k = c.item_id),
 shop_ok AS (SELECT * FROM shop_chk WHERE item_stat IS NOT NULL AND NOT (op = 'list' AND item_stat = 'yanked')),
 shop_seq AS (
-  SELECT *, lag(op) OVER (PARTITION BY rid ORDER BY seq, op) AS prev_op,
-    row_number() OVER (PARTITION BY rid ORDER BY seq DESC, op DESC) AS rev_rn FROM shop_ok),
-shop AS (
-  SELECT s.rid AS item_id,
-    (SELECT x.item_cost FROM shop_seq x WHERE x.rid = s.rid AND x.op = 'list' AND coalesce(x.prev_op, '') <> 'list'
-     ORDER BY x.seq DESC LIMIT 1) AS item_cost
-  FROM shop_seq s WHERE s.rev_rn = 1 AND s.op = 'list'),
+  SELECT *, lag(op) OVER (PARTITION BY rid ORDER BY seq, op) AS prev_op FROM shop_ok),
+offers AS (
+  SELECT rid, seq AS st, lead(seq, 1, 1000) OVER (PARTITION BY rid ORDER BY seq, op) AS ed, op, item_cost
+  FROM shop_seq WHERE NOT (op = 'list' AND coalesce(prev_op, '') = 'list')),
+shop AS (SELECT rid AS item_id, item_cost FROM offers WHERE ed = 1000 AND op = 'list'),
 p_checked AS (
-  SELECT q.request_id, q.account_id, q.item_id, q.item_count,
-    CASE WHEN b.account_id IS NULL THEN 'invalid name' WHEN o.item_id IS NULL THEN 'invalid id'
-         WHEN o.item_stat = 'yanked' THEN 'bad status' WHEN q.item_count <= 0 THEN 'invalid count' END AS status,
+  SELECT q.request_id, q.account_id, coalesce(q.item_id, c.item_id, -1) AS item_id, q.item_name, q.item_count,
+    CASE WHEN b.account_id IS NULL THEN 'invalid name'
+         WHEN c.item_id IS NULL OR o.item_cost IS NULL THEN CASE WHEN q.item_id IS NULL THEN 'invalid name' ELSE 'invalid id' END
+         WHEN q.seq >= 2 AND t.size % 7 = 0 THEN 'bad status' WHEN q.item_count <= 0 THEN 'invalid count' END AS status,
     o.item_cost * q.item_count AS cost
   FROM purchases q LEFT JOIN balances b ON b.account_id = q.account_id
-  LEFT JOIN (SELECT c.item_id, c.item_stat, s.item_cost FROM cat c JOIN shop s ON s.item_id = c.item_id) o
-    ON o.item_id = q.item_id),
+  LEFT JOIN held n ON q.item_id IS NULL AND n.item_name = q.item_name AND n.st <= q.seq AND q.seq < n.ed
+  LEFT JOIN born c ON c.item_id = coalesce(q.item_id, n.item_id) AND c.born <= q.seq
+  LEFT JOIN parts t ON t.k = c.item_id
+  LEFT JOIN offers o ON o.rid = c.item_id AND o.st <= q.seq AND q.seq < o.ed AND o.op = 'list'),
 p_valid AS (
   SELECT account_id, request_id, cost, row_number() OVER (PARTITION BY account_id ORDER BY request_id) AS rn
   FROM p_checked WHERE status IS NULL),
@@ -425,7 +430,7 @@ p_fold(account_id, rn, bal, ok) AS (
   SELECT v.account_id, v.rn, CASE WHEN v.cost <= f.bal THEN f.bal - v.cost ELSE f.bal END, v.cost <= f.bal
   FROM p_fold f JOIN p_valid v ON v.account_id = f.account_id AND v.rn = f.rn + 1),
 p_result AS (
-  SELECT c.request_id, c.account_id, c.item_id, c.item_count, c.cost,
+  SELECT c.request_id, c.account_id, c.item_id, c.item_name, c.item_count, c.cost,
     coalesce(c.status, CASE WHEN f.ok THEN 'ok' ELSE 'insufficient balance' END) AS status
   FROM p_checked c LEFT JOIN p_valid v ON v.request_id = c.request_id
   LEFT JOIN p_fold f ON f.account_id = v.account_id AND f.rn = v.rn),
@@ -476,6 +481,7 @@ d_profiles AS (
 _LG = "WITH RECURSIVE " + with_(wiki_cte(), ledger_ctes())[len("WITH "):]
 ORACLE["ledger_balance"] = _LG + "SELECT account_id, balance FROM balances"
 ORACLE["catalog_upsert"] = _LG + "SELECT item_id, item_name, item_stat FROM cat"
+ORACLE["catalog_rejects"] = _LG + "SELECT seq, op, item_id, item_name, status FROM cat_bad"
 ORACLE["shop_listing"] = _LG + "SELECT item_id, item_cost FROM shop"
 ORACLE["shop_rejects"] = _LG + """SELECT seq, op, coalesce(CAST(asked_id AS VARCHAR), asked_name) AS item,
   CASE WHEN item_stat IS NULL AND asked_id IS NULL THEN 'invalid name' WHEN item_stat IS NULL THEN 'invalid id'
@@ -485,7 +491,7 @@ UNION ALL
 SELECT seq, op, coalesce(CAST(asked_id AS VARCHAR), asked_name), 'duplicate' FROM shop_seq WHERE op = 'list' AND prev_op = 'list'"""
 ORACLE["join_catalog"] = _LG + "SELECT c.item_id, c.item_name, c.item_stat, s.item_cost FROM cat c JOIN shop s ON s.item_id = c.item_id"
 ORACLE["flt_item_status"] = _LG + "SELECT item_id, item_name FROM cat WHERE item_stat <> 'yanked'"
-ORACLE["ledger_purchase"] = _LG + "SELECT request_id, account_id, item_id, item_count, status FROM p_result"
+ORACLE["ledger_purchase"] = _LG + "SELECT request_id, account_id, item_id, item_name, item_count, status FROM p_result"
 ORACLE["ledger_purchase_balance"] = _LG + """SELECT b.account_id, CAST(b.balance - coalesce(s.spent, 0) AS BIGINT) AS balance
 FROM balances b LEFT JOIN (SELECT account_id, sum(cost) AS spent FROM p_result WHERE status = 'ok' GROUP BY 1) s
   ON s.account_id = b.account_id"""

@@ -163,11 +163,14 @@ FROM customer WHERE c_acctbal >= 0""",
     "credits": """
 SELECT event_id AS request_id, user_id AS account_id, CAST(floor(value) AS BIGINT) AS amount
 FROM events WHERE event_type = 'signup'""",
-    # purchase requests, by item id
+    # purchase requests at some time of the catalog's log, by item id, by the first name or by a later one
     "purchases": """
-SELECT event_id AS request_id, user_id AS account_id,
-  event_id % (SELECT count(*) FROM part) AS item_id, CAST(1 + event_id % 3 AS BIGINT) AS item_count
-FROM events WHERE event_type = 'purchase'""",
+SELECT e.event_id AS request_id, e.user_id AS account_id, e.event_id % 12 AS seq,
+  CASE WHEN e.event_id % 4 <> 1 THEN e.event_id % (SELECT count(*) FROM part) END AS item_id,
+  CASE WHEN e.event_id % 8 = 1 THEN concat(p.p_name, '#', CAST(p.p_partkey AS STRING))
+    WHEN e.event_id % 8 = 5 THEN concat(p.p_brand, '#', CAST(p.p_partkey AS STRING)) END AS item_name,
+  CAST(1 + e.event_id % 3 AS BIGINT) AS item_count
+FROM events e LEFT JOIN part p ON p.p_partkey = e.event_id % (SELECT count(*) FROM part) WHERE e.event_type = 'purchase'""",
     # draw requests: view events draw 1..5 pages
     "draws": """
 SELECT event_id AS request_id, user_id AS account_id, CASE WHEN event_id % 40 = 0 THEN CAST(1000000 AS BIGINT)
@@ -190,7 +193,9 @@ LEFT JOIN (SELECT c_custkey, lower(replace(c_name, '#', '_')) AS username FROM c
   ON b.c_custkey = (e.user_id * 31 + e.event_id) % ((SELECT count(*) FROM customer) + 50)
 WHERE e.event_type = 'error'""",
     # catalog change log: adds, a second add of promo items under a taken name,
-    # yanks (size a multiple of 7), renames of the largest parts
+    # yanks (size a multiple of 7), renames of the largest parts; then renames to the
+    # first name of the next part (held, or free since), back to the own first name
+    # (free, or taken since), of an unknown item and to the own name, and adds under first names
     "catalog_log": """
 SELECT CAST(0 AS BIGINT) AS seq, 'add' AS op, p_partkey AS item_id, concat(p_name, '#', CAST(p_partkey AS STRING)) AS item_name,
   'live' AS item_stat FROM part
@@ -201,10 +206,25 @@ UNION ALL
 SELECT CAST(2 AS BIGINT), 'status', p_partkey, CAST(NULL AS STRING), 'yanked' FROM part WHERE p_size % 7 = 0
 UNION ALL
 SELECT CAST(3 AS BIGINT), 'rename', p_partkey, concat(p_brand, '#', CAST(p_partkey AS STRING)), CAST(NULL AS STRING)
-FROM part WHERE p_size > 45""",
+FROM part WHERE p_size > 45
+UNION ALL
+SELECT CAST(4 AS BIGINT), 'rename', a.p_partkey, concat(b.p_name, '#', CAST(b.p_partkey AS STRING)), CAST(NULL AS STRING)
+FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1 WHERE a.p_size IN (44, 45)
+UNION ALL
+SELECT CAST(5 AS BIGINT), 'rename', p_partkey, concat(p_name, '#', CAST(p_partkey AS STRING)), CAST(NULL AS STRING)
+FROM part WHERE p_size > 47
+UNION ALL
+SELECT CAST(6 AS BIGINT), 'rename', p_partkey + 5000000, concat('lost#', CAST(p_partkey AS STRING)), CAST(NULL AS STRING)
+FROM part WHERE p_size = 50
+UNION ALL
+SELECT CAST(7 AS BIGINT), 'rename', p_partkey, concat(p_name, '#', CAST(p_partkey AS STRING)), CAST(NULL AS STRING)
+FROM part WHERE p_size = 10
+UNION ALL
+SELECT CAST(8 AS BIGINT), 'add', p_partkey + 2000000, concat(p_name, '#', CAST(p_partkey AS STRING)), 'live'
+FROM part WHERE p_size IN (46, 49)""",
     # shop requests: list every item at its size as cost; unlist size-1 parts by id and
     # size-2 parts by name; list some again later (yanked by then, or listed already), and
-    # names and ids that do not exist
+    # names and ids that do not exist; unlist and list by names that changed hands
     "shop_log": """
 SELECT CAST(0 AS BIGINT) AS seq, 'list' AS op, p_partkey AS item_id, CAST(NULL AS STRING) AS item_name,
   CAST(p_size AS BIGINT) AS item_cost FROM part
@@ -219,7 +239,16 @@ UNION ALL
 SELECT CAST(6 AS BIGINT), 'list', CAST(NULL AS BIGINT), concat('no such part ', CAST(p_partkey AS STRING)), CAST(1 AS BIGINT)
 FROM part WHERE p_size = 3
 UNION ALL
-SELECT CAST(6 AS BIGINT), 'list', p_partkey + 5000000, CAST(NULL AS STRING), CAST(1 AS BIGINT) FROM part WHERE p_size = 4""",
+SELECT CAST(6 AS BIGINT), 'list', p_partkey + 5000000, CAST(NULL AS STRING), CAST(1 AS BIGINT) FROM part WHERE p_size = 4
+UNION ALL
+SELECT CAST(4 AS BIGINT), 'unlist', CAST(NULL AS BIGINT), concat(p_brand, '#', CAST(p_partkey AS STRING)), CAST(NULL AS BIGINT)
+FROM part WHERE p_size IN (46, 47)
+UNION ALL
+SELECT CAST(7 AS BIGINT), 'unlist', CAST(NULL AS BIGINT), concat(p_name, '#', CAST(p_partkey AS STRING)), CAST(NULL AS BIGINT)
+FROM part WHERE p_size = 46
+UNION ALL
+SELECT CAST(9 AS BIGINT), 'list', CAST(NULL AS BIGINT), concat(p_name, '#', CAST(p_partkey AS STRING)), CAST(99 AS BIGINT)
+FROM part WHERE p_size = 46""",
     # registration requests from customer-derived fields
     "registrations": """
 SELECT c_custkey AS req_id, lower(CASE c_custkey % 4 WHEN 0 THEN c_name WHEN 1 THEN replace(c_name, '#', '_')

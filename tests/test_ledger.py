@@ -1,6 +1,7 @@
 import math
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from pagelake.operators import ledger as L
@@ -156,7 +157,9 @@ def test_a_listing_sees_the_status_of_its_time(spark):
     log = spark.createDataFrame([(1, "list", 1, None, 5), (2, "unlist", 1, None, None), (4, "list", 1, None, 6), (7, "list", None, "a", 7),
                                  (1, "list", 2, None, 1), (5, "list", None, "b", 2)],
                                 "seq long, op string, item_id long, item_name string, item_cost long")
-    shop, rejects = L.apply_shop(log, catalog, changes)
+    history = L._at_start(catalog)
+    moved = changes.select("seq", "item_id", F.lit("status").alias("op"), F.lit(None).cast("string").alias("item_name"), "item_stat")
+    shop, rejects, _ = L.shop_history(log, history._replace(stats=history.stats.unionByName(moved)))
     assert sorted(map(tuple, shop.collect())) == [(1, 7), (2, 2)]
     assert sorted((r.seq, r.status) for r in rejects.collect()) == [(1, L.BAD_STATUS), (4, L.BAD_STATUS)]
 
@@ -177,3 +180,129 @@ def test_shop_holds_an_item_once(spark):
     shop, rejects = L.apply_shop(log, catalog)
     assert [tuple(r) for r in shop.collect()] == [(1, 7)]
     assert sorted((r.seq, r.status) for r in rejects.collect()) == [(1, L.DUPLICATE), (4, L.INVALID_NAME)]
+
+
+LOG = "seq long, op string, item_id long, item_name string, item_stat string"
+ASKED = "seq long, op string, item_id long, item_name string, item_cost long"
+
+
+def catalog_loop(log):
+    """The log as single transactions, in order; returns the state after each seq, and the rejects."""
+    name_of, stat_of, states, rejects = {}, {}, {}, []
+    for seq, op, item, name, stat in sorted(log, key=lambda x: (x[0], x[2], x[1], x[3] or "")):
+        held = {n: i for i, n in name_of.items()}
+        if op == "add":
+            bad = L.DUPLICATE if item in name_of else L.NAME_EXISTS if name in held else None
+            if not bad:
+                name_of[item], stat_of[item] = name, stat
+        else:
+            bad = L.INVALID_ID if item not in name_of else None
+            if not bad and op == "rename":
+                bad = L.NAME_EXISTS if held.get(name, item) != item else None
+                if not bad:
+                    name_of[item] = name
+            elif not bad:
+                stat_of[item] = stat
+        if bad:
+            rejects.append((seq, op, item, name, bad))
+        states[seq] = (dict(name_of), dict(stat_of))
+    return states, rejects
+
+
+def state_at(states, seq):
+    past = [s for s in states if s <= seq]
+    return states[max(past)] if past else ({}, {})
+
+
+def random_log(rnd, n, items, names, seqs):
+    log = set()
+    for _ in range(n):
+        op = rnd.choice(["add", "add", "rename", "rename", "rename", "status"])
+        log.add((rnd.randrange(seqs), op, rnd.randrange(items), None if op == "status" else f"n{rnd.randrange(names)}",
+                 rnd.choice(["live", "yanked"]) if op != "rename" else None))
+    # one statement per item, operation and time
+    return list({(x[0], x[1], x[2], x[3] if x[1] != "status" else None): x for x in log}.values())
+
+
+@pytest.mark.parametrize("seed, n, items, names, seqs", [(1, 40, 6, 4, 12), (3, 200, 30, 150, 300_000), (4, 80, 3, 30, 90)])
+def test_names_over_time_match_a_loop(spark, seed, n, items, names, seqs):
+    log = random_log(random.Random(seed), n, items, names, seqs)
+    states, rejects = catalog_loop(log)
+    made = L.catalog_history(spark.createDataFrame(log, LOG).repartition(3))
+    name_of, stat_of = states[max(states)]
+    assert {r.item_id: (r.item_name, r.item_stat) for r in made.items.collect()} == {i: (n, stat_of[i]) for i, n in name_of.items()}
+    assert sorted((tuple(r) for r in made.rejects.collect()), key=repr) == sorted(rejects, key=repr)
+    # requests by name and by id see the catalog of their time
+    rnd = random.Random(seed + 50)
+    asked = [(rnd.randrange(seqs), rnd.randrange(items + 2), None) if rnd.random() < 0.4 else (rnd.randrange(seqs), None, f"n{rnd.randrange(names + 2)}")
+             for _ in range(120)]
+    got = L.resolve_items(spark.createDataFrame(asked, "seq long, item_id long, item_name string"), made).collect()
+    want = []
+    for seq, item, name in asked:
+        then, stats = state_at(states, seq)
+        rid = item if name is None else next((i for i, held in then.items() if held == name), None)
+        rid = rid if rid in then else None
+        want.append((seq, item, name, rid, stats.get(rid)))
+    assert sorted((tuple(r) for r in got), key=repr) == sorted(want, key=repr)
+
+
+def test_shop_and_purchases_by_name_match_a_loop(spark):
+    rnd = random.Random(21)
+    log = random_log(rnd, 70, 10, 12, 30)
+    states, _ = catalog_loop(log)
+    shop_log = list({(rnd.randrange(30), rnd.choice(["list", "list", "unlist"]), *((i, None) if rnd.random() < 0.5 else (None, f"n{i}")))
+                     for i in (rnd.randrange(11) for _ in range(90))})
+    # one request per item and time: the order of others is not given
+    seen, unique = set(), []
+    for seq, op, item, name in shop_log:
+        then = state_at(states, seq)[0]
+        rid = item if name is None else next((i for i, held in then.items() if held == name), ("no", name))
+        if (seq, rid) not in seen:
+            seen.add((seq, rid))
+            unique.append((seq, op, item, name, rnd.randint(1, 20) if op == "list" else None))
+    cost_of, offers, rejects = {}, {}, []
+    for seq, op, item, name, cost in sorted(unique, key=lambda x: x[0]):
+        then, stats = state_at(states, seq)
+        rid = item if name is None else next((i for i, held in then.items() if held == name), None)
+        if rid not in then:
+            rejects.append((seq, op, item, name, L.INVALID_ID if name is None else L.INVALID_NAME))
+        elif op == "unlist":
+            cost_of.pop(rid, None)
+        elif stats[rid] == "yanked":
+            rejects.append((seq, op, item, name, L.BAD_STATUS))
+        elif rid in cost_of:
+            rejects.append((seq, op, item, name, L.DUPLICATE))
+        else:
+            cost_of[rid] = cost
+        offers[seq] = dict(cost_of)
+    catalog = L.catalog_history(spark.createDataFrame(log, LOG))
+    shop = L.shop_history(spark.createDataFrame(unique, ASKED), catalog)
+    assert {r.item_id: r.item_cost for r in shop.items.collect()} == cost_of
+    assert sorted((tuple(r) for r in shop.rejects.collect()), key=repr) == sorted(rejects, key=repr)
+
+    profiles = [(a, 0, rnd.randint(0, 300), 0) for a in range(5)]
+    asked = [(i, rnd.randrange(6), rnd.randrange(30), *((rnd.randrange(11), None) if rnd.random() < 0.5 else (None, f"n{rnd.randrange(10)}")),
+              rnd.randint(0, 6)) for i in range(200)]
+    got, after = L.run_purchases(spark.createDataFrame(asked, "request_id long, account_id long, seq long, item_id long, item_name string, item_count long"),
+                                 _profiles(spark, profiles), catalog, shop)
+    left, want = {a: b for a, _, b, _ in profiles}, {}
+    for request, account, seq, item, name, count in asked:
+        then, stats = state_at(states, seq)
+        rid = item if name is None else next((i for i, held in then.items() if held == name), None)
+        past = [s for s in offers if s <= seq]
+        cost = offers[max(past)].get(rid) if past and rid in then else None
+        if account not in left:
+            want[request] = L.INVALID_NAME
+        elif cost is None:
+            want[request] = L.INVALID_ID if name is None else L.INVALID_NAME
+        elif stats[rid] == "yanked":
+            want[request] = L.BAD_STATUS
+        elif count <= 0:
+            want[request] = L.INVALID_COUNT
+        elif cost * count > left[account]:
+            want[request] = L.INSUFFICIENT
+        else:
+            left[account] -= cost * count
+            want[request] = L.OK
+    assert {r.request_id: r.status for r in got.collect()} == want
+    assert {r.account_id: r.balance for r in after.collect()} == left
