@@ -15,27 +15,32 @@ def _at(b: Column, pos: int, n: int) -> Column:
     return F.hex(F.substring(b, pos, n))
 
 
+# --- fixed values: magic numbers in hex, and the characters that may follow a P1..P6 mark
+JPEG_MARKS, JPEG_START = ("4A464946", "45786966"), "FFD8FF"
+PNG, GIF, TIFF = "89504E470D0A1A0A", ("474946383761", "474946383961"), ("4D4D", "4949")
+RGB, RAST, XBM, BMP, EXR = "01DA", "59A66A95", "23646566696E6520", "424D", "762F3101"
+PBM, PGM, PPM = ("5031", "5034"), ("5032", "5035"), ("5033", "5036")
+AFTER_MARK = ("20", "09", "0A", "0D")
+RIFF, WEBP = "52494646", "57454250"
+# --- end of fixed values
+
+
 def media_type(content) -> Column:
     """First matching rule wins; null when nothing matches."""
     b = _as_col(content)
-    # --- fixed values: magic numbers, in the reference's order of checks
-    third_ws = ["20", "09", "0A", "0D"]  # ' ', TAB, LF, CR
+
+    def starts(*marks: str) -> Column:
+        return _at(b, 1, len(marks[0]) // 2).isin(*marks)
+
+    def netpbm(marks: tuple[str, str]) -> Column:
+        return starts(*marks) & _at(b, 3, 1).isin(*AFTER_MARK)
+
     rules = [
-        ("jpeg", _at(b, 7, 4).isin("4A464946", "45786966") | _at(b, 1, 3).eqNullSafe("FFD8FF")),
-        ("png", _at(b, 1, 8) == "89504E470D0A1A0A"),
-        ("gif", _at(b, 1, 6).isin("474946383761", "474946383961")),
-        ("tiff", _at(b, 1, 2).isin("4D4D", "4949")),
-        ("rgb", _at(b, 1, 2) == "01DA"),
-        ("pbm", _at(b, 1, 2).isin("5031", "5034") & _at(b, 3, 1).isin(*third_ws)),
-        ("pgm", _at(b, 1, 2).isin("5032", "5035") & _at(b, 3, 1).isin(*third_ws)),
-        ("ppm", _at(b, 1, 2).isin("5033", "5036") & _at(b, 3, 1).isin(*third_ws)),
-        ("rast", _at(b, 1, 4) == "59A66A95"),
-        ("xbm", _at(b, 1, 8) == "23646566696E6520"),
-        ("bmp", _at(b, 1, 2) == "424D"),
-        ("webp", (_at(b, 1, 4) == "52494646") & (_at(b, 9, 4) == "57454250")),
-        ("exr", _at(b, 1, 4) == "762F3101"),
+        ("jpeg", _at(b, 7, 4).isin(*JPEG_MARKS) | starts(JPEG_START)), ("png", starts(PNG)), ("gif", starts(*GIF)),
+        ("tiff", starts(*TIFF)), ("rgb", starts(RGB)), ("pbm", netpbm(PBM)), ("pgm", netpbm(PGM)), ("ppm", netpbm(PPM)),
+        ("rast", starts(RAST)), ("xbm", starts(XBM)), ("bmp", starts(BMP)),
+        ("webp", starts(RIFF) & (_at(b, 9, 4) == WEBP)), ("exr", starts(EXR)),
     ]
-    # --- end of fixed values
     expr = None
     for name, cond in rules:
         expr = F.when(cond, F.lit(name)) if expr is None else expr.when(cond, F.lit(name))

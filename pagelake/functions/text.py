@@ -41,6 +41,7 @@ PAGE_TYPE_PREFIXES = [
 # --- end of fixed values
 
 _SPAN = "array<struct<s:int,e:int>>"
+_SLICE = 128
 
 
 def _as_col(c) -> Column:
@@ -88,7 +89,7 @@ def _pattern_spans(text: Column, literal: str, pattern: str) -> Column:
     lens = F.zip_with(gaps, found, lambda g, m: F.struct(
         F.octet_length(g).alias("g"), F.octet_length(m).alias("m")))
     lens = F.filter(lens, lambda x: x["m"].isNotNull())
-    init = F.struct(F.lit(0).alias("pos"), F.array().cast(_SPAN).alias("sp"))
+    empty = F.array().cast(_SPAN)
 
     def step(acc, x):
         s = acc["pos"] + x["g"]
@@ -96,12 +97,34 @@ def _pattern_spans(text: Column, literal: str, pattern: str) -> Column:
         return F.struct(e.alias("pos"),
                         F.concat(acc["sp"], F.array(F.struct(s.alias("s"), e.alias("e")))).alias("sp"))
 
-    spans = F.aggregate(lens, init, step, lambda acc: acc["sp"])
-    return F.when(F.instr(text, literal) > 0, spans).otherwise(F.array().cast(_SPAN))
+    # spans within each slice, then the slices one behind the other
+    parts = let(lens, lambda a: F.transform(_slices(a), lambda part: F.aggregate(
+        part, F.struct(F.lit(0).alias("pos"), empty.alias("sp")), step)))
+
+    def behind(acc, part):
+        moved = F.transform(part["sp"], lambda x: F.struct((acc["pos"] + x["s"]).alias("s"), (acc["pos"] + x["e"]).alias("e")))
+        return F.struct((acc["pos"] + part["pos"]).alias("pos"), F.concat(acc["sp"], F.array(moved)).alias("sp"))
+
+    nested = F.array().cast(f"array<{_SPAN}>")
+    spans = F.aggregate(parts, F.struct(F.lit(0).alias("pos"), nested.alias("sp")), behind, lambda acc: F.flatten(acc["sp"]))
+    return F.when(F.instr(text, literal) > 0, spans).otherwise(empty)
+
+
+def _slices(a: Column) -> Column:
+    """``a`` in slices of ``_SLICE``.
+
+    A fold copies the array it grows at every step.  Folding slices, and then
+    the slices' results, keeps both arrays short, so the work stays in
+    proportion to the spans of a page instead of their square.
+    """
+    return F.transform(F.sequence(F.lit(0), F.floor(F.greatest(F.size(a) - 1, F.lit(0)) / _SLICE).cast("int")),
+                       lambda i: F.slice(a, (i * _SLICE + 1).cast("int"), _SLICE))
 
 
 def _merge_spans(spans: Column) -> Column:
     """Union of sorted spans: overlapping or touching spans become one."""
+    empty = F.array().cast(_SPAN)
+
     def step(acc, x):
         last = F.element_at(acc, -1)
         overlap = (F.size(acc) > 0) & (x["s"] <= last["e"])
@@ -109,7 +132,22 @@ def _merge_spans(spans: Column) -> Column:
                           F.array(F.struct(last["s"].alias("s"), F.greatest(last["e"], x["e"]).alias("e"))))
         return F.when(overlap, merged).otherwise(F.concat(acc, F.array(x)))
 
-    return F.aggregate(F.array_sort(spans), F.array().cast(_SPAN), step)
+    parts = let(F.array_sort(spans), lambda a: F.transform(_slices(a), lambda part: F.aggregate(part, empty, step)))
+
+    def behind(acc, part):
+        """``last`` is the span that may still grow; what lies before it is done."""
+        last = F.element_at(acc["last"], 1)
+        k = F.size(F.filter(part, lambda x: x["s"] <= last["e"]))
+        grown = F.struct(last["s"].alias("s"), F.greatest(last["e"], F.get(part, k - 1)["e"]).alias("e"))
+        held = F.when(F.size(acc["last"]) == 0, part).when(k == 0, F.concat(acc["last"], part)).otherwise(
+            F.concat(F.array(grown), F.slice(part, k + 1, F.greatest(F.size(part) - k, F.lit(0)))))
+        # bound once: the next state reads it twice
+        return let(held, lambda h: F.struct(
+            F.concat(acc["done"], F.array(F.slice(h, 1, F.greatest(F.size(h) - 1, F.lit(0))))).alias("done"),
+            F.when(F.size(h) > 0, F.slice(h, -1, 1)).otherwise(empty).alias("last")))
+
+    start = F.struct(F.array().cast(f"array<{_SPAN}>").alias("done"), empty.alias("last"))
+    return F.aggregate(parts, start, behind, lambda acc: F.concat(F.flatten(acc["done"]), acc["last"]))
 
 
 def let(value: Column, body) -> Column:

@@ -18,11 +18,9 @@ aggregation per account and a join; no account is folded in one task.
 
 from __future__ import annotations
 
-import hashlib
-import math
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagelake.operators.sampling import sample_key
@@ -49,7 +47,10 @@ REQUEST_BLOCK = 1 << 16               # request-id block for per-account prefix
 CATALOG_SEQ_BLOCK = 1 << 16           # change-log sequence block for per-name and per-item lookups
 SHOP_SEQ_BLOCK = 1 << 16              # change-log sequence block for per-item numbering
 DRAW_BLOCK = 4096                     # rank numbers exploded from one row
-DRAW_STEPS = 256                      # strides tried for random draws
+DRAW_ROUNDS = 4                       # rounds of the permutation behind a draw
+DRAW_WALKS = 128                      # turns through it for a place beyond the last page
+DRAW_PRIME = (1 << 31) - 1            # its mix works modulo this; halves of 31 bits hold any number of pages
+DRAW_FACTOR = 48271
 
 
 # ---------------------------------------------------------------- balances
@@ -390,34 +391,55 @@ def rank_pages(pages: DataFrame, seed: str, n_pages: int) -> DataFrame:
     return running_total(keyed, ["hkey", "page_id"], "one", "rank", width).select("page_id", "rank")
 
 
-def draw_steps(seed: str, n_pages: int, tries: int = DRAW_STEPS) -> list[int]:
-    """Pseudo-random strides without a common factor with ``n_pages``; never empty."""
-    found = (1 + int(hashlib.md5(f"{seed}:s:{i}".encode()).hexdigest()[:15], 16) % n_pages for i in range(tries))
-    return [s for s in found if math.gcd(s, n_pages) == 1] or [1]
+def shuffled(k: Column, keys: list[Column], n: int) -> Column:
+    """The place of number ``k`` (0 to n-1) in a permutation of 0 to n-1 that ``keys`` choose.
+
+    A small Feistel network over the fewest bits that hold ``n`` numbers: each
+    round changes one half by a mix of the other, which can always be undone,
+    so different numbers go to different places.  A place of ``n`` or more is
+    put through again until it is below ``n``; less than half of the places are
+    beyond, and one still is after ``DRAW_WALKS`` turns with probability 2**-128.
+    """
+    bits = (n - 1).bit_length()
+    low = bits - bits // 2
+    high_mask, low_mask = F.lit((1 << bits // 2) - 1).cast("bigint"), F.lit((1 << low) - 1).cast("bigint")
+
+    def mix(half: Column, key: Column) -> Column:
+        x = (half + key) % DRAW_PRIME
+        return ((x * x) % DRAW_PRIME * DRAW_FACTOR) % DRAW_PRIME
+
+    def network(x: Column) -> Column:
+        high, rest = F.shiftright(x, low), x.bitwiseAND(low_mask)
+        for i, key in enumerate(keys):
+            if i % 2 == 0:
+                high = high.bitwiseXOR(mix(rest, key).bitwiseAND(high_mask))
+            else:
+                rest = rest.bitwiseXOR(mix(high, key).bitwiseAND(low_mask))
+        return F.shiftleft(high, low).bitwiseOR(rest)
+
+    turns = F.sequence(F.lit(1), F.lit(DRAW_WALKS))
+    return F.aggregate(turns, network(k), lambda x, _: F.when(x < n, x).otherwise(network(x)))
 
 
 def draw_pages(decisions: DataFrame, ranked: DataFrame, seed: str, n_pages: int) -> DataFrame:
-    """Pages for each accepted draw: ``amount`` ranks from a seeded start, a seeded stride apart.
+    """Pages for each accepted draw: the first ``amount`` places of a permutation of its own.
 
-    The stride has no common factor with the number of pages, so the pages of a
-    request are distinct, and requests that start near each other part at once.
-    Each request explodes into its own rank numbers (at most all pages), in
-    blocks and then within blocks, and meets the ranked pages in an equi-join.
+    Pages of a request are distinct, and requests are independent of each other.
+    Each request explodes into its own numbers (at most all pages), in blocks
+    and then within blocks, and meets the ranked pages in an equi-join.
     """
     if n_pages <= 0:   # nothing to draw from (and no modulo by zero)
         return decisions.sparkSession.createDataFrame([], "request_id bigint, account_id bigint, page_id bigint")
-    steps = draw_steps(seed, n_pages)
     ok = decisions.where(F.col("status") == OK)
-    start = F.pmod(_hash60(sample_key(seed, F.lit("r"), "request_id")), F.lit(n_pages))
-    turn = F.pmod(_hash60(sample_key(seed, F.lit("k"), "request_id")), F.lit(len(steps)))
-    step = F.element_at(F.array(*[F.lit(s).cast("bigint") for s in steps]), (turn + 1).cast("int"))
+    names = [f"key{i}" for i in range(DRAW_ROUNDS)]
+    keys = [F.pmod(_hash60(sample_key(seed, F.lit(f"k{i}"), "request_id")), F.lit(DRAW_PRIME)).alias(c) for i, c in enumerate(names)]
     zero, last = F.lit(0).cast("bigint"), (F.least(F.col("amount"), F.lit(n_pages)) - 1).cast("bigint")
-    blocks = ok.select("request_id", "account_id", start.alias("start"), step.alias("step"), last.alias("last"),
+    blocks = ok.select("request_id", "account_id", *keys, last.alias("last"),
                        F.explode(F.sequence(zero, F.floor(last / DRAW_BLOCK))).alias("block"))
     low = F.col("block") * DRAW_BLOCK
     ks = F.sequence(low, F.least(F.col("last"), low + DRAW_BLOCK - 1))
-    want = blocks.select("request_id", "account_id", "start", "step", F.explode(ks).alias("k")).select(
-        "request_id", "account_id", F.pmod(F.col("start") + F.col("k") * F.col("step"), F.lit(n_pages)).alias("rank"))
+    want = blocks.select("request_id", "account_id", *names, F.explode(ks).alias("k")).select(
+        "request_id", "account_id", shuffled(F.col("k"), [F.col(c) for c in names], n_pages).alias("rank"))
     return want.join(ranked, "rank").select("request_id", "account_id", "page_id")
 
 

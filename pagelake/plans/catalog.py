@@ -106,7 +106,9 @@ def q_flt_not_redirect(spark, sf_dir):
 
 @query("flt_has_text")
 def q_flt_has_text(spark, sf_dir):
-    return P.has_text(wiki_pages(spark, sf_dir)).select("page_id", "title")
+    """Pages with a text; some of the pages have lost theirs."""
+    pages = wiki_pages(spark, sf_dir).withColumn("text", F.when(F.col("page_id") % 17 != 3, F.col("text")))
+    return P.has_text(pages).select("page_id", "title")
 
 
 @query("flt_namespace")
@@ -201,8 +203,10 @@ def q_random_sample_n(spark, sf_dir):
 
 @query("xml_scrub")
 def q_xml_scrub(spark, sf_dir):
+    """Characters that XML forbids, put behind some of the texts, beside ones it allows."""
     docs = VW.table(spark, sf_dir, "documents")
-    return docs.select("doc_id", T.xml_scrub("text", "�").alias("scrubbed"))
+    text = F.when(F.col("doc_id") % 7 == 2, F.concat("text", F.lit("\x01a\x0b\ufffeb\t"))).otherwise(F.col("text"))
+    return docs.select("doc_id", T.xml_scrub(text, "�").alias("scrubbed"))
 
 
 @query("str_translate")
@@ -239,7 +243,12 @@ def q_prj_url_norm(spark, sf_dir):
                          T.numbered(F.regexp_extract_all("html", F.lit(r'href="([^"]*)"'), 1), "href_pos", "href"))
     page_urls = pages.select("page_id", F.lit(0).cast("bigint").alias("href_pos"), V.url_origin("url").alias("origin"),
                              F.col("url").alias("href"))
-    both = hrefs.unionByName(page_urls)
+    # links no page holds: other schemes, spaces, bad hosts, nothing at all
+    kind = F.col("page_id") % 6
+    odd = pages.select("page_id", (F.lit(-1) - kind).cast("bigint").alias("href_pos"), V.url_origin("url").alias("origin"), (
+        F.when(kind == 0, "javascript:void(0)").when(kind == 1, "mailto:a@b.example").when(kind == 2, "//cdn.example.org/x y")
+         .when(kind == 3, "//cdn.example.org/x").when(kind == 4, "https://-bad-.example/").otherwise("")).alias("href"))
+    both = hrefs.unionByName(page_urls).unionByName(odd)
     return both.select("page_id", F.col("href_pos").cast("bigint").alias("href_pos"), "href",
                        V.normalize_url("href", "origin").alias("url_norm"))
 
@@ -685,8 +694,9 @@ def q_sink_page_store(spark, sf_dir):
 @query("sink_page_index_table")
 def q_sink_page_index_table(spark, sf_dir):
     path = _scratch(spark, "page_index")
-    rows = _page_index(spark, sf_dir).select(
-        "page_id", "stream_st", "link_count", "sect_count", F.lit(1).cast("bigint").alias("revi_count"),
+    counts = _history(spark, sf_dir).pages.select("page_id", "revi_count")
+    rows = _page_index(spark, sf_dir).join(counts, "page_id", "left").select(
+        "page_id", "stream_st", "link_count", "sect_count", F.coalesce("revi_count", F.lit(0)).cast("bigint").alias("revi_count"),
         "page_type", "page_title")
     S.write_table(rows, path)
     return spark.read.parquet(path)

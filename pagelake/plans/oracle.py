@@ -148,7 +148,7 @@ def customer_cte() -> str:
 
 
 ORACLE["flt_not_redirect"] = with_(wiki_cte()) + "SELECT page_id, title FROM wiki_pages WHERE redirect_title IS NULL"
-ORACLE["flt_has_text"] = with_(wiki_cte()) + "SELECT page_id, title FROM wiki_pages WHERE text IS NOT NULL"
+ORACLE["flt_has_text"] = with_(wiki_cte()) + "SELECT page_id, title FROM wiki_pages WHERE page_id % 17 <> 3"
 ORACLE["flt_namespace"] = with_(wiki_cte()) + """SELECT page_id, title FROM wiki_pages
 WHERE NOT starts_with(title, 'Module:') AND NOT starts_with(title, 'Template:')"""
 
@@ -201,7 +201,8 @@ ORACLE["random_sample_n"] = with_(wiki_cte()) + """
 SELECT page_id FROM wiki_pages ORDER BY md5('s42:' || CAST(page_id AS VARCHAR)) LIMIT 40"""
 
 _BAD_RE2 = "[" + "".join(f"\\x{{{lo:X}}}-\\x{{{hi:X}}}" for lo, hi in XML_BAD_RANGES) + "]"
-ORACLE["xml_scrub"] = f"SELECT doc_id, regexp_replace(text, {_q(_BAD_RE2)}, '�', 'g') AS scrubbed FROM documents"
+ORACLE["xml_scrub"] = f"""SELECT doc_id, regexp_replace(CASE WHEN doc_id % 7 = 2
+  THEN text || chr(1) || 'a' || chr(11) || chr(65534) || 'b' || chr(9) ELSE text END, {_q(_BAD_RE2)}, '�', 'g') AS scrubbed FROM documents"""
 
 ORACLE["str_translate"] = "SELECT c_custkey, translate(c_name, '0123456789#', 'abcdefghij-') AS translated FROM customer"
 ORACLE["sha256_hex"] = "SELECT c_custkey, sha256(c_name) AS name_sha256 FROM customer"
@@ -222,14 +223,18 @@ WITH hrefs AS (
     CAST(unnest(generate_series(1, len(h))) AS BIGINT) AS href_pos, unnest(h) AS href
   FROM (SELECT page_id, url, regexp_extract_all(html, 'href="([^"]*)"', 1) AS h FROM pages)
   UNION ALL
-  SELECT page_id, nullif(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]+)', 1), ''), 0, url FROM pages),
+  SELECT page_id, nullif(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]+)', 1), ''), 0, url FROM pages
+  UNION ALL
+  SELECT page_id, nullif(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]+)', 1), ''), -1 - page_id % 6,
+    CASE page_id % 6 WHEN 0 THEN 'javascript:void(0)' WHEN 1 THEN 'mailto:a@b.example' WHEN 2 THEN '//cdn.example.org/x y'
+      WHEN 3 THEN '//cdn.example.org/x' WHEN 4 THEN 'https://-bad-.example/' ELSE '' END FROM pages),
 full_urls AS (
   SELECT *, CASE WHEN starts_with(href, '//') THEN 'https:' || href
                  WHEN starts_with(href, '/') THEN origin || href ELSE href END AS full_url FROM hrefs)
 SELECT page_id, href_pos, href, CASE WHEN regexp_matches(full_url, {_q(_URL_RE2)}) THEN full_url END AS url_norm
 FROM full_urls"""
 
-_HDR_CASE = "CASE doc_id % 13 " + " ".join(f"WHEN {i} THEN '{h}'" for i, h in enumerate(MEDIA_HEADERS_HEX)) + " END"
+_HDR_CASE = f"CASE doc_id % {len(MEDIA_HEADERS_HEX)} " + " ".join(f"WHEN {i} THEN '{h}'" for i, h in enumerate(MEDIA_HEADERS_HEX)) + " END"
 _MEDIA_CTE = f"""blobs AS (SELECT doc_id, unhex({_HDR_CASE}) || encode(text) AS content FROM documents),
 typed AS (
   SELECT doc_id, content, hex(content) AS h FROM blobs),
@@ -369,8 +374,25 @@ from pagelake.plans.views import LEDGER_SQL  # noqa: E402
 _NAME_OK = "(length({c}) <= 20 AND regexp_matches({c}, '^[a-zA-Z0-9_.-]*\\n?$'))"
 
 
+def _network(x: str) -> str:
+    """The permutation of a draw: two halves, each changed twice by a mix of the other."""
+    def mix(half: str, key: int) -> str:
+        v = f"(({half} + ks[{key}]) % 2147483647)"
+        return f"({v} * {v} % 2147483647 * 48271 % 2147483647)"
+
+    high, rest = f"({x} >> lb)", f"({x} & lm)"
+    for turn in (1, 3):
+        high = f"xor({high}, {mix(rest, turn)} & hm)"
+        rest = f"xor({rest}, {mix(high, turn + 1)} & lm)"
+    return f"(({high} << lb) | {rest})"
+
+
 def ledger_ctes() -> str:
     views = ",\n".join(f"{name} AS ({sql})" for name, sql in LEDGER_SQL.items())
+    return _ledger_rules(views).replace("{feistel0}", _network("k")).replace("{feistel1}", _network("rnk"))
+
+
+def _ledger_rules(views: str) -> str:
     return views + """,
 balances AS (
   SELECT p.account_id, p.ranks, CAST(p.balance + coalesce(c.s, 0) AS BIGINT) AS balance, p.pull_count
@@ -456,19 +478,17 @@ n_pages AS (SELECT count(*) AS n FROM wiki_pages),
 ranked AS (
   SELECT page_id, row_number() OVER (ORDER BY substr(md5('draw42:' || CAST(page_id AS VARCHAR)), 1, 15), page_id) - 1 AS rnk
   FROM wiki_pages),
-draw_steps AS (
-  SELECT s, row_number() OVER (ORDER BY i) - 1 AS k FROM (
-    SELECT i, 1 + ('0x' || substr(md5('draw42:s:' || CAST(i AS VARCHAR)), 1, 15))::BIGINT % (SELECT n FROM n_pages) AS s
-    FROM range(256) r(i)) WHERE gcd(s, (SELECT n FROM n_pages)) = 1),
-d_start AS (
-  SELECT request_id, account_id, least(amount, (SELECT n FROM n_pages)) AS m,
-    ('0x' || substr(md5('draw42:r:' || CAST(request_id AS VARCHAR)), 1, 15))::BIGINT % (SELECT n FROM n_pages) AS b,
-    (SELECT list(s ORDER BY k) FROM draw_steps)[CAST(('0x' || substr(md5('draw42:k:' || CAST(request_id AS VARCHAR)), 1, 15))::BIGINT
-      % (SELECT count(*) FROM draw_steps) + 1 AS INTEGER)] AS s
-  FROM d_result WHERE status = 'ok'),
-d_rank AS MATERIALIZED (SELECT request_id, account_id, b, s, unnest(range(m)) AS k FROM d_start),
+d_bits AS (SELECT n, b // 2 AS hb, b - b // 2 AS lb FROM (SELECT n, CASE WHEN n <= 1 THEN 0 ELSE length(bin(n - 1)) END AS b FROM n_pages)),
+d_rank AS MATERIALIZED (
+  SELECT request_id, account_id, n, hb, lb, (1 << hb) - 1 AS hm, (1 << lb) - 1 AS lm, unnest(range(least(amount, n))) AS k,
+    [('0x' || substr(md5('draw42:k' || i || ':' || request_id), 1, 15))::BIGINT % 2147483647 FOR i IN range(4)] AS ks
+  FROM d_result, d_bits WHERE status = 'ok'),
+d_walk(request_id, account_id, n, hb, lb, hm, lm, ks, rnk) AS (
+  SELECT request_id, account_id, n, hb, lb, hm, lm, ks, {feistel0} FROM d_rank
+  UNION ALL
+  SELECT request_id, account_id, n, hb, lb, hm, lm, ks, {feistel1} FROM d_walk WHERE rnk >= n),
 d_pages AS (
-  SELECT w.request_id, w.account_id, r.page_id FROM d_rank w JOIN ranked r ON r.rnk = (w.b + w.k * w.s) % (SELECT n FROM n_pages)),
+  SELECT w.request_id, w.account_id, r.page_id FROM d_walk w JOIN ranked r ON r.rnk = w.rnk WHERE w.rnk < w.n),
 coll_after AS (SELECT account_id, page_id FROM collection UNION SELECT account_id, page_id FROM d_pages),
 d_profiles AS (
   SELECT b.account_id, b.ranks,
@@ -573,8 +593,9 @@ ORACLE["src_site_info"] = f"""WITH heads AS ({SITE_HEADER_SQL})
 SELECT source, trim(header, {_WS}) AS site_info FROM heads"""
 ORACLE["sink_page_store"] = with_(wiki_cte()) + "SELECT page_id, title, redirect_title, text FROM wiki_pages"
 ORACLE["sink_page_index_table"] = _IX.rstrip() + f""",
+{_HIST},
 typed AS (SELECT page_id, title, {_PAGE_TYPE_SQL} AS page_type,
   CAST(coalesce(len(regexp_extract_all(text, {_q(LINK_PATTERN)})), 0) AS BIGINT) AS link_count,
   CAST(coalesce(len(regexp_extract_all(text, {_q(SECTION_PATTERN)})), 0) AS BIGINT) AS sect_count FROM wiki_pages)
-SELECT c.page_id, c."offset" AS stream_st, t.link_count, t.sect_count, CAST(1 AS BIGINT) AS revi_count, t.page_type,
-  t.title AS page_title FROM idx c JOIN typed t ON t.page_id = c.page_id"""
+SELECT c.page_id, c."offset" AS stream_st, t.link_count, t.sect_count, coalesce(h.revi_count, 0) AS revi_count, t.page_type,
+  t.title AS page_title FROM idx c JOIN typed t ON t.page_id = c.page_id LEFT JOIN hist_pages h ON h.page_id = c.page_id"""

@@ -75,10 +75,11 @@ SELECT c_custkey,
 FROM customer
 """
 
-# Blobs with a media header chosen by doc_id % 13 followed by the document text.
+# Blobs with a media header (the last one is no known type) chosen by doc_id, followed by the document text.
 MEDIA_HEADERS_HEX = [
     "FFD8FFE000104A46494600", "89504E470D0A1A0A", "474946383961", "4D4D002A", "01DA", "50340A", "50350A",
     "50360A", "59A66A95", "23646566696E6520", "424D", "524946460000000057454250", "762F3101",
+    "00010203",
 ]
 
 
@@ -91,7 +92,7 @@ def media_blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``doc_id, content`` binary blobs derived from documents."""
     from pyspark.sql import functions as F
     docs = table(spark, sf_dir, "documents")
-    header = F.element_at(F.array(*[F.lit(h) for h in MEDIA_HEADERS_HEX]), (F.col("doc_id") % 13 + 1).cast("int"))
+    header = F.element_at(F.array(*[F.lit(h) for h in MEDIA_HEADERS_HEX]), (F.col("doc_id") % len(MEDIA_HEADERS_HEX) + 1).cast("int"))
     return docs.select("doc_id", F.concat(F.unhex(header), F.encode("text", "UTF-8")).alias("content"))
 
 
@@ -249,7 +250,7 @@ FROM part WHERE p_size = 46
 UNION ALL
 SELECT CAST(9 AS BIGINT), 'list', CAST(NULL AS BIGINT), concat(p_name, '#', CAST(p_partkey AS STRING)), CAST(99 AS BIGINT)
 FROM part WHERE p_size = 46""",
-    # registration requests from customer-derived fields
+    # registration requests from customer-derived fields, and some that ask for the name of one before them
     "registrations": """
 SELECT c_custkey AS req_id, lower(CASE c_custkey % 4 WHEN 0 THEN c_name WHEN 1 THEN replace(c_name, '#', '_')
    WHEN 2 THEN replace(c_name, '#', '.') ELSE concat(replace(c_name, '#', '-'), '-', c_mktsegment) END) AS username,
@@ -257,7 +258,10 @@ SELECT c_custkey AS req_id, lower(CASE c_custkey % 4 WHEN 0 THEN c_name WHEN 1 T
   CASE c_custkey % 5 WHEN 1 THEN concat(c_name, '@example.com') WHEN 3 THEN concat('u', CAST(c_custkey AS STRING), '@gm@a.com')
     ELSE concat('u', CAST(c_custkey AS STRING), '@example.com') END AS mail,
   CASE WHEN c_custkey % 2 = 0 THEN concat('+', CAST(c_custkey * 7919 AS STRING)) END AS phone
-FROM customer""",
+FROM customer
+UNION ALL
+SELECT c_custkey + 1000000, lower(replace(c_name, '#', '_')), 'again', concat('v', CAST(c_custkey AS STRING), '@example.com'), CAST(NULL AS STRING)
+FROM customer WHERE c_custkey % 6 = 1""",
     # accounts that already exist locally / globally before the registrations
     # building-segment customers already have a local account; all but households a global one
     "existing_local": "SELECT lower(replace(c_name, '#', '_')) AS username FROM customer WHERE c_mktsegment = 'BUILDING'",

@@ -1,4 +1,3 @@
-import math
 import random
 
 import pytest
@@ -148,7 +147,20 @@ def test_draws_that_start_together_part_at_once(spark):
     assert all(len(set(p)) == len(p) == (20 if i < 400 else n) for i, p in per.items())
     shared = [len(set(per[i]) & set(per[j])) for i in range(0, 60) for j in range(i + 1, 60)]
     assert sum(shared) / len(shared) < 1.5           # 0.4 for independent draws
-    assert set(L.draw_steps("s", 1)) == {1} and all(math.gcd(s, 30) == 1 for s in L.draw_steps("s", 30))
+
+
+def test_shuffled_numbers_are_permutations(spark):
+    for n in (1, 2, 3, 5, 64, 65, 1000):
+        rows = [(r, k, *(random.Random(r * 10 + i).randrange(L.DRAW_PRIME) for i in range(4))) for r in range(30) for k in range(n)]
+        df = spark.createDataFrame(rows, "r long, k long, a long, b long, c long, d long")
+        got = df.select("r", "k", L.shuffled(F.col("k"), [F.col(x) for x in "abcd"], n).alias("p")).collect()
+        per = {}
+        for r in got:
+            per.setdefault(r.r, {})[r.k] = r.p
+        assert all(sorted(p.values()) == list(range(n)) for p in per.values())
+        if n == 1000:  # no two are shifts of each other
+            steps = {r: [(p[k + 1] - p[k]) % n for k in range(20)] for r, p in per.items()}
+            assert len({tuple(x) for x in steps.values()}) == 30 and all(len(set(x)) > 15 for x in steps.values())
 
 
 def test_a_listing_sees_the_status_of_its_time(spark):

@@ -1,4 +1,5 @@
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -86,3 +87,25 @@ def test_xml_scrub_and_translate_and_sha(spark):
     assert r.x == "a?b?c\x85d?e?f\ttab"
     assert r.t == "C-bcd"
     assert r.h == hashlib.sha256(b"C#123").hexdigest()
+
+
+def test_many_spans_fall_into_slices(spark):
+    """Runs of spans longer than a slice, touching, overlapping and swallowing each other across slices."""
+    rnd = random.Random(17)
+    texts = ["<ref>é</ref>" * 700, "x<code>1</code> " * 300 + "<nowiki>" + "<ref>a</ref>b" * 400 + "</nowiki>" + "<ref></ref>" * 300]
+    texts += ["".join(rnd.choice(PIECES) for _ in range(4000)) for _ in range(6)]
+    texts += ["<!--" + "<ref>q</ref>" * n + "-->tail<code></code>" for n in (126, 127, 128, 129, 256)]
+    got = _run(spark, texts)
+    for i, t in enumerate(texts):
+        assert got[i][0] == mask(t)
+
+
+def test_masking_time_stays_in_proportion_to_the_spans(spark):
+    seconds = {}
+    for n in (2_000, 20_000):
+        df = spark.createDataFrame([("word <ref>abc</ref> " * n,)] * 2, "text string").coalesce(1)
+        for _ in range(2):  # the first run compiles
+            start = time.perf_counter()
+            T.mask_markup(df, "text").selectExpr("sum(length(masked)) AS n").collect()
+            seconds[n] = time.perf_counter() - start
+    assert seconds[20_000] < 25 * seconds[2_000] + 1, seconds
