@@ -43,6 +43,7 @@ NAME_EXISTS = "name exists"           # unique item name
 DUPLICATE = "duplicate"               # unique pair / same request twice
 INVALID = "invalid"                   # a registration field failed validation
 
+NAME_COLLATION = "UNICODE_CI_AI"
 REQUEST_BLOCK = 1 << 16               # request-id block for per-account prefix sums
 CATALOG_SEQ_BLOCK = 1 << 16           # change-log sequence block for per-name and per-item lookups
 SHOP_SEQ_BLOCK = 1 << 16              # change-log sequence block for per-item numbering
@@ -508,6 +509,11 @@ def profile_defaults(accounts: DataFrame, profiles: DataFrame, intros: DataFrame
     return full.join(intro_all, "account_id", "left")
 
 
+def _name_key() -> Column:
+    """Account names are the same whatever their case and accents; joins and groups on this key stay hash-based."""
+    return F.collate("username", NAME_COLLATION).alias("__key")
+
+
 def register(requests: DataFrame, existing_local: DataFrame, existing_global: DataFrame) -> DataFrame:
     """Validate fields, reject taken names, reuse a global account with the same name.
 
@@ -518,13 +524,13 @@ def register(requests: DataFrame, existing_local: DataFrame, existing_global: Da
     valid = (V.account_name_ok("username") & V.account_name_ok("display_name", V.DISPLAY_NAME_MAX)
              & V.mail_ok("mail") & (F.col("phone").isNull() | V.phone_ok("phone")))
     # a name may stand in the state more than once; a request must not multiply
-    taken = existing_local.select("username").distinct().withColumn("taken", F.lit(True))
-    glob = existing_global.select("username").distinct().withColumn("uni_reused", F.lit(True))
-    r = requests.withColumn("__valid", valid).join(taken, "username", "left").join(glob, "username", "left")
+    taken = existing_local.select(_name_key()).distinct().withColumn("taken", F.lit(True))
+    glob = existing_global.select(_name_key()).distinct().withColumn("uni_reused", F.lit(True))
+    r = requests.withColumn("__valid", valid).withColumn("__key", _name_key()).join(taken, "__key", "left").join(glob, "__key", "left")
     # same-batch duplicates: the earliest *valid* request for a free name wins
-    first = r.where(F.col("__valid") & F.col("taken").isNull()).groupBy("username").agg(
+    first = r.where(F.col("__valid") & F.col("taken").isNull()).groupBy("__key").agg(
         F.min("req_id").alias("first_req"))
-    r = r.join(first, "username", "left")
+    r = r.join(first, "__key", "left")
     status = (F.when(~F.col("__valid"), F.lit(INVALID))
                .when(F.col("taken").isNotNull(), F.lit(ACCOUNT_EXISTS))
                .when(F.col("req_id") != F.col("first_req"), F.lit(DUPLICATE))
@@ -535,10 +541,9 @@ def register(requests: DataFrame, existing_local: DataFrame, existing_global: Da
 
 def name_lookup(requests: DataFrame, existing_local: DataFrame, existing_global: DataFrame) -> DataFrame:
     """Is each requested name taken locally / known globally (semi joins, as flags)?"""
-    local = requests.join(existing_local.select("username").distinct(), "username", "left_semi").select(
-        "req_id", F.lit(True).alias("local_taken"))
-    glob = requests.join(existing_global.select("username").distinct(), "username", "left_semi").select(
-        "req_id", F.lit(True).alias("global_known"))
+    asked = requests.select("req_id", _name_key())
+    local = asked.join(existing_local.select(_name_key()), "__key", "left_semi").select("req_id", F.lit(True).alias("local_taken"))
+    glob = asked.join(existing_global.select(_name_key()), "__key", "left_semi").select("req_id", F.lit(True).alias("global_known"))
     return requests.select("req_id", "username").join(local, "req_id", "left").join(glob, "req_id", "left").select(
         "req_id", "username", F.coalesce("local_taken", F.lit(False)).alias("local_taken"),
         F.coalesce("global_known", F.lit(False)).alias("global_known"))

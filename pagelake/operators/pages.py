@@ -79,10 +79,13 @@ def page_link_stats(pages: DataFrame) -> DataFrame:
 def page_json(records: DataFrame, page_ids=None, record_col: str = "record") -> DataFrame:
     """``page_id, json`` for page records, optionally only the given page ids.
 
-    Nulls are kept as JSON nulls.  With ``page_ids`` the filter applies to the
-    parsed id, so on a store keyed by ``page_id`` it prunes before parsing.
+    Nulls are kept as JSON nulls.  Records that carry a ``page_id`` beside them,
+    as those of a record store do, are filtered by it before they are parsed;
+    others have to be parsed to know their id.
     """
     from pagelake.functions import xml as X
+    if page_ids is not None and "page_id" in records.columns:
+        records, page_ids = records.where(F.col("page_id").isin(list(page_ids))), None
     parsed = records.select(X.parse_page(record_col).alias("p")).select(*X.flat_page("p"))
     if page_ids is not None:
         parsed = parsed.where(F.col("page_id").isin(list(page_ids)))

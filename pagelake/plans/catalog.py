@@ -188,6 +188,15 @@ def q_page_to_json(spark, sf_dir):
     return P.page_json(_records(spark, sf_dir))
 
 
+@query("page_json_by_id")
+def q_page_json_by_id(spark, sf_dir):
+    """JSON of the labelled pages: the record store is pruned by their ids, then parsed."""
+    path = _scratch(spark, "record_store")
+    S.write_record_store(_records(spark, sf_dir).select("record"), path)
+    wanted = VW.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"))
+    return P.page_json(D.read_records(spark, path, wanted))
+
+
 @query("point_lookup_page")
 def q_point_lookup_page(spark, sf_dir):
     """Write the sorted page store, then look one page up: a pushed filter on row-group stats."""

@@ -196,6 +196,7 @@ FROM records WHERE page_id % 97 IN (13, 29, 31)"""
 ORACLE["page_to_json"] = with_(wiki_cte()) + """
 SELECT page_id, CAST(to_json({'page_id': page_id, 'title': title, 'redirect_title': redirect_title, 'text': text}) AS VARCHAR) AS json
 FROM wiki_pages"""
+ORACLE["page_json_by_id"] = ORACLE["page_to_json"] + " WHERE page_id IN (SELECT doc_id FROM labels)"
 ORACLE["point_lookup_page"] = with_(wiki_cte()) + "SELECT page_id, title, text FROM wiki_pages WHERE page_id = 777"
 ORACLE["random_sample_n"] = with_(wiki_cte()) + """
 SELECT page_id FROM wiki_pages ORDER BY md5('s42:' || CAST(page_id AS VARCHAR)) LIMIT 40"""
@@ -532,19 +533,19 @@ SELECT id0, id1, src_0, 'pending' AS status, request_id FROM (
 _REG_VALID = (_NAME_OK.format(c="r.username") + " AND " + _NAME_OK.format(c="r.display_name") +
               " AND length(r.mail) <= 50 AND regexp_full_match(r.mail, '\\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Z|a-z]{2,7}\\b')"
               " AND (r.phone IS NULL OR (length(r.phone) <= 16 AND regexp_full_match(r.phone, '\\+[0-9]*')))")
+_LOCAL, _GLOBAL = (f"(SELECT strip_accents(lower(username)) FROM {t})" for t in ("existing_local", "existing_global"))
 ORACLE["register_batch"] = _LG + f""", reg_valid AS (
-  SELECT r.*, ({_REG_VALID}) AS is_valid FROM registrations r),
+  SELECT r.*, strip_accents(lower(r.username)) AS same, ({_REG_VALID}) AS is_valid FROM registrations r),
 reg AS (
-  SELECT r.req_id, r.username,
+  SELECT r.req_id, r.username, r.same,
     CASE WHEN NOT r.is_valid THEN 'invalid'
-         WHEN r.username IN (SELECT username FROM existing_local) THEN 'account exists'
-         WHEN r.req_id <> (SELECT min(r2.req_id) FROM reg_valid r2 WHERE r2.username = r.username AND r2.is_valid) THEN 'duplicate'
+         WHEN r.same IN {_LOCAL} THEN 'account exists'
+         WHEN r.req_id <> (SELECT min(r2.req_id) FROM reg_valid r2 WHERE r2.same = r.same AND r2.is_valid) THEN 'duplicate'
          ELSE 'ok' END AS status
   FROM reg_valid r)
-SELECT req_id, username, status, (status = 'ok' AND username IN (SELECT username FROM existing_global)) AS uni_reused FROM reg"""
-ORACLE["exists_lookup"] = _LG + """SELECT req_id, username,
-  username IN (SELECT username FROM existing_local) AS local_taken,
-  username IN (SELECT username FROM existing_global) AS global_known FROM registrations"""
+SELECT req_id, username, status, (status = 'ok' AND same IN {_GLOBAL}) AS uni_reused FROM reg"""
+ORACLE["exists_lookup"] = _LG + f"""SELECT req_id, username, strip_accents(lower(username)) IN {_LOCAL} AS local_taken,
+  strip_accents(lower(username)) IN {_GLOBAL} AS global_known FROM registrations"""
 ORACLE["profile_defaults"] = _LG + """SELECT a.account_id, coalesce(p.ranks, 0) AS ranks, coalesce(p.balance, 0) AS balance,
   coalesce(p.pull_count, 0) AS pull_count, p.account_id IS NULL AS created, coalesce(i.description, '') AS description
 FROM accounts a LEFT JOIN profiles p ON p.account_id = a.account_id LEFT JOIN intros i ON i.account_id = a.account_id"""

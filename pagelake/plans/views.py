@@ -250,7 +250,8 @@ FROM part WHERE p_size = 46
 UNION ALL
 SELECT CAST(9 AS BIGINT), 'list', CAST(NULL AS BIGINT), concat(p_name, '#', CAST(p_partkey AS STRING)), CAST(99 AS BIGINT)
 FROM part WHERE p_size = 46""",
-    # registration requests from customer-derived fields, and some that ask for the name of one before them
+    # registration requests from customer-derived fields, and some that ask for the name of
+    # one before them, in capitals or with accents
     "registrations": """
 SELECT c_custkey AS req_id, lower(CASE c_custkey % 4 WHEN 0 THEN c_name WHEN 1 THEN replace(c_name, '#', '_')
    WHEN 2 THEN replace(c_name, '#', '.') ELSE concat(replace(c_name, '#', '-'), '-', c_mktsegment) END) AS username,
@@ -260,8 +261,12 @@ SELECT c_custkey AS req_id, lower(CASE c_custkey % 4 WHEN 0 THEN c_name WHEN 1 T
   CASE WHEN c_custkey % 2 = 0 THEN concat('+', CAST(c_custkey * 7919 AS STRING)) END AS phone
 FROM customer
 UNION ALL
-SELECT c_custkey + 1000000, lower(replace(c_name, '#', '_')), 'again', concat('v', CAST(c_custkey AS STRING), '@example.com'), CAST(NULL AS STRING)
-FROM customer WHERE c_custkey % 6 = 1""",
+SELECT c_custkey + 1000000, CASE WHEN c_custkey % 4 < 2 THEN upper(replace(c_name, '#', '_')) ELSE lower(replace(c_name, '#', '_')) END, 'again',
+  concat('v', CAST(c_custkey AS STRING), '@example.com'), CAST(NULL AS STRING)
+FROM customer WHERE c_custkey % 6 = 1
+UNION ALL
+SELECT c_custkey + 2000000, replace(replace(c_name, '#', '_'), 'u', 'ú'), 'accent', concat('w', CAST(c_custkey AS STRING), '@example.com'), CAST(NULL AS STRING)
+FROM customer WHERE c_custkey % 6 = 2""",
     # accounts that already exist locally / globally before the registrations
     # building-segment customers already have a local account; all but households a global one
     "existing_local": "SELECT lower(replace(c_name, '#', '_')) AS username FROM customer WHERE c_mktsegment = 'BUILDING'",

@@ -61,6 +61,23 @@ def check_pages(spark: SparkSession, path: str) -> Checked:
     return split_rows(tagged_pages(page_records(spark, path)))
 
 
+def read_records(spark: SparkSession, path: str, wanted: DataFrame | list[int]) -> DataFrame:
+    """``page_id, record`` of the wanted pages from a record store, pruned before anything is parsed.
+
+    A list becomes a pushed filter.  A table of ids (its ``page_id``) becomes a
+    pushed range of its least to greatest id, which skips the other row groups
+    of the sorted store, and a join.
+    """
+    store = spark.read.schema("page_id bigint, record string").parquet(path)
+    if not isinstance(wanted, DataFrame):
+        return store.where(F.col("page_id").isin([int(i) for i in wanted]))
+    ids = wanted.select("page_id").where("page_id is not null").distinct()
+    low, high = ids.agg(F.min("page_id"), F.max("page_id")).first()
+    if low is None:
+        return store.limit(0)
+    return store.where(F.col("page_id").between(low, high)).join(ids, "page_id", "left_semi")
+
+
 def rfc3339_to_timestamp(c):
     """RFC 3339 text (``2024-06-01T00:00:00Z``, offsets allowed) -> timestamp; null if invalid."""
     c = F.col(c) if isinstance(c, str) else c

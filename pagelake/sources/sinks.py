@@ -42,6 +42,17 @@ def write_page_store(pages: DataFrame, path: str, key: str = "page_id", compress
           .option("maxRecordsPerFile", max_records_per_file).parquet(path))
 
 
+def write_record_store(records: DataFrame, path: str, **options) -> None:
+    """Raw page records beside their ``page_id``, kept like the page store; records are not parsed.
+
+    The id is the first one of the record, as the head of a page comes before
+    its revisions.  A record without one is kept under a null id.
+    """
+    head = F.substring_index("record", "<revision", 1)
+    number = F.regexp_extract(head, r"<id>\s*([0-9]+)\s*</id>", 1).try_cast("bigint")
+    write_page_store(records.select(number.alias("page_id"), "record"), path, **options)
+
+
 def write_history(history: History, path: str) -> None:
     write_lines(history_lines(history), path)
 

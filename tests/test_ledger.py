@@ -176,6 +176,20 @@ def test_a_listing_sees_the_status_of_its_time(spark):
     assert sorted((r.seq, r.status) for r in rejects.collect()) == [(1, L.BAD_STATUS), (4, L.BAD_STATUS)]
 
 
+def test_names_are_the_same_whatever_their_case_and_accents(spark):
+    reqs = spark.createDataFrame([(1, "Ann", "Ann", "ann@example.com", None), (2, "ANN", "x", "x@example.com", None),
+                                  (3, "Bob", "b", "b@example.com", None), (4, "bób", "b", "b@example.com", None)],
+                                 "req_id long, username string, display_name string, mail string, phone string")
+    local, known = spark.createDataFrame([("bOB",)], "username string"), spark.createDataFrame([("ánn",)], "username string")
+    made = L.register(reqs, local, known)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "collationkey" in plan
+    assert {r.req_id: (r.status, r.uni_reused) for r in made.collect()} == {
+        1: (L.OK, True), 2: (L.DUPLICATE, False), 3: (L.ACCOUNT_EXISTS, False), 4: (L.INVALID, False)}
+    assert {r.req_id: (r.local_taken, r.global_known) for r in L.name_lookup(reqs, local, known).collect()} == {
+        1: (False, True), 2: (False, True), 3: (True, False), 4: (True, False)}
+
+
 def test_repeated_state_names_do_not_multiply_requests(spark):
     reqs = spark.createDataFrame([(1, "ann", "Ann", "ann@example.com", None)],
                                  "req_id long, username string, display_name string, mail string, phone string")

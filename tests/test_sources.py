@@ -4,6 +4,7 @@ import random
 from pyspark.sql import functions as F
 
 from pagelake.functions import xml as X
+from pagelake.operators.pages import page_json
 from pagelake.sources import dump as D
 from pagelake.sources import history as H
 from pagelake.sources import sinks as S
@@ -206,8 +207,25 @@ def test_one_bz2_file_splits_and_every_page_is_read_once(spark, scratch):
 
 
 def test_page_json_filter(spark):
-    from pagelake.operators.pages import page_json
     recs = _pages(spark).select(X.render_page("page_id", "title", "redirect_title", "text").alias("record"))
     got = page_json(recs, [2, 3]).orderBy("page_id").collect()
     assert [r.page_id for r in got] == [2, 3]
     assert got[1].json == '{"page_id":3,"title":"Gamma: colon","redirect_title":null,"text":null}'
+
+
+def test_record_store_is_pruned_by_id_before_parsing(spark, scratch):
+    path = os.path.join(scratch, "records")
+    recs = _pages(spark).select(X.render_page("page_id", "title", "redirect_title", "text").alias("record"))
+    broken = spark.createDataFrame([("<page><title>no id</title><revision><id>3</id></revision></page>",)], "record string")
+    S.write_record_store(recs.unionByName(broken), path)
+    few = D.read_records(spark, path, [3, 4])
+    plan = few._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [In(page_id, [3,4])]" in plan and "from_xml" not in plan
+    got = page_json(few).orderBy("page_id").collect()
+    assert [r.page_id for r in got] == [3, 4] and got[0].json == '{"page_id":3,"title":"Gamma: colon","redirect_title":null,"text":null}'
+    ids = spark.createDataFrame([(2,), (4,), (None,), (2,)], "page_id long")
+    by_table = D.read_records(spark, path, ids)
+    assert "GreaterThanOrEqual(page_id,2), LessThanOrEqual(page_id,4)" in by_table._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r.page_id for r in by_table.collect()) == [2, 4]
+    assert D.read_records(spark, path, ids.limit(0)).count() == 0
+    assert [r.page_id for r in page_json(spark.read.parquet(path), [1]).collect()] == [1]
