@@ -20,12 +20,13 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagelake.operators.sampling import sample_key
 from pagelake.operators.windows import as_of, running_total
 from pagelake.session import cut_lineage
+from pagelake.sources.buckets import BUCKETS, update_buckets
 
 # --- fixed values: result codes of the reference's actions
 OK = "ok"
@@ -166,12 +167,12 @@ def _decided_again(claims: DataFrame) -> DataFrame:
     at = ["seq", "at_item", "at_op", "at_name"]
     placed = claims.select(*_LOG_ORDER, "ok", "known", *[F.col(c).alias(a) for c, a in zip(_LOG_ORDER[1:], at[1:], strict=True)])
     took = placed.where("ok").select(*at, F.col("item_name").alias("name"), F.col("item_id").alias("holder"))
-    asked = as_of(placed.withColumn("name", F.col("item_name")), took, "name", at, ["holder"], CATALOG_SEQ_BLOCK, inclusive=False)
+    asked = as_of(placed.withColumn("name", F.col("item_name")), "name", at, {"holder": took}, CATALOG_SEQ_BLOCK, inclusive=False)
     # what the item itself, and the last holder of the name, are called then
     names = placed.where("ok").select(*at, F.col("item_id").alias("who"), F.col("item_name").alias("called"))
     own = asked.withColumn("who", F.col("item_id")).withColumn("side", F.lit("own"))
     other = asked.where("holder <> item_id").withColumn("who", F.col("holder")).withColumn("side", F.lit("other"))
-    called = as_of(own.unionByName(other), names, "who", at, ["called"], CATALOG_SEQ_BLOCK, inclusive=False)
+    called = as_of(own.unionByName(other), "who", at, {"called": names}, CATALOG_SEQ_BLOCK, inclusive=False)
     d = called.groupBy(*_LOG_ORDER, F.col("ok").alias("was"), F.col("known").alias("was_known")).agg(
         F.max(F.when(F.col("side") == "own", F.col("called"))).alias("own_name"),
         F.max(F.when(F.col("side") == "other", F.col("called"))).alias("other_name"))
@@ -231,25 +232,25 @@ def _at_start(catalog: DataFrame) -> Catalog:
     return Catalog(catalog, catalog.limit(0), catalog.select(*first), catalog.select(*first, "item_stat"))
 
 
-def resolve_items(requests: DataFrame, catalog: Catalog) -> DataFrame:
+def resolve_items(requests: DataFrame, catalog: Catalog, events: dict[str, DataFrame] | None = None) -> DataFrame:
     """Requests (``seq, item_id, item_name``) with ``rid`` and ``item_stat`` as of their ``seq``; null: no such item then.
 
     A name stands for the item that holds it at that time: the last one to take
-    it, unless that item has another name by then.
+    it, unless that item has another name by then.  Values of ``events`` (by
+    ``who``, an item, and ``seq``) are looked up in the same pass.
     """
-    at = ["seq"]
     took = catalog.names.select("seq", F.col("item_name").alias("asked_name"), F.struct("seq", "item_id", "op").alias("place"), "item_id")
     took = took.groupBy("asked_name", "seq").agg(F.max_by("item_id", "place").alias("named_id"))
+    place, item = F.struct("op", "item_name"), F.col("item_id").alias("who")
+    called = catalog.names.groupBy(item, "seq").agg(F.max_by("item_name", place).alias("called"))
+    stat = catalog.stats.groupBy(item, "seq").agg(F.max_by("item_stat", place).alias("now_stat"))
+    more = events or {}
     r = requests.withColumn("asked_name", F.when(F.col("item_id").isNull(), F.col("item_name")))
-    r = as_of(r, took, "asked_name", at, ["named_id"], CATALOG_SEQ_BLOCK)
-    place = F.struct("op", "item_name")
-    called = catalog.names.withColumn("who", F.col("item_id")).groupBy("who", "seq").agg(F.max_by("item_name", place).alias("called"))
-    r = as_of(r.withColumn("who", F.coalesce("item_id", "named_id")), called, "who", at, ["called"], CATALOG_SEQ_BLOCK)
-    held = F.col("item_id").isNotNull() | (F.col("called") == F.col("asked_name"))
-    r = r.withColumn("who", F.when(F.col("called").isNotNull() & held, F.col("who")))
-    stat = catalog.stats.withColumn("who", F.col("item_id")).groupBy("who", "seq").agg(F.max_by("item_stat", place).alias("now_stat"))
-    r = as_of(r, stat, "who", at, ["now_stat"], CATALOG_SEQ_BLOCK)
-    return r.select(*requests.columns, F.col("who").alias("rid"), F.col("now_stat").alias("item_stat"))
+    r = as_of(r, "asked_name", ["seq"], {"named_id": took}, CATALOG_SEQ_BLOCK).withColumn("who", F.coalesce("item_id", "named_id"))
+    r = as_of(r, "who", ["seq"], {"called": called, "now_stat": stat, **more}, CATALOG_SEQ_BLOCK)
+    there = F.col("called").isNotNull() & (F.col("item_id").isNotNull() | (F.col("called") == F.col("asked_name")))
+    return r.select(*requests.columns, *[F.when(there, F.col(c)).alias(out) for c, out in
+                                         (("who", "rid"), ("now_stat", "item_stat"), *((c, c) for c in more))])
 
 
 class Shop(NamedTuple):
@@ -308,9 +309,8 @@ def purchase_checks(requests: DataFrame, profiles: DataFrame, catalog: Catalog,
     An item is asked for by id or, without one, by name; ``seq`` is the time in
     the catalog's and the shop's logs that a request sees.
     """
-    r = resolve_items(requests, catalog)
-    offers = shop.offers.select(F.col("item_id").alias("rid"), "seq", "item_cost")
-    r = as_of(r, offers, "rid", ["seq"], ["item_cost"], SHOP_SEQ_BLOCK)
+    offers = shop.offers.select(F.col("item_id").alias("who"), "seq", "item_cost")
+    r = resolve_items(requests, catalog, {"item_cost": offers})
     r = r.join(profiles.select("account_id", F.lit(True).alias("has_profile")), "account_id", "left")
     missing = F.col("rid").isNull() | F.col("item_cost").isNull()
     status = (F.when(F.col("has_profile").isNull(), F.lit(INVALID_NAME))
@@ -353,6 +353,21 @@ def upsert_storage(storage: DataFrame, decisions: DataFrame) -> DataFrame:
         "account_id", "item_id").agg(F.sum("item_count").cast("bigint").alias("item_count"))
 
 
+def upsert_stored(spark: SparkSession, path: str, decisions: DataFrame, schema, buckets: int = BUCKETS) -> list[int]:
+    """``upsert_storage`` on a bucketed state table, of which only the buckets of buying accounts are rewritten."""
+    bought = decisions.where(F.col("status") == OK).select("account_id", "item_id", "item_count")
+
+    def merge(old: DataFrame, new: DataFrame) -> DataFrame:
+        return upsert_storage(old, new.withColumn("status", F.lit(OK))).select(*schema.names)
+
+    return update_buckets(spark, path, bought, ["account_id"], merge, schema, buckets)
+
+
+def insert_stored(spark: SparkSession, path: str, new: DataFrame, keys: list[str], schema, buckets: int = BUCKETS) -> list[int]:
+    """``insert_ignore`` on a state table bucketed by its first key."""
+    return update_buckets(spark, path, new.select(*keys), keys[:1], lambda old, more: insert_ignore(old, more, keys), schema, buckets)
+
+
 def run_draws(requests: DataFrame, profiles: DataFrame):
     """``amount > balance`` -> insufficient; else deduct.  Returns ``(decisions, new profiles)``.
 

@@ -56,42 +56,43 @@ def next_value(df: DataFrame, key_col: str, out_col: str, default, block_width:
     return out.drop("__blk", "__nx", "__nbmin")
 
 
-def last_seen(df: DataFrame, key_cols: list[str], order_cols: list[str], value_col: str, out_col: str,
-              block_width: int) -> DataFrame:
-    """The last non-null ``value_col`` per key up to and including each row, in ``order_cols`` order.
+def last_seen(df: DataFrame, key_cols: list[str], order_cols: list[str], values: dict[str, str], block_width: int) -> DataFrame:
+    """For each new column in ``values``, the last non-null value of its source column per key up to and including each row.
 
     ``order_cols[0]`` must be numeric; a key's rows are split into blocks of
     ``block_width`` of it, and only one row per key and block is ordered beyond.
     """
     d = df.withColumn("__blk", _block(order_cols[0], block_width))
     w = Window.partitionBy(*key_cols, "__blk").orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, 0)
-    within = d.withColumn("__in", F.last(value_col, ignorenulls=True).over(w))
-    place = F.when(F.col(value_col).isNotNull(), F.struct(*order_cols))
-    blocks = d.groupBy(*key_cols, "__blk").agg(F.max_by(value_col, place).alias("__bv"))
+    within = d.withColumns({f"__in_{out}": F.last(c, ignorenulls=True).over(w) for out, c in values.items()})
+    place = F.struct(*order_cols)
+    blocks = d.groupBy(*key_cols, "__blk").agg(
+        *[F.max_by(c, F.when(F.col(c).isNotNull(), place)).alias(f"__bv_{out}") for out, c in values.items()])
     before = Window.partitionBy(*key_cols).orderBy("__blk").rowsBetween(Window.unboundedPreceding, -1)
-    carried = blocks.select(*key_cols, "__blk", F.last("__bv", ignorenulls=True).over(before).alias("__bc"))
-    out = within.join(carried, [*key_cols, "__blk"]).withColumn(out_col, F.coalesce("__in", "__bc"))
-    return out.drop("__blk", "__in", "__bc")
+    carried = blocks.select(*key_cols, "__blk", *[
+        F.last(f"__bv_{out}", ignorenulls=True).over(before).alias(f"__bc_{out}") for out in values])
+    both = within.join(carried, [*key_cols, "__blk"])
+    return both.select(*df.columns, *[F.coalesce(f"__in_{out}", f"__bc_{out}").alias(out) for out in values])
 
 
-def as_of(requests: DataFrame, events: DataFrame, key: str, at: list[str], values: list[str], block_width: int,
+def as_of(requests: DataFrame, key: str, at: list[str], events: dict[str, DataFrame], block_width: int,
           inclusive: bool = True) -> DataFrame:
-    """Requests with the ``values`` of the last event of their key at their time; null without one.
+    """Requests with, for each column name in ``events``, its value in the last event of their key at their time.
 
-    ``at`` orders both sides, its first column must be numeric; events at the
-    very time of a request count if ``inclusive``.  Requests and events pass in
-    one ordered block-wise stream, so a key with many of both is no product,
-    and requests without a key are kept.
+    An events frame has the key, the columns ``at`` and its value; no event
+    gives null.  ``at`` orders all sides, its first column must be numeric;
+    events at the very time of a request count if ``inclusive``.  Requests and
+    events pass in one ordered block-wise stream, so a key with many of both
+    is no product, and requests without a key are kept.
     """
-    value = F.struct(*values)
-    turn = F.lit(0 if inclusive else 1).alias("__turn")
-    e = events.where(F.col(key).isNotNull()).select(F.col(key).alias("__key"), *at, turn, value.alias("__v"), F.lit(False).alias("__asked"))
     asked = F.struct(*requests.columns).alias("__r")
-    r = requests.select(F.col(key).alias("__key"), *at, F.lit(1 if inclusive else 0).alias("__turn"), F.lit(True).alias("__asked"), asked)
-    both = e.unionByName(r, allowMissingColumns=True)
+    both = requests.select(F.col(key).alias("__key"), *at, F.lit(1 if inclusive else 0).alias("__turn"), asked)
+    for name, rows in events.items():
+        # a struct, as the value itself may be null
+        both = both.unionByName(rows.where(F.col(key).isNotNull()).select(
+            F.col(key).alias("__key"), *at, F.lit(0 if inclusive else 1).alias("__turn"), F.struct(F.col(name).alias("v")).alias(f"__v_{name}")),
+            allowMissingColumns=True)
     # requests without a key meet nothing: they are dealt by their own hash
-    both = both.withColumn("__none", F.when(F.col("__key").isNull(), F.xxhash64("__r")))
-    both = both.withColumn("__part", F.struct("__key", "__none"))
-    found = last_seen(both, ["__part"], [*at, "__turn"], "__v", "__found", block_width).where("__asked")
-    # nullable structs: a missing event gives null for each value
-    return found.select("__r.*", *[F.col("__found")[v].alias(v) for v in values])
+    both = both.withColumn("__part", F.struct("__key", F.when(F.col("__key").isNull(), F.xxhash64("__r")).alias("none")))
+    found = last_seen(both, ["__part"], [*at, "__turn"], {f"__f_{name}": f"__v_{name}" for name in events}, block_width)
+    return found.where("__r is not null").select("__r.*", *[F.col(f"__f_{name}.v").alias(name) for name in events])

@@ -24,6 +24,7 @@ from pagelake.operators.sampling import sample_n
 from pagelake.plans import views as VW
 from pagelake.plans.views import wiki_pages
 from pagelake.session import cut_lineage, prepare, shared_dir
+from pagelake.sources import buckets as B
 from pagelake.sources import dump as D
 from pagelake.sources import history as H
 from pagelake.sources import sinks as S
@@ -568,8 +569,12 @@ def q_ledger_purchase_balance(spark, sf_dir):
 
 @query("storage_upsert")
 def q_storage_upsert(spark, sf_dir):
+    """The stored items as buckets of accounts; the purchases rewrite the buckets of the accounts that bought."""
     decisions, _ = _purchases(spark, sf_dir)
-    return L.upsert_storage(_lt(spark, sf_dir, "storage"), decisions)
+    storage, path = _lt(spark, sf_dir, "storage"), _scratch(spark, "storage")
+    B.write_buckets(storage, path, ["account_id"])
+    L.upsert_stored(spark, path, decisions, storage.schema)
+    return B.read_buckets(spark, path, storage.schema)
 
 
 @query("ledger_draw")
@@ -585,8 +590,12 @@ def q_ledger_draw_pages(spark, sf_dir):
 
 @query("insert_ignore")
 def q_insert_ignore(spark, sf_dir):
+    """The collections as buckets of accounts; the draws rewrite the buckets of the accounts that drew."""
     drawn = _drawn_pages(spark, sf_dir).select("account_id", "page_id")
-    return L.insert_ignore(_lt(spark, sf_dir, "collection"), drawn, ["account_id", "page_id"])
+    held, path = _lt(spark, sf_dir, "collection"), _scratch(spark, "collection")
+    B.write_buckets(held, path, ["account_id"])
+    L.insert_stored(spark, path, drawn, ["account_id", "page_id"], held.schema)
+    return B.read_buckets(spark, path, held.schema)
 
 
 @query("ledger_relation")
