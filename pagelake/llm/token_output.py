@@ -27,12 +27,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
 
 from pagelake.llm import tokens
-from pagelake.llm.common import map_texts, pick
+from pagelake.llm.common import pick, slices_by_chars
 from pagelake.llm.huffman import MAX_BITS, STRIDE, Code, code_lengths
 from pagelake.session import shared_dir
 
@@ -42,41 +44,62 @@ BLOCK_IDS = 65_536
 
 
 def tokenized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None,
-              end_id: int = END_ID) -> DataFrame:
-    """``(part, doc_id, ids)`` in ascending order of ids within and between parts; 16-bit ids."""
+              end_id: int = END_ID, vocabulary: int = VOCABULARY) -> DataFrame:
+    """``(part, doc_id, ids, at, n, counts)`` in ascending order of ids within and between parts.
+
+    ``ids`` are 16 bits each, ``at`` is the number of ids before the document
+    in its part.  The last row of a part has no ids: ``n`` is the part's number
+    of ids and ``counts`` how often each id occurs there, as 64-bit integers.
+    """
     path = tokenizer or tokens.default_tokenizer()
     d = pick(docs, doc_id=id_col, text=text_col).withColumn("text", F.coalesce("text", F.lit("")))
     d = d.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
-    end = np.array([end_id], "uint32")
-
-    def run(texts: list[str]) -> dict:
-        enc = tokens.encoder(path)
-        return {"ids": [np.concatenate((enc.encode(t), end)).astype("<u2").tobytes() for t in texts]}
-
-    return map_texts(d, "text", "ids binary", run, 2_000_000).select(F.spark_partition_id().alias("part"), "doc_id", "ids")
+    schema = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("doc_id", d.schema["doc_id"].dataType),
+                           T.StructField("ids", T.BinaryType()), T.StructField("at", T.LongType()),
+                           T.StructField("n", T.LongType()), T.StructField("counts", T.BinaryType())])
+    arrow = to_arrow_schema(schema)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, enc, end = TaskContext.get().partitionId(), tokens.encoder(path), np.array([end_id], "<u2")
+        before, counts, any_row = 0, np.zeros(vocabulary, "int64"), False
 
-def _all_ids(column: pa.Array) -> np.ndarray:
-    """The ids of all rows, one after the other, as they lie in the Arrow buffer."""
-    if not len(column):
-        return np.empty(0, "<u2")
-    offsets = np.frombuffer(column.buffers()[1], "<i4")[column.offset:column.offset + len(column) + 1]
-    return np.frombuffer(column.buffers()[2], "<u2", (offsets[-1] - offsets[0]) // 2, offsets[0])
-
+        def rows(doc_ids: pa.Array, ids: list, at: np.ndarray, n: np.ndarray, counts: list) -> pa.RecordBatch:
+            made = ([part] * len(n), doc_ids, ids, at, n, counts)
+            return pa.RecordBatch.from_arrays([x.cast(f.type) if isinstance(x, pa.Array) else pa.array(x, f.type)
+                                               for x, f in zip(made, arrow, strict=True)], schema=arrow)
 
-def id_counts(coded: DataFrame, vocabulary: int) -> np.ndarray:
-    """Occurrences of each id in all documents: a vector of the vocabulary's size per task, summed by id."""
+        for batch in batches:
+            lengths = pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False).astype("int64")
+            for begin, count in slices_by_chars(lengths, 2_000_000) if batch.num_rows else ():
+                held = batch.slice(begin, count)
+                coded = [np.concatenate((enc.encode(t), end), dtype="<u2", casting="unsafe")
+                         for t in held.column("text").to_pylist()]
+                counts += np.bincount(np.concatenate(coded), minlength=vocabulary)
+                n = np.array([len(ids) for ids in coded], "int64")
+                ends = before + n.cumsum()
+                yield rows(held.column("doc_id"), [ids.tobytes() for ids in coded], ends - n, n, [None] * count)
+                before, any_row = int(ends[-1]), True
+        if any_row:
+            yield rows(pa.array([None], arrow.field("doc_id").type), [None], np.array([before]), np.array([before]),
+                       [counts.astype("<i8").tobytes()])
+
+    return d.mapInArrow(run, schema)
+
+
+def id_counts(parts: DataFrame, vocabulary: int) -> np.ndarray:
+    """Occurrences of each id in all documents, from the last rows of the parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(vocabulary, "int64")
         for batch in batches:
-            total += np.bincount(_all_ids(batch.column("ids")), minlength=vocabulary)
+            for counts in batch.column("counts"):
+                total += np.frombuffer(counts.as_py(), "<i8")
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"id": pa.array(seen, pa.int32()), "n": pa.array(total[seen], pa.int64())})
 
     counts = np.zeros(vocabulary, "int64")
     # at most one row per id of the vocabulary
-    for row in coded.select("ids").mapInArrow(run, "id int, n bigint").groupBy("id").agg(F.sum("n").alias("n")).collect():
+    for row in parts.select("counts").mapInArrow(run, "id int, n bigint").groupBy("id").agg(F.sum("n").alias("n")).collect():
         counts[row["id"]] = row["n"]
     return counts
 
@@ -84,7 +107,7 @@ def id_counts(coded: DataFrame, vocabulary: int) -> np.ndarray:
 def _blocks(coded: DataFrame, lengths: np.ndarray, firsts: dict[int, int], block_ids: int) -> DataFrame:
     """Blocks of consecutive documents; ``at`` is a document's first id within its part."""
     kind = coded.schema["doc_id"].dataType.simpleString()
-    arrow_id = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+    arrow_id = to_arrow_type(coded.schema["doc_id"].dataType)
     schema = f"part int, first bigint, doc_ids array<{kind}>, counts array<int>, n int, checkpoints binary, payload binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,23 +141,6 @@ def _blocks(coded: DataFrame, lengths: np.ndarray, firsts: dict[int, int], block
     return coded.mapInArrow(run, schema)
 
 
-def _placed(tokenised: DataFrame) -> DataFrame:
-    """Adds ``at``, the number of ids before a document in its part, and ``n``, in one pass over the sorted parts."""
-    schema = T.StructType([*tokenised.schema.fields, T.StructField("at", T.LongType()), T.StructField("n", T.LongType())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before = 0
-        for batch in batches:
-            n = pc.binary_length(batch.column("ids")).to_numpy(zero_copy_only=False).astype("int64") // 2
-            ends = before + np.cumsum(n)
-            if len(n):
-                before = int(ends[-1])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ends - n, pa.int64()), pa.array(n, pa.int64())],
-                                               names=[*batch.schema.names, "at", "n"])
-
-    return tokenised.mapInArrow(run, schema)
-
-
 def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None,
           end_id: int = END_ID, vocabulary: int = VOCABULARY, block_ids: int = BLOCK_IDS) -> None:
     """Write the ids of all documents, in ascending order of their ids, under ``path``."""
@@ -142,19 +148,22 @@ def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
         raise ValueError("ids are kept in 16 bits")
     spark = docs.sparkSession
     rough = f"{path}/ids"
-    _placed(tokenized(docs, id_col, text_col, tokenizer, end_id)).write.option("compression", "zstd").parquet(rough)
-    coded = spark.read.parquet(rough)
-    lengths = code_lengths(id_counts(coded, vocabulary))
+    rough_rows = tokenized(docs, id_col, text_col, tokenizer, end_id, vocabulary)
+    rough_rows.write.option("compression", "lz4_raw").parquet(rough)
+    coded = spark.read.schema(rough_rows.schema).parquet(rough)
+    parts = coded.where("counts is not null")
+    lengths = code_lengths(id_counts(parts, vocabulary))
     if not lengths.any():
         lengths[end_id] = 1
     # one row per part, and the parts are as many as the tasks that wrote them
-    sizes = coded.groupBy("part").agg(F.max(F.col("at") + F.col("n")).alias("n")).collect()
+    sizes = parts.select("part", "n").collect()
     firsts, before = {}, 0
     for row in sorted(sizes, key=lambda r: r["part"]):
         firsts[row["part"]], before = before, before + row["n"]
     header = [(1, MAX_BITS, STRIDE, vocabulary, bytearray(lengths.tobytes()))]
     spark.createDataFrame(header, "version int, max_bits int, stride int, vocabulary int, lengths binary").coalesce(1).write.parquet(f"{path}/header")
-    _blocks(coded, lengths, firsts, block_ids).write.partitionBy("part").option("compression", "none").parquet(f"{path}/blocks")
+    rows = coded.where("counts is null").select("part", "doc_id", "ids", "at")
+    _blocks(rows, lengths, firsts, block_ids).write.partitionBy("part").option("compression", "none").parquet(f"{path}/blocks")
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:

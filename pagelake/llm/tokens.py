@@ -23,6 +23,10 @@ _SHIFT = 31
 _LENGTH = (1 << _SHIFT) - 1
 # The letter that stands for a space in a byte-level vocabulary.
 _SPACE = "\u0120"
+# The same for a line break.
+_LINE = "\u010a"
+# Marks that often stand behind a word; none is a letter, a digit, white space or an apostrophe.
+_MARKS = ".,;:!?*$%&#|"
 # Chunks kept per worker process (about 0.16 KB each); beyond this the cache starts anew.
 CACHED_CHUNKS = 900_000
 
@@ -51,7 +55,7 @@ class ChunkEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.model = self.tokenizer.model
+        self.tokenize = self.tokenizer.model.tokenize
         self.letters = byte_letters()
         self.clear()
 
@@ -66,7 +70,7 @@ class ChunkEncoder:
         """Ids of one pre-token, spelled in byte letters."""
         ids = self.pieces.get(piece)
         if ids is None:
-            ids = self.pieces[piece] = [t.id for t in self.model.tokenize(piece)]
+            ids = self.pieces[piece] = [t.id for t in self.tokenize(piece)]
         return ids
 
     def _store(self, known: dict[str, int], key: str, ids: list[int]) -> int:
@@ -74,24 +78,35 @@ class ChunkEncoder:
         self.ids.extend(ids)
         return at
 
-    def _learn_word(self, word: str) -> int:
-        """A run of letters after a space is one pre-token: no need to split it."""
+    def _word(self, word: str, lead: str) -> list[int]:
+        """A run of letters is one pre-token, with the space in front of it if there is one: no need to split it."""
         raw = word if word.isascii() else word.encode("utf-8").decode("latin-1").translate(self.letters)
-        return self._store(self.place, word, [t.id for t in self.model.tokenize(_SPACE + raw)])
+        return [t.id for t in self.tokenize(lead + raw)]
+
+    def _lettered(self, known: dict[str, int], chunk: str, lead: str) -> list[int] | None:
+        """Ids of letters with marks behind them, which are one more pre-token; None for any other chunk."""
+        word = chunk.rstrip(_MARKS)
+        if not word.isalpha():
+            return None
+        at = known.get(word)
+        if at is None:
+            ids = self._word(word, lead)
+        else:
+            begin = at >> _SHIFT
+            ids = self.ids[begin:begin + (at & _LENGTH)].tolist()
+        return ids + self._piece(chunk[len(word):]) if len(word) < len(chunk) else ids
 
     def _learn(self, chunk: str) -> int:
         """Learn a chunk that follows a space."""
         if chunk.isalpha():
-            return self._learn_word(chunk)
-        word = chunk.rstrip(".,;:!?*$%&#|")
-        if word.isalpha():
-            # the marks behind a word are one pre-token, and the word is a chunk itself
-            at = self.place.get(word)
-            at = self._learn_word(word) if at is None else at
-            begin = at >> _SHIFT
-            ids = self.ids[begin:begin + (at & _LENGTH)].tolist() + self._piece(chunk[len(word):])
-            return self._store(self.place, chunk, ids)
-        return self._store(self.place, chunk, self._split(" " + chunk))
+            return self._store(self.place, chunk, self._word(chunk, _SPACE))
+        head, line, tail = chunk.partition("\n")
+        ids = self._lettered(self.place, head, _SPACE)
+        if ids is not None and line:
+            # a line break between letters or marks is a pre-token by itself
+            rest = self._lettered(self.first, tail, "")
+            ids = None if rest is None else ids + self._piece(_LINE) + rest
+        return self._store(self.place, chunk, self._split(" " + chunk) if ids is None else ids)
 
     def _split(self, text: str) -> list[int]:
         return [i for piece, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(text) for i in self._piece(piece)]
@@ -121,10 +136,12 @@ class ChunkEncoder:
         if None in where:
             for i in [i for i, at in enumerate(where) if at is None]:
                 chunk = chunks[i]
-                if not chunk or chunk[0].isspace():
-                    return self._encode_spaced(text)
                 at = known.get(chunk)
-                where[i] = self._learn(chunk) if at is None else at
+                if at is None:
+                    if not chunk or chunk[0].isspace():
+                        return self._encode_spaced(text)
+                    at = self._learn(chunk)
+                where[i] = at
         return self._gather(where)
 
     def _encode_spaced(self, text: str) -> np.ndarray:

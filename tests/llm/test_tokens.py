@@ -22,10 +22,12 @@ def plain(enc, text):
 
 def test_chunked_encoding_equals_the_library(enc):
     texts = ["", " ", "  ", "a  b", " a", "a ", "\n\n a \n b", "x \t y", "<|endoftext|> hi", "don't we'll  it's\n \nok", "é\x85 \x1c y", "a" * 3000,
-             "日本 語 テスト", "👍 👍🏽  z​", "12 345 ab1 _x_ \r\n w", "word... word,\nWord###"]
+             "日本 語 テスト", "👍 👍🏽  z​", "12 345 ab1 _x_ \r\n w", "word... word,\nWord###",
+             "of.\nThe end", "a\nb\nc d", "x.\n y\n", "on.\n'tis", "re\n1 é.\nÉtr, ß\nü", "it.\n\nNo a,\tb c.\n", "go\n. go.\n.a"]
     rng = random.Random(1)
     texts += ["".join(rng.choice(["a", "b", " ", " ", "\n", "\t", ".", "'s", "1", "é", " ", "\x85", "\x1c", "日"])
                       for _ in range(rng.randint(0, 30))) for _ in range(2000)]
+    texts += [" ".join(rng.choice(["on", "é", "x.", "on.\nThe", "é,\nÉ", "a\n.", "\nb", "c\n", "d.\n\ne", "f\tg"]) for _ in range(6)) for _ in range(500)]
     for text in texts * 2:
         assert enc.encode(text).tolist() == plain(enc, text), repr(text)
 
@@ -99,6 +101,26 @@ def test_no_documents_give_a_header_and_no_ids(spark):
     assert spark.read.parquet(f"{path}/header").count() == 1
 
 
+def test_ids_of_documents_may_be_of_other_types(spark, enc):
+    from pyspark.sql import functions as F
+
+    for kind in ("string", "decimal(10,0)", "smallint"):
+        path = O.folder(spark)
+        O.write(odd.docs(spark).withColumn("doc_id", F.col("doc_id").cast(kind)), path)
+        got = O.read(spark, path)
+        assert got.schema["doc_id"].dataType.simpleString() == kind and got.count() == len(odd.rows())
+
+
+def test_counts_of_parts_equal_those_of_the_ids(spark):
+    coded = O.tokenized(odd.docs(spark)).collect()
+    for part in {r["part"] for r in coded}:
+        own = [r for r in coded if r["part"] == part and r["counts"] is None]
+        last = [r for r in coded if r["part"] == part and r["counts"] is not None]
+        ids = np.concatenate([np.frombuffer(r["ids"], "<u2") for r in own])
+        assert len(last) == 1 and last[0]["n"] == len(ids)
+        assert np.frombuffer(last[0]["counts"], "<i8").tolist() == np.bincount(ids, minlength=O.VOCABULARY).tolist()
+
+
 def test_cut_places():
     assert P.cut_places(0) == [] and P.cut_places(5) == [(0, 5)] and P.cut_places(1024) == [(0, 1024)]
     assert P.cut_places(1025) == [(0, 1), (1, 1024)] and P.cut_places(3000, 1000) == [(0, 1000), (1000, 1000), (2000, 1000)]
