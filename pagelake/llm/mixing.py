@@ -8,9 +8,9 @@ random odds divided by inclusion odds, and the lowest ranks are taken while
 they fit the wanted words; one more document fills the gap best.  The uniform
 numbers come from a digest of seed and id, so reruns agree.
 
-That single draw is what the registered SQL defines.  It ends at the first rank
-that does not fit, so one very long document can leave most of a source's words
-untaken.  With ``fill`` the draw goes on in rounds: every round draws, with
+A single draw ends at the first rank that does not fit, so one very long
+document can leave most of a source's words untaken.  With ``fill``, as in the
+registered query and its SQL, the draw goes on in rounds: every round draws, with
 probabilities of its own, from the documents left that are no longer than the
 words still wanted, until none fits; then one more fills the gap best.
 

@@ -54,7 +54,7 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix(documents(spark, sf_dir), fill=True).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op7_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:

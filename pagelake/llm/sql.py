@@ -47,9 +47,10 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars, n_symbols::BIGINT AS n_sy
 def mixing_sql() -> str:
     w = mixing.WEIGHTS
     turn = " ".join(f"WHEN {i} THEN {x}" for i, x in enumerate(w))
+    z = "CASE WHEN {p} >= 1 THEN 0.0 WHEN {p} <= 0 THEN 1.0 ELSE u * (1 - {p}) / (u * (1 - {p}) + (1 - u) * {p}) END"
     return rf"""
-WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{_WORD}'))::BIGINT AS size FROM documents),
-s AS (SELECT source, sum(size)::BIGINT AS source_size, sum(size::HUGEINT * size)::DOUBLE AS squares FROM d GROUP BY source),
+WITH RECURSIVE d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{_WORD}'))::BIGINT AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 ranked AS (SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(w)} {turn} END::DOUBLE AS weight,
   source_size * {mixing.MAX_REPEATS} AS lim FROM s),
 run AS (SELECT *, sum(source_size) OVER () - coalesce(sum(lim) OVER o, 0) AS lft,
@@ -57,25 +58,27 @@ run AS (SELECT *, sum(source_size) OVER () - coalesce(sum(lim) OVER o, 0) AS lft
   WINDOW o AS (ORDER BY lim / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 lev AS (SELECT *, lft::DOUBLE / share AS level FROM run),
 one AS (SELECT arg_min(level, struct_pack(k := lim / weight, n := source IS NULL, s := source)) AS level FROM lev WHERE lim >= level * weight),
-plan AS (SELECT source, source_size, squares, least(lim::DOUBLE, coalesce(one.level, 0) * weight) AS target FROM lev, one),
-e AS (SELECT d.doc_id, d.source, d.size, source_size, target, squares,
+plan AS (SELECT source, source_size, least(lim::DOUBLE, coalesce(one.level, 0) * weight) AS target FROM lev, one),
+e AS (SELECT d.doc_id, d.source, d.size, source_size, target,
   CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END::BIGINT AS certain,
   (('0x' || substr(md5('{mixing.SEED}:' || coalesce(d.doc_id::VARCHAR, '')), 1, 12))::BIGINT::DOUBLE + 0.5) / {float(1 << 48)} AS u
   FROM d JOIN plan ON d.source IS NOT DISTINCT FROM plan.source),
 f AS (SELECT *, greatest(target - certain * source_size, 0.0) AS wanted FROM e),
-g AS (SELECT *, CASE WHEN squares > 0 THEN wanted * size / squares ELSE 0 END AS p FROM f),
-h AS (SELECT *, CASE WHEN p >= 1 THEN 0.0 WHEN p <= 0 THEN 1.0 ELSE u * (1 - p) / (u * (1 - p) + (1 - u) * p) END AS z FROM g),
-tied AS (SELECT source, wanted, z, doc_id, size, sum(size) AS words FROM h WHERE wanted > 0 AND size > 0 GROUP BY ALL),
-cum AS (SELECT *, sum(words) OVER (PARTITION BY source ORDER BY z, doc_id NULLS FIRST, size) AS upto FROM tied),
-cut AS (SELECT source, coalesce(max(upto) FILTER (upto <= wanted), 0) AS upto, any_value(wanted) - coalesce(max(upto) FILTER (upto <= wanted), 0) AS gap
-  FROM cum GROUP BY source),
-extra AS (SELECT cum.source, cum.doc_id, cum.size FROM cum JOIN cut ON cum.source IS NOT DISTINCT FROM cut.source
-  WHERE cum.upto > cut.upto AND abs(words - gap) < gap
-  QUALIFY row_number() OVER (PARTITION BY cum.source ORDER BY abs(words - gap), z, cum.doc_id NULLS FIRST, cum.size) = 1),
-drawn AS (SELECT cum.source, cum.doc_id, cum.size FROM cum JOIN cut ON cum.source IS NOT DISTINCT FROM cut.source
-  WHERE cum.upto <= cut.upto UNION ALL SELECT * FROM extra)
-SELECT h.doc_id, h.size, h.source_size, h.target, ((h.certain + CASE WHEN drawn.size IS NULL THEN 0 ELSE 1 END) * h.size)::BIGINT AS taken
-FROM h LEFT JOIN drawn ON h.source IS NOT DISTINCT FROM drawn.source AND h.doc_id IS NOT DISTINCT FROM drawn.doc_id AND h.size = drawn.size
+rounds AS (SELECT 0 AS step, source, doc_id, size, u, sum(size) AS words, wanted, FALSE AS taken FROM f
+  WHERE wanted > 0 AND size > 0 GROUP BY source, doc_id, size, u, wanted
+  UNION ALL SELECT step + 1, source, doc_id, size, u, words, gap, fits AND upto <= wanted FROM (
+    SELECT *, wanted - coalesce(max(upto) FILTER (fits AND upto <= wanted) OVER (PARTITION BY source), 0) AS gap FROM (
+      SELECT *, sum(words) FILTER (fits) OVER (PARTITION BY source, fits ORDER BY z, doc_id NULLS FIRST, size) AS upto FROM (
+        SELECT *, {z.format(p="p")} AS z FROM (
+          SELECT *, wanted * size / sum(CASE WHEN fits THEN size::HUGEINT * words::HUGEINT ELSE 0 END) OVER (PARTITION BY source)::DOUBLE AS p
+          FROM (SELECT *, words <= wanted AS fits, bool_or(words <= wanted) OVER (PARTITION BY source) AS goes FROM rounds
+                WHERE NOT taken AND (step = 0 OR words < 2 * wanted)) WHERE goes))))),
+ends AS (SELECT *, max(step) OVER (PARTITION BY source) AS top FROM rounds),
+extra AS (SELECT source, doc_id, size FROM ends WHERE step = top AND NOT taken AND abs(words - wanted) < wanted
+  QUALIFY row_number() OVER (PARTITION BY source ORDER BY abs(words - wanted), u, doc_id NULLS FIRST, size) = 1),
+drawn AS (SELECT source, doc_id, size FROM rounds WHERE taken UNION ALL SELECT * FROM extra)
+SELECT f.doc_id, f.size, f.source_size, f.target, ((f.certain + CASE WHEN drawn.size IS NULL THEN 0 ELSE 1 END) * f.size)::BIGINT AS taken
+FROM f LEFT JOIN drawn ON f.source IS NOT DISTINCT FROM drawn.source AND f.doc_id IS NOT DISTINCT FROM drawn.doc_id AND f.size = drawn.size
 """
 
 
