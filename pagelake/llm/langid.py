@@ -8,10 +8,10 @@ answers yes by chance for ``f ** HASHES`` of foreign n-grams, and the counts
 are corrected for that before the largest one decides.
 
 Defined results: null texts and texts without a letter are ``und`` with score
-0; texts without an n-gram of any language, and texts for which nothing was
-learned, are ``und`` too unless languages exist (then the first in order);
-repeated rows get equal answers; rows without a language are not learned from;
-other columns are never read.
+0; without any learned language every text is; a text with letters but without
+an n-gram of any language gets the first language in order, with score 0, and
+so do ties; very long texts are counted whole; repeated rows get equal answers;
+rows without a language are not learned from; other columns are never read.
 """
 
 from __future__ import annotations
@@ -32,7 +32,8 @@ UNKNOWN = "und"
 # Documents per language that the filters are filled from, at most about this many.
 SAMPLE_PER_LANGUAGE = 400
 MIN_COUNT = 2
-MIN_SHARE = 0.2
+# An n-gram that makes up less than this share of the n-grams of a language's sample is none of the language.
+MIN_RATE = 1e-5
 LANE = 64
 
 
@@ -86,27 +87,21 @@ class Filters:
 
 
 def build(texts: list[str], langs: list[str], slots: int = SLOTS, hashes: int = HASHES, min_count: int = MIN_COUNT,
-          min_share: float = MIN_SHARE) -> Filters:
+          min_rate: float = MIN_RATE) -> Filters:
     """Filters with the n-grams of each language.
 
     An n-gram belongs to a language if it occurs ``min_count`` times in its
-    texts and has ``min_share`` of the rate, summed over languages, there:
-    stray quotations of another language do not count.
+    texts and makes up ``min_rate`` of all their n-grams, so a stray quotation
+    of another language does not count.  Other languages have no say: an n-gram
+    that many share is in the filters of all of them.
     """
     names = sorted(set(langs))
     table = np.zeros((slots, max(1, -(-len(names) // LANE))), "uint64")
-    grams, counts, rates = [], [], []
-    for name in names:
+    for i, name in enumerate(names):
         codes, _ = ngrams.letter_codes([t for t, x in zip(texts, langs, strict=True) if x == name])
         h = np.concatenate([h for _, h in ngrams.hashed(codes, SIZES)] or [np.empty(0, "uint64")])
         distinct, n = np.unique(h, return_counts=True)
-        grams.append(distinct)
-        counts.append(n)
-        rates.append(n / max(1, len(h)))
-    every, place = np.unique(np.concatenate(grams), return_inverse=True) if names else (np.empty(0, "uint64"), None)
-    total = np.bincount(place, weights=np.concatenate(rates), minlength=len(every)) if names else np.empty(0)
-    for i, (g, n, r) in enumerate(zip(grams, counts, rates, strict=True)):
-        kept = g[(n >= min_count) & (r >= min_share * total[np.searchsorted(every, g)])]
+        kept = distinct[n >= max(min_count, min_rate * len(h))]
         for at in _slots(kept, slots, hashes):
             # several n-grams may meet in a slot: all set the same bit
             table[at, i // LANE] |= np.uint64(1 << (i % LANE))

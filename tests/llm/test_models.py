@@ -117,6 +117,49 @@ def test_more_languages_than_a_lane_holds():
     assert f.predict([" ".join(words[n]) for n in names])[0] == names
 
 
+@pytest.mark.parametrize("languages", [8, 70])
+def test_ngrams_that_many_languages_share_are_in_all_their_filters(languages):
+    rng = random.Random(languages)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 8)))
+    common, names = [word() for _ in range(30)], [f"l{i:02d}" for i in range(languages)]
+    own = {n: common + [word() for _ in range(5)] for n in names}
+    text = lambda n, k: " ".join(rng.choice(own[n]) for _ in range(k))
+    f = langid.build([text(n, 300) for n in names for _ in range(4)], [n for n in names for _ in range(4)])
+    codes, _ = ngrams.letter_codes([" ".join(common)])
+    for _, h in ngrams.hashed(codes, langid.SIZES):
+        masks = f.masks(h)
+        assert all(((masks[:, i // langid.LANE] >> np.uint64(i % langid.LANE)) & np.uint64(1)).all() for i in range(languages))
+    assert f.predict([text(n, 150) for n in names])[0] == names
+
+
+def _grams(text):
+    words = "".join(c if c.isalpha() else " " for c in text.lower()).split()
+    return [f"_{w}_"[i:i + n] for w in words for n in langid.SIZES for i in range(len(w) + 3 - n)]
+
+
+def test_languages_equal_those_of_plain_sets():
+    from collections import Counter
+
+    import pyarrow.parquet as pq
+
+    rows = pq.read_table(f"{SF}/documents.parquet", columns=["doc_id", "text", "lang"]).to_pylist()
+    rows = [r for r in rows if r["text"] and r["lang"]][:400]
+    learn, rest = rows[:150], rows[150:]
+    f = langid.build([r["text"] for r in learn], [r["lang"] for r in learn])
+    counted = {name: Counter(g for r in learn if r["lang"] == name for g in _grams(r["text"])) for name in f.languages}
+    kept = {name: {g for g, n in c.items() if n >= max(langid.MIN_COUNT, langid.MIN_RATE * c.total())} for name, c in counted.items()}
+    hits, n, _ = f.counts([r["text"] for r in rest])
+    lang, score = f.predict([r["text"] for r in rest])
+    for i, r in enumerate(rest):
+        grams = _grams(r["text"])
+        true = np.array([sum(g in kept[name] for g in grams) for name in f.languages])
+        # filters add chance hits and lose none
+        assert n[i] == len(grams) and (hits[i] >= true).all() and (hits[i] - true <= 2 + 0.02 * len(grams)).all()
+        best = np.argsort(-true, kind="stable")
+        if true[best[0]] - true[best[1]] > 0.04 * len(grams) + 4:
+            assert lang[i] == f.languages[best[0]] and abs(score[i] - true[best[0]] / true.sum()) < 0.05
+
+
 def test_chance_hits_are_corrected():
     rng = random.Random(2)
     word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(8))
