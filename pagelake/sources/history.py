@@ -3,10 +3,11 @@
 A page of a history dump can hold millions of revisions, so the record unit is
 not the page: the text is cut at ``</revision>``, and every piece holds at most
 one revision, with the heads of the pages that begin before it.  Which page a
-revision belongs to is a "last head seen" over pieces in file order.  Pieces of
-one file split are ordered together; across splits only a summary of each is
-ordered (its last head, and how many revisions follow it), so a page that runs
-through many splits is never gathered anywhere.
+revision belongs to is a "last head seen" over pieces in file order.  A file
+split is dealt in slices of ``SLICE`` pieces, each ordered by itself, whatever
+the size of a split; across slices only a summary of each is ordered (its last
+head, and how many revisions follow it), so neither a page that runs through
+many splits nor a whole split is ever gathered anywhere.
 """
 
 from __future__ import annotations
@@ -29,6 +30,12 @@ BAD_TIME = "bad timestamp"
 NO_ID = "no id"
 BAD_PAGE = "bad page"       # the revision is fine, the head of its page is not
 NO_PAGE = "no page"         # no head before it in its file
+# Pieces of a file split that are ordered together.
+SLICE = 1 << 12
+# Tasks over which the slices of a split are dealt.
+SPREAD = 8
+# A place in a file: split, slice of the split.
+_GROUP = ["file", "block", "slice"]
 
 
 class History(NamedTuple):
@@ -50,7 +57,8 @@ def read_history(spark: SparkSession, path: str) -> History:
     raw = spark.read.option("lineSep", REVISION_CLOSE).text(path).select(
         "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("at"))
-    seen = cut_lineage(_with_heads(_parsed(_events(raw))))
+    # the rows a task sorts are a share of a split, however many files there are
+    seen = cut_lineage(_with_heads(_parsed(_events(raw)), SPREAD * max(1, raw.rdd.getNumPartitions())))
     return _resolved(seen, _carried(seen))
 
 
@@ -68,7 +76,7 @@ def _events(raw: DataFrame) -> DataFrame:
 
 
 def _parsed(events: DataFrame) -> DataFrame:
-    """Events with their values; the text of an event is kept only if it is rejected."""
+    """Events with their values.  The page of a head has its place but not its file, which is that of all its rows."""
     head = X.parse_page(F.when(F.col("is_page"), F.col("xml")), PAGE_HEAD_DDL)
     rev = X.parse_page(F.when(~F.col("is_page"), F.col("xml")), REVISION_FIELDS_DDL)
     d = events.withColumn("h", head).withColumn("r", rev).withColumn("timestamp", rfc3339_to_timestamp("r.timestamp"))
@@ -77,48 +85,51 @@ def _parsed(events: DataFrame) -> DataFrame:
                .when(~F.col("is_page") & F.col("timestamp").isNull(), F.lit(BAD_TIME)))
     d = d.withColumn("reject", reject)
     page = F.struct(
-        F.struct("file", "block", "at", "k").alias("page_key"), F.col("reject").isNotNull().alias("bad"), F.col("h.id").alias("page_id"),
+        "block", "at", "k", F.col("reject").isNotNull().alias("bad"), F.col("h.id").alias("page_id"),
         F.col("h.title").alias("title"), F.col("h.redirect._title").alias("redirect_title"))
     return d.select("file", "block", "at", "k", "is_page", F.when(F.col("is_page"), page).alias("page"), F.col("r.id").alias("rev_id"),
                     "timestamp", F.col("r.text._bytes").alias("bytes"), "reject", "xml")
 
 
-def _with_heads(parsed: DataFrame) -> DataFrame:
-    """Adds the page in force within the split (null before its first head), and the revisions since."""
-    order = Window.partitionBy("file", "block").orderBy("at", "k").rowsBetween(Window.unboundedPreceding, 0)
-    d = parsed.withColumn("head", F.last("page", ignorenulls=True).over(order))
+def _with_heads(parsed: DataFrame, tasks: int) -> DataFrame:
+    """Adds the page in force within the slice (null before its first head), and the revisions since; marks the slice's last row."""
+    place = Window.partitionBy(*_GROUP).orderBy("at", "k")
+    order = place.rowsBetween(Window.unboundedPreceding, 0)
+    # numbers of pieces ascend through a split, as one task reads it from its begin
+    d = parsed.withColumn("slice", F.floor(F.col("at") / SLICE)).repartition(tasks, *_GROUP)
+    d = d.withColumn("head", F.last("page", ignorenulls=True).over(order)).withColumn("ends", F.lead("at").over(place).isNull())
     d = d.withColumn("n", F.count_if(~F.col("is_page")).over(order))
     d = d.withColumn("base", F.coalesce(F.last(F.when(F.col("is_page"), F.col("n")), ignorenulls=True).over(order), F.lit(0)))
     return d.withColumn("pos", F.col("n") - F.col("base")).drop("n", "base", "page")
 
 
 def _carried(seen: DataFrame) -> DataFrame:
-    """``file, block, carry, before``: the page in force where a split begins, and its revisions in earlier splits."""
-    place = F.struct("at", "k")
-    splits = seen.groupBy("file", "block").agg(F.max_by("head", place).alias("head"), F.max_by("pos", place).alias("tail"))
-    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    # tails of the splits before, and of those before the last one with a head
-    s = splits.withColumn("tails", F.coalesce(F.sum("tail").over(earlier), F.lit(0)))
+    """``file, block, slice, carry, before``: the page in force where a slice begins, and its revisions in earlier slices."""
+    slices = seen.where("ends").select(*_GROUP, "head", F.col("pos").alias("tail"))
+    earlier = Window.partitionBy("file").orderBy("block", "slice").rowsBetween(Window.unboundedPreceding, -1)
+    # tails of the slices before, and of those before the last one with a head
+    s = slices.withColumn("tails", F.coalesce(F.sum("tail").over(earlier), F.lit(0)))
     s = s.withColumn("done", F.coalesce(F.max(F.when(F.col("head").isNotNull(), F.col("tails"))).over(earlier), F.lit(0)))
-    return s.select(F.col("file").alias("in_file"), F.col("block").alias("in_block"),
-                    F.last("head", ignorenulls=True).over(earlier).alias("carry"), (F.col("tails") - F.col("done")).alias("before"))
+    return s.select(*[F.col(c).alias(f"in_{c}") for c in _GROUP], F.last("head", ignorenulls=True).over(earlier).alias("carry"),
+                    (F.col("tails") - F.col("done")).alias("before"))
 
 
 def _resolved(seen: DataFrame, carried: DataFrame) -> History:
-    here = (F.col("file") == F.col("in_file")) & (F.col("block") == F.col("in_block"))
+    here = [F.col(c) == F.col(f"in_{c}") for c in _GROUP]
     d = seen.join(carried, here, "left")
     page = F.coalesce("head", "carry")
-    d = d.select("is_page", "rev_id", "timestamp", "bytes", "xml", page.alias("page"),
+    d = d.select("file", "is_page", "rev_id", "timestamp", "bytes", "xml", page.alias("page"),
                  (F.col("pos") + F.when(F.col("head").isNull(), F.col("before")).otherwise(F.lit(0))).alias("rev_pos"),
                  F.when(F.col("reject").isNotNull(), F.col("reject")).when(page.isNull(), F.lit(NO_PAGE))
                   .when(page["bad"], F.lit(BAD_PAGE)).alias("reject"))
     revision, fine = ~F.col("is_page"), F.col("reject").isNull()
-    counts = d.where(revision & F.col("page").isNotNull()).groupBy("page.page_key").agg(
+    page_key = F.struct("file", "page.block", "page.at", "page.k").alias("page_key")
+    counts = d.where(revision & F.col("page").isNotNull()).groupBy(page_key).agg(
         F.count_if(fine).alias("revi_count"), F.count_if(~fine).alias("n_rejected"))
-    pages = d.where(F.col("is_page") & fine).select("page.page_key", "page.page_id", "page.title", "page.redirect_title")
+    pages = d.where(F.col("is_page") & fine).select(page_key, "page.page_id", "page.title", "page.redirect_title")
     zero = F.lit(0).cast("bigint")
     pages = pages.join(counts, "page_key", "left").withColumns({c: F.coalesce(F.col(c), zero) for c in ("revi_count", "n_rejected")})
-    revisions = d.where(revision & fine).select("page.page_key", "page.page_id", "rev_pos", "rev_id", "timestamp", "bytes")
+    revisions = d.where(revision & fine).select(page_key, "page.page_id", "rev_pos", "rev_id", "timestamp", "bytes")
     return History(pages, revisions, d.where(~fine).select("page.page_id", F.col("xml").alias("record"), "reject"))
 
 

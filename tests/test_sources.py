@@ -115,6 +115,24 @@ def test_revisions_of_a_page_run_through_many_splits(spark, scratch):
     assert sorted(r.value for r in H.history_lines(h).collect()) == sorted(f"{p}," + ",".join(by_page.get(p, [])) for p in whole)
 
 
+def test_a_split_is_ordered_in_slices(spark, scratch, monkeypatch):
+    """One split in many slices: the same rows, and no task orders or groups a whole split."""
+    text = HEADER + "".join(
+        f"<page><title>P{p}</title><id>{p}</id>" + "".join(
+            f"<revision><id>{r}</id><timestamp>2001-01-01T00:00:00Z</timestamp></revision>" for r in range(n)) + "</page>"
+        for p, n in enumerate([0, 3, 70, 0, 1, 200, 5])) + FOOTER
+    monkeypatch.setattr(H, "SLICE", 16)
+    made = []
+    monkeypatch.setattr(H, "cut_lineage", lambda d: made.append(d.persist()) or made[-1])
+    h = _history(spark, [text], os.path.join(scratch, "sliced"))
+    assert sorted((r.page_id, r.revi_count) for r in h.pages.collect()) == list(enumerate([0, 3, 70, 0, 1, 200, 5]))
+    assert sorted((r.page_id, r.rev_pos, r.rev_id) for r in h.revisions.collect()) == sorted(
+        (p, r + 1, r) for p, n in enumerate([0, 3, 70, 0, 1, 200, 5]) for r in range(n))
+    groups = made[0].groupBy("file", "block", "slice").agg(F.countDistinct("at").alias("n"), F.count_if("ends").alias("last")).collect()
+    assert len(groups) == 18 and all(g["n"] <= 16 and g["last"] == 1 for g in groups)
+    assert "SortAggregate" not in H._carried(made[0])._jdf.queryExecution().executedPlan().toString()
+
+
 def test_rejects_and_accepted_rows_come_from_one_pass(spark, scratch):
     path = os.path.join(scratch, "bad")
     text = ("<page><title>ok</title><id>5</id><revision><text>t</text></revision></page>"
