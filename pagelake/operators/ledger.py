@@ -12,19 +12,21 @@ event every small request is accepted and every large one rejected.  The event
 is the earlier of the first large cost that still fits and the first small one
 that brings the rest below ``2^j``; both are accepted, and either way the rest
 loses its top bit.  So the rounds are at most the bit length of the largest
-balance, plus one.  A round is a block-wise prefix sum of the small costs, one
-aggregation per account and a join; no account is folded in one task.
+balance, plus one.  A round is a prefix sum of the small costs and the first
+event per account: windows over accounts of a bounded number of requests, and
+for larger ones block-wise sums, an aggregation and a join, so that no such
+account is folded in one task.
 """
 
 from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagelake.operators.sampling import sample_key
-from pagelake.operators.windows import as_of, running_total
+from pagelake.operators.windows import as_of, last_seen, running_total
 from pagelake.session import cut_lineage
 from pagelake.sources.buckets import BUCKETS, update_buckets
 
@@ -46,8 +48,9 @@ INVALID = "invalid"                   # a registration field failed validation
 
 NAME_COLLATION = "UNICODE_CI_AI"
 REQUEST_BLOCK = 1 << 16               # request-id block for per-account prefix sums
+HOT_REQUESTS = 1 << 16                # an account with more requests than this is split into blocks
 CATALOG_SEQ_BLOCK = 1 << 16           # change-log sequence block for per-name and per-item lookups
-SHOP_SEQ_BLOCK = 1 << 16              # change-log sequence block for per-item numbering
+SHOP_SEQ_BLOCK = 1 << 16              # change-log sequence block for an item's listings and unlistings
 DRAW_BLOCK = 4096                     # rank numbers exploded from one row
 DRAW_ROUNDS = 4                       # rounds of the permutation behind a draw
 DRAW_WALKS = 128                      # turns through it for a place beyond the last page
@@ -67,22 +70,32 @@ def apply_credits(profiles: DataFrame, credits: DataFrame) -> tuple[DataFrame, D
 
 
 # ---------------------------------------------------------------- ordered fold
-def _halving_round(pending: DataFrame) -> DataFrame:
+def _halving_round(pending: DataFrame, hot: bool) -> DataFrame:
     """One round over ``account_id, request_id, cost, __rest`` and carried columns.
 
     Adds ``__small`` and, from the account's event, ``__event`` (its request)
-    and ``__left`` (the rest after it); both are null without an event.
+    and ``__left`` (the rest after it); both are null without an event.  A
+    ``hot`` round sums in blocks and joins the events; else an account is one
+    window group.
     """
     rest, cost = F.col("__rest"), F.col("cost")
     top = F.when(rest > 0, F.expr("shiftleft(1L, length(bin(__rest)) - 1)")).otherwise(F.lit(0).cast("bigint"))
     d = pending.withColumn("__top", top).withColumn("__small", cost < F.col("__top"))
     d = d.withColumn("__add", F.when(F.col("__small"), cost).otherwise(F.lit(0).cast("bigint")))
-    d = running_total(d, ["request_id"], "__add", "__before", REQUEST_BLOCK, partition_cols=["account_id"])
+    account = Window.partitionBy("account_id")
+    if hot:
+        d = running_total(d, ["request_id"], "__add", "__before", REQUEST_BLOCK, partition_cols=["account_id"])
+    else:
+        before = F.sum("__add").over(account.orderBy("request_id").rowsBetween(Window.unboundedPreceding, -1))
+        d = d.withColumn("__before", F.coalesce(before, F.lit(0)).cast("bigint"))
     left = rest - F.col("__before") - cost
     event = (rest > 0) & F.when(F.col("__small"), left < F.col("__top")).otherwise(left >= 0)
-    events = d.where(event).groupBy("account_id").agg(F.min_by(F.struct("request_id", left.alias("left")), "request_id").alias("e"))
-    events = events.select("account_id", F.col("e.request_id").alias("__event"), F.col("e.left").alias("__left"))
-    return d.drop("__top", "__add", "__before").join(events, "account_id", "left")
+    if hot:
+        events = d.where(event).groupBy("account_id").agg(F.min_by(F.struct("request_id", left.alias("left")), "request_id").alias("__e"))
+        d = d.join(events, "account_id", "left")
+    else:
+        d = d.withColumn("__e", F.min(F.when(event, F.struct("request_id", left.alias("left")))).over(account))
+    return d.withColumn("__event", F.col("__e.request_id")).withColumn("__left", F.col("__e.left")).drop("__top", "__add", "__before", "__e")
 
 
 def ordered_fold(requests: DataFrame, balances: DataFrame) -> DataFrame:
@@ -92,25 +105,28 @@ def ordered_fold(requests: DataFrame, balances: DataFrame) -> DataFrame:
     are carried along (all checks other than the balance already passed; costs
     are not negative).  ``balances``: ``account_id, balance``.  Returns the
     request rows with ``ok``.
+
+    An account of at most ``HOT_REQUESTS`` open requests is one group of a
+    window; the requests of larger ones are summed block by block.
     """
     columns = requests.columns
     asked = requests.join(balances.select("account_id", F.col("balance").alias("__rest")), "account_id")
     # most accounts can pay for everything they ask: one aggregation settles them
-    totals = requests.groupBy("account_id").agg(F.sum(F.col("cost").cast("decimal(38,0)")).alias("__total"))
-    asked = asked.join(totals, "account_id")
-    covered = F.col("__total") <= F.col("__rest")
+    totals = requests.groupBy("account_id").agg(F.sum(F.col("cost").cast("decimal(38,0)")).alias("__total"), F.count(F.lit(1)).alias("__n"))
+    asked = cut_lineage(asked.join(totals, "account_id"))
+    covered, is_hot = F.col("__total") <= F.col("__rest"), F.col("__n") > HOT_REQUESTS
     decided = [asked.where(covered).select(*columns, F.lit(True).alias("ok"))]
-    pending = asked.where(~covered).drop("__total")
-    while True:
-        d = cut_lineage(_halving_round(pending))
-        done = F.col("__event").isNull() | (F.col("request_id") <= F.col("__event"))
-        # nothing left: only what costs nothing is accepted
-        ok = (F.when(F.col("__rest") <= 0, F.col("cost") <= F.col("__rest"))
-               .otherwise(F.col("__small") | F.coalesce(F.col("request_id") == F.col("__event"), F.lit(False))))
-        decided.append(d.where(done).select(*columns, ok.alias("ok")))
-        pending = d.where(~done).select(*columns, F.col("__left").alias("__rest"))
-        if pending.isEmpty():
-            break
+    open_ = asked.where(~covered)
+    for hot, pending in ((False, open_.where(~is_hot)), (True, open_.where(is_hot))):
+        pending = pending.select(*columns, "__rest")
+        while not pending.isEmpty():
+            d = cut_lineage(_halving_round(pending, hot))
+            done = F.col("__event").isNull() | (F.col("request_id") <= F.col("__event"))
+            # nothing left: only what costs nothing is accepted
+            ok = (F.when(F.col("__rest") <= 0, F.col("cost") <= F.col("__rest"))
+                   .otherwise(F.col("__small") | F.coalesce(F.col("request_id") == F.col("__event"), F.lit(False))))
+            decided.append(d.where(done).select(*columns, ok.alias("ok")))
+            pending = d.where(~done).select(*columns, F.col("__left").alias("__rest"))
     out = decided[0]
     for part in decided[1:]:
         out = out.unionByName(part)
@@ -151,10 +167,11 @@ def _settled_claims(claims: DataFrame) -> DataFrame:
     adds = claims.where(F.col("op") == "add").groupBy("item_id").agg(F.count(F.lit(1)).alias("n_adds"), F.min(order).alias("born"))
     open_items = claims.join(contested, "item_name", "left_semi").select("item_id").unionByName(
         adds.where("n_adds > 1").select("item_id")).distinct()
-    sure = claims.join(open_items, "item_id", "left_anti").join(adds.select("item_id", "born"), "item_id", "left")
-    exists = F.coalesce(order >= F.col("born"), F.lit(False))
-    sure = sure.select(*_LOG_ORDER, exists.alias("ok"), exists.alias("known"))
-    pending = cut_lineage(claims.join(open_items, "item_id", "left_semi").withColumn("ok", F.lit(True)).withColumn("known", F.lit(True)))
+    marked = claims.join(open_items.withColumn("open", F.lit(True)), "item_id", "left").join(adds.select("item_id", "born"), "item_id", "left")
+    is_open, exists = F.col("open").isNotNull(), F.coalesce(order >= F.col("born"), F.lit(False))
+    # undecided claims start as accepted ones
+    marked = cut_lineage(marked.select(*_LOG_ORDER, is_open.alias("open"), *[(is_open | exists).alias(c) for c in ("ok", "known")]))
+    sure, pending = marked.where(~F.col("open")).drop("open"), marked.where("open").drop("open")
     while not pending.isEmpty():
         pending = cut_lineage(_decided_again(pending))
         if pending.where("changed").isEmpty():
@@ -202,13 +219,14 @@ def catalog_history(log: DataFrame) -> Catalog:
     rejected, a rename frees the old name.  Winners and latest values come from
     aggregations and block-wise passes, so a hot item or name is not a hot task.
     """
-    claims = cut_lineage(_settled_claims(_claims(log)))
+    log = cut_lineage(log)
+    claims = cut_lineage(_settled_claims(cut_lineage(_claims(log))))
     born = claims.where("ok").groupBy("item_id").agg(F.min(F.struct(*_LOG_ORDER)).alias("born"))
     rows = log.join(born, "item_id", "left")
     exists = F.coalesce(F.struct(*_LOG_ORDER) >= F.col("born"), F.lit(False))
     stated = rows.where((F.col("op") == "status") & exists)
     added = log.where(F.col("op") == "add").join(claims.where("ok"), _LOG_ORDER, "left_semi")
-    stats = added.select(*_LOG_ORDER, "item_stat").unionByName(stated.select(*_LOG_ORDER, "item_stat"))
+    stats = cut_lineage(added.select(*_LOG_ORDER, "item_stat").unionByName(stated.select(*_LOG_ORDER, "item_stat")))
     names = claims.where("ok").select(*_LOG_ORDER)
     place = F.struct(*_LOG_ORDER)
     last_name = names.groupBy("item_id").agg(F.max_by("item_name", place).alias("item_name"))
@@ -239,14 +257,15 @@ def resolve_items(requests: DataFrame, catalog: Catalog, events: dict[str, DataF
     it, unless that item has another name by then.  Values of ``events`` (by
     ``who``, an item, and ``seq``) are looked up in the same pass.
     """
-    took = catalog.names.select("seq", F.col("item_name").alias("asked_name"), F.struct("seq", "item_id", "op").alias("place"), "item_id")
-    took = took.groupBy("asked_name", "seq").agg(F.max_by("item_id", "place").alias("named_id"))
-    place, item = F.struct("op", "item_name"), F.col("item_id").alias("who")
-    called = catalog.names.groupBy(item, "seq").agg(F.max_by("item_name", place).alias("called"))
-    stat = catalog.stats.groupBy(item, "seq").agg(F.max_by("item_stat", place).alias("now_stat"))
+    took = catalog.names.select("seq", F.col("item_name").alias("asked_name"), F.struct("item_id", "op").alias("tie"), F.col("item_id").alias("named_id"))
+    tie, item = F.struct("op", "item_name").alias("tie"), F.col("item_id").alias("who")
+    called = catalog.names.select(item, "seq", tie, F.col("item_name").alias("called"))
+    stat = catalog.stats.select(item, "seq", tie, F.col("item_stat").alias("now_stat"))
     more = events or {}
     r = requests.withColumn("asked_name", F.when(F.col("item_id").isNull(), F.col("item_name")))
-    r = as_of(r, "asked_name", ["seq"], {"named_id": took}, CATALOG_SEQ_BLOCK).withColumn("who", F.coalesce("item_id", "named_id"))
+    by_name = F.col("asked_name").isNotNull()
+    named = as_of(r.where(by_name), "asked_name", ["seq"], {"named_id": took}, CATALOG_SEQ_BLOCK)
+    r = r.where(~by_name).unionByName(named, allowMissingColumns=True).withColumn("who", F.coalesce("item_id", "named_id"))
     r = as_of(r, "who", ["seq"], {"called": called, "now_stat": stat, **more}, CATALOG_SEQ_BLOCK)
     there = F.col("called").isNotNull() & (F.col("item_id").isNotNull() | (F.col("called") == F.col("asked_name")))
     return r.select(*requests.columns, *[F.when(there, F.col(c)).alias(out) for c, out in
@@ -280,12 +299,9 @@ def shop_history(log: DataFrame, catalog: Catalog) -> Shop:
     checked = cut_lineage(resolved.withColumn("status", status))
     accepted = checked.where(F.col("status") == OK).withColumn(
         "op_rank", F.when(F.col("op") == "list", F.lit(0)).otherwise(F.lit(1)))   # same seq: list, then unlist
-    # listings and unlistings per item, numbered by the block-wise running count; each meets its predecessor
-    numbered = running_total(accepted.withColumn("one", F.lit(1)), ["seq", "op_rank", "item_cost"], "one", "n",
-                             SHOP_SEQ_BLOCK, partition_cols=["rid"])
-    prev = numbered.select("rid", (F.col("n") + 1).alias("n"), F.col("op").alias("prev_op"))
-    known = cut_lineage(numbered.join(prev, ["rid", "n"], "left"))
-    again = (F.col("op") == "list") & F.coalesce(F.col("prev_op") == "list", F.lit(False))
+    # each listing or unlisting beside its predecessor on the same item
+    known = last_seen(accepted, ["rid"], ["seq", "op_rank", "item_cost"], {"prev_rank": "op_rank"}, SHOP_SEQ_BLOCK, inclusive=False)
+    again = (F.col("op") == "list") & F.coalesce(F.col("prev_rank") == 0, F.lit(False))
     offers = known.where(~again).select(F.col("rid").alias("item_id"), "seq", "op_rank", F.when(F.col("op") == "list", F.col("item_cost")).alias("item_cost"))
     last = offers.groupBy("item_id").agg(F.max_by(F.struct("item_cost"), F.struct("seq", "op_rank")).alias("o"))
     items = last.select("item_id", F.col("o.item_cost").alias("item_cost")).where("item_cost is not null")

@@ -8,9 +8,13 @@ block) is ordered globally.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagelake.session import cut_lineage
+
 
 def _block(col: str, width: int):
     return F.floor(F.col(col) / F.lit(width)).cast("bigint")
@@ -56,22 +60,34 @@ def next_value(df: DataFrame, key_col: str, out_col: str, default, block_width:
     return out.drop("__blk", "__nx", "__nbmin")
 
 
-def last_seen(df: DataFrame, key_cols: list[str], order_cols: list[str], values: dict[str, str], block_width: int) -> DataFrame:
-    """For each new column in ``values``, the last non-null value of its source column per key up to and including each row.
+def last_seen(df: DataFrame, key_cols: list[str], order_cols: list[str], values: dict[str, str], block_width: int,
+              inclusive: bool = True, keep: Column | None = None) -> DataFrame:
+    """For each new column in ``values``, the last non-null value of its source column per key up to each row.
 
+    The row itself counts if ``inclusive``; only rows with ``keep`` are returned.
     ``order_cols[0]`` must be numeric; a key's rows are split into blocks of
-    ``block_width`` of it, and only one row per key and block is ordered beyond.
+    ``block_width`` of it, and only the last row per key and block is ordered
+    beyond.  Rows are computed and shuffled once: the windows are written with a
+    mark on those last rows, and a value of an earlier block is joined only to
+    blocks that have one.
     """
     d = df.withColumn("__blk", _block(order_cols[0], block_width))
-    w = Window.partitionBy(*key_cols, "__blk").orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, 0)
-    within = d.withColumns({f"__in_{out}": F.last(c, ignorenulls=True).over(w) for out, c in values.items()})
-    place = F.struct(*order_cols)
-    blocks = d.groupBy(*key_cols, "__blk").agg(
-        *[F.max_by(c, F.when(F.col(c).isNotNull(), place)).alias(f"__bv_{out}") for out, c in values.items()])
+    place = Window.partitionBy(*key_cols, "__blk").orderBy(*order_cols)
+    w = place.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    within = d.withColumns({f"__in_{out}": F.last(c, ignorenulls=True).over(w) for out, c in values.items()}
+                           | {"__ends": F.lead(F.lit(1)).over(place).isNull()})
+    wanted = F.lit(True) if keep is None else keep
+    within = cut_lineage(within.where(wanted | F.col("__ends")))
+    first, last = within.agg(F.min("__blk"), F.max("__blk")).first()
+    if first == last:   # all in one block: nothing to carry
+        return within.where(wanted).select(*df.columns, *[F.col(f"__in_{out}").alias(out) for out in values])
+    blocks = within.where("__ends").select(*key_cols, "__blk", *[
+        F.coalesce(c, f"__in_{out}").alias(f"__bv_{out}") for out, c in values.items()])
     before = Window.partitionBy(*key_cols).orderBy("__blk").rowsBetween(Window.unboundedPreceding, -1)
     carried = blocks.select(*key_cols, "__blk", *[
         F.last(f"__bv_{out}", ignorenulls=True).over(before).alias(f"__bc_{out}") for out in values])
-    both = within.join(carried, [*key_cols, "__blk"])
+    carried = carried.where(reduce(Column.__or__, [F.col(f"__bc_{out}").isNotNull() for out in values]))
+    both = within.where(wanted).join(carried, [*key_cols, "__blk"], "left")
     return both.select(*df.columns, *[F.coalesce(f"__in_{out}", f"__bc_{out}").alias(out) for out in values])
 
 
@@ -81,7 +97,8 @@ def as_of(requests: DataFrame, key: str, at: list[str], events: dict[str, DataFr
 
     An events frame has the key, the columns ``at`` and its value; no event
     gives null.  ``at`` orders all sides, its first column must be numeric;
-    events at the very time of a request count if ``inclusive``.  Requests and
+    events at the very time of a request count if ``inclusive``, and a column
+    ``tie`` (of one type in all frames) orders those of one time.  Requests and
     events pass in one ordered block-wise stream, so a key with many of both
     is no product, and requests without a key are kept.
     """
@@ -90,9 +107,10 @@ def as_of(requests: DataFrame, key: str, at: list[str], events: dict[str, DataFr
     for name, rows in events.items():
         # a struct, as the value itself may be null
         both = both.unionByName(rows.where(F.col(key).isNotNull()).select(
-            F.col(key).alias("__key"), *at, F.lit(0 if inclusive else 1).alias("__turn"), F.struct(F.col(name).alias("v")).alias(f"__v_{name}")),
-            allowMissingColumns=True)
+            F.col(key).alias("__key"), *at, F.lit(0 if inclusive else 1).alias("__turn"), F.struct(F.col(name).alias("v")).alias(f"__v_{name}"),
+            *[F.col("tie").alias("__tie") for c in rows.columns if c == "tie"]), allowMissingColumns=True)
     # requests without a key meet nothing: they are dealt by their own hash
     both = both.withColumn("__part", F.struct("__key", F.when(F.col("__key").isNull(), F.xxhash64("__r")).alias("none")))
-    found = last_seen(both, ["__part"], [*at, "__turn"], {f"__f_{name}": f"__v_{name}" for name in events}, block_width)
-    return found.where("__r is not null").select("__r.*", *[F.col(f"__f_{name}.v").alias(name) for name in events])
+    found = last_seen(both, ["__part"], [*at, "__turn", *[c for c in both.columns if c == "__tie"]], {f"__f_{name}": f"__v_{name}" for name in events}, block_width,
+                      keep=F.col("__r").isNotNull())
+    return found.select("__r.*", *[F.col(f"__f_{name}.v").alias(name) for name in events])

@@ -52,6 +52,30 @@ def test_fold_of_alternating_costs_and_a_dominant_account(spark):
         assert [got[q[:2]] for q in mine] == ok, acc
 
 
+def test_fold_of_cold_and_hot_accounts_is_the_same(spark, monkeypatch):
+    """Accounts above the bound go block by block, the others as window groups; both as the loop, and no copy of the input is made."""
+    rnd = random.Random(5)
+    reqs = [(acc, rnd.randint(0, 10 ** 6) * 10 + acc, rnd.choice([0, 1, 3, 8, 30, 120])) for acc in range(8) for _ in range(5 * 2 ** acc)]
+    reqs = list({(a, q): (a, q, c) for a, q, c in reqs}.values())
+    bal = {acc: rnd.choice([0, 40, 300, 1500]) for acc in range(8)}
+    r = spark.createDataFrame(reqs, "account_id long, request_id long, cost long")
+    b = spark.createDataFrame(list(bal.items()), "account_id long, balance long")
+    want = {}
+    for acc in bal:
+        mine = sorted((q for q in reqs if q[0] == acc), key=lambda q: q[1])
+        want.update(zip([q[1] for q in mine], purchase_fold(bal[acc], [q[2] for q in mine])[0], strict=True))
+    for bound in (1 << 16, 100, 0):
+        monkeypatch.setattr(L, "HOT_REQUESTS", bound)
+        rows = L.ordered_fold(r, b).collect()
+        assert len(rows) == len(reqs) and {x.request_id: x.ok for x in rows} == want, bound
+
+
+def test_a_round_of_small_accounts_shuffles_once(spark):
+    pending = spark.createDataFrame([(1, 1, 5, 9)], "account_id long, request_id long, cost long, __rest long")
+    plan = L._halving_round(pending, False)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
+
+
 def test_scripted_scenario(spark):
     """Items it0..it2 (it2 yanked), one account: +200, draw 40, buy 4 x it0 (5) and 5 x it1 (6), it2 refused."""
     log = spark.createDataFrame([(0, "add", 1, "it0", "live"), (0, "add", 2, "it1", "live"),

@@ -1,6 +1,8 @@
 import random
 
-from pagelake.operators.windows import next_value, running_total
+import pytest
+
+from pagelake.operators.windows import as_of, last_seen, next_value, running_total
 
 
 def test_running_total_across_blocks_with_ties(spark):
@@ -39,3 +41,35 @@ def test_running_total_per_key_with_hot_key(spark):
     for k, o, v, i in sorted(rows, key=lambda r: (r[0], r[1], r[3])):
         acc[k] = acc.get(k, 0) + v
         assert got[i] == acc[k]
+
+
+@pytest.mark.parametrize("width", [50, 10 ** 9])
+@pytest.mark.parametrize("inclusive", [True, False])
+def test_last_value_over_blocks_computes_its_input_once(spark, width, inclusive):
+    """A hot key over many blocks, keys of one block, rows without a value; and with a value in no earlier block."""
+    rnd = random.Random(4)
+    rows = [(0 if i % 2 else rnd.randint(1, 40), rnd.randint(0, 999) * 1000 + i, rnd.choice([None, None, "a", "b"])) for i in range(900)]
+    seen = spark.sparkContext.accumulator(0)
+    rdd = spark.sparkContext.parallelize(rows, 3).map(lambda r: (seen.add(1), r)[1])
+    df = spark.createDataFrame(rdd, "k long, o long, v string")
+    got = {r.o: r.x for r in last_seen(df, ["k"], ["o"], {"x": "v"}, width * 1000, inclusive).collect()}
+    assert seen.value == len(rows) and len(got) == len(rows)
+    last = {}
+    for k, o, v in sorted(rows, key=lambda r: r[1]):
+        before = last.get(k)
+        last[k] = v or before
+        assert got[o] == (last[k] if inclusive else before)
+
+
+@pytest.mark.parametrize("width", [3, 1 << 16])
+def test_events_of_one_time_are_ordered_by_their_tie(spark, width):
+    rnd = random.Random(6)
+    events = [(rnd.randint(0, 4), rnd.randint(0, 20), i, rnd.choice([None, i])) for i in range(200)]
+    asked = [(i, rnd.choice([None, 0, 1, 2, 3, 4, 5]), rnd.randint(0, 22)) for i in range(150)]
+    e = spark.createDataFrame(events, "key long, seq long, tie long, val long")
+    r = spark.createDataFrame(asked, "id long, key long, seq long")
+    got = {x.id: x.val for x in as_of(r, "key", ["seq"], {"val": e}, width).collect()}
+    assert len(got) == len(asked)
+    for i, key, seq in asked:
+        mine = [(s, t, v) for k, s, t, v in events if k == key and s <= seq]
+        assert got[i] == (max(mine, key=lambda m: m[:2])[2] if mine else None)
