@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagelake.operators.sampling import sample_key
-from pagelake.operators.windows import as_of, last_seen, running_total
+from pagelake.operators.windows import as_of, last_seen, one_block, running_total
 from pagelake.session import cut_lineage
 from pagelake.sources.buckets import BUCKETS, update_buckets
 
@@ -146,7 +146,7 @@ _LOG_ORDER = ["seq", "item_id", "op", "item_name"]
 
 def _claims(log: DataFrame) -> DataFrame:
     """Adds and renames, once each; a null name is no name."""
-    return log.where(F.col("op").isin("add", "rename") & F.col("item_name").isNotNull()).select(*_LOG_ORDER).distinct()
+    return log.where(F.col("op").isin("add", "rename") & F.col("item_name").isNotNull()).select(*_LOG_ORDER, "item_stat").distinct()
 
 
 def _settled_claims(claims: DataFrame) -> DataFrame:
@@ -162,48 +162,52 @@ def _settled_claims(claims: DataFrame) -> DataFrame:
     nothing all are what the loop gives.  Rounds are as many as the longest
     chain of claims that decide each other, not as there are claims.
     """
-    order = F.struct(*_LOG_ORDER)
-    contested = claims.groupBy("item_name").agg(F.min("item_id").alias("a"), F.max("item_id").alias("b")).where("a <> b").select("item_name")
-    adds = claims.where(F.col("op") == "add").groupBy("item_id").agg(F.count(F.lit(1)).alias("n_adds"), F.min(order).alias("born"))
-    open_items = claims.join(contested, "item_name", "left_semi").select("item_id").unionByName(
-        adds.where("n_adds > 1").select("item_id")).distinct()
-    marked = claims.join(open_items.withColumn("open", F.lit(True)), "item_id", "left").join(adds.select("item_id", "born"), "item_id", "left")
-    is_open, exists = F.col("open").isNotNull(), F.coalesce(order >= F.col("born"), F.lit(False))
+    contested = claims.groupBy("item_name").agg(F.min("item_id").alias("a"), F.max("item_id").alias("b")).where("a <> b")
+    claims = claims.join(contested.select("item_name", F.lit(True).alias("contested")), "item_name", "left").withColumn(
+        "contested", F.col("contested").isNotNull())
+    is_add = F.col("op") == "add"
+    items = claims.groupBy("item_id").agg((F.max("contested") | (F.count_if(is_add) > 1)).alias("open"), F.min(F.when(is_add, F.col("seq"))).alias("born"))
+    # an add comes before the renames of its time
+    exists = F.coalesce(F.col("seq") >= F.col("born"), F.lit(False))
     # undecided claims start as accepted ones
-    marked = cut_lineage(marked.select(*_LOG_ORDER, is_open.alias("open"), *[(is_open | exists).alias(c) for c in ("ok", "known")]))
-    sure, pending = marked.where(~F.col("open")).drop("open"), marked.where("open").drop("open")
+    marked = cut_lineage(claims.join(items, "item_id").select(
+        *_LOG_ORDER, "item_stat", "contested", "open", *[(F.col("open") | exists).alias(c) for c in ("ok", "known")]))
+    sure, pending = marked.where(~F.col("open")), marked.where("open").drop("open")
+    single = one_block([pending], "seq", CATALOG_SEQ_BLOCK)
     while not pending.isEmpty():
-        pending = cut_lineage(_decided_again(pending))
+        pending = cut_lineage(_decided_again(pending, single))
         if pending.where("changed").isEmpty():
             break
-    return sure.unionByName(pending.select(*_LOG_ORDER, "ok", "known"))
+    columns = [*_LOG_ORDER, "item_stat", "ok", "known"]
+    return sure.select(*columns).unionByName(pending.select(*columns))
 
 
-def _decided_again(claims: DataFrame) -> DataFrame:
+def _decided_again(claims: DataFrame, single: bool = False) -> DataFrame:
     """One round: each claim decided from the present decisions on the claims before it."""
-    at = ["seq", "at_item", "at_op", "at_name"]
-    placed = claims.select(*_LOG_ORDER, "ok", "known", *[F.col(c).alias(a) for c, a in zip(_LOG_ORDER[1:], at[1:], strict=True)])
-    took = placed.where("ok").select(*at, F.col("item_name").alias("name"), F.col("item_id").alias("holder"))
-    asked = as_of(placed.withColumn("name", F.col("item_name")), "name", at, {"holder": took}, CATALOG_SEQ_BLOCK, inclusive=False)
+    placed = claims.select(*_LOG_ORDER, "item_stat", "contested", "ok", "known")
+    # only a contested name has a holder other than the item that claims it
+    rivals = placed.where("contested")
+    took = rivals.where("ok").select("item_name", "seq", "item_id", "op", F.col("item_id").alias("holder"))
+    asked = as_of(rivals, "item_name", ["seq", "item_id", "op"], {"holder": took}, CATALOG_SEQ_BLOCK, inclusive=False, single=single)
     # what the item itself, and the last holder of the name, are called then
-    names = placed.where("ok").select(*at, F.col("item_id").alias("who"), F.col("item_name").alias("called"))
-    own = asked.withColumn("who", F.col("item_id")).withColumn("side", F.lit("own"))
-    other = asked.where("holder <> item_id").withColumn("who", F.col("holder")).withColumn("side", F.lit("other"))
-    called = as_of(own.unionByName(other), "who", at, {"called": names}, CATALOG_SEQ_BLOCK, inclusive=False)
-    d = called.groupBy(*_LOG_ORDER, F.col("ok").alias("was"), F.col("known").alias("was_known")).agg(
-        F.max(F.when(F.col("side") == "own", F.col("called"))).alias("own_name"),
-        F.max(F.when(F.col("side") == "other", F.col("called"))).alias("other_name"))
-    known = F.col("own_name").isNotNull()
-    free = F.col("other_name").isNull() | (F.col("other_name") != F.col("item_name"))
-    ok = free & F.when(F.col("op") == "add", ~known).otherwise(known)
-    return d.select(*_LOG_ORDER, ok.alias("ok"), known.alias("known"), (ok != F.col("was")).alias("changed"))
+    names = placed.where("ok").select(F.col("item_id").alias("who"), *_LOG_ORDER, F.col("item_name").alias("called"))
+    own = placed.withColumn("who", F.col("item_id")).withColumn("own", F.lit(True))
+    other = asked.where("holder <> item_id").withColumnRenamed("holder", "who").withColumn("own", F.lit(False))
+    called = as_of(own.unionByName(other), "who", _LOG_ORDER, {"called": names}, CATALOG_SEQ_BLOCK, inclusive=False, single=single)
+    # flags, which a hash aggregation holds
+    d = called.groupBy(*_LOG_ORDER, "item_stat", "contested", F.col("ok").alias("was")).agg(
+        F.max(F.col("own") & F.col("called").isNotNull()).alias("known"),
+        F.max(~F.col("own") & F.coalesce(F.col("called") == F.col("item_name"), F.lit(False))).alias("taken"))
+    ok = ~F.col("taken") & F.when(F.col("op") == "add", ~F.col("known")).otherwise(F.col("known"))
+    return d.select(*_LOG_ORDER, "item_stat", "contested", ok.alias("ok"), "known", (ok != F.col("was")).alias("changed"))
 
 
 class Catalog(NamedTuple):
     """``items``: item_id, item_name, item_stat.  ``rejects``: seq, op, item_id, item_name, status.
 
-    ``names`` (item_id, item_name, seq, ...) are the accepted claims and
-    ``stats`` (item_id, item_stat, seq, ...) the accepted statuses, in time.
+    In time, ``names`` (item_id, item_name, item_stat, seq, ...) are the accepted
+    claims, an add with its status, and ``stats`` (the same columns) the accepted
+    changes of a status.
     """
 
     items: DataFrame
@@ -220,22 +224,22 @@ def catalog_history(log: DataFrame) -> Catalog:
     aggregations and block-wise passes, so a hot item or name is not a hot task.
     """
     log = cut_lineage(log)
-    claims = cut_lineage(_settled_claims(cut_lineage(_claims(log))))
-    born = claims.where("ok").groupBy("item_id").agg(F.min(F.struct(*_LOG_ORDER)).alias("born"))
-    rows = log.join(born, "item_id", "left")
-    exists = F.coalesce(F.struct(*_LOG_ORDER) >= F.col("born"), F.lit(False))
-    stated = rows.where((F.col("op") == "status") & exists)
-    added = log.where(F.col("op") == "add").join(claims.where("ok"), _LOG_ORDER, "left_semi")
-    stats = cut_lineage(added.select(*_LOG_ORDER, "item_stat").unionByName(stated.select(*_LOG_ORDER, "item_stat")))
-    names = claims.where("ok").select(*_LOG_ORDER)
-    place = F.struct(*_LOG_ORDER)
-    last_name = names.groupBy("item_id").agg(F.max_by("item_name", place).alias("item_name"))
-    last_stat = stats.groupBy("item_id").agg(F.max_by("item_stat", place).alias("item_stat"))
+    claims = _settled_claims(cut_lineage(_claims(log)))
+    names = claims.where("ok").select(*_LOG_ORDER, "item_stat")
+    # a status comes after the claims of its time
+    born = names.groupBy("item_id").agg(F.min("seq").alias("born"))
+    told = log.where(F.col("op") == "status").join(born, "item_id", "left")
+    told = cut_lineage(told.select(*_LOG_ORDER, "item_stat", F.coalesce(F.col("seq") >= F.col("born"), F.lit(False)).alias("exists")))
+    stats = told.where("exists").select(*_LOG_ORDER, "item_stat")
+    place = F.struct("seq", "op", "item_name")
+    items = names.unionByName(stats).groupBy("item_id").agg(
+        F.max_by("item_name", F.when(F.col("op") != "status", place)).alias("item_name"),
+        F.max_by("item_stat", F.when(F.col("op") != "rename", place)).alias("item_stat"))
     refused = claims.where(~F.col("ok")).select("seq", "op", "item_id", "item_name", F.when(
         (F.col("op") == "rename") & ~F.col("known"), F.lit(INVALID_ID)).when((F.col("op") == "add") & F.col("known"), F.lit(DUPLICATE))
-        .otherwise(F.lit(NAME_EXISTS)).alias("status"))
-    lost = rows.where((F.col("op") == "status") & ~exists).select("seq", "op", "item_id", "item_name", F.lit(INVALID_ID).alias("status"))
-    return Catalog(last_name.join(last_stat, "item_id", "left").select("item_id", "item_name", "item_stat"), refused.unionByName(lost), names, stats)
+        .otherwise(F.lit(NAME_EXISTS)).alias("status")).distinct()
+    lost = told.where(~F.col("exists")).select("seq", "op", "item_id", "item_name", F.lit(INVALID_ID).alias("status"))
+    return Catalog(items, refused.unionByName(lost), names, stats)
 
 
 def apply_catalog(log: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -247,7 +251,8 @@ def apply_catalog(log: DataFrame) -> tuple[DataFrame, DataFrame]:
 def _at_start(catalog: DataFrame) -> Catalog:
     """A catalog without a history: its names and statuses hold from the beginning."""
     first = [F.lit(-(1 << 62)).alias("seq"), "item_id", F.lit("add").alias("op"), "item_name"]
-    return Catalog(catalog, catalog.limit(0), catalog.select(*first), catalog.select(*first, "item_stat"))
+    names = catalog.select(*first, "item_stat")
+    return Catalog(catalog, catalog.limit(0), names, names.limit(0))
 
 
 def resolve_items(requests: DataFrame, catalog: Catalog, events: dict[str, DataFrame] | None = None) -> DataFrame:
@@ -255,18 +260,23 @@ def resolve_items(requests: DataFrame, catalog: Catalog, events: dict[str, DataF
 
     A name stands for the item that holds it at that time: the last one to take
     it, unless that item has another name by then.  Values of ``events`` (by
-    ``who``, an item, and ``seq``) are looked up in the same pass.
+    ``who``, an item, ``seq`` and a ``tie`` of operation and name) are looked up
+    in the same pass.
     """
     took = catalog.names.select("seq", F.col("item_name").alias("asked_name"), F.struct("item_id", "op").alias("tie"), F.col("item_id").alias("named_id"))
-    tie, item = F.struct("op", "item_name").alias("tie"), F.col("item_id").alias("who")
-    called = catalog.names.select(item, "seq", tie, F.col("item_name").alias("called"))
-    stat = catalog.stats.select(item, "seq", tie, F.col("item_stat").alias("now_stat"))
+    told = catalog.names.unionByName(catalog.stats).select(
+        F.col("item_id").alias("who"), "seq", F.struct("op", "item_name").alias("tie"),
+        F.when(F.col("op") != "status", F.struct(F.col("item_name").alias("v"))).alias("called"),
+        F.when(F.col("op") != "rename", F.struct(F.col("item_stat").alias("v"))).alias("now_stat"))
     more = events or {}
+    single = one_block([requests, catalog.names, catalog.stats, *more.values()], "seq", CATALOG_SEQ_BLOCK)
     r = requests.withColumn("asked_name", F.when(F.col("item_id").isNull(), F.col("item_name")))
     by_name = F.col("asked_name").isNotNull()
-    named = as_of(r.where(by_name), "asked_name", ["seq"], {"named_id": took}, CATALOG_SEQ_BLOCK)
+    # most names are never asked for
+    took = took.join(r.where(by_name).select("asked_name").distinct(), "asked_name", "left_semi")
+    named = as_of(r.where(by_name), "asked_name", ["seq"], {"named_id": took}, CATALOG_SEQ_BLOCK, single=single)
     r = r.where(~by_name).unionByName(named, allowMissingColumns=True).withColumn("who", F.coalesce("item_id", "named_id"))
-    r = as_of(r, "who", ["seq"], {"called": called, "now_stat": stat, **more}, CATALOG_SEQ_BLOCK)
+    r = as_of(r, "who", ["seq"], {("called", "now_stat"): told, **more}, CATALOG_SEQ_BLOCK, single=single)
     there = F.col("called").isNotNull() & (F.col("item_id").isNotNull() | (F.col("called") == F.col("asked_name")))
     return r.select(*requests.columns, *[F.when(there, F.col(c)).alias(out) for c, out in
                                          (("who", "rid"), ("now_stat", "item_stat"), *((c, c) for c in more))])
@@ -275,7 +285,8 @@ def resolve_items(requests: DataFrame, catalog: Catalog, events: dict[str, DataF
 class Shop(NamedTuple):
     """``items``: item_id, item_cost at the end.  ``rejects``: seq, op, item_id, item_name, status.
 
-    ``offers`` (item_id, seq, item_cost) are the changes in time; a null cost ends an offer.
+    ``offers`` (item_id, seq, op, item_cost) are the changes in time, at one time a
+    listing first; a null cost ends an offer.
     """
 
     items: DataFrame
@@ -300,13 +311,13 @@ def shop_history(log: DataFrame, catalog: Catalog) -> Shop:
     accepted = checked.where(F.col("status") == OK).withColumn(
         "op_rank", F.when(F.col("op") == "list", F.lit(0)).otherwise(F.lit(1)))   # same seq: list, then unlist
     # each listing or unlisting beside its predecessor on the same item
-    known = last_seen(accepted, ["rid"], ["seq", "op_rank", "item_cost"], {"prev_rank": "op_rank"}, SHOP_SEQ_BLOCK, inclusive=False)
+    known = cut_lineage(last_seen(accepted, ["rid"], ["seq", "op_rank", "item_cost"], {"prev_rank": "op_rank"}, SHOP_SEQ_BLOCK, inclusive=False,
+                                  single=one_block([checked], "seq", SHOP_SEQ_BLOCK)))
     again = (F.col("op") == "list") & F.coalesce(F.col("prev_rank") == 0, F.lit(False))
-    offers = known.where(~again).select(F.col("rid").alias("item_id"), "seq", "op_rank", F.when(F.col("op") == "list", F.col("item_cost")).alias("item_cost"))
-    last = offers.groupBy("item_id").agg(F.max_by(F.struct("item_cost"), F.struct("seq", "op_rank")).alias("o"))
-    items = last.select("item_id", F.col("o.item_cost").alias("item_cost")).where("item_cost is not null")
-    offers = offers.groupBy("item_id", "seq").agg(F.max_by(F.struct("item_cost"), "op_rank").alias("o")).select(
-        "item_id", "seq", F.col("o.item_cost").alias("item_cost"))
+    offers = known.where(~again).select(F.col("rid").alias("item_id"), "seq", "op", F.when(F.col("op") == "list", F.col("item_cost")).alias("item_cost"))
+    # time and operation as one number, which a hash aggregation holds
+    place = F.col("seq").cast("decimal(20,0)") * 2 + (F.col("op") != "list").cast("int")
+    items = offers.groupBy("item_id").agg(F.max_by("item_cost", place).alias("item_cost")).where("item_cost is not null")
     rejects = checked.where(F.col("status") != OK).select("seq", "op", "item_id", "item_name", "status").unionByName(
         known.where(again).select("seq", "op", "item_id", "item_name", F.lit(DUPLICATE).alias("status")))
     return Shop(items, rejects, offers)
@@ -325,7 +336,8 @@ def purchase_checks(requests: DataFrame, profiles: DataFrame, catalog: Catalog,
     An item is asked for by id or, without one, by name; ``seq`` is the time in
     the catalog's and the shop's logs that a request sees.
     """
-    offers = shop.offers.select(F.col("item_id").alias("who"), "seq", "item_cost")
+    tie = F.struct("op", F.lit(None).cast("string").alias("item_name")).alias("tie")
+    offers = shop.offers.select(F.col("item_id").alias("who"), "seq", tie, "item_cost")
     r = resolve_items(requests, catalog, {"item_cost": offers})
     r = r.join(profiles.select("account_id", F.lit(True).alias("has_profile")), "account_id", "left")
     missing = F.col("rid").isNull() | F.col("item_cost").isNull()
@@ -347,19 +359,19 @@ def run_purchases(requests: DataFrame, profiles: DataFrame, catalog: Catalog | D
     if isinstance(catalog, DataFrame):
         catalog = _at_start(catalog)
     if isinstance(shop, DataFrame):
-        shop = Shop(shop, shop.limit(0), shop.select("item_id", F.lit(-(1 << 62)).alias("seq"), "item_cost"))
+        shop = Shop(shop, shop.limit(0), shop.select("item_id", F.lit(-(1 << 62)).alias("seq"), F.lit("list").alias("op"), "item_cost"))
     for name, kind in (("seq", "bigint"), ("item_name", "string")):
         if name not in requests.columns:
             requests = requests.withColumn(name, F.lit(0 if name == "seq" else None).cast(kind))
-    profiles = cut_lineage(profiles)
+    profiles, requests = cut_lineage(profiles), cut_lineage(requests)
     checked = cut_lineage(purchase_checks(requests, profiles, catalog, shop))
     # only what the fold reads goes through its rounds; the rest of a request is joined back once
     open_ = checked.where(F.col("status").isNull())
-    folded = ordered_fold(open_.select("account_id", "request_id", "cost"), profiles).select("account_id", "request_id", "ok")
-    decided = open_.drop("status").join(folded, ["account_id", "request_id"])
+    folded = ordered_fold(open_.select("account_id", "request_id", "cost"), profiles)
+    decided = open_.drop("status").join(folded.drop("cost"), ["account_id", "request_id"])
     settled = decided.withColumn("status", F.when(F.col("ok"), F.lit(OK)).otherwise(F.lit(INSUFFICIENT)))
     decisions = checked.where(F.col("status").isNotNull()).unionByName(settled.drop("ok"))
-    return decisions, settle(profiles, decided)
+    return decisions, settle(profiles, folded)
 
 
 def upsert_storage(storage: DataFrame, decisions: DataFrame) -> DataFrame:

@@ -60,8 +60,15 @@ def next_value(df: DataFrame, key_col: str, out_col: str, default, block_width:
     return out.drop("__blk", "__nx", "__nbmin")
 
 
+def one_block(frames: list[DataFrame], col: str, block_width: int) -> bool:
+    """Do all values of the numeric ``col`` lie in one block?"""
+    rows = reduce(DataFrame.union, [f.select(_block(col, block_width).alias("__blk")) for f in frames])
+    first, last = rows.agg(F.min("__blk"), F.max("__blk")).first()
+    return first == last
+
+
 def last_seen(df: DataFrame, key_cols: list[str], order_cols: list[str], values: dict[str, str], block_width: int,
-              inclusive: bool = True, keep: Column | None = None) -> DataFrame:
+              inclusive: bool = True, keep: Column | None = None, single: bool = False) -> DataFrame:
     """For each new column in ``values``, the last non-null value of its source column per key up to each row.
 
     The row itself counts if ``inclusive``; only rows with ``keep`` are returned.
@@ -69,17 +76,20 @@ def last_seen(df: DataFrame, key_cols: list[str], order_cols: list[str], values:
     ``block_width`` of it, and only the last row per key and block is ordered
     beyond.  Rows are computed and shuffled once: the windows are written with a
     mark on those last rows, and a value of an earlier block is joined only to
-    blocks that have one.
+    blocks that have one.  With ``single`` (see ``one_block``) there is one
+    block and nothing to carry, and nothing is written.
     """
     d = df.withColumn("__blk", _block(order_cols[0], block_width))
     place = Window.partitionBy(*key_cols, "__blk").orderBy(*order_cols)
     w = place.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-    within = d.withColumns({f"__in_{out}": F.last(c, ignorenulls=True).over(w) for out, c in values.items()}
-                           | {"__ends": F.lead(F.lit(1)).over(place).isNull()})
+    within = d.withColumns({f"__in_{out}": F.last(c, ignorenulls=True).over(w) for out, c in values.items()})
     wanted = F.lit(True) if keep is None else keep
-    within = cut_lineage(within.where(wanted | F.col("__ends")))
-    first, last = within.agg(F.min("__blk"), F.max("__blk")).first()
-    if first == last:   # all in one block: nothing to carry
+    if not single:
+        within = within.withColumn("__ends", F.lead(F.lit(1)).over(place).isNull())
+        within = cut_lineage(within.where(wanted | F.col("__ends")))
+        first, last = within.agg(F.min("__blk"), F.max("__blk")).first()
+        single = first == last
+    if single:   # all in one block: nothing to carry
         return within.where(wanted).select(*df.columns, *[F.col(f"__in_{out}").alias(out) for out in values])
     blocks = within.where("__ends").select(*key_cols, "__blk", *[
         F.coalesce(c, f"__in_{out}").alias(f"__bv_{out}") for out, c in values.items()])
@@ -91,26 +101,37 @@ def last_seen(df: DataFrame, key_cols: list[str], order_cols: list[str], values:
     return both.select(*df.columns, *[F.coalesce(f"__in_{out}", f"__bc_{out}").alias(out) for out in values])
 
 
-def as_of(requests: DataFrame, key: str, at: list[str], events: dict[str, DataFrame], block_width: int,
-          inclusive: bool = True) -> DataFrame:
+def as_of(requests: DataFrame, key: str, at: list[str], events: dict[str | tuple[str, ...], DataFrame], block_width: int,
+          inclusive: bool = True, single: bool = False) -> DataFrame:
     """Requests with, for each column name in ``events``, its value in the last event of their key at their time.
 
     An events frame has the key, the columns ``at`` and its value; no event
-    gives null.  ``at`` orders all sides, its first column must be numeric;
-    events at the very time of a request count if ``inclusive``, and a column
-    ``tie`` (of one type in all frames) orders those of one time.  Requests and
-    events pass in one ordered block-wise stream, so a key with many of both
-    is no product, and requests without a key are kept.
+    gives null.  A frame under several names has a struct with the value as its
+    only field, ``v``, for each, or null if the event does not set it.  ``at``
+    orders all sides, its first column must be numeric; events at the very time
+    of a request count if ``inclusive``, and a column ``tie`` (of one type in
+    all frames) orders those of one time.  Requests and events pass in one
+    ordered block-wise stream, so a key with many of both is no product, and
+    requests without a key are kept.  ``single`` is that of ``last_seen``.
     """
-    asked = F.struct(*requests.columns).alias("__r")
-    both = requests.select(F.col(key).alias("__key"), *at, F.lit(1 if inclusive else 0).alias("__turn"), asked)
-    for name, rows in events.items():
+    place = [key, *[c for c in at if c != key]]
+    rest = [c for c in requests.columns if c not in place]
+    asked = F.struct(F.lit(True).alias("__is"), *rest).alias("__r")
+    at_cols = [F.col(c).alias(f"__at_{c}") for c in place[1:]]
+    # requests without a key meet nothing: they are dealt by their own hash
+    none = F.when(F.col(key).isNull(), F.xxhash64(*requests.columns)).otherwise(F.lit(0).cast("bigint")).alias("__none")
+    both = requests.select(F.col(key).alias("__key"), none, *at_cols, F.lit(1 if inclusive else 0).alias("__turn"), asked)
+    names = []
+    for told, rows in events.items():
         # a struct, as the value itself may be null
+        value = {c: F.col(c) for c in told} if isinstance(told, tuple) else {told: F.struct(F.col(told).alias("v"))}
+        names += value
         both = both.unionByName(rows.where(F.col(key).isNotNull()).select(
-            F.col(key).alias("__key"), *at, F.lit(0 if inclusive else 1).alias("__turn"), F.struct(F.col(name).alias("v")).alias(f"__v_{name}"),
-            *[F.col("tie").alias("__tie") for c in rows.columns if c == "tie"]), allowMissingColumns=True)
-    # requests without a key meet nothing: they are dealt by their own hash
-    both = both.withColumn("__part", F.struct("__key", F.when(F.col("__key").isNull(), F.xxhash64("__r")).alias("none")))
-    found = last_seen(both, ["__part"], [*at, "__turn", *[c for c in both.columns if c == "__tie"]], {f"__f_{name}": f"__v_{name}" for name in events}, block_width,
-                      keep=F.col("__r").isNotNull())
-    return found.select("__r.*", *[F.col(f"__f_{name}.v").alias(name) for name in events])
+            F.col(key).alias("__key"), F.lit(0).cast("bigint").alias("__none"), *at_cols, F.lit(0 if inclusive else 1).alias("__turn"),
+            *[v.alias(f"__v_{c}") for c, v in value.items()], *[F.col("tie").alias("__tie") for c in rows.columns if c == "tie"]),
+            allowMissingColumns=True)
+    order = [*[f"__at_{c}" for c in place[1:]], "__turn", *[c for c in both.columns if c == "__tie"]]
+    found = last_seen(both, ["__key", "__none"], order, {f"__f_{c}": f"__v_{c}" for c in names}, block_width,
+                      keep=F.col("__r").isNotNull(), single=single)
+    back = {key: F.col("__key")} | {c: F.col(f"__at_{c}") for c in place[1:]} | {c: F.col(f"__r.{c}") for c in rest}
+    return found.select(*[back[c].alias(c) for c in requests.columns], *[F.col(f"__f_{c}.v").alias(c) for c in names])

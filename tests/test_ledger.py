@@ -356,3 +356,31 @@ def test_shop_and_purchases_by_name_match_a_loop(spark):
             want[request] = L.OK
     assert {r.request_id: r.status for r in got.collect()} == want
     assert {r.account_id: r.balance for r in after.collect()} == left
+
+
+def test_a_round_of_claims_writes_nothing_between_and_looks_up_contested_names_alone(spark, monkeypatch):
+    claims = spark.createDataFrame([(0, 1, "add", "a", "live", True, True, True), (1, 2, "add", "a", "live", True, True, True),
+                                    (2, 1, "rename", "b", None, False, True, True), (3, 2, "add", "a", "live", True, True, True)],
+                                   "seq long, item_id long, op string, item_name string, item_stat string, contested boolean, ok boolean, known boolean")
+    asked = []
+    passes = L.as_of
+    monkeypatch.setattr(L, "as_of", lambda r, *a, **k: (asked.append(r.count()), passes(r, *a, **k))[1])
+    again = L._decided_again(claims, single=True)
+    assert asked[0] == 3
+    plan = again._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "parquet" not in plan.lower()
+    assert {(r.seq, r.ok, r.known) for r in again.collect()} == {(0, True, False), (1, False, False), (2, True, True), (3, False, True)}
+
+
+def test_a_listing_and_its_end_at_one_time_need_no_aggregation(spark):
+    catalog = L._at_start(spark.createDataFrame([(1, "a", "live"), (2, "b", "live")], "item_id long, item_name string, item_stat string"))
+    log = spark.createDataFrame([(1, "list", 1, None, 5), (1, "unlist", 1, None, None), (1, "list", 2, None, 3), (4, "unlist", None, "b", None), (4, "list", 1, None, 7)], ASKED)
+    shop = L.shop_history(log, catalog)
+    assert "Aggregate" not in shop.offers._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, shop.items.collect())) == [(1, 7)]
+    assert "SortAggregate" not in shop.items._jdf.queryExecution().executedPlan().toString()
+    asked = spark.createDataFrame([(1, 9, 1, 1, None, 1), (2, 9, 1, 2, None, 1), (3, 9, 4, 2, None, 1), (4, 9, 5, 1, None, 1)],
+                                  "request_id long, account_id long, seq long, item_id long, item_name string, item_count long")
+    got, after = L.run_purchases(asked, _profiles(spark, [(9, 0, 100, 0)]), catalog, shop)
+    assert {r.request_id: r.status for r in got.collect()} == {1: L.INVALID_ID, 2: L.OK, 3: L.INVALID_ID, 4: L.OK}
+    assert [r.balance for r in after.collect()] == [90]

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from pagelake.operators.windows import as_of, last_seen, next_value, running_total
+from pagelake.operators.windows import as_of, last_seen, next_value, one_block, running_total
 
 
 def test_running_total_across_blocks_with_ties(spark):
@@ -73,3 +73,26 @@ def test_events_of_one_time_are_ordered_by_their_tie(spark, width):
     for i, key, seq in asked:
         mine = [(s, t, v) for k, s, t, v in events if k == key and s <= seq]
         assert got[i] == (max(mine, key=lambda m: m[:2])[2] if mine else None)
+
+
+def test_times_of_one_block_pass_in_one_shuffle_and_are_not_written(spark):
+    """Requests without other columns, without a key, and events that set one of two values or a null."""
+    rnd = random.Random(8)
+    events = [(rnd.randint(0, 4), rnd.randint(0, 20), i, rnd.choice([None, i]), rnd.random() < 0.5, rnd.random() < 0.5) for i in range(200)]
+    asked = list({(rnd.choice([None, 0, 1, 2, 3, 4, 5]), rnd.randint(0, 22)) for _ in range(150)})
+    e = spark.createDataFrame(events, "key long, seq long, tie long, val long, has_a boolean, has_b boolean")
+    told = e.selectExpr("key", "seq", "tie", "if(has_a, struct(val as v), null) a", "if(has_b, struct(-val as v), null) b")
+    r = spark.createDataFrame(asked, "key long, seq long")
+    assert one_block([r, e], "seq", 1 << 16) and not one_block([r, e], "seq", 5)
+    plans = {}
+    for width, single in ((1 << 16, True), (1 << 16, False), (5, False)):
+        found = as_of(r, "key", ["seq"], {("a", "b"): told}, width, single=single)
+        plans[width, single] = found._jdf.queryExecution().executedPlan().toString()
+        got = {(x.key, x.seq): (x.a, x.b) for x in found.collect()}
+        assert len(got) == len(asked)
+        for key, seq in asked:
+            mine = sorted(((s, t, v, a, b) for k, s, t, v, a, b in events if k == key and s <= seq), key=lambda m: m[:2])
+            last_a, last_b = [v for _, _, v, a, _ in mine if a], [v for _, _, v, _, b in mine if b]
+            assert got[key, seq] == (last_a[-1] if last_a else None, -last_b[-1] if last_b and last_b[-1] is not None else None)
+    assert plans[1 << 16, True].count("Exchange hashpartitioning") == 1 and "parquet" not in plans[1 << 16, True].lower()
+    assert "parquet" in plans[1 << 16, False].lower()
