@@ -9,6 +9,10 @@ from pagelake.sources.history import History, history_lines
 
 # Page ids per file block of a site dump.
 SITE_BLOCK = 100_000
+# Rows that a task of ordered lines sorts, about.
+ORDERED_ROWS = 1 << 17
+# Partitions to which a shuffle is dealt without sorting its input first (Spark's default); more only if the session asks for them.
+DEALT = 200
 
 
 def write_lines(df: DataFrame, path: str, col: str = "value", compression: str | None = None) -> None:
@@ -86,9 +90,13 @@ def write_ordered_lines(rows: DataFrame, path: str, key: str, order: list[str],
 
     Rows are hash-partitioned on ``key`` and sorted within partitions, so a
     group's lines are contiguous and in order in one file without the group
-    ever being collected (the sort spills if a group is huge).
+    ever being collected (the sort spills if a group is huge).  Partitions are
+    as many as the rows ask for, so what a task sorts does not grow with the
+    rows, up to the larger of ``DEALT`` and the session's shuffle setting.
     """
-    ordered = rows.repartition(key).sortWithinPartitions(key, *order)
+    most = max(DEALT, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    tasks = min(max(1, -(-rows.count() // ORDERED_ROWS)), most)
+    ordered = rows.repartition(tasks, key).sortWithinPartitions(key, *order)
     w = ordered.select(F.col(col).alias("value")).write.mode("overwrite")
     if compression:
         w = w.option("compression", compression)

@@ -1,3 +1,4 @@
+import glob
 import os
 import random
 
@@ -173,6 +174,18 @@ def test_history_shards_and_sink(spark, scratch):
     assert lines == ["1,978307200-7,978393600-9"] * 2
 
 
+def test_ordered_lines_take_tasks_by_their_rows(spark, scratch, monkeypatch):
+    """A task sorts a share of the rows that does not grow with them; groups stay whole and in order."""
+    monkeypatch.setattr(S, "ORDERED_ROWS", 64, raising=False)
+    path = os.path.join(scratch, "lines")
+    rows = spark.range(3000).select((F.col("id") % 300).alias("key"), (-F.col("id")).alias("at")).withColumn("value", F.concat_ws(":", "key", "at"))
+    S.write_ordered_lines(rows, path, "key", ["at"])
+    files = [[tuple(map(int, line.split(":"))) for line in open(f)] for f in glob.glob(os.path.join(path, "part-*"))]
+    assert len(files) > 30 and max(map(len, files)) < 300
+    assert all(f == sorted(f) for f in files) and sorted(x for f in files for x in f) == sorted((i % 300, -i) for i in range(3000))
+    assert sum(len({key for key, _ in f}) for f in files) == 300
+
+
 def test_page_store_point_lookup_is_pushed(spark, scratch):
     path = os.path.join(scratch, "store")
     S.write_page_store(_pages(spark), path)
