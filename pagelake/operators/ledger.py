@@ -145,13 +145,15 @@ _LOG_ORDER = ["seq", "item_id", "op", "item_name"]
 
 
 def _claims(log: DataFrame) -> DataFrame:
-    """Adds and renames, once each; a null name is no name."""
-    return log.where(F.col("op").isin("add", "rename") & F.col("item_name").isNotNull()).select(*_LOG_ORDER, "item_stat").distinct()
+    """Adds and renames; a null name is no name, a null id no item."""
+    return log.where(F.col("op").isin("add", "rename") & F.col("item_name").isNotNull() & F.col("item_id").isNotNull()).select(*_LOG_ORDER, "item_stat")
 
 
 def _settled_claims(claims: DataFrame) -> DataFrame:
     """``claims`` with ``ok`` and ``known`` (the item exists then), as a loop over the log in order would decide them.
 
+    ``lone`` marks the only claim of an item, an add that nobody contests.
+
     A claim succeeds if the name is free then: its last holder has left it, by
     a later claim that succeeded.  Claims on names that one item alone ever
     claims succeed whenever the item exists.  The others are decided in rounds:
@@ -160,26 +162,33 @@ def _settled_claims(claims: DataFrame) -> DataFrame:
     A decision depends on earlier claims only, so after each round at least
     those that depend on settled ones are settled, and when a round changes
     nothing all are what the loop gives.  Rounds are as many as the longest
-    chain of claims that decide each other, not as there are claims.
+    chain of claims that decide each other, not as there are claims.  A claim
+    that the log repeats is decided like the first, and a round keeps it once.
     """
-    contested = claims.groupBy("item_name").agg(F.min("item_id").alias("a"), F.max("item_id").alias("b")).where("a <> b")
-    claims = claims.join(contested.select("item_name", F.lit(True).alias("contested")), "item_name", "left").withColumn(
+    # two names of one number only go through the rounds, which compare the names
+    claims = claims.withColumn("__name", F.xxhash64("item_name"))
+    contested = claims.groupBy("__name").agg(F.min("item_id").alias("a"), F.max("item_id").alias("b")).where("a <> b")
+    claims = claims.join(contested.select("__name", F.lit(True).alias("contested")), "__name", "left").withColumn(
         "contested", F.col("contested").isNotNull())
     is_add = F.col("op") == "add"
-    items = claims.groupBy("item_id").agg((F.max("contested") | (F.count_if(is_add) > 1)).alias("open"), F.min(F.when(is_add, F.col("seq"))).alias("born"))
+    items = claims.groupBy("item_id").agg((F.max("contested") | (F.count_if(is_add) > 1)).alias("open"),
+                                          F.min(F.when(is_add, F.col("seq"))).alias("born"), F.count(F.lit(1)).alias("n"))
+    # most items have one claim, their add: there is nothing to tell it
+    items = items.where(F.col("open") | (F.col("n") > 1) | F.col("born").isNull())
+    lone, open_ = F.col("n").isNull(), F.coalesce("open", F.lit(False))
     # an add comes before the renames of its time
-    exists = F.coalesce(F.col("seq") >= F.col("born"), F.lit(False))
+    exists = lone | F.coalesce(F.col("seq") >= F.col("born"), F.lit(False))
     # undecided claims start as accepted ones
-    marked = cut_lineage(claims.join(items, "item_id").select(
-        *_LOG_ORDER, "item_stat", "contested", "open", *[(F.col("open") | exists).alias(c) for c in ("ok", "known")]))
-    sure, pending = marked.where(~F.col("open")), marked.where("open").drop("open")
+    marked = cut_lineage(claims.join(items, "item_id", "left").select(
+        *_LOG_ORDER, "item_stat", "contested", open_.alias("open"), lone.alias("lone"), *[(open_ | exists).alias(c) for c in ("ok", "known")]))
+    sure, pending = marked.where(~F.col("open")), cut_lineage(marked.where("open").drop("open", "lone"))
     single = one_block([pending], "seq", CATALOG_SEQ_BLOCK)
     while not pending.isEmpty():
         pending = cut_lineage(_decided_again(pending, single))
         if pending.where("changed").isEmpty():
             break
     columns = [*_LOG_ORDER, "item_stat", "ok", "known"]
-    return sure.select(*columns).unionByName(pending.select(*columns))
+    return sure.select(*columns, "lone").unionByName(pending.select(*columns, F.lit(False).alias("lone")))
 
 
 def _decided_again(claims: DataFrame, single: bool = False) -> DataFrame:
@@ -224,17 +233,21 @@ def catalog_history(log: DataFrame) -> Catalog:
     aggregations and block-wise passes, so a hot item or name is not a hot task.
     """
     log = cut_lineage(log)
-    claims = _settled_claims(cut_lineage(_claims(log)))
-    names = claims.where("ok").select(*_LOG_ORDER, "item_stat")
+    claims = _settled_claims(_claims(log))
+    named = claims.where("ok")
+    names = named.select(*_LOG_ORDER, "item_stat")
     # a status comes after the claims of its time
     born = names.groupBy("item_id").agg(F.min("seq").alias("born"))
     told = log.where(F.col("op") == "status").join(born, "item_id", "left")
     told = cut_lineage(told.select(*_LOG_ORDER, "item_stat", F.coalesce(F.col("seq") >= F.col("born"), F.lit(False)).alias("exists")))
     stats = told.where("exists").select(*_LOG_ORDER, "item_stat")
     place = F.struct("seq", "op", "item_name")
-    items = names.unionByName(stats).groupBy("item_id").agg(
-        F.max_by("item_name", F.when(F.col("op") != "status", place)).alias("item_name"),
-        F.max_by("item_stat", F.when(F.col("op") != "rename", place)).alias("item_stat"))
+    # only items with more than an add have a last name or status to look for; a status comes after the add
+    last = named.where(~F.col("lone")).groupBy("item_id").agg(
+        F.max_by("item_name", place).alias("item_name"), F.max_by("item_stat", F.when(F.col("op") == "add", place)).alias("item_stat"))
+    told_last = stats.groupBy("item_id").agg(F.max_by(F.struct("item_stat"), place).alias("told"))
+    items = named.where("lone").select("item_id", "item_name", "item_stat").unionByName(last).join(told_last, "item_id", "left")
+    items = items.select("item_id", "item_name", F.when(F.col("told").isNull(), F.col("item_stat")).otherwise(F.col("told.item_stat")).alias("item_stat"))
     refused = claims.where(~F.col("ok")).select("seq", "op", "item_id", "item_name", F.when(
         (F.col("op") == "rename") & ~F.col("known"), F.lit(INVALID_ID)).when((F.col("op") == "add") & F.col("known"), F.lit(DUPLICATE))
         .otherwise(F.lit(NAME_EXISTS)).alias("status")).distinct()
@@ -301,7 +314,7 @@ def shop_history(log: DataFrame, catalog: Catalog) -> Shop:
     numeric ids).  The shop holds an item once: a listing of a listed item is
     a duplicate, and the first cost stays.
     """
-    resolved = resolve_items(log, catalog)
+    resolved = resolve_items(cut_lineage(log), catalog)
     missing = F.col("rid").isNull()
     status = (F.when(missing & F.col("item_id").isNull(), F.lit(INVALID_NAME))
                .when(missing, F.lit(INVALID_ID))
@@ -315,9 +328,10 @@ def shop_history(log: DataFrame, catalog: Catalog) -> Shop:
                                   single=one_block([checked], "seq", SHOP_SEQ_BLOCK)))
     again = (F.col("op") == "list") & F.coalesce(F.col("prev_rank") == 0, F.lit(False))
     offers = known.where(~again).select(F.col("rid").alias("item_id"), "seq", "op", F.when(F.col("op") == "list", F.col("item_cost")).alias("item_cost"))
-    # time and operation as one number, which a hash aggregation holds
-    place = F.col("seq").cast("decimal(20,0)") * 2 + (F.col("op") != "list").cast("int")
-    items = offers.groupBy("item_id").agg(F.max_by("item_cost", place).alias("item_cost")).where("item_cost is not null")
+    # times and costs are numbers, which a hash aggregation holds
+    listed, ended = F.when(F.col("op") == "list", F.col("seq")), F.when(F.col("op") != "list", F.col("seq"))
+    items = offers.groupBy("item_id").agg(F.max_by("item_cost", listed).alias("item_cost"), F.max(listed).alias("listed"), F.max(ended).alias("ended"))
+    items = items.where(F.col("item_cost").isNotNull() & (F.col("ended").isNull() | (F.col("listed") > F.col("ended")))).select("item_id", "item_cost")
     rejects = checked.where(F.col("status") != OK).select("seq", "op", "item_id", "item_name", "status").unionByName(
         known.where(again).select("seq", "op", "item_id", "item_name", F.lit(DUPLICATE).alias("status")))
     return Shop(items, rejects, offers)

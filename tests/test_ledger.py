@@ -384,3 +384,28 @@ def test_a_listing_and_its_end_at_one_time_need_no_aggregation(spark):
     got, after = L.run_purchases(asked, _profiles(spark, [(9, 0, 100, 0)]), catalog, shop)
     assert {r.request_id: r.status for r in got.collect()} == {1: L.INVALID_ID, 2: L.OK, 3: L.INVALID_ID, 4: L.OK}
     assert [r.balance for r in after.collect()] == [90]
+
+
+@pytest.mark.parametrize("collide", [False, True])
+def test_repeated_claims_and_names_of_one_number_match_a_loop(spark, monkeypatch, collide):
+    """Claims are not made distinct first, and items with an add alone are not aggregated again."""
+    log = random_log(random.Random(9), 60, 12, 9, 25) + [(3, "add", 100 + i, f"alone{i}", "live") for i in range(5)] + [(7, "status", 101, None, "yanked")]
+    states, rejects = catalog_loop(log)
+    rows = spark.createDataFrame(log + log[::2] + log[:20], LOG).repartition(3)
+    assert "Aggregate" not in L._claims(rows)._jdf.queryExecution().executedPlan().toString()
+    if collide:   # every name is taken for a contested one
+        monkeypatch.setattr(L.F, "xxhash64", lambda *c: L.F.lit(0).cast("bigint"))
+    lone = {r.item_id for r in L._settled_claims(L._claims(rows)).where("lone").collect()}
+    assert lone <= set(range(100, 105)) and (lone == set()) == collide
+    made = L.catalog_history(rows)
+    name_of, stat_of = states[max(states)]
+    assert sorted(map(tuple, made.items.collect())) == sorted((i, n, stat_of[i]) for i, n in name_of.items())
+    once = {tuple(r) for r in made.rejects.collect()}
+    # a repeat is refused for the same reason; no claim that succeeded is refused
+    assert once == set(rejects)
+    # items are added at 3; listed before, listed twice, and ended at the time of a listing
+    listed = spark.createDataFrame([(1, "list", 103, None, 4), (4, "list", 103, None, 6), (5, "list", 103, None, 8), (4, "list", 104, None, 5),
+                                    (6, "list", 100, None, 2), (6, "unlist", 100, None, None)], ASKED)
+    shop = L.shop_history(listed, made)
+    assert sorted(map(tuple, shop.items.collect())) == [(103, 6), (104, 5)]
+    assert "decimal" not in shop.items._jdf.queryExecution().executedPlan().toString()
