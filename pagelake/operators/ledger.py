@@ -168,8 +168,9 @@ def _settled_claims(claims: DataFrame) -> DataFrame:
     # two names of one number only go through the rounds, which compare the names
     claims = claims.withColumn("__name", F.xxhash64("item_name"))
     contested = claims.groupBy("__name").agg(F.min("item_id").alias("a"), F.max("item_id").alias("b")).where("a <> b")
-    claims = claims.join(contested.select("__name", F.lit(True).alias("contested")), "__name", "left").withColumn(
-        "contested", F.col("contested").isNotNull())
+    # few of the names: as a table its size is known before the join, and the claims need not be shuffled for it
+    contested = cut_lineage(contested.select("__name", F.lit(True).alias("contested")))
+    claims = claims.join(contested, "__name", "left").withColumn("contested", F.col("contested").isNotNull())
     is_add = F.col("op") == "add"
     items = claims.groupBy("item_id").agg((F.max("contested") | (F.count_if(is_add) > 1)).alias("open"),
                                           F.min(F.when(is_add, F.col("seq"))).alias("born"), F.count(F.lit(1)).alias("n"))
@@ -285,8 +286,10 @@ def resolve_items(requests: DataFrame, catalog: Catalog, events: dict[str, DataF
     single = one_block([requests, catalog.names, catalog.stats, *more.values()], "seq", CATALOG_SEQ_BLOCK)
     r = requests.withColumn("asked_name", F.when(F.col("item_id").isNull(), F.col("item_name")))
     by_name = F.col("asked_name").isNotNull()
-    # most names are never asked for
-    took = took.join(r.where(by_name).select("asked_name").distinct(), "asked_name", "left_semi")
+    # most names are never asked for; a name with the number of one that is asked for passes too and meets no request
+    number = F.xxhash64("asked_name").alias("__name")
+    wanted = cut_lineage(r.where(by_name).select(number).distinct())
+    took = took.select("*", number).join(wanted, "__name", "left_semi").drop("__name")
     named = as_of(r.where(by_name), "asked_name", ["seq"], {"named_id": took}, CATALOG_SEQ_BLOCK, single=single)
     r = r.where(~by_name).unionByName(named, allowMissingColumns=True).withColumn("who", F.coalesce("item_id", "named_id"))
     r = as_of(r, "who", ["seq"], {("called", "now_stat"): told, **more}, CATALOG_SEQ_BLOCK, single=single)

@@ -409,3 +409,33 @@ def test_repeated_claims_and_names_of_one_number_match_a_loop(spark, monkeypatch
     shop = L.shop_history(listed, made)
     assert sorted(map(tuple, shop.items.collect())) == [(103, 6), (104, 5)]
     assert "decimal" not in shop.items._jdf.queryExecution().executedPlan().toString()
+
+
+def test_few_contested_and_asked_names_do_not_shuffle_all_claims(spark, monkeypatch):
+    """The tables of these names are small, however large the log is that they come from."""
+    many = 20000
+    log = [(0, "add", i, f"name {i * 7919 % many}", "live") for i in range(many)]
+    log += [(1, "add", many, "name 0", "live"), (2, "rename", 0, "free", None), (3, "rename", 1, "name 0", None)]
+    rows = spark.createDataFrame(log, LOG).repartition(3)
+    plans, cut, passes = {}, L.cut_lineage, L.as_of
+
+    def seen(name, frame):
+        plans[name] = frame._jdf.queryExecution().executedPlan().toString()
+
+    monkeypatch.setattr(L, "cut_lineage", lambda d: (seen("claims", d) if "lone" in d.columns else None, cut(d))[1])
+    monkeypatch.setattr(L, "as_of", lambda r, key, at, events, *a, **k: (
+        seen("names", events["named_id"]) if "named_id" in events else None, passes(r, key, at, events, *a, **k))[1])
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20000b")
+    try:
+        made = L.catalog_history(rows)
+        asked = spark.createDataFrame([(0, None, "name 0"), (3, None, "name 0"), (3, None, "free"), (2, None, "nobody"), (0, 5, None)],
+                                      "seq long, item_id long, item_name string")
+        got = {(r.seq, r.item_id, r.item_name): r.rid for r in L.resolve_items(asked, made).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin [__name" in plans["claims"] and "SortMergeJoin [__name" not in plans["claims"]
+    assert "BroadcastHashJoin [__name" in plans["names"] and "SortMergeJoin" not in plans["names"]
+    assert got == {(0, None, "name 0"): 0, (3, None, "name 0"): 1, (3, None, "free"): 0, (2, None, "nobody"): None, (0, 5, None): 5}
+    assert {tuple(r) for r in made.rejects.collect()} == {(1, "add", many, "name 0", L.NAME_EXISTS)}
+    assert made.items.count() == many
