@@ -169,7 +169,9 @@ def _settled_claims(claims: DataFrame) -> DataFrame:
     claims = claims.withColumn("__name", F.xxhash64("item_name"))
     contested = claims.groupBy("__name").agg(F.min("item_id").alias("a"), F.max("item_id").alias("b")).where("a <> b")
     # few of the names: as a table its size is known before the join, and the claims need not be shuffled for it
-    contested = cut_lineage(contested.select("__name", F.lit(True).alias("contested")))
+    contested = cut_lineage(contested.select("__name"))
+    # distinct again, as the planner then knows that the join adds no rows and that the items are few
+    contested = contested.distinct().select("__name", F.lit(True).alias("contested"))
     claims = claims.join(contested, "__name", "left").withColumn("contested", F.col("contested").isNotNull())
     is_add = F.col("op") == "add"
     items = claims.groupBy("item_id").agg((F.max("contested") | (F.count_if(is_add) > 1)).alias("open"),
