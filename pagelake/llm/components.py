@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelake.llm.common import written
+from pagelake.llm.common import by_key, written
 
 
 def _digest(edges: DataFrame) -> tuple:
@@ -18,16 +18,17 @@ def _digest(edges: DataFrame) -> tuple:
     return tuple(row.first())
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, n: int) -> DataFrame:
+    """``n`` is the number of edges; either end of each can be a node of its own."""
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return both.where("v > u").join(by_key(least, 2 * n), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    """Edges run from the larger node ``u`` to the smaller node ``v``."""
+def _small_star(edges: DataFrame, n: int) -> DataFrame:
+    """Edges, at most ``n``, run from the larger node ``u`` to the smaller node ``v``."""
     least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    moved = edges.join(by_key(least, n), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -40,9 +41,10 @@ def components(edges: DataFrame) -> DataFrame:
     e = written(e, "edges")
     before = _digest(e)
     while before[0]:
-        e = written(_small_star(_large_star(e)), "edges")
+        # the large star gives an edge per edge at most
+        e = written(_small_star(_large_star(e, before[0]), before[0]), "edges")
         after = _digest(e)
         if after == before:
             break
         before = after
-    return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    return by_key(e, before[0]).select(F.col("u").alias("node"), F.col("v").alias("root"))

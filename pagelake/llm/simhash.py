@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagelake.llm.common import apart, map_texts, pick, written
+from pagelake.llm.common import apart, by_key, map_texts, pick, written
 from pagelake.llm.components import components
 
 SHINGLE = 4
@@ -118,9 +118,9 @@ def _midpoint_links(fps: DataFrame, max_bits: int) -> DataFrame:
     least = near.groupBy("mid").agg(F.min("fp").alias("v"), F.count(F.lit(1)).alias("n"))
     if outer == inner:
         least = least.where("n > 1")
-        return near.join(least, "mid").where("fp <> v").select(F.col("fp").alias("u"), "v").distinct()
+        return near.join(by_key(least), "mid").where("fp <> v").select(F.col("fp").alias("u"), "v").distinct()
     # the smallest one within the inner radius is within max_bits of all in the outer radius
-    return around(outer).join(least, "mid").where("fp <> v").select(F.col("fp").alias("u"), "v").distinct()
+    return around(outer).join(by_key(least), "mid").where("fp <> v").select(F.col("fp").alias("u"), "v").distinct()
 
 
 def links(fps: DataFrame, max_bits: int = MAX_BITS, blocks: int = BLOCKS, hot: int = HOT_BUCKET,
@@ -132,14 +132,16 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, blocks: int = BLOCKS, hot: i
     keyed = _keyed(fps, block_masks(max_bits, blocks))
     crowded = keyed.groupBy("m", "k").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select("m", "k")
     crowded = written(crowded, "crowded")
-    if crowded.isEmpty():
+    n_crowded = crowded.count()
+    if not n_crowded:
         sparse, more = keyed, None
     else:
-        sparse = keyed.join(crowded, ["m", "k"], "left_anti")
-        dense = keyed.join(crowded, ["m", "k"], "left_semi").select("fp").distinct()
+        sparse = keyed.join(by_key(crowded, n_crowded), ["m", "k"], "left_anti")
+        dense = keyed.join(by_key(crowded, n_crowded), ["m", "k"], "left_semi").select("fp").distinct()
         dense = written(dense, "dense")
         more = links(dense, max_bits, finer[0], hot, finer[1:]) if finer else _midpoint_links(dense, max_bits)
-    a, b = sparse.alias("a"), sparse.alias("b")
+    # a row per mask and fingerprint on both sides
+    a, b = sparse.alias("a"), by_key(sparse.alias("b"))
     met = a.join(b, (F.col("a.m") == F.col("b.m")) & (F.col("a.k") == F.col("b.k")) & (F.col("a.fp") > F.col("b.fp"))
                  & _near(F.col("a.fp"), F.col("b.fp"), max_bits))
     found = met.select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v")).distinct()
@@ -155,7 +157,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
     rooted = classes.join(roots, classes["fp"] == roots["node"], "left").select(
         "fp", "least_id", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    return marked.join(rooted.select("fp", "root").join(least, "root"), "fp").select(
+    return by_key(marked, marked.count()).join(rooted.select("fp", "root").join(least, "root"), "fp").select(
         "doc_id", "text_md5", "fp", "root", "component_id")
 
 
