@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagelake.llm.common import apart, map_texts, pick, written
+from pagelake.llm.common import apart, by_key, map_texts, pick, written
 
 # The kinds in their order and the patterns that define them.
 KINDS = ("email", "ip", "card", "phone")
@@ -152,14 +152,14 @@ def _once(docs: DataFrame, found: DataFrame, text_col: str) -> DataFrame:
     d = pick(docs, text=text_col).where("text is not null").withColumn("text_md5", F.md5(F.col("text")))
     copied = written(found.groupBy(F.col("text_md5").alias("md5")).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "copied")
     few = copied.limit(BROADCAST_COPIED + 1).count() <= BROADCAST_COPIED
-    d = d.join(F.broadcast(copied) if few else copied, d["text_md5"] == copied["md5"], "left")
+    d = d.join(F.broadcast(copied) if few else by_key(copied), d["text_md5"] == copied["md5"], "left")
     return d.select("text", "text_md5", (F.lit(1.0) / F.coalesce("n", F.lit(1))).alias("weight"))
 
 
 def _document_counts(docs: DataFrame, found: DataFrame, terms: DataFrame, text_col: str) -> DataFrame:
     """``(term, df)``: distinct texts that hold each of ``terms``."""
-    few = terms.limit(SENT_TERMS + 1).count() <= SENT_TERMS
-    wanted = frozenset(r["term"] for r in terms.collect()) if few else None
+    n_terms = terms.count()
+    wanted = frozenset(r["term"] for r in terms.collect()) if n_terms <= SENT_TERMS else None
 
     def rows(counts: dict[str, float]) -> pa.RecordBatch:
         return pa.RecordBatch.from_pydict({"term": pa.array(list(counts), pa.string()),
@@ -179,7 +179,7 @@ def _document_counts(docs: DataFrame, found: DataFrame, terms: DataFrame, text_c
 
     counted = _once(docs, found, text_col).select("text", "weight").mapInArrow(run, "term string, part double")
     counted = counted.groupBy("term").agg(F.round(F.sum("part")).cast("bigint").alias("df"))
-    return counted.join(terms, "term", "left_semi") if wanted is None else counted
+    return counted.join(by_key(terms, n_terms), "term", "left_semi") if wanted is None else counted
 
 
 def _held(found: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -190,7 +190,7 @@ def _held(found: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     classes = written(member.groupBy("entity").agg(
         F.count(F.lit(1)).alias("n_entity"), F.bit_xor(F.xxhash64("text_md5")).alias("class_a"),
         F.bit_xor(F.xxhash64("text_md5", F.lit(1))).alias("class_b")), "classes")
-    within = written(member.join(classes, "entity").select("text_md5", *_CLASS).distinct(), "within")
+    within = written(by_key(member).join(classes, "entity").select("text_md5", *_CLASS).distinct(), "within")
     return classes, within, one.select("text_md5", F.explode("terms").alias("t")).select("text_md5", "t.*")
 
 
@@ -209,13 +209,13 @@ def _disclosing(docs: DataFrame, found: DataFrame, held: tuple[DataFrame, DataFr
     """``term, revealed, n_both, df`` and the class, for terms that disclose the entities of the class."""
     _, within, terms = held
     n = found.select("text_md5").distinct().count()
-    pairs = within.where(F.col("n_entity") < n).join(terms.select("text_md5", "term").distinct(), "text_md5")
+    pairs = within.where(F.col("n_entity") < n).join(by_key(terms.select("text_md5", "term").distinct()), "text_md5")
     pairs = pairs.groupBy(*_CLASS, "term").agg(F.count(F.lit(1)).alias("n_both"))
     # what is not enough if no other text holds the term is never enough
     best = _revealed(_lower(F.col("n_both"), F.col("n_both"), confidence), n)
     pairs = written(pairs.where(best >= generalise_at), "pairs")
     counts = _document_counts(docs, found, written(pairs.select("term").distinct(), "terms"), text_col)
-    p = pairs.join(counts.withColumnRenamed("term", "counted"), F.col("term") == F.col("counted")).drop("counted")
+    p = by_key(pairs, pairs.count()).join(counts.withColumnRenamed("term", "counted"), F.col("term") == F.col("counted")).drop("counted")
     df = F.greatest("n_both", "df")
     p = p.withColumn("revealed", _revealed(F.col("n_both") / df, n))
     least = _lower(F.col("n_both"), df, confidence)
@@ -231,7 +231,7 @@ def disclosing(docs: DataFrame, found: DataFrame, text_col: str = "text", genera
 
 def _elsewhere(docs: DataFrame, terms: DataFrame, text_col: str) -> DataFrame:
     """``(text_md5, start, end, revealed)``: places of ``terms`` in all texts."""
-    few = terms.limit(SENT_TERMS + 1).count() <= SENT_TERMS
+    few = terms.count() <= SENT_TERMS
     wanted = frozenset(r["term"] for r in terms.select("term").collect()) if few else None
     d = pick(docs, text=text_col).where("text is not null").select("text", F.md5("text").alias("text_md5"))
 
@@ -244,7 +244,7 @@ def _elsewhere(docs: DataFrame, terms: DataFrame, text_col: str) -> DataFrame:
 
     t = map_texts(d, "text", "terms array<struct<term:string,start:int,end:int>>", run, _BATCH_CHARS)
     t = t.select("text_md5", F.explode("terms").alias("t")).select("text_md5", "t.*").distinct()
-    return t.join(terms, "term").select("text_md5", "start", "end", "revealed")
+    return t.join(F.broadcast(terms) if few else by_key(terms), "term").select("text_md5", "start", "end", "revealed")
 
 
 def term_spans(docs: DataFrame, found: DataFrame, text_col: str = "text", remove_at: float = REMOVE_AT,
@@ -253,9 +253,10 @@ def term_spans(docs: DataFrame, found: DataFrame, text_col: str = "text", remove
     held = _held(found)
     told = written(_disclosing(docs, found, held, text_col, generalise_at, confidence), "told")
     _, within, terms = held
-    near = terms.select("text_md5", "term").distinct().join(within, "text_md5").join(told, [*_CLASS, "term"])
+    near = by_key(terms.select("text_md5", "term").distinct()).join(within, "text_md5")
+    near = near.join(by_key(told, told.count()), [*_CLASS, "term"])
     near = near.groupBy("text_md5", "term").agg(F.max("revealed").alias("revealed"))
-    t = terms.join(near, ["text_md5", "term"]).select("text_md5", "start", "end", "revealed")
+    t = by_key(terms).join(near, ["text_md5", "term"]).select("text_md5", "start", "end", "revealed")
     # only terms that more texts hold than hold them with the entity can be in a text without it
     beyond = written(told.where("df > n_both").groupBy("term").agg(F.max("revealed").alias("revealed")), "beyond")
     if not beyond.isEmpty():

@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagelake.llm.common import apart, pick, word_count, written
+from pagelake.llm.common import apart, by_key, pick, word_count, written
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_REPEATS = 3
@@ -236,10 +236,11 @@ def _filled(d: DataFrame, sized: DataFrame, plan: DataFrame, seed: str) -> DataF
     d = _planned(d, _with_cuts(plan, rounds(tied, seed)))
     twins = tied.where("words > size").select(F.col("source").alias("t_source"), F.col("doc_id").alias("t_id"),
                                               F.col("size").alias("t_size"), "words")
-    if twins.isEmpty():
+    n_twins = twins.count()
+    if not n_twins:
         d = d.withColumn("words", F.col("size"))
     else:
-        d = d.join(twins, d["source"].eqNullSafe(F.col("t_source")) & d["doc_id"].eqNullSafe(F.col("t_id"))
+        d = d.join(by_key(twins, n_twins), d["source"].eqNullSafe(F.col("t_source")) & d["doc_id"].eqNullSafe(F.col("t_id"))
                    & (d["size"] == F.col("t_size")), "left").withColumn("words", F.coalesce("words", "size"))
     d = d.withColumn("u", _uniform(F.col("doc_id"), seed))
 

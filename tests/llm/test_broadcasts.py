@@ -2,8 +2,11 @@
 
 from pyspark.sql import functions as F
 
-from pagelake.llm import components, simhash
-from pagelake.llm.common import BROADCAST_ROWS, written
+import corpus_pipeline
+from pagelake.llm import common, components, disclosure, mixing, packing, simhash
+from pagelake.llm.common import BROADCAST_ROWS, documents, written
+
+SF = "/root/testdata/sf0.001"
 
 
 def sent(df):
@@ -45,3 +48,35 @@ def test_many_nodes_or_crowded_buckets_are_joined_by_key(spark, monkeypatch):
     assert len(sent(simhash.links(fps, hot=2))) > 0
     monkeypatch.setattr("pagelake.llm.common.BROADCAST_ROWS", 0)
     assert sent(simhash.links(fps, hot=2)) == []
+
+
+def test_no_stage_of_the_pipeline_sends_exploded_rows(spark, monkeypatch):
+    found = []
+
+    def seen(df, name):
+        found.extend((name, x) for x in exploded(df))
+        return common.written(df, name)
+
+    for module in (components, disclosure, mixing, packing, simhash):
+        monkeypatch.setattr(module, "written", seen)
+    docs = documents(spark, SF)
+    for name, stage in corpus_pipeline.STAGES:
+        docs = seen(stage(spark, docs, SF), name)
+    assert found == []
+
+
+def test_places_of_terms_are_not_sent(spark, monkeypatch):
+    docs = written(spark.createDataFrame([("some words here",)], "text string"), "test")
+    terms = written(spark.createDataFrame([(f"word{i}", 1.0) for i in range(2000)], "term string, revealed double"), "test")
+    for limit in (disclosure.SENT_TERMS, 0):
+        monkeypatch.setattr(disclosure, "SENT_TERMS", limit)
+        assert exploded(disclosure._elsewhere(docs, terms, "text")) == []
+
+
+def test_many_pairs_and_copies_are_joined_by_key(spark, monkeypatch):
+    monkeypatch.setattr("pagelake.llm.common.BROADCAST_ROWS", 0)
+    monkeypatch.setattr(disclosure, "BROADCAST_COPIED", 0)
+    monkeypatch.setattr(disclosure, "SENT_TERMS", 0)
+    docs = written(spark.createDataFrame([(i, f"Quillon{i % 7} {i % 50} at single{i % 9}@corp.example.org") for i in [*range(90)] * 2], "doc_id bigint, text string"), "test")
+    found = written(disclosure.find(docs), "test")
+    assert sent(disclosure._disclosing(docs, found, disclosure._held(found), "text", 0.1, 0.5)) == []
